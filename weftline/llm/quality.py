@@ -1,12 +1,14 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule is a statistic of a text that is high for junk. Labelled documents choose its cutoff for each stratum
+Each rule is a statistic of a text that is high for junk, measured in steps of its own unit; a document's level is
+the largest over the rules. Labelled documents choose the level from which documents are rejected, for each stratum
 (language): cutoffs are tried from the most lenient one down, and a cutoff stands as long as the exact binomial
-test shows, at level DELTA / (rules x strata), that at most ALPHA / rules of the stratum's good documents exceed it.
-Testing in this fixed order needs no correction for the number of cutoffs; rules and strata are corrected for by
-Bonferroni's bound. So with probability 1 - DELTA the rules together reject at most ALPHA of the good documents of
-every stratum. Among the cutoffs that stand, the one that rejects most bad documents less PENALTY times the good
-ones (as shares) is taken, the most lenient of equals; a rule without one is not applied in that stratum.
+test shows, at DELTA / strata, that at most ALPHA of the stratum's good documents exceed it. Testing in this fixed
+order needs no correction for the number of cutoffs, and the rules share one test; Bonferroni's bound corrects for
+the strata. So with probability 1 - DELTA the rules together reject at most ALPHA of the good documents of every
+stratum. Among the cutoffs that stand, the one that rejects most bad documents less PENALTY times the good ones (as
+shares) is taken, the most lenient of equals; in a stratum without one (too few labels) no document is rejected by
+the rules.
 
 Texts: null counts as empty. Documents below the base limits fail without a look at the rules. Labels: repeated
 ones count once, a document with different labels counts as bad, null labels are left out. Null languages are a
@@ -21,17 +23,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import keep, small_or_not
 
-ALPHA, DELTA, PENALTY, STRATA, BINS = 0.03, 0.05, 5.0, 64, 256
+ALPHA, DELTA, PENALTY, STRATA, BINS = 0.02, 0.05, 5.0, 64, 256
 WINDOW = 8
 
-#: Rule: the width of its cutoffs' steps.
-RULES = {"symbols": 0.01, "capitals": 0.005, "exclaims": 0.01, "repeats": 0.005, "same_word": 0.005, "dup_lines": 0.005}
+#: Rule: its unit. Symbols a word, capitals among letters, exclamation marks a word, words in repeated windows, words
+#: equal to the one before, repeated lines.
+RULES = {"symbols": 0.01, "capitals": 0.005, "exclaims": 0.01, "repeats": 0.01, "same_word": 0.005, "dup_lines": 0.01}
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
@@ -103,7 +106,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", drop_text: bool = T
     return docs.mapInArrow(run, schema)
 
 
-def base_failed() -> F.Column:
+def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
@@ -123,7 +126,7 @@ def at_most(k: int, n: int, p: float) -> float:
 
 
 def choose_cutoff(good: np.ndarray, bad: np.ndarray, alpha: float, delta: float) -> int | None:
-    """The cutoff bin of one rule and stratum, from counts by bin: documents in higher bins are rejected."""
+    """The cutoff of one stratum from counts of documents by level: those above it are rejected."""
     n, best, chosen = int(good.sum()), 0.0, None
     over = np.concatenate([np.cumsum(good[::-1])[::-1][1:], [0]])
     hits = np.concatenate([np.cumsum(bad[::-1])[::-1][1:], [0]])
@@ -136,38 +139,37 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, alpha: float, delta: float)
     return chosen
 
 
-def fit_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", label: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> tuple[list[str], dict]:
-    """The strata that have cutoffs of their own, and cutoffs by (stratum, rule).
+def level() -> Column:
+    """The largest of the rules' statistics in units, BINS - 1 at most."""
+    return F.least(F.greatest(*[F.ceil(F.col(r) / w) for r, w in RULES.items()]), F.lit(BINS - 1)).cast("int")
 
-    Uses every labelled document that passes the base limits; what comes to the driver are counts by stratum, rule
-    and bin, BINS x rules x (STRATA + 1) numbers at most.
+
+def fit_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", label: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> tuple[list[str], dict[str, int]]:
+    """The strata that have cutoffs of their own, and the cutoff level of each stratum that has one.
+
+    Uses every labelled document that passes the base limits; what comes to the driver are counts by stratum and
+    level, 2 x BINS x (STRATA + 1) numbers at most.
     """
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label).alias("_good"))
     rows = stats.where(~base_failed()).join(marks, F.col(id_col) == F.col("_id"))
-    binned = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.least(F.ceil(F.col(r) / w), F.lit(BINS - 1)).cast("int").alias("bin")) for r, w in RULES.items()]))
-    counts = rows.select(F.coalesce(F.col(stratum), F.lit("\0")).alias("s"), (F.col("_good") > 0).cast("int").alias("good"), binned.alias("b")).groupBy("s", "good", "b.rule", "b.bin").count()
-    counts = keep(counts, "op4-counts")
+    s = F.coalesce(F.col(stratum), F.lit("\0"))
+    counts = keep(rows.select(s.alias("s"), (F.col("_good") > 0).cast("int").alias("good"), level().alias("level")).groupBy("s", "good", "level").count(), "op4-counts")
     top = [r[0] for r in counts.groupBy("s").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "s").limit(STRATA).collect()]
     named = F.when(F.col("s").isin(top), F.col("s")).otherwise(F.lit("\1")) if top else F.col("s")
-    table: dict = {}
-    for r in counts.groupBy(named.alias("s"), "good", "rule", "bin").agg(F.sum("count").alias("n")).collect():
-        table.setdefault((r["s"], r["rule"]), np.zeros((2, BINS), np.int64))[r["good"], r["bin"]] += r["n"]
-    strata = {s for s, _ in table}
-    cutoffs = {}
-    for (s, rule), t in table.items():
-        c = choose_cutoff(t[1], t[0], alpha / len(RULES), delta / (len(RULES) * max(1, len(strata))))
-        if c is not None:
-            cutoffs[s, rule] = c * RULES[rule]
-    return top, cutoffs
-
-
-def rejected(strata: list[str], cutoffs: dict, stratum: str = "lang"):
-    """Whether a rule rejects, as a column over the statistics."""
+    table: dict[str, np.ndarray] = {}
+    for r in counts.groupBy(named.alias("s"), "good", "level").agg(F.sum("count").alias("n")).collect():
+        table.setdefault(r["s"], np.zeros((2, BINS), np.int64))[r["good"], r["level"]] += r["n"]
+    cutoffs = {s: choose_cutoff(t[1], t[0], alpha, delta / len(table)) for s, t in table.items()}
+    return top, {s: c for s, c in cutoffs.items() if c is not None}
+
+
+def rejected(strata: list[str], cutoffs: dict[str, int], stratum: str = "lang") -> Column:
+    """Whether the rules reject, as a column over the statistics."""
     s = F.coalesce(F.col(stratum), F.lit("\0"))
     s = F.when(s.isin(strata), s).otherwise(F.lit("\1")) if strata else s
     out = F.lit(False)
-    for (name, rule), c in sorted(cutoffs.items()):
-        out = out | ((s == F.lit(name)) & (F.ceil(F.col(rule) / RULES[rule]) > round(c / RULES[rule])))
+    for name, c in sorted(cutoffs.items()):
+        out = out | ((s == F.lit(name)) & (level() > c))
     return out
 
 
