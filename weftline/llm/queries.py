@@ -19,6 +19,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_read(spark, sf_dir, "documents"))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_documents
+
+    return mix_documents(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge_documents
 
@@ -41,6 +47,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_mix_sources": op3_mix_sources,
     "op4_quality_rules": op4_quality_rules,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op10_bpe": op10_bpe,
