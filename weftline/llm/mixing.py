@@ -4,9 +4,10 @@ Sources get weights 5, 2, 1, repeating in code point order of their names (null
 table; a target stops at CAP times its source's words and the excess is shared out again by weight. A document of a
 source is wanted target / source words times: the whole part is taken at once, the fraction is rounded dependently.
 Pairs of fractional documents pass word mass between each other, in a random direction that keeps each expectation,
-until one is whole; so all but one document of a group become whole and the words taken keep their sum. The one
+until one is whole; so all but one document of a group become whole and the words taken keep their sum. Documents
+far larger than the rest come first and are made whole by trading with all smaller ones in equal shares. The one
 left over goes on to the next level of a reduction tree, and the last of a source is rounded by its own fraction.
-Words taken by a source differ from its target by less than the size of one document.
+Words taken by a source differ from its target by less than the size of one document, mostly a small one.
 
 Groups are (source, chunk) with about CHUNK documents, chunks dealt by a hash of the row, so a source with most rows
 is many groups. Every random number is a hash of the documents paired, so reruns agree. Texts that are null or hold no
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import WORD, keep
 
 WEIGHTS, CAP, CHUNK, SEED = (5, 2, 1), 3.0, 4096, 20240301
+#: A document of more than LARGE times its group's middle size trades mass with all smaller ones at once.
+LARGE = 6
 
 
 def targets(sizes: dict, weights: tuple = WEIGHTS, cap: float = CAP) -> dict:
@@ -56,9 +59,30 @@ def _unit(*keys: int) -> float:
 
 
 def pair_off(keys: list[int], sizes: list[int], shares: list[float]) -> list[float]:
-    """Shares in [0, 1] after pairing one document with the next: all but at most one become 0 or 1."""
+    """Shares in [0, 1] after pairing one document with the next: all but at most one become 0 or 1.
+
+    Documents come from the largest down; those of size 0 have share 0.
+    """
     eps = 1e-9
     shares = [0.0 if p < eps else 1.0 if p > 1 - eps else p for p in shares]
+    part = [i for i, p in enumerate(shares) if p not in (0.0, 1.0)]
+    if part:
+        middle = sorted(sizes[i] for i in part)[len(part) // 2]
+        rest, low, high, shift = sum(sizes[i] for i in part), min(shares[i] for i in part), max(shares[i] for i in part), 0.0
+        for at, i in enumerate(part):
+            if sizes[i] <= LARGE * middle:
+                break
+            p, others = shares[i] + shift, rest - sizes[i]
+            take = _unit(keys[i]) < p
+            moved = shift - sizes[i] * ((1.0 if take else 0.0) - p) / max(1, others)
+            if not (low + moved > 0.0 and high + moved < 1.0):
+                break
+            shares[i], shift, rest = 1.0 if take else 0.0, moved, others
+            at += 1
+        else:
+            at = len(part)
+        for i in part[at:]:
+            shares[i] += shift
     held = -1
     for i, p in enumerate(shares):
         if p in (0.0, 1.0):
