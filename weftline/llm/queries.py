@@ -37,6 +37,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeated_substrings
+
+    return repeated_substrings(_read(spark, sf_dir, "documents"))
+
+
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_model import score_documents
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_extraction": op2_html_extraction,
     "op3_mix_sources": op3_mix_sources,
     "op4_quality_rules": op4_quality_rules,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_lm_scores": op6_lm_scores,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_warc_reassembly": op9_warc_reassembly,
