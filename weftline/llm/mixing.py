@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, keep
+from .common import WORD, keep, small_or_not
 
 WEIGHTS, CAP, CHUNK, SEED = (5, 2, 1), 3.0, 4096, 20240301
 #: A document of more than LARGE times its group's middle size trades mass with all smaller ones at once.
@@ -158,7 +158,7 @@ def repeat_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str =
     """
     plan = mix_documents(docs, id_col, source_col, text_col).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("size", "copies"))).alias("_plan"))
     once = plan.where(F.size("_plan") == 1).select("_id", F.col("_plan")[0]["copies"].alias("_n")).where("_n > 0")
-    single = docs.join(once, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
+    single = docs.join(small_or_not(keep(once, "op3-copies")), F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
     more = keep(plan.where(F.size("_plan") > 1), "op3-repeated")
     if more.isEmpty():
         rows = single

@@ -269,3 +269,19 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = rows.join(lost, "sha", "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", length: int = LENGTH) -> DataFrame:
+    """The documents with the remaining text, all rows and columns kept; chars_col is set to its code points.
+
+    Bytes of a character that was cut in two are left out with it.
+    """
+    _, lost = _analysed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), length, HOT, 64 << 20, True)
+    lost = keep(lost.select(F.col("sha").alias("_sha"), F.col("kept").alias("_kept")), "op5-lost")
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    rows = docs.withColumn("_sha", sha)
+    same = rows.join(small_or_not(lost.select("_sha")), "_sha", "left_anti").drop("_sha")
+    new = rows.drop(text_col).join(lost, "_sha").withColumn(text_col, F.col("_kept"))
+    if chars_col and chars_col in docs.columns:
+        new = new.withColumn(chars_col, F.char_length(text_col).cast(docs.schema[chars_col].dataType))
+    return same.unionByName(new.select(*same.columns)).select(*docs.columns)
