@@ -111,9 +111,9 @@ def assigned(points: DataFrame, centres: DataFrame, on_bin: bool = True) -> Data
         table.setdefault(r["bin"] if on_bin else None, []).append((r["state"], r["x"]))
     packed = {b: (np.array([s for s, _ in sorted(v)]), np.array([x for _, x in sorted(v)])) for b, v in table.items()}
     shared = points.sparkSession.sparkContext.broadcast(packed)
-    from pyspark.sql.types import LongType, StructField
+    from pyspark.sql.types import LongType, StructField, StructType
 
-    schema = points.schema.add(StructField("state", LongType()))
+    schema = StructType([*points.schema.fields, StructField("state", LongType())])
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd

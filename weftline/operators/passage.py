@@ -61,7 +61,7 @@ def coloured_mfpts(t2: np.ndarray, a: list[int], b: list[int], lag: float = 1.0)
     ca, cb = np.arange(0, len(t2), 2), np.arange(1, len(t2), 2)
     ab = sum(pi[i] * t2[i, 2 * e + 1] for i in ca for e in b)
     ba = sum(pi[i] * t2[i, 2 * e] for i in cb for e in a)
-    return {"AB": lag * pi[ca].sum() / ab if ab else math.inf, "BA": lag * pi[cb].sum() / ba if ba else math.inf}
+    return {"AB": float(lag * pi[ca].sum() / ab) if ab else math.inf, "BA": float(lag * pi[cb].sum() / ba) if ba else math.inf}
 
 
 def markov_mfpts(t: np.ndarray, a: list[int], b: list[int], lag: float = 1.0) -> dict[str, float]:

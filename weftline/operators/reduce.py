@@ -123,9 +123,9 @@ def reduction(method: str, pairs: DataFrame, **options) -> Reduction:
 
 def featurized(df: DataFrame, column: str, function: Callable[[np.ndarray], np.ndarray], name: str = "features") -> DataFrame:
     """A user's featurizer, array of coordinates in and 2-D array of features out, over Arrow batches."""
-    from pyspark.sql.types import ArrayType, DoubleType, StructField
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-    schema = df.schema.add(StructField(name, ArrayType(DoubleType())))
+    schema = StructType([*df.schema.fields, StructField(name, ArrayType(DoubleType()))])
 
     def run(batches: Iterator) -> Iterator:
         for pdf in batches:

@@ -147,7 +147,7 @@ def correlation(trajs: DataFrame, in_a: Column, in_b: Column, lags: list[int], s
         ahead = F.lead("b", d).over(w)
         back = F.lead("a", d).over(w)
         parts.append(F.struct(F.lit(d).cast("long").alias("delta"), (F.col("a") * ahead).alias("ab"), (F.col("b") * back).alias("ba")))
-    rows = rows.select(F.inline(F.array(*parts))).where("ab is not null")
+    rows = rows.select(F.array(*parts).alias("_p")).select(F.inline("_p")).where("ab is not null")
     p = (F.avg("ab") + F.avg("ba")) / 2 if symmetric else F.avg("ab")
     return rows.groupBy("delta").agg(p.alias("p"))
 
