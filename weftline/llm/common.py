@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only after its rows were counted and found to be at most this many.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of narrow tables that one task writes.
+ROWS_A_TASK = 250_000
+
 #: White space of the contracts: the space and the five ASCII controls of [\x09-\x0D].
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -44,10 +47,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it back."""
+def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write df as a table in the shared folder and read it back.
+
+    rows: an upper bound of its rows where known; few rows are written by few tasks.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(rows // ROWS_A_TASK + 1)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
