@@ -49,6 +49,12 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_read(spark, sf_dir, "documents"))
 
 
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample_documents
+
+    return resample_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_lm_scores": op6_lm_scores,
+    "op7_importance_resampling": op7_importance_resampling,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_warc_reassembly": op9_warc_reassembly,
     "op10_bpe": op10_bpe,
