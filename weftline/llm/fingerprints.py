@@ -11,6 +11,8 @@ row is its own neighbour. An empty table gives an empty result. Other columns ar
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ def wide_hash(c: Column) -> tuple[Column, Column]:
     return F.xxhash64(c), F.xxhash64(F.lit("weftline"), c)
 
 
+def _fixed(values: list, kind: str = "bigint") -> Column:
+    """A list as one literal, however long."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def _slot(bounds: list[int], c: Column) -> Column:
     """How many of the sorted bounds are at most c, by binary search."""
     steps, s = [], 1
@@ -38,7 +45,7 @@ def _slot(bounds: list[int], c: Column) -> Column:
         s *= 2
     if not steps:
         return F.lit(0)
-    table = F.array(*[F.lit(b) for b in bounds])
+    table = _fixed(bounds)
     fits = lambda at, s: (at + s <= F.lit(len(bounds))) & (F.get(table, at + s - 1) <= c)
     return F.aggregate(F.array(*[F.lit(s) for s in reversed(steps)]), F.lit(0), lambda at, s: F.when(fits(at, s), at + s).otherwise(at))
 
@@ -51,7 +58,7 @@ def with_next(rows: DataFrame, id_col: str, carry: list[str], text: str) -> Data
     """
     spark = rows.sparkSession
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    shares = _fixed([i / ranges for i in range(1, ranges)], "double")
     found = rows.select(F.percentile_approx(id_col, shares, 100 * ranges)).first()[0] or []
     slot = F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(_slot(sorted(set(found)), F.col(id_col)) + 1)
     rows = rows.withColumn("_slot", slot)
@@ -60,8 +67,9 @@ def with_next(rows: DataFrame, id_col: str, carry: list[str], text: str) -> Data
     if not order:
         return rows.select(*rows.columns, *[F.col(c).alias(f"next_{c}") for c in carry]).drop("_slot")
     top = order[-1] + 1
-    first = F.array(*[F.lit(firsts.get(i)).cast("long") for i in range(top)])
-    before = F.array(*[F.lit(order[order.index(i) - 1] if i in firsts else 0) for i in range(top)])
+    prior = dict(zip(order, [order[-1], *order], strict=False))
+    first = _fixed([firsts.get(i) for i in range(top)])
+    before = _fixed([prior.get(i, 0) for i in range(top)], "int")
     opens = F.col(id_col).eqNullSafe(F.get(first, F.col("_slot")))
     here = F.struct(F.col("_slot").alias("s"), F.lit(0).alias("g"))
     also = F.struct(F.get(before, F.col("_slot")).alias("s"), F.lit(1).alias("g"))
