@@ -574,6 +574,91 @@ def optimized_bin_lookup(spark, d):
     return out.groupBy("bin").agg(F.count("*").alias("n"))
 
 
+@query
+def target_reached(spark, d):
+    rows = V.segments(spark, d).withColumn("endpoint_type", F.when(P.in_box([F.col("p1")], V.TARGET), F.lit(S.RECYCLED)).otherwise(F.lit(1)))
+    return spark.createDataFrame([(S.target_reached(rows),)], "reached boolean")
+
+
+@query
+def end_coordinates(spark, d):
+    rows = V.segments(spark, d).withColumn("coord1", F.array(F.when(F.col("p1") > 100, F.lit(float("nan"))).otherwise(F.col("p1"))))
+    return tidy(S.end_coordinates(rows).groupBy("n_iter").agg(F.count("*").alias("n"), F.sum(F.col("coord1")[0]).alias("x_sum")))
+
+
+@query
+def lagged_pairs(spark, d):
+    rows = V.segments(spark, d).withColumn("parent_id", F.when(F.col("p1") > 150, F.lit(-1)).otherwise(F.col("parent_id")))
+    rows = rows.select("file_idx", "n_iter", "seg_id", "weight", "parent_id", F.array("p0").alias("coord0"), F.array("p1").alias("coord1"))
+    out = S.lagged_pairs(rows, 1, F.array(F.lit(-1.0)), F.array(F.lit(-2.0)))
+    return tidy(out.agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.sum(F.col("start")[0]).alias("start_sum"), F.sum(F.col("end")[0]).alias("end_sum")))
+
+
+@query
+def history_trajectories(spark, d):
+    rows = V.segments(spark, d).withColumn("coord1", F.array("p1"))
+    out = S.trajectories(rows, 12, 4)
+    total = F.aggregate("steps", F.lit(0.0), lambda a, s: a + s["coord"][0])
+    return tidy(out.select("file_idx", "seg_id", F.size("steps").alias("n"), total.alias("x_sum")))
+
+
+@query
+def parsed_labels(spark, d):
+    rows = V.segments(spark, d).where("n_iter = 2").select(F.concat(F.lit("b"), F.col("to_cluster"), F.lit("_s"), F.col("seg_id")).alias("label"), "p1")
+    part = lambda k: F.regexp_extract("label", r"b(\d+)_s(\d+)", k).cast("bigint")
+    return tidy(rows.select("label", part(1).alias("bin"), part(2).alias("seg"), "p1"))
+
+
+@query
+def structure_hash_states(spark, d):
+    """Structures named by a hash of their coordinates, joined to states by it."""
+    rows = X.with_states(V.segments(spark, d), N, V.BASIS, V.TARGET).where("n_iter = 3")
+    hashed = rows.select("seg_id", "to_state", F.md5(F.concat_ws(",", F.format_string("%.2f", "p0"), F.format_string("%.2f", "p1"))).alias("hash"))
+    known = hashed.groupBy("hash").agg(F.min("to_state").alias("state"))
+    return hashed.join(known, "hash").select("seg_id", "hash", "state")
+
+
+@query
+def normalized_vector(spark, d):
+    rows = V.event_trajs(spark, d).groupBy("state").agg(F.sum("x").alias("v"))
+    total = rows.agg(F.sum("v").alias("t"))
+    return tidy(rows.crossJoin(F.broadcast(total)).select("state", F.coalesce(F.try_divide("v", "t"), F.col("v")).alias("value")))
+
+
+@query
+def checked_tmatrix(spark, d):
+    return spark.createDataFrame([(M.checked(_t(spark, d), _states(spark)),)], "ok boolean")
+
+
+@query
+def evolve_probability(spark, d):
+    p0 = np.full(N + 2, 1.0 / (N + 2))
+    rows = [(k, i, float(x)) for k, p in M.evolved(p0, _t_dense(spark, d), 30, 10) for i, x in enumerate(p)]
+    return tidy(spark.createDataFrame(rows, "step bigint, state bigint, p double"))
+
+
+@query
+def flux_fit_pvalue(spark, d):
+    points = X.profile(_edges(spark, d), _places(spark, d)).join(_centres(spark, d).select("state", "centre"), "state")
+    r = X.fit_line(points, "centre", "flux").first()["r"]
+    return tidy(spark.createDataFrame([(float(X.student_p(r, points.where("centre is not null").count())),)], "p double"))
+
+
+@query
+def fpt_distribution_log(spark, d):
+    rows = Q.fpt_distribution(M.dense(_label_edges(spark, d), N), [3], [2], max_lags=1000, log_scale=True, powers=(0, 3), points=60)
+    return tidy(spark.createDataFrame(rows, "t double, density double"))
+
+
+@query
+def cleaned_tmatrix(spark, d):
+    t, stay = M.cleaned(_t_dense(spark, d))
+    rows = M.matrix_frame(spark, t)
+    names = spark.createDataFrame(list(enumerate(stay)), "i bigint, s bigint")
+    out = rows.join(names.withColumnsRenamed({"i": "from_state", "s": "f"}), "from_state").join(names.withColumnsRenamed({"i": "to_state", "s": "t"}), "to_state")
+    return tidy(out.select(F.col("f").alias("from_state"), F.col("t").alias("to_state"), "p"))
+
+
 # ---- not expressible in SQL: rows only, held to goldens and laws by the tests --------------------------------------
 
 

@@ -178,4 +178,13 @@ SQL: dict[str, str] = {
     "state_offsets": "WITH n AS (SELECT label::BIGINT AS bin, count(*) AS n FROM embeddings GROUP BY label) SELECT bin, n, coalesce(sum(n) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM n",
     "optimized_uniform_bins": f"WITH {GIVEN}, c AS (SELECT state, sum(pi * v) OVER (ORDER BY h, state ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM g) SELECT state, greatest(ceil(total / (SELECT max(total) FROM c) * 5) - 1, 0)::BIGINT AS bin FROM c",
     "optimized_bin_lookup": f"WITH {SEG}, b AS (SELECT CASE WHEN p1 > 150 AND p1 < 1000 THEN 4 WHEN p1 > 0 AND p1 < 5 THEN 3 ELSE CASE to_cluster WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 4 THEN 2 ELSE -1 END END::BIGINT AS bin FROM seg) SELECT bin, count(*) AS n FROM b GROUP BY bin",
+    "target_reached": f"WITH {SEG}, c AS (SELECT *, max(n_iter) OVER (PARTITION BY file_idx) AS last FROM seg) SELECT count(*) > 0 AS reached FROM c WHERE n_iter < last AND p1 > 150 AND p1 < 1000",
+    "end_coordinates": f"WITH {SEG} SELECT n_iter, count(*) AS n, {r6('sum(p1)')} AS x_sum FROM seg WHERE p1 <= 100 GROUP BY n_iter",
+    "lagged_pairs": f"WITH {SEG}, s AS (SELECT file_idx, n_iter, seg_id, weight, p0, p1, CASE WHEN p1 > 150 THEN -1 ELSE parent_id END AS parent_id FROM seg), o AS (SELECT b.p0 AS x, a.p1 AS y, a.weight FROM s a JOIN s b ON b.file_idx = a.file_idx AND b.n_iter = a.n_iter - 1 AND b.seg_id = a.parent_id WHERE a.parent_id >= 0 UNION ALL SELECT -1, p1, weight FROM s WHERE parent_id < 0 UNION ALL SELECT p0, -2, weight FROM s WHERE parent_id < 0) SELECT count(*) AS n, {r6('sum(weight)')} AS w, {r6('sum(x)')} AS start_sum, {r6('sum(y)')} AS end_sum FROM o",
+    "history_trajectories": f"WITH {SEG} SELECT a.file_idx, a.seg_id, count(b.seg_id) AS n, {r6('sum(b.p1)')} AS x_sum FROM seg a JOIN seg b ON b.file_idx = a.file_idx AND b.seg_id = a.seg_id AND b.n_iter BETWEEN 9 AND 12 WHERE a.n_iter = 12 GROUP BY ALL",
+    "parsed_labels": f"WITH {SEG} SELECT 'b' || to_cluster || '_s' || seg_id AS label, to_cluster::BIGINT AS bin, seg_id AS seg, {r6('p1')} AS p1 FROM seg WHERE n_iter = 2",
+    "structure_hash_states": f"WITH {SEG}, h AS (SELECT seg_id, to_state, md5(printf('%.2f', p0) || ',' || printf('%.2f', p1)) AS hash FROM st WHERE n_iter = 3) SELECT seg_id, hash, min(to_state) OVER (PARTITION BY hash) AS state FROM h",
+    "normalized_vector": f"WITH {TRAJ}, v AS (SELECT state, sum(x) AS v FROM traj GROUP BY state) SELECT state, {r6('CASE WHEN (SELECT sum(v) FROM v) = 0 THEN v ELSE v / (SELECT sum(v) FROM v) END')} AS value FROM v",
+    "checked_tmatrix": f"WITH {TM} SELECT bool_and(ok) AS ok FROM (SELECT min(p) >= 0 AND abs(sum(p) - 1) <= 1e-6 AS ok FROM t GROUP BY from_state)",
+    "evolve_probability": f"WITH RECURSIVE {TM}, e AS (SELECT 0 AS k, state, 1.0::DOUBLE / 7 AS value FROM states UNION ALL SELECT k + 1, to_state, sum(value * p) FROM e JOIN t ON from_state = e.state WHERE k < 30 GROUP BY k, to_state), s AS (SELECT range AS step FROM range(0, 31, 10)) SELECT step, states.state, {r6('coalesce(value, 0)')} AS p FROM s CROSS JOIN states LEFT JOIN e ON e.k = step AND e.state = states.state",
 }
