@@ -88,4 +88,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_warc_reassembly": """WITH d AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS n, sha256(html) AS digest FROM d),
+f AS (SELECT digest, min(page_id) AS first FROM h WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, h.digest AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM h LEFT JOIN f ON f.digest = h.digest""",
+}
