@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +65,32 @@ def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def release() -> None:
+    """Give freed memory back to the system; Python workers live on between stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over Arrow batches that gives back freed memory now and then, and when its task ends."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        for k, batch in enumerate(run(batches), 1):
+            yield batch
+            if k % 8 == 0:
+                release()
+        release()
+
+    return wrapped
+
+
 def hex64(c: Column) -> Column:
     return F.lpad(F.lower(F.hex(c)), 16, "0")
 
