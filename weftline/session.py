@@ -10,10 +10,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch where the session leaves Spark's default: texts are long, and a batch is held several times.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS, DEFAULT = 1000, "10000"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the session's executors, once for each application."""
+    """Send this package to the session's executors, once for each application, and keep Arrow batches small."""
+    if spark.conf.get(BATCH, DEFAULT) == DEFAULT:
+        spark.conf.set(BATCH, ROWS)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         here = Path(__file__).resolve().parent
