@@ -15,14 +15,17 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-#: Words remembered between blocks.
-REMEMBERED = 150_000
+from .common import trimmed
+
+#: Words remembered between blocks, and characters of a block.
+REMEMBERED, BLOCK = 150_000, 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -47,6 +50,9 @@ class Encoder:
         self.strings |= {i: s for s, i in self.special.items()}
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(split)
+        # In lower-case ASCII text the classes have few members, for which the plain module is faster.
+        plain = split.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace(r"\s", " \\t-\\r")
+        self.ascii = None if "\\p" in plain or "A-Z" in plain else re.compile(plain)
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         v = self.size = len(self.vocab) + len(self.special) + 1
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -65,7 +71,8 @@ class Encoder:
         chars = byte_symbols()
         self.inner = np.array([self.vocab[c] for c in chars], np.int32)
         self.final = np.array([self.vocab[c + suffix] for c in chars], np.int32)
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.ids: dict[str | int, bytes] = {}
+        self.text: dict[str | int, str] = {}
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs, -1 for those that don't merge."""
@@ -105,7 +112,9 @@ class Encoder:
             order = np.argsort(r, kind="stable")
             at, r = at[order], r[order]
             cuts = np.flatnonzero(r[1:] != r[:-1]) + 1
-            for part, k in zip(np.split(at, cuts), r[np.concatenate([[0], cuts])].tolist(), strict=True):
+            bounds = [0, *cuts.tolist(), len(at)]
+            for a, b, k in zip(bounds, bounds[1:], r[np.concatenate([[0], cuts])].tolist(), strict=False):
+                part = at[a:b]
                 if k in index:
                     index[k].append(part)
                 else:
@@ -154,7 +163,8 @@ class Encoder:
                     heapq.heappush(active, k)
         live = np.flatnonzero(alive[:n])
         ids = sym[live].astype("<u4")
-        return np.split(ids, np.searchsorted(live, ends[:-1]))
+        cut = [0, *np.searchsorted(live, ends).tolist()]
+        return [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
     def words(self, text: str) -> list[str | int]:
         """Pre-tokenized words of a text; special tokens as their ids."""
@@ -171,27 +181,30 @@ class Encoder:
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # letters are lower-cased one by one
+        elif self.ascii is not None:
+            return self.ascii.findall(text.lower())
         return self.split.findall(text.lower())
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, bytes, str]]:
         """Number of tokens, ids as little-endian 32-bit integers and decoded text, for each text."""
         split = [self.words(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        marks = [w for w in new if isinstance(w, int)]
-        new = [w for w in new if not isinstance(w, int)]
+        if len(self.ids) > REMEMBERED:
+            self.ids.clear()
+            self.text.clear()
+        known, text = self.ids, self.text
+        fresh = set().union(*split) - known.keys()
+        new = [w for w in fresh if not isinstance(w, int)]
         if new:
             strings = self.strings
             for w, ids in zip(new, self.merge(new), strict=True):
-                known[w] = (ids.tobytes(), " ".join([strings[i] for i in ids.tolist()]))
-        for w in marks:
-            known[w] = (int(w).to_bytes(4, "little"), self.strings[w])
+                known[w] = ids.tobytes()
+                text[w] = " ".join([strings[i] for i in ids.tolist()])
+        for w in fresh.difference(new):
+            known[w] = int(w).to_bytes(4, "little")
+            text[w] = self.strings[w]
         for ws in split:
-            got = [known[w] for w in ws]
-            ids = b"".join([g[0] for g in got])
-            yield len(ids) // 4, ids, " ".join([g[1] for g in got])
+            ids = b"".join(map(known.__getitem__, ws))
+            yield len(ids) // 4, ids, " ".join(map(text.__getitem__, ws))
 
 
 _loaded: dict[str, Encoder] = {}
@@ -215,12 +228,12 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from .common import blocks
+        from .common import blocks, release
 
         enc = encoder(file.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, BLOCK):
                 n, x, y = [], [], []
                 for count, ids, text in enc.encode(texts[a:b]):
                     n.append(count)
@@ -228,5 +241,8 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                     y.append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
                 cols = [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(x, pa.string() if digests else pa.list_(pa.int32())), pa.array(y, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=[id_col, "n_tokens", "ids_sha256" if digests else "ids", "decoded_sha256" if digests else "decoded"])
+                release()
+        enc.ids.clear()
+        enc.text.clear()
 
-    return docs.select(id_col, text_col).mapInArrow(run, out)
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), out)

@@ -20,6 +20,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
+from .common import trimmed
+
 SPAN, THRESHOLD = 3, 60
 
 # Element names of HTML, by how this operator treats them.
@@ -187,4 +189,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 texts = [main_text(h) for h in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(id_col, url_col, html_col).mapInArrow(run, f"page_id {kind(id_col)}, url {kind(url_col)}, text string, n_chars bigint")
+    return pages.select(id_col, url_col, html_col).mapInArrow(trimmed(run), f"page_id {kind(id_col)}, url {kind(url_col)}, text string, n_chars bigint")

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, small_or_not
+from .common import keep, small_or_not, trimmed
 from .graphs import components, merged
 from .shingles import BITS, HASHES
 
@@ -102,7 +102,7 @@ class _Linker:
         """(node, items) for the nodes wanted: their sets, from one document each."""
         ids = small_or_not(wanted.distinct().join(self.nodes, "node").select(F.col("first").alias("doc_id")).distinct())
         texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("doc_id", "text")
-        return keep(texts.mapInArrow(_sets, SETS).groupBy("node").agg(F.first("items").alias("items")), "op8-sets")
+        return keep(texts.mapInArrow(trimmed(_sets), SETS).groupBy("node").agg(F.first("items").alias("items")), "op8-sets")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those that are links."""
@@ -121,7 +121,7 @@ class _Linker:
         """A forest of the links between components among the members (key, node, comp) of each key."""
         sets = self.sets(asked.select("node"))
         rows = asked.join(sets, "node").select("key", "node", "comp", "items")
-        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(self.percent), "a binary, b binary").distinct()
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(_meet(self.percent)), "a binary, b binary").distinct()
 
 
 def likely_pairs(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,8 +287,8 @@ def _compared(members: DataFrame, ask: bool, percent: int) -> DataFrame:
     rows = dealt.select(F.xxhash64("bucket", "to.i", "to.j").alias("key"), own.alias("side"), "bucket", "node", "comp", F.col("n_shingles").alias("n"), "sig", "bands")
     sorted_ = rows.repartition("key").sortWithinPartitions("key")
     if ask:
-        return sorted_.mapInArrow(_compare(True, percent), "key bigint, node binary, comp binary")
-    return sorted_.mapInArrow(_compare(False, percent), "a binary, b binary").distinct()
+        return sorted_.mapInArrow(trimmed(_compare(True, percent)), "key bigint, node binary, comp binary")
+    return sorted_.mapInArrow(trimmed(_compare(False, percent)), "a binary, b binary").distinct()
 
 
 def _open(members: DataFrame, groups: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def _open(members: DataFrame, groups: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each document; links need 100 * |both| >= percent * |either|."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = keep(docs.mapInArrow(_sign, SIGNED.format(id=docs.schema["doc_id"].dataType.simpleString())), "op8-signed")
+    signed = keep(docs.mapInArrow(trimmed(_sign), SIGNED.format(id=docs.schema["doc_id"].dataType.simpleString())), "op8-signed")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = keep(nodes, "op8-nodes")
     dealt = nodes.select("node", F.explode("bands").alias("bucket"))

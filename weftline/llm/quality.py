@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, small_or_not
+from .common import keep, small_or_not, trimmed
 
 ALPHA, DELTA, PENALTY, STRATA, BINS = 0.02, 0.05, 5.0, 64, 256
 WINDOW = 8
@@ -103,7 +103,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", drop_text: bool = T
                 cols += [pa.array(v, pa.int64() if i < len(STATS) else pa.float64()) for i, v in enumerate(got)]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def base_failed() -> Column:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, small_or_not
+from .common import keep, small_or_not, trimmed
 
 #: Buckets of features; those with fewer than LEAST features in all texts together are too thin to tell anything.
 BUCKETS, SMOOTH, LEAST, SEED = 1 << 18, 1.0, 30, 20240302
@@ -102,7 +102,7 @@ def resample_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     good = small_or_not(marks.where("_good").select("_id"))
     marked = texts.join(good, F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("good"))
-    counts = marked.mapInArrow(_count, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = marked.mapInArrow(trimmed(_count), "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.collect():  # at most BUCKETS rows
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
@@ -113,7 +113,7 @@ def resample_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     u = (F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = texts.select("doc_id", u.alias("u"), "text").mapInArrow(_weigh(shared, kind), f"doc_id {kind}, u double, n_features bigint, log_weight double")
+    rows = texts.select("doc_id", u.alias("u"), "text").mapInArrow(trimmed(_weigh(shared, kind)), f"doc_id {kind}, u double, n_features bigint, log_weight double")
     scored = keep(rows.select("doc_id", "n_features", "log_weight", (F.col("log_weight") - F.log(-F.log("u"))).alias("score")), "op7-scores")
     n = scored.count()
     k = n if share is None else round(n * share)

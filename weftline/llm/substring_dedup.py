@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, small_or_not
+from .common import keep, release, small_or_not, trimmed
 
 LENGTH, HOT, SHARD_BYTES = 400, 512, 1_500_000
 BLOCKS = (32, 4, 1)
@@ -157,6 +157,7 @@ def _sorted_shard(length: int, budget: int):
         np.add.at(valid, starts, 1)
         np.add.at(valid, starts + pdf["wins"].to_numpy(), -1)
         hit = repeated_starts(data, np.cumsum(valid[:-1]) > 0, length, budget)
+        release()
         at = np.flatnonzero(hit)
         if not len(at):
             return pd.DataFrame({"key": [], "piece": [], "lo": [], "hi": []})
@@ -199,7 +200,7 @@ def _repeated_windows(pieces: DataFrame, length: int, hot: int, budget: int) ->
         results.append(keep(owners.join(keep(found, "op5-found"), ["key", "piece"]).select("h", "seg", (F.col("rel") + F.col("lo")).alias("lo"), (F.col("rel") + F.col("hi")).alias("hi")), "op5-ranges"))
         if busy.isEmpty():
             break
-        pieces = keep(pieces.join(busy, "key").select(*[x.split()[0] for x in PIECES.split(", ")]).mapInArrow(_split(BLOCKS[level], length), PIECES), "op5-split")
+        pieces = keep(pieces.join(busy, "key").select(*[x.split()[0] for x in PIECES.split(", ")]).mapInArrow(trimmed(_split(BLOCKS[level], length)), PIECES), "op5-split")
     out = results[0]
     for r in results[1:]:
         out = out.union(r)
@@ -236,7 +237,7 @@ def _strip(length: int, texts: bool):
 
 def _analysed(docs: DataFrame, length: int, hot: int, budget: int, texts: bool) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, sha, n_bytes) and, for each text that loses bytes, (sha, n_removed, n_spans, kept)."""
-    listed = keep(docs.mapInArrow(_list(length), LISTED.format(id=docs.schema["doc_id"].dataType.simpleString())), "op5-listed")
+    listed = keep(docs.mapInArrow(trimmed(_list(length)), LISTED.format(id=docs.schema["doc_id"].dataType.simpleString())), "op5-listed")
     rows = listed.select("doc_id", "sha", "n_bytes")
     once = listed.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"))
     once = keep(once, "op5-once")
@@ -249,7 +250,7 @@ def _analysed(docs: DataFrame, length: int, hot: int, budget: int, texts: bool)
     several = segs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     needs = segs.join(several, "h").select(F.col("at.doc_id").alias("doc_id"), F.col("at.sha").alias("sha"), F.struct("h", "seg", "at.lo", "at.hi", "at.off").alias("need"))
     needs = keep(needs.groupBy("sha").agg(F.first("doc_id").alias("doc_id"), F.collect_list("need").alias("needs")), "op5-needs")
-    pieces = keep(_fetch(docs, needs, ["needs"]).select("bytes", "needs").mapInArrow(_cut(length), PIECES), "op5-pieces")
+    pieces = keep(_fetch(docs, needs, ["needs"]).select("bytes", "needs").mapInArrow(trimmed(_cut(length)), PIECES), "op5-pieces")
     windows = _repeated_windows(pieces, length, hot, budget)
     # Ranges of windows at every place: whole segments that stand twice, and what the shards found in the others.
     whole = places.join(segs.where("twice").select("h", "seg"), ["h", "seg"]).select("sha", "lo", "hi")
@@ -257,7 +258,7 @@ def _analysed(docs: DataFrame, length: int, hot: int, budget: int, texts: bool)
     inner = places.join(inner, ["h", "seg"]).select("sha", "lo", F.explode("w").alias("w")).select("sha", (F.col("lo") + F.col("w.a")).alias("lo"), (F.col("lo") + F.col("w.b")).alias("hi"))
     ranges = whole.union(inner).groupBy("sha").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     ranges = keep(ranges.join(once.where("copies = 1").select("sha", "doc_id"), "sha"), "op5-covered")
-    lost = _fetch(docs, ranges, ["ranges"]).select("sha", "bytes", "ranges").mapInArrow(_strip(length, texts), "sha string, n_removed bigint, n_spans bigint, kept string")
+    lost = _fetch(docs, ranges, ["ranges"]).select("sha", "bytes", "ranges").mapInArrow(trimmed(_strip(length, texts)), "sha string, n_removed bigint, n_spans bigint, kept string")
     copied = once.where((F.col("copies") > 1) & (F.col("n_bytes") >= length))
     empty = F.lit("" if texts else hashlib.sha256(b"").hexdigest())
     return rows, lost.union(copied.select("sha", "n_bytes", F.lit(1).cast("long"), empty))

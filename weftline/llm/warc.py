@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, scratch_path, small_or_not
+from .common import keep, scratch_path, small_or_not, trimmed
 
 SHARED, SEGMENT, CHUNK, PER_FILE = 100, 16384, 4096, 2000
 DATE = "2024-01-01T00:00:00Z"
@@ -139,7 +139,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     same = rows.where(F.octet_length("html") >= SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n")).where("n > 1").drop("n")
     same = small_or_not(keep(same, "op9-shared"))
     rows = rows.join(same, "digest", "left").withColumn("first", F.when(F.col("first").eqNullSafe(F.col("page_id")), F.lit(None)).otherwise(F.col("first")))
-    rows = rows.select("page_id", "url", "html", "digest", "first", "first_url").mapInArrow(_written, "value string")
+    rows = rows.select("page_id", "url", "html", "digest", "first", "first_url").mapInArrow(trimmed(_written), "value string")
     rows.write.option("compression", "gzip").option("lineSep", "\r\n").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
@@ -191,12 +191,12 @@ def _joined(batches: Iterator) -> Iterator:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_digest and payload_bytes of each page in a folder of archives."""
-    found = keep(spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, READ), "op9-records")
+    found = keep(spark.read.format("binaryFile").load(path).select("content").mapInArrow(trimmed(_read), READ), "op9-records")
     out = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes"]
     lead = F.when(F.col("segment") == 1, F.struct("page_id", "url", "record_type", "refers_to", F.col("payload_digest").alias("stated")))
     parts = found.where("segment is not null").groupBy("origin").agg(F.max(lead).alias("lead"), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"))
     schema = "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint"
-    joined = parts.select("lead.*", "total", "parts").mapInArrow(_joined, schema)
+    joined = parts.select("lead.*", "total", "parts").mapInArrow(trimmed(_joined), schema)
     return found.where("segment is null").select(*out).unionByName(joined)
 
 
