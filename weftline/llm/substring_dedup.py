@@ -254,7 +254,7 @@ def _analysed(docs: DataFrame, length: int, hot: int, budget: int, texts: bool)
     windows = _repeated_windows(pieces, length, hot, budget)
     # Ranges of windows at every place: whole segments that stand twice, and what the shards found in the others.
     whole = places.join(segs.where("twice").select("h", "seg"), ["h", "seg"]).select("sha", "lo", "hi")
-    inner = windows.groupBy("h", "seg").agg(F.collect_list(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))).alias("w"))
+    inner = keep(windows.groupBy("h", "seg").agg(F.collect_list(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))).alias("w")), "op5-windows")
     inner = places.join(inner, ["h", "seg"]).select("sha", "lo", F.explode("w").alias("w")).select("sha", (F.col("lo") + F.col("w.a")).alias("lo"), (F.col("lo") + F.col("w.b")).alias("hi"))
     ranges = whole.union(inner).groupBy("sha").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     ranges = keep(ranges.join(once.where("copies = 1").select("sha", "doc_id"), "sha"), "op5-covered")
