@@ -105,6 +105,13 @@ def structure_references(spark, d):
     return rows.select("seg_id", S.structure_reference(F.concat(F.lit("f"), F.col("file_idx")), F.col("n_iter"), F.col("seg_id")).alias("ref"))
 
 
+@query
+def structure_references_all(spark, d):
+    """Of every complete iteration."""
+    rows = S.complete(V.segments(spark, d))
+    return rows.select("seg_id", S.structure_reference(F.concat(F.lit("f"), F.col("file_idx")), F.col("n_iter"), F.col("seg_id")).alias("ref"))
+
+
 # ---- predicates and labels ---------------------------------------------------------------------------------------
 
 
@@ -200,6 +207,14 @@ def flux_pcoord1d(spark, d):
     return tidy(X.pcoord_flux(rows, 0.0, 200.0, 10, 20))
 
 
+@query
+def flux_pcoord1d_all(spark, d):
+    """The mean over all complete iterations, by their real number."""
+    rows = S.complete(V.segments(spark, d))
+    n = rows.agg(F.countDistinct("n_iter")).first()[0]
+    return tidy(X.pcoord_flux(rows, 0.0, 200.0, 10, max(1, n)))
+
+
 def _centres(spark, d):
     rows = X.with_states(V.segments(spark, d), N, V.BASIS, V.TARGET)
     got = X.centre_stats(rows, _states(spark))
@@ -283,6 +298,14 @@ def start_state_weights(spark, d):
     return tidy(X.start_weights(rows, pi, [BASIS, TARGET]))
 
 
+@query
+def start_state_weights_all(spark, d):
+    """Segments of all complete iterations share their state's weight."""
+    rows = S.complete(X.with_states(V.segments(spark, d), N, V.BASIS, V.TARGET))
+    pi = M.vector_frame(spark, M.steady_state_powers(_t_dense(spark, d), 0, 200))
+    return tidy(X.start_weights(rows, pi, [BASIS, TARGET]))
+
+
 # ---- chains ------------------------------------------------------------------------------------------------------
 
 
@@ -609,6 +632,14 @@ def parsed_labels(spark, d):
     return tidy(rows.select("label", part(1).alias("bin"), part(2).alias("seg"), "p1"))
 
 
+@query
+def parsed_labels_all(spark, d):
+    """Of every complete iteration."""
+    rows = S.complete(V.segments(spark, d)).select("n_iter", F.concat(F.lit("b"), F.col("to_cluster"), F.lit("_s"), F.col("seg_id")).alias("label"), "p1")
+    part = lambda k: F.regexp_extract("label", r"b(\d+)_s(\d+)", k).cast("bigint")
+    return tidy(rows.select("n_iter", "label", part(1).alias("bin"), part(2).alias("seg"), "p1"))
+
+
 @query
 def structure_hash_states(spark, d):
     """Structures named by a hash of their coordinates, joined to states by it."""
@@ -618,6 +649,15 @@ def structure_hash_states(spark, d):
     return hashed.join(known, "hash").select("seg_id", "hash", "state")
 
 
+@query
+def structure_hash_states_all(spark, d):
+    """Of every complete iteration: a structure seen in several has one state."""
+    rows = S.complete(X.with_states(V.segments(spark, d), N, V.BASIS, V.TARGET))
+    hashed = rows.select("n_iter", "seg_id", "to_state", F.md5(F.concat_ws(",", F.format_string("%.2f", "p0"), F.format_string("%.2f", "p1"))).alias("hash"))
+    known = hashed.groupBy("hash").agg(F.min("to_state").alias("state"))
+    return tidy(hashed.join(known, "hash").select("n_iter", "seg_id", "hash", "state"))
+
+
 @query
 def normalized_vector(spark, d):
     rows = V.event_trajs(spark, d).groupBy("state").agg(F.sum("x").alias("v"))
