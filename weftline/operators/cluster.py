@@ -18,47 +18,101 @@ from weftline.functions.predicates import squared_distance
 FEW = 1_000_000
 
 
-def lloyd(x: np.ndarray, k: int, seed: int, weights: np.ndarray | None = None, iters: int = 100) -> np.ndarray:
-    """k centres by k-means++ seeding and Lloyd's iterations; sorted rows make the result independent of input order."""
-    order = np.lexsort(x.T[::-1])
-    x, w = x[order], np.ones(len(x)) if weights is None else weights[order]
-    rng = np.random.default_rng(seed)
-    k = min(k, len(np.unique(x, axis=0)))
-    centres = [x[rng.choice(len(x), p=w / w.sum())]]
-    d = ((x - centres[0]) ** 2).sum(axis=1)
-    while len(centres) < k:
-        p = d * w
-        centres.append(x[rng.choice(len(x), p=p / p.sum())])
-        d = np.minimum(d, ((x - centres[-1]) ** 2).sum(axis=1))
-    c = np.array(centres)
-    for _ in range(iters):
-        own = ((x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
-        new = np.array([np.average(x[own == i], axis=0, weights=w[own == i]) if (own == i).any() and w[own == i].sum() > 0 else c[i] for i in range(len(c))])
-        if np.allclose(new, c, rtol=0, atol=1e-12):
-            break
-        c = new
-    return c[np.lexsort(c.T[::-1])]
+def _by_bin(pdf, centres: dict) -> Iterator:
+    """(bin, its rows' places, their coordinates, squared distances to the bin's centres) of a batch."""
+    for b, at in pdf.groupby("bin").indices.items():
+        x = np.stack(pdf["x"].iloc[at])
+        c = centres.get(b)
+        yield b, at, x, None if c is None else np.stack([((x - y) ** 2).sum(axis=1) for y in c], axis=1)
+
+
+def _drawn(points: DataFrame, centres: dict, seed: int) -> dict:
+    """One more centre for each bin that has a point off its centres, drawn in proportion to weight times squared distance.
+
+    The draw is the least exponential number over that product; the numbers are hashes, so partitions do not matter.
+    """
+    shared = points.sparkSession.sparkContext.broadcast(centres)
+    u = (F.pmod(F.xxhash64("bin", "x", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
 
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        best: dict = {}
+        for pdf in batches:
+            e, w = -np.log(pdf["u"].to_numpy()), pdf["weight"].to_numpy()
+            for b, at, x, d in _by_bin(pdf, shared.value):
+                p = w[at] if d is None else w[at] * d.min(axis=1)
+                key = np.divide(e[at], p, out=np.full(len(p), np.inf), where=p > 0)
+                found = min(zip(key, map(tuple, x[key == key.min()]), strict=False))
+                if found[0] < np.inf:
+                    best[b] = min(best.get(b, found), found)
+        if best:
+            yield pd.DataFrame({"bin": list(best), "key": [k for k, _ in best.values()], "x": [list(x) for _, x in best.values()]})
 
-def sampled(points: DataFrame, per_bin: int, seed: int) -> DataFrame:
-    """At most per_bin points of each bin, picked by a hash: k-means sees a bounded sample, assignments see all rows."""
-    key = F.xxhash64("x", F.lit(seed))
-    salted = points.withColumn("_k", key).withColumn("_s", F.pmod(F.hash("_k"), F.lit(64)))
-    first = salted.withColumn("_r", F.row_number().over(Window.partitionBy("bin", "_s").orderBy("_k"))).where(F.col("_r") <= per_bin)
-    return first.withColumn("_r", F.row_number().over(Window.partitionBy("bin").orderBy("_k"))).where(F.col("_r") <= per_bin).drop("_k", "_s", "_r")
+    kind = points.schema["bin"].dataType.simpleString()
+    got = points.withColumn("u", u).mapInPandas(run, f"bin {kind}, key double, x array<double>")
+    rows = got.groupBy("bin").agg(F.min(F.struct("key", "x")).alias("m")).select("bin", "m.x").collect()
+    shared.unpersist()
+    return {r["bin"]: np.array(r["x"]) for r in rows}
 
 
-def stratified_centres(points: DataFrame, k: int, seed: int = 0, per_bin: int = 20_000) -> DataFrame:
-    """(bin, local_id, x): k-means in each bin, over at most per_bin of its points."""
+def _moved(points: DataFrame, centres: dict) -> dict:
+    """The weighted means of the points nearest to each centre, by (bin, place); a centre without points has none."""
+    shared = points.sparkSession.sparkContext.broadcast(centres)
+    size = len(next(iter(centres.values()))[0])
 
-    def run(key, pdf):
+    def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        c = lloyd(np.stack(pdf["x"]), k, seed, pdf["weight"].to_numpy() if "weight" in pdf else None)
-        return pd.DataFrame({"bin": [key[0]] * len(c), "local_id": range(len(c)), "x": list(c)})
+        sums: dict = {}
+        for pdf in batches:
+            w = pdf["weight"].to_numpy()
+            for b, at, x, d in _by_bin(pdf, shared.value):
+                if d is None:
+                    continue
+                own = d.argmin(axis=1)
+                for i in np.unique(own):
+                    of = own == i
+                    part = np.append(w[at][of] @ x[of], w[at][of].sum())
+                    sums[b, i] = sums.get((b, i), 0.0) + part
+        if sums:
+            yield pd.DataFrame({"bin": [b for b, _ in sums], "i": [int(i) for _, i in sums], "s": [list(v) for v in sums.values()]})
 
     kind = points.schema["bin"].dataType.simpleString()
-    return sampled(points, per_bin, seed).groupBy("bin").applyInPandas(run, f"bin {kind}, local_id bigint, x array<double>")
+    got = points.mapInPandas(run, f"bin {kind}, i bigint, s array<double>").groupBy("bin", "i").agg(*[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(size + 1)])
+    out = {(r[0], r[1]): np.array(r[2:-1]) / r[-1] for r in got.collect() if r[-1] > 0}
+    shared.unpersist()
+    return out
+
+
+def stratified_centres(points: DataFrame, k: int, seed: int = 0, iters: int = 100) -> DataFrame:
+    """(bin, local_id, x): k-means in each bin over all its points, by weight if there is a column of that name.
+
+    Seeding is k-means++, then come Lloyd's iterations; each step is one pass over the points for all bins. Equal
+    points are one with their weights summed. What comes to the driver are centres, k a bin.
+    """
+    schema = f"bin {points.schema['bin'].dataType.simpleString()}, local_id bigint, x array<double>"
+    weight = F.col("weight").cast("double") if "weight" in points.columns else F.lit(1.0)
+    distinct = points.select("bin", F.col("x").cast("array<double>").alias("x"), weight.alias("weight")).groupBy("bin", "x").agg(F.sum("weight").alias("weight"))
+    distinct = distinct.where("bin is not null and weight > 0").persist()
+    centres: dict = {}
+    for r in range(k):
+        new = _drawn(distinct, centres, seed * 1_000_003 + r)
+        if not new:
+            break
+        for b, x in new.items():
+            centres[b] = np.vstack([centres[b], x]) if b in centres else x[None]
+    active = centres
+    for _ in range(iters):
+        if not active:
+            break
+        means = _moved(distinct, active)
+        moved = {b: np.array([means.get((b, i), c[i]) for i in range(len(c))]) for b, c in active.items()}
+        active = {b: c for b, c in moved.items() if not np.allclose(c, centres[b], rtol=0, atol=1e-12)}
+        centres |= moved
+    distinct.unpersist()
+    rows = [(b, i, x.tolist()) for b, c in centres.items() for i, x in enumerate(c[np.lexsort(c.T[::-1])])]
+    return points.sparkSession.createDataFrame(rows, schema)
 
 
 def aggregated_centres(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
