@@ -12,8 +12,8 @@ the rules.
 
 Texts: null counts as empty. Documents below the base limits fail without a look at the rules. Labels: repeated
 ones count once, a document with different labels counts as bad, null labels are left out. Null languages are a
-stratum; strata beyond the STRATA with most labels share one. Extra columns are ignored by the statistics and
-passed on by filter_documents.
+stratum, and so is every other value, however many there are. Extra columns are ignored by the statistics and passed
+on by filter_documents.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import keep, small_or_not, trimmed
 
-ALPHA, DELTA, PENALTY, STRATA, BINS = 0.02, 0.05, 5.0, 64, 256
+ALPHA, DELTA, PENALTY, BINS = 0.02, 0.05, 5.0, 256
 WINDOW = 8
 
 #: Rule: its unit. Symbols a word, capitals among letters, exclamation marks a word, words in repeated windows, words
@@ -144,48 +144,57 @@ def level() -> Column:
     return F.least(F.greatest(*[F.ceil(F.col(r) / w) for r, w in RULES.items()]), F.lit(BINS - 1)).cast("int")
 
 
-def fit_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", label: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> tuple[list[str], dict[str, int]]:
-    """The strata that have cutoffs of their own, and the cutoff level of each stratum that has one.
+def fit_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", label: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(_stratum, _cutoff): the cutoff level of each stratum that has one; _stratum may be null.
 
-    Uses every labelled document that passes the base limits; what comes to the driver are counts by stratum and
-    level, 2 x BINS x (STRATA + 1) numbers at most.
+    Uses every labelled document that passes the base limits. A stratum's counts by level are one row, and its cutoff
+    is chosen where that row is.
     """
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label).alias("_good"))
     rows = stats.where(~base_failed()).join(marks, F.col(id_col) == F.col("_id"))
-    s = F.coalesce(F.col(stratum), F.lit("\0"))
-    counts = keep(rows.select(s.alias("s"), (F.col("_good") > 0).cast("int").alias("good"), level().alias("level")).groupBy("s", "good", "level").count(), "op4-counts")
-    top = [r[0] for r in counts.groupBy("s").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "s").limit(STRATA).collect()]
-    named = F.when(F.col("s").isin(top), F.col("s")).otherwise(F.lit("\1")) if top else F.col("s")
-    table: dict[str, np.ndarray] = {}
-    for r in counts.groupBy(named.alias("s"), "good", "level").agg(F.sum("count").alias("n")).collect():
-        table.setdefault(r["s"], np.zeros((2, BINS), np.int64))[r["good"], r["level"]] += r["n"]
-    cutoffs = {s: choose_cutoff(t[1], t[0], alpha, delta / len(table)) for s, t in table.items()}
-    return top, {s: c for s, c in cutoffs.items() if c is not None}
-
-
-def rejected(strata: list[str], cutoffs: dict[str, int], stratum: str = "lang") -> Column:
-    """Whether the rules reject, as a column over the statistics."""
-    s = F.coalesce(F.col(stratum), F.lit("\0"))
-    s = F.when(s.isin(strata), s).otherwise(F.lit("\1")) if strata else s
-    out = F.lit(False)
-    for name, c in sorted(cutoffs.items()):
-        out = out | ((s == F.lit(name)) & (level() > c))
-    return out
+    counts = rows.groupBy(F.col(stratum).alias("_stratum"), (F.col("_good") > 0).cast("int").alias("good"), level().alias("level")).agg(F.count("*").alias("n"))
+    strata = keep(counts.groupBy("_stratum").agg(F.collect_list(F.struct("good", "level", "n")).alias("counts")), "op4-counts")
+    share = delta / max(1, strata.count())
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            cutoffs = []
+            for found in batch.column(1).to_pylist():
+                t = np.zeros((2, BINS), np.int64)
+                for r in found:
+                    t[r["good"], r["level"]] += r["n"]
+                cutoffs.append(choose_cutoff(t[1], t[0], alpha, share))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cutoffs, pa.int32())], names=["_stratum", "_cutoff"])
+
+    schema = T.StructType([T.StructField("_stratum", stats.schema[stratum].dataType), T.StructField("_cutoff", T.IntegerType())])
+    return keep(strata.mapInArrow(trimmed(run), schema).where("_cutoff is not null"), "op4-cutoffs")
+
+
+def with_cutoffs(rows: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
+    """rows with the _cutoff of their stratum, null where it has none."""
+    return rows.join(small_or_not(cutoffs), F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+
+
+def rejected() -> Column:
+    """Whether the rules reject, as a column over the statistics and _cutoff."""
+    return F.coalesce(level() > F.col("_cutoff"), F.lit(False))
 
 
 def judge_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
     """STATS, base_failed and kept for each document."""
     stats = keep(with_statistics(docs.select(id_col, stratum, text_col), text_col), "op4-stats")
-    out = rejected(*fit_rules(stats, labels, id_col, stratum), stratum)
-    return stats.select(id_col, *STATS, base_failed().alias("base_failed"), (~base_failed() & ~out).alias("kept"))
+    rows = with_cutoffs(stats, fit_rules(stats, labels, id_col, stratum), stratum)
+    return rows.select(id_col, *STATS, base_failed().alias("base_failed"), (~base_failed() & ~rejected()).alias("kept"))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
     """The documents that judge_documents keeps, with all their columns; each text is read in place, never shuffled."""
     marked = docs.join(small_or_not(labels.select(id_col).distinct()), id_col, "left_semi").select(id_col, stratum, text_col)
     stats = keep(with_statistics(marked, text_col), "op4-labelled")
-    out = rejected(*fit_rules(stats, labels, id_col, stratum), stratum)
-    clash = {c: f"_in_{c}" for c in docs.columns if c in {*STATS, *RULES}}
+    cutoffs = fit_rules(stats, labels, id_col, stratum)
+    clash = {c: f"_in_{c}" for c in docs.columns if c in {*STATS, *RULES, "_stratum", "_cutoff"}}
     read = docs.withColumnsRenamed(clash)
-    rows = with_statistics(read, text_col, drop_text=False).where(~base_failed() & ~out)
+    rows = with_cutoffs(with_statistics(read, text_col, drop_text=False), cutoffs, clash.get(stratum, stratum)).where(~base_failed() & ~rejected())
     return rows.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
