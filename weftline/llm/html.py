@@ -1,11 +1,12 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block of the page. A line's weight is the length of its text outside
-links; lines in menus, headers, footers, sidebars, notices, adverts, forms or reader comments weigh nothing, and
-where the page marks an article or main part only lines inside it weigh. Weights are summed over windows of SPAN
+links; lines in menus, headers, footers, sidebars, notices, adverts, forms or reader comments are left out, so that
+windows reach across them, and where the page marks an article or main part only lines inside it weigh. Weights are summed over windows of SPAN
 lines. Text surges where a window's sum passes the threshold and dives where the sums fall back to nothing; the
 weighing lines between a surge and its dive are the text. With a marked article the threshold is a single
-character, so short paragraphs stay; without one it is THRESHOLD characters.
+character, so short paragraphs stay; without one it is THRESHOLD characters, and where no window passes it, all
+weighing lines are the text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
 one line feed. Null or empty html gives an empty text. Nothing is capped. Pages are independent, so repeated rows
@@ -57,7 +58,7 @@ def _set_apart(name: str, attrs: str) -> bool:
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """The page's blocks as (text, weight, in a marked part)."""
+    """The page's blocks that aren't set apart as (text, weight, in a marked part)."""
     out: list[tuple[str, int, bool]] = []
     pieces: list[str] = []
     linked = 0
@@ -71,8 +72,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         nonlocal pieces, linked
         if pieces:
             text = " ".join(_html.unescape("".join(pieces)).split())
-            if text:
-                out.append((text, 0 if started[0] else max(1 if started[1] else 0, len(text) - linked), bool(started[1])))
+            if text and not started[0]:
+                out.append((text, max(1 if started[1] else 0, len(text) - linked), bool(started[1])))
         pieces, linked = [], 0
 
     def add(text: str) -> None:
@@ -162,6 +163,8 @@ def main_text(page: str | None) -> str:
     least = 1 if marked else THRESHOLD
     n = len(lines)
     sums = [sum(weights[i : i + SPAN]) for i in range(n)]
+    if max(sums, default=0) < least:
+        least = 1
     kept: list[str] = []
     i = 0
     while i < n:
