@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import keep, small_or_not, trimmed
 
-#: Buckets of features; those with fewer than LEAST features in all texts together are too thin to tell anything.
-BUCKETS, SMOOTH, LEAST, SEED = 1 << 18, 1.0, 30, 20240302
+#: Buckets of features, all of which count: there is no least number of features (LEAST), thin ones are only smoothed.
+BUCKETS, SMOOTH, LEAST, SEED = 1 << 18, 1.0, 0, 20240302
 #: The k-th score is found by histograms of STEPS bins until at most EXACT rows are left in its bin.
 STEPS, EXACT = 4096, 50_000
 
@@ -109,7 +109,7 @@ def resample_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     ratio = np.zeros(BUCKETS)
     if target.any():
         share_of_target = target.sum() / raw.sum()
-        ratio = np.where(raw >= LEAST, np.log((target + SMOOTH) / (raw * share_of_target + SMOOTH)), 0.0)
+        ratio = np.log((target + SMOOTH) / (raw * share_of_target + SMOOTH))
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     u = (F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     kind = docs.schema[id_col].dataType.simpleString()
