@@ -350,15 +350,106 @@ def test_language_model_learns(spark):
     assert held["s"] > held["b"]
 
 
+def slow_scores(docs, train):
+    """log10 probabilities of texts after one minibatch of gradient updates, token by token with dictionaries."""
+    from weftline.llm import language_model as L
+
+    def tokens(t):
+        t = L.Tokens([t.encode()])
+        return [(int(h), int(s)) for h, s in zip(t.h1, t.suffix_leaves(), strict=True)]
+
+    def fold(x):
+        x ^= x >> 15
+        x = x * 0x2C1B3C6D & 0xFFFFFFFF
+        return (x ^ x >> 13) % L.LEAST_ROWS
+
+    c = collections.Counter(x for t in train for x in tokens(t))
+    often = sorted(c.items(), key=lambda y: (-y[1], y[0][0] - (y[0][0] >> 63 << 64)))
+    placed = L.Lexicon(np.array([x[0] for x, _ in often], np.uint64), np.array([k for _, k in often], float)).place >= 0
+    assert placed.mean() > 0.9
+    single = {x: i for i, x in enumerate([x for (x, _), p in zip(often, placed, strict=True) if p][: L.SINGLE])}
+    leaf = lambda x: single.get(x, x[1])
+    n, v = collections.Counter(), collections.Counter()
+    for x, k in c.items():
+        n[leaf(x)] += k
+        v[leaf(x)] += 1
+    mass = [n[i] + 0.1 * (v[i] + 1) for i in range(256)]
+    top = [sum(mass[16 * i : 16 * i + 16]) for i in range(16)]
+    bias = [np.log(np.array(top) / sum(top))] + [np.log(np.array(mass[16 * i : 16 * i + 16]) / top[i]) for i in range(16)]
+
+    def steps(t):
+        got = tokens(t)
+        hashes = [0, 0] + [x[0] >> 32 | 1 for x in got]
+        for i, x in enumerate(got):
+            two, one = hashes[i], hashes[i + 1]
+            for node, way in ((0, leaf(x) // 16), (1 + leaf(x) // 16, leaf(x) % 16)):
+                add = node * 0x632BE5AB
+                yield x, node, way, [(0, fold(one * 0x9E3779B1 + add & 0xFFFFFFFF)), (1, fold(two * 0x85EBCA6B + 1 + add & 0xFFFFFFFF))]
+
+    w = collections.defaultdict(lambda: np.zeros(16))
+    grad = collections.defaultdict(lambda: np.zeros(16))
+    for t in train:
+        for _, node, way, rows in steps(t):
+            p = np.exp(bias[node])
+            p[way] -= 1
+            for r in rows:
+                grad[r] = grad[r] + p
+    for r, g in grad.items():
+        w[r] = (-L.RATE * g / np.sqrt((g * g).sum() + 1)).astype(np.float16).astype(float)
+    total, out = sum(c.values()), []
+    for t in docs:
+        score = 0.0
+        for x, node, way, rows in steps(t):
+            z = bias[node] + sum(w[r] for r in rows)
+            score += (z[way] - np.log(np.exp(z).sum())) / np.log(10)
+            if node:
+                score += math.log10((c[x] + 0.1) / mass[leaf(x)])
+        out.append(score)
+    assert total
+    return out
+
+
+def test_language_model_slowly(spark):
+    from weftline.llm.language_model import score_documents
+
+    rng = random.Random(21)
+    words = [f"{a}{b}" for a in ("ba", "long-word", "x", "é") for b in range(12)]
+    texts = {i: " ".join(rng.choices(words, k=rng.randint(0, 60))) for i in range(1, 25)}
+    out = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    got = {r["doc_id"]: r["score"] for r in score_documents(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").coalesce(1), rounds=1).collect()}
+    want = slow_scores(texts.values(), [t for i, t in texts.items() if not out(i)])
+    assert [got[i] for i in texts] == pytest.approx(want, rel=2e-3)
+    assert any(map(out, texts))
+
+
 def test_probabilities_sum_to_one():
     from weftline.llm import language_model as L
 
-    w = np.random.default_rng(0).normal(size=(L.KINDS, L.ROWS, L.CLASSES)).astype(np.float32)
-    rows = L.features(np.arange(1, 6, dtype=np.uint32), np.array([0, 3]))
-    z = L.class_logits(w, np.zeros(L.CLASSES, np.float32), rows, 0, 5)
-    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
-    assert p.sum(axis=1) == pytest.approx(np.ones(5), abs=1e-5)
-    assert [r[0] for r in rows] == [r[3] for r in rows]  # both texts start the same way
+    rng = np.random.default_rng(0)
+    w = rng.normal(size=(L.KINDS, L.LEAST_ROWS, L.FAN)).astype(np.float32)
+    bias = L.biases(rng.integers(0, 50, L.LEAVES).astype(float), rng.integers(0, 5, L.LEAVES).astype(float))
+    t = L.Tokens([b"one", b"one"])
+    total = 0.0
+    for leaf in range(L.LEAVES):
+        node, way, row = L.decisions(t, np.full(4, leaf), L.LEAST_ROWS)
+        total = total + np.exp(L.log_paths(w, bias, node, way, row).reshape(-1, L.DEPTH).sum(axis=1))
+    assert total == pytest.approx(np.ones(4), abs=1e-4)
+    assert (row.reshape(L.KINDS, 4, -1)[:, 0] == row.reshape(L.KINDS, 4, -1)[:, 2]).all()  # both texts start the same way
+
+
+def test_token_hashes():
+    from weftline.llm.tokens import END1, END2, TextWords
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab \té\n\x0bZzÉ", k=rng.randint(0, 300))).encode() for _ in range(50)] + [b"", b" ", b"x" * 5000, b"X" * 5000]
+    w = TextWords(texts)
+    words = [x for t in texts for x in t.lower().split()]
+    pairs = list(zip(w.h1.tolist(), w.second().tolist(), strict=True))
+    assert len(set(zip(words, pairs, strict=True))) == len(set(words)) == len(set(pairs))
+    assert (END1, END2) not in pairs
+    assert np.diff(np.append(w.starts, len(words))).tolist() == [len(t.split()) for t in texts]
+    for n, last in zip((2, 3), w.last(2, 3), strict=True):
+        assert last.tolist() == [int.from_bytes(x[-n:].rjust(0), "little") for x in words]
 
 
 # ---- near duplicates ------------------------------------------------------------------------------------------------
