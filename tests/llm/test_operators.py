@@ -258,19 +258,86 @@ def test_judged(spark, docs, rows, none):
 # ---- suffix sorting and substrings --------------------------------------------------------------------------------
 
 
-def test_suffix_arrays():
-    from weftline.llm.induced import repeated_starts, suffix_array
+def slow_suffixes(text):
+    order = sorted(range(len(text)), key=lambda i: text[i:], reverse=True)
+    same = lambda a, b: next((k for k in range(len(text)) if text[a + k : a + k + 1] != text[b + k : b + k + 1] or not text[a + k : a + k + 1]), len(text))
+    return order, [same(a, b) for a, b in zip([None, *order], order, strict=False) if a is not None]
 
+
+@pytest.mark.parametrize("chunk", [5, 1 << 17])
+def test_suffixes(monkeypatch, chunk):
+    """Order and common prefixes, with queues that spill and with recursion on names."""
+    from weftline.llm import induced
+
+    monkeypatch.setattr(induced, "CHUNK", chunk)
     rng = random.Random(5)
-    for _ in range(400):
-        s = "".join(rng.choices(rng.choice(["ab", "abc", "aab", "abcdefgh"]), k=rng.randint(0, 60)))
-        s = s[:10] * 6 if rng.random() < 0.3 else s
-        t = np.frombuffer(s.encode(), np.uint8)
-        assert suffix_array(t.astype(np.int64), 256, rng.choice([16, 1 << 20])).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
-        n = rng.randint(1, 6)
-        valid = np.arange(len(s)) <= len(s) - n
-        want = [i <= len(s) - n and sum(s[j : j + n] == s[i : i + n] for j in range(len(s) - n + 1)) > 1 for i in range(len(s))]
-        assert repeated_starts(t, valid, n).tolist() == want
+    before = induced.spilled
+    for trial in range(60):
+        n = rng.randint(0, 160)
+        text = bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz"[: rng.choice([1, 2, 3, 26])], k=n))
+        if n and rng.random() < 0.4:
+            text = (text[: rng.randint(1, 20)] * 60)[:n]
+        got = list(induced.suffixes(np.frombuffer(text, np.uint8), 256, budget=64, doubled=[0, 9, 1 << 20][trial % 3]))
+        order = [int(i) for at, _ in got for i in at]
+        common = [int(i) for _, lcp in got for i in lcp][1:]
+        assert (order, common) == slow_suffixes(text)
+    assert induced.spilled > before
+
+
+def test_shard_beyond_its_memory(monkeypatch):
+    """A shard whose queues and text go to disk finds what brute force finds."""
+    import pyarrow as pa
+
+    from weftline.llm import induced, substring_dedup
+
+    rng = random.Random(2)
+    pieces = ["".join(rng.choices("abc ", k=600)).encode() + BASE.encode() * rng.randint(1, 6) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 60), pa.array(range(60)), pa.array([len(p) - 399 for p in pieces], pa.int32()), pa.array(pieces, pa.binary())], names=["key", "piece", "wins", "bytes"])
+    before = induced.spilled
+    found = list(substring_dedup._sorted_shard(400, False, 4096)(iter([batch.slice(0, 20), batch.slice(20)])))[0].to_pylist()
+    assert induced.spilled - before > 10 * sum(map(len, pieces))
+    n = collections.Counter(p[k : k + 400] for p in pieces for k in range(len(p) - 399))
+    want = {(i, k) for i, p in enumerate(pieces) for k in range(len(p) - 399) if n[p[k : k + 400]] > 1}
+    assert {(r["piece"], k) for r in found for k in range(r["lo"], r["hi"] + 1)} == want
+
+
+def slow_passages(rows, length):
+    """Texts without the words that runs of length words cover which also start elsewhere, A-Z lower-cased."""
+    n = collections.Counter()
+    split = [[(m.start(), m.group().lower()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for _, t, *_ in rows]
+    for w in split:
+        n.update(tuple(x for _, x in w[k : k + length]) for k in range(len(w) - length + 1))
+    whole = collections.Counter((t or "") for _, t, *_ in rows)
+    out = []
+    for (i, t, *_), w in zip(rows, split, strict=True):
+        text, gone = (t or "").encode(), set()
+        for k in range(len(w) - length + 1):
+            if n[tuple(x for _, x in w[k : k + length])] > 1:
+                gone |= set(range(k, k + length))
+        ends = [*[a for a, _ in w[1:]], len(text)]
+        keep = text[: w[0][0] if w else len(text)] + b"".join(text[a:e] for k, ((a, _), e) in enumerate(zip(w, ends, strict=False)) if k not in gone)
+        out.append((i, "" if whole[t or ""] > 1 and len(w) >= length else keep.decode()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("hot", [512, 4])
+def test_passages_by_words(spark, rows, monkeypatch, hot):
+    """Passages of 51, 60 and 80 words go, whatever white space and case; those of 50 words stay."""
+    from weftline.llm import substring_dedup
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=rng.randint(1, 9)))
+    more = []
+    for size in (50, 51, 60, 80):
+        passage = [word() for _ in range(size)]
+        more += [(1000 * size + i, " ".join([word() for _ in range(rng.randint(0, 90))]) + "\n" + rng.choice([" ", "\n\t"]).join(passage if i % 2 else map(str.upper, passage)) + "  " + " ".join([word() for _ in range(rng.randint(0, 90))])) for i in range(9)]
+    more = [(*r, None, None) for r in more]
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    every = [r for r in rows if r[0] is not None] + more
+    got = sorted(((r["doc_id"], r["text"] or "") for r in substring_dedup.deduplicate(spark.createDataFrame(every, SCHEMA).repartition(3)).collect()), key=str)
+    assert got == slow_passages(every, 51)
+    left = dict(got)
+    assert all((left[i] == (t or "")) == (i // 1000 == 50) for i, t, *_ in more)
 
 
 def slow_removal(rows, length):
@@ -308,7 +375,10 @@ def test_substrings_tables(spark, docs, none):
     from weftline.llm.substring_dedup import deduplicate, repeated_substrings
 
     assert repeated_substrings(none).count() == 0
-    out = deduplicate(docs)
+    clash = docs.withColumns({"_sha": F.lit(1), "_kept": F.lit(2), "tid": F.lit(3)})
+    assert deduplicate(clash).columns == clash.columns
+    assert deduplicate(clash).count() == docs.count()
+    out = deduplicate(docs, length=400, words=False)
     assert out.columns == docs.columns
     assert out.count() == docs.count()
     again = {r["doc_id"]: r["n_removed"] for r in repeated_substrings(docs).collect()}

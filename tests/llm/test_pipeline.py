@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from test_operators import slow_groups, slow_removal, slow_stats
+from test_operators import slow_groups, slow_passages, slow_stats
 
 COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -18,8 +18,8 @@ def sf_dir(spark, tmp_path_factory):
     docs = [(i, say(rng.randint(25, 150)), "en", f"s{i % 4}") for i in range(260)]
     docs += [(300 + i, " ".join(w + "###" for w in say(60).split()), "en", "s0") for i in range(40)]
     docs += [(400 + i, docs[i][1] + " more", "en", "s1") for i in range(30)]
-    passage = say(110)
-    docs += [(500 + i, say(60) + " " + passage + " " + say(60), "en", None) for i in range(10)]
+    for k, passage in enumerate((say(110), say(51), say(60), say(80))):
+        docs += [(500 + 10 * k + i, say(60 + 150 * (k > 0)) + " " + passage + " " + say(60 + 150 * (k > 0)), "en", None) for i in range(10)]
     docs += [(600, None, None, None), (601, "", "en", "s1"), (602, "too short", "en", "s1"), (5, docs[5][1], "en", "s1")]
     path = str(tmp_path_factory.mktemp("sf"))
     spark.createDataFrame([(*d, len(d[1] or "")) for d in docs], COLUMNS).repartition(3).write.parquet(f"{path}/documents.parquet")
@@ -52,10 +52,11 @@ def test_stages(spark, sf_dir, tmp_path):
     keepers = {r[0] for r in slow_groups(judged) if r[3]}
     assert sorted(r[0] for r in unique) == sorted(keepers)
     assert set(unique) <= set(judged)
-    removed = {r[0]: r for r in slow_removal(unique, 400)}
-    assert sorted(r[0] for r in cut) == sorted(r[0] for r in unique)
-    assert all(len(r[1].encode()) == removed[r[0]][1] - removed[r[0]][2] and r[4] == len(r[1]) for r in cut)
-    assert sum(r[2] for r in removed.values()) > 0
+    assert sorted(((r[0], r[1]) for r in cut), key=str) == slow_passages(unique, 51)
+    assert all(r[4] == len(r[1]) for r in cut)
+    before = {r[0]: r[1] for r in unique}
+    assert {r[0] for r in cut if r[1] != before[r[0]]} >= {i for i in range(510, 540) if i in before}
+    assert sum(i in before for i in range(510, 540)) > 20
     copies = collections.Counter(mixed)
     assert set(copies) <= set(cut)
     assert all(n <= 3 for n in copies.values())

@@ -1,4 +1,4 @@
-"""Anchors of long windows: the place of the least hash of GRAM bytes in each window of a text's bytes.
+"""Anchors of long windows: the place of the least hash of a short run in each window of a text's bytes or words.
 
 Equal windows have their anchor at the same offset, so windows can be grouped by the hash at their anchor. The
 windows of one anchor start next to each other; the bytes that they cover are the anchor's segment.
@@ -12,7 +12,6 @@ import numpy as np
 
 from .induced import window_hashes
 
-GRAM = 96
 _PLACE = 30
 
 
@@ -27,8 +26,8 @@ def window_minima(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(tail[: n - width + 1], head[width - 1 : n])
 
 
-def segments(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Anchors of all windows of length bytes in texts laid end to end (ends: where they end).
+def segments(data: np.ndarray, ends: np.ndarray, length: int, gram_size: int) -> tuple[np.ndarray, ...]:
+    """Anchors of all windows of length bytes, or words' hashes, in texts laid end to end (ends: where they end).
 
     Returns each anchor's text, first and last window start (within the text), offset of the anchor in the first
     window, and the 64-bit hash at the anchor.
@@ -38,11 +37,11 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
     none = np.zeros(0, np.int64)
     if not (sizes >= length).any():
         return none, none, none, none, none.astype(np.uint64)
-    gram = window_hashes(data, GRAM)
+    gram = window_hashes(data, gram_size)
     gram ^= gram >> np.uint64(32)
     gram *= np.uint64(0x9E3779B97F4A7C15)
     key = (gram >> np.uint64(_PLACE)) << np.uint64(_PLACE) | np.arange(len(gram), dtype=np.uint64)
-    least = window_minima(key, length - GRAM + 1)
+    least = window_minima(key, length - gram_size + 1)
     del key
     place = (least & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
     del least

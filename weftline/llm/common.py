@@ -65,6 +65,17 @@ def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have: each name, with underscores in front as long as it clashes."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def release() -> None:
     """Give freed memory back to the system; Python workers live on between stages."""
     import ctypes

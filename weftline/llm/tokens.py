@@ -55,7 +55,7 @@ class TextWords:
     def eight(self, at: np.ndarray) -> np.ndarray:
         """The eight bytes from each place on, as one number."""
         every = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,))
-        return every.take(at)
+        return every[at]
 
     def _hash(self, which: np.ndarray | slice, seed: np.uint64, k: np.uint64, other: np.uint64, shift: int) -> np.ndarray:
         begin, n = self.begin[which], self.sizes[which]
