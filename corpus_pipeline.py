@@ -25,7 +25,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that stand elsewhere too are cut out of the texts."""
+    """Passages of over 50 words that stand elsewhere too are cut out of the texts."""
     ship(spark)
     return deduplicate(docs)
 
