@@ -81,15 +81,15 @@ def test_coloured_lag_100(sequence):
 
 
 def test_history_colours(sequence):
-    a, b = F.col("state") == 0, F.col("state") == 2
-    counts = T.history_counts(sequence, a, b, 1, 0)
-    share = T.fractional_counts(counts, sequence.sparkSession.createDataFrame([(1, 0.5)], "state bigint, f double"))
-    known = coloured_matrix(counts.where("from_color <> 'U' and to_color <> 'U'"))
-    assert known[0, 0] == pytest.approx(0.33355320, abs=1e-8)
-    assert known[5, 5] == pytest.approx(0.33365198, abs=1e-8)
-    t = coloured_matrix(share)
-    assert t.sum() == pytest.approx((t.sum(axis=1) > 0).sum())
-    got = means(T.passages(sequence, a, b, 1))
+    # Published numbers of the colour model with lag 1 and no history, rows 1 and 4 empty.
+    want = {0: {0: 0.33355320, 2: 0.33412287, 5: 0.33232393}, 2: {0: 0.33502155, 2: 0.32667089, 5: 0.33830756}, 3: {0: 0.33502155, 3: 0.32667089, 5: 0.33830756}, 5: {0: 0.33203883, 3: 0.33430919, 5: 0.33365198}}
+    t = coloured_matrix(T.history_model(sequence, [0], [2], 1, 0))
+    for i in range(6):
+        for j in range(6):
+            assert t[i, j] == pytest.approx(want.get(i, {}).get(j, 0), abs=1e-8)
+    m = Q.coloured_mfpts(t, [0], [2])
+    assert (m["AB"], m["BA"]) == pytest.approx((2.991249925379562, 3.0027466707370256), abs=ANY)
+    got = means(T.passages(sequence, F.col("state") == 0, F.col("state") == 2, 1))
     assert got["AB"] == pytest.approx((2.9808209356515505, 0.018764714746890707), abs=ANY)
 
 
@@ -120,11 +120,39 @@ def test_fpt_distribution(five):
     got = Q.fpt_distribution(five, [0], [4], max_lags=10)
     assert got[0] == (0, 0)
     assert [v for _, v in got[1:]] == pytest.approx([0.11289507, 0.24431041, 0.13232006, 0.11478687, 0.0968178, 0.08185738, 0.06886433, 0.05804509, 0.04890027, 0.04120272], abs=1e-7)
-    ad = Q.adaptive_fpt_distribution(five, [0], [4])
-    times, p = zip(*ad, strict=True)
-    assert list(times) == sorted(set(times))
-    assert list(p) == sorted(p)
-    assert p[-1] > 0.999
+
+
+def test_fpt_distribution_on_a_log_scale(five):
+    # Times and shares as published.
+    got = Q.fpt_distribution(five, [0], [4], max_lags=10, log_scale=True, clean_recycling=True)
+    assert [x for x, _ in got] == [0, 10, 166, 2782, 46415, 774263, 12915496, 215443469, 3593813663, 59948425031, 1000000000000]
+    assert [v for _, v in got] == pytest.approx([0, 1, 3.85697122e-11] + [0] * 8, rel=1e-6, abs=1e-16)
+
+
+def test_adaptive_fpt_distribution(five):
+    """Shares of what newly enters; beside the step taken back, they add up to what has entered."""
+    got = Q.adaptive_fpt_distribution(five, [0], [4], thresh=1.0)
+    v, m = np.eye(5)[0], five.copy()
+    m[4] = np.eye(5)[4]
+    assert [x for x, _ in got[:4]] == [1, 5, 25, 125]
+    total = 0.0
+    for x, y in got:
+        total += y
+        assert total == pytest.approx((v @ np.linalg.matrix_power(m, int(x)))[4] if x > 1 else 0)
+    fine = Q.adaptive_fpt_distribution(five, [0], [4])
+    assert fine[2] == (5.0, fine[1][1])  # the step to 25 was taken back
+    assert [x for x, _ in fine[3:8]] == [6, 7, 8, 9, 10]
+
+
+def test_one_way_chains(five):
+    t2 = M.lifted_matrix(five, [0], [4])
+    ab = Q.one_way_matrix(t2, [0], [4], "AB")
+    assert ab[4].tolist() == [0, 0, 0, 0, 1]
+    assert ab[:4] == pytest.approx(five[:4])
+    got = Q.directed_fpt_distribution(t2, [0], [4], "AB", 2000)
+    assert sum(x * v for x, v in got) == pytest.approx(6.420918178038423, abs=1e-3)
+    got = Q.directed_fpt_distribution(t2, [0], [4], "BA", 2000)
+    assert sum(x * v for x, v in got) == pytest.approx(4.920174169581114, abs=1e-3)
 
 
 @pytest.mark.parametrize(

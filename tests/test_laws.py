@@ -26,7 +26,7 @@ def chain():
 def test_steady_states(chain):
     pi = M.steady_state(chain)
     assert pi @ chain == pytest.approx(pi)
-    for other in (M.steady_state_algebraic(chain), M.steady_state_powers(chain, 1e-12), M.inverse_iteration(np.ones(7), chain)):
+    for other in (M.steady_state_algebraic(chain), M.steady_state_powers(chain, 1e-12), M.inverse_iteration(chain)):
         assert other == pytest.approx(pi, abs=1e-6)
 
 
@@ -129,12 +129,62 @@ def test_one_exchange_for_passages(spark):
 
 
 def test_lagged_pairs_of_a_recycled_walker(spark):
-    rows = [(0, 1, 0, 0.5, 0, 1, [0.0], [1.0]), (0, 2, 0, 0.5, 0, 1, [1.0], [2.0]), (0, 3, 0, 0.5, -1, 1, [0.0], [3.0])]
+    """The pair before the warp starts at what the ended history points to, with the weight at the warp."""
+    rows = [(0, 1, 0, 0.5, 0, 1, [0.0], [1.0]), (0, 1, 1, 0.25, 0, 1, [0.5], [1.5]), (0, 2, 0, 0.5, 0, 1, [1.0], [2.0]), (0, 3, 0, 0.4, -1, 1, [7.0], [3.0]), (0, 4, 0, 0.3, 0, 1, [3.0], [4.0])]
     df = spark.createDataFrame(rows, "file_idx int, n_iter int, seg_id bigint, weight double, parent_id bigint, endpoint_type int, coord0 array<double>, coord1 array<double>")
-    got = sorted(map(tuple, S.lagged_pairs(df, 1, F.array(F.lit(9.0)), F.array(F.lit(8.0))).collect()))
-    assert ([9.0], [3.0], 0.5) in got
-    assert ([0.0], [8.0], 0.5) in got
-    assert ([0.0], [2.0], 0.5) in got
+    basis, reference = F.array(F.lit(9.0)), F.array(F.lit(8.0))
+    got = sorted(map(tuple, S.lagged_pairs(df, 1, basis, reference).collect()))
+    assert got == sorted([([0.0], [2.0], 0.5), ([9.0], [3.0], 0.4), ([1.0], [8.0], 0.4), ([7.0], [4.0], 0.3)])
+    got = sorted(map(tuple, S.lagged_pairs(df, 2, basis, reference).collect()))
+    assert got == sorted([([9.0], [3.0], 0.4), ([0.0], [8.0], 0.4), ([9.0], [4.0], 0.3), ([1.0], [8.0], 0.4)])
+
+
+@pytest.mark.parametrize("before", [False, True])
+@pytest.mark.parametrize("slope", [-2.0, 2.0])
+def test_overcorrected_profile(spark, slope, before):
+    """A profile is overcorrected if it is higher towards the target, on whichever side that lies."""
+    points = spark.createDataFrame([(float(x), slope * x + 1) for x in range(5)], "x double, y double")
+    assert X.fit_line(points, "x", "y", before).first()["overcorrected"] is ((slope < 0) if before else (slope > 0))
+
+
+def test_unreachable_states():
+    t = np.array([[0.5, 0.5, 0], [0.5, 0.5, 0], [0, 0, 1.0]])
+    assert Q.mfpt_to(t, 1).tolist() == [2.0, 0.0, np.inf]
+    t = np.array([[0.5, 0.25, 0.25], [0.5, 0.5, 0], [0, 0, 1.0]])
+    assert Q.mfpt_to(t, 1).tolist() == [np.inf, 0.0, np.inf]
+
+
+def test_fewer_iterations_than_blocks(spark):
+    df = spark.createDataFrame([(i, 1.0) for i in (1, 2, 3)], "n_iter int, weight double")
+    assert sorted((r["n_iter"], r["group_id"]) for r in X.block_groups(df, 3, 2, 4).collect()) == [(1, 0), (2, 1)]
+
+
+def test_reductions_need_rows(spark):
+    from weftline.operators import reduce as R
+
+    df = spark.createDataFrame([], "x array<double>, y array<double>, weight double")
+    for method in ("pca", "tica", "vamp"):
+        with pytest.raises(ValueError, match="no rows"):
+            R.reduction(method, df)
+
+
+def test_wide_reductions_send_blocks(spark):
+    """Moments of 150 dimensions come in blocks, and equal those of one matrix."""
+    from weftline.operators import reduce as R
+
+    rng = np.random.default_rng(0)
+    x, y, w = rng.normal(size=(300, 150)), rng.normal(size=(300, 150)), rng.random(300)
+    df = spark.createDataFrame([(a.tolist(), b.tolist(), float(c)) for a, b, c in zip(x, y, w, strict=True)], "x array<double>, y array<double>, weight double").repartition(5)
+    s = R._sums(df)
+    assert s["xy"] == pytest.approx((w[:, None] * x).T @ y / w.sum())
+    assert s["yy"] == pytest.approx((w[:, None] * y).T @ y / w.sum())
+    assert s["y"] == pytest.approx(w @ y / w.sum())
+
+
+def test_steady_flux_accumulates(chain):
+    h, kh, varh = M.accumulated_flux(chain, [6], conv=1e-9)
+    assert kh == pytest.approx(chain @ h)
+    assert (varh > -1e-9).all()
 
 
 def test_simulated_paths(spark, chain):

@@ -34,7 +34,7 @@ def test_start_weights(spark, segments):
     for r in segments:
         total[r["to_state"]] += r["weight"]
     want = {(r["n_iter"], r["seg_id"]): r["weight"] * pi[r["to_state"]] / total[r["to_state"]] for r in segments if r["to_state"] not in (BASIS, TARGET) and pi[r["to_state"]] > 0}
-    got = {(r["n_iter"], r["seg_id"]): r["start_weight"] for r in QUERIES["start_state_weights_all"](spark, SF).collect()}
+    got = {(r["n_iter"], r["seg_id"]): r["start_weight"] for r in QUERIES["start_state_weights"](spark, SF).collect()}
     close(got, want)
     assert len({i for i, _ in got}) > 20
 
@@ -46,18 +46,18 @@ def test_pcoord_flux(spark, segments):
         total[r["n_iter"]] += r["weight"]
     for r in segments:
         want[place(r["p0"]), place(r["p1"])] += r["weight"] / total[r["n_iter"]] / len(total)
-    close({(r["from_state"], r["to_state"]): r["w"] for r in QUERIES["flux_pcoord1d_all"](spark, SF).collect()}, dict(want))
+    close({(r["from_state"], r["to_state"]): r["w"] for r in QUERIES["flux_pcoord1d"](spark, SF).collect()}, dict(want))
     assert sum(want.values()) == pytest.approx(1)
 
 
 def test_structures(spark, segments):
-    refs = sorted(map(tuple, QUERIES["structure_references_all"](spark, SF).collect()))
+    refs = sorted(map(tuple, QUERIES["structure_references"](spark, SF).collect()))
     assert refs == sorted((r["seg_id"], f"hdf:f{r['file_idx']}:{r['n_iter']}:{r['seg_id']}") for r in segments)
-    labels = sorted((r["n_iter"], r["label"], r["bin"], r["seg"]) for r in QUERIES["parsed_labels_all"](spark, SF).collect())
+    labels = sorted((r["n_iter"], r["label"], r["bin"], r["seg"]) for r in QUERIES["parsed_labels"](spark, SF).collect())
     assert labels == sorted((r["n_iter"], f"b{r['to_cluster']}_s{r['seg_id']}", r["to_cluster"], r["seg_id"]) for r in segments)
     name = lambda r: hashlib.md5(f"{r['p0']:.2f},{r['p1']:.2f}".encode()).hexdigest()
     known = {}
     for r in segments:
         known[name(r)] = min(known.get(name(r), 99), r["to_state"])
-    got = sorted((r["n_iter"], r["seg_id"], r["hash"], r["state"]) for r in QUERIES["structure_hash_states_all"](spark, SF).collect())
+    got = sorted((r["n_iter"], r["seg_id"], r["hash"], r["state"]) for r in QUERIES["structure_hash_states"](spark, SF).collect())
     assert got == sorted((r["n_iter"], r["seg_id"], name(r), known[name(r)]) for r in segments)

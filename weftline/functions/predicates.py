@@ -92,3 +92,9 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 def rmsd(a: Column, b: Column) -> Column:
     return F.sqrt(squared_distance(a, b) / F.size(a))
+
+
+def voronoi_bin(x: Column, centres: Sequence[Sequence[float]], distance=squared_distance) -> Column:
+    """Number of the nearest centre of an array column, the lower of equals; centres are a few literals."""
+    at = [F.struct(distance(x, F.array(*[F.lit(float(v)) for v in c])).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)]
+    return F.array_min(F.array(*at))["i"].cast("long")

@@ -146,13 +146,33 @@ def _few(df: DataFrame) -> DataFrame:
 def nearest(points: DataFrame, centres: DataFrame, keys: list[str], on: list[str] = ()) -> DataFrame:
     """keys with the state of the nearest centre (of the same on columns, such as the bin) and its distance.
 
-    Each point meets the centres of its own bin only; ties go to the lower state.
+    Each point meets the centres of its own bin only, as one array that travels with the join, so no pair of a point
+    and a centre becomes a row and points are not grouped; ties go to the lower state.
     """
-    c = _few(centres.select(*on, "state", F.col("x").alias("_c")))
-    pairs = points.join(c, list(on)) if on else points.crossJoin(c)
-    d = squared_distance(F.col("x"), F.col("_c"))
-    best = pairs.select(*keys, F.struct(d.alias("d"), F.col("state").alias("s")).alias("m")).groupBy(*keys).agg(F.min("m").alias("m"))
-    return best.select(*keys, F.col("m.s").alias("state"), F.sqrt("m.d").alias("distance"))
+    near = F.sort_array(F.collect_list(F.struct("state", F.col("x").cast("array<double>").alias("c")))).alias("_c")
+    held = _few(centres.groupBy(*on).agg(near))
+    rows = points.join(held, list(on)) if on else points.crossJoin(held)
+    best = F.array_min(F.transform("_c", lambda c: F.struct(squared_distance(F.col("x"), c["c"]).alias("d"), c["state"].alias("s"))))
+    return rows.withColumn("_m", best).where("_m is not null").select(*keys, F.col("_m.s").alias("state"), F.sqrt("_m.d").alias("distance"))
+
+
+def save_centres(centres: DataFrame, path: str) -> None:
+    """Clusters as a table; nothing is pickled."""
+    centres.select("bin", "local_id", "state", "x").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_centres(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("bin", "local_id", "state", "x")
+
+
+def cluster_coordinates(points: DataFrame, k: int, method: str = "stratified", seed: int = 0, **options) -> DataFrame:
+    """Numbered centres (bin, local_id, state, x) of points (bin, x, weight): k for each bin, or k over all in bin 0."""
+    if method == "stratified":
+        return numbered(stratified_centres(points, k, seed, **options))
+    if method == "aggregated":
+        centres = aggregated_centres(points, k, seed, **options)
+        return centres.select(F.lit(0).cast("long").alias("bin"), "local_id", F.col("local_id").alias("state"), "x")
+    raise ValueError(f"no clustering is called {method}")
 
 
 def assigned(points: DataFrame, centres: DataFrame, on_bin: bool = True) -> DataFrame:
@@ -191,11 +211,14 @@ def bin_counts(points: DataFrame, least: int) -> DataFrame:
     return points.groupBy("bin").agg(F.count("*").alias("n")).withColumn("filled", F.col("n") >= least)
 
 
-def thin_bins(counts: DataFrame, bin_centres: DataFrame) -> DataFrame:
-    """remap (bin, bin_to): filled bins to themselves, others to the nearest filled one by RMSD, the lower of equals."""
+def thin_bins(counts: DataFrame, bin_centres: DataFrame, distance=squared_distance) -> DataFrame:
+    """remap (bin, bin_to): filled bins to themselves, others to the nearest filled one, the lower of equals.
+
+    distance: of two array columns; as given, bins are nearest by RMSD. The number of bins squared is what is compared.
+    """
     filled = counts.where("filled").select(F.col("bin").alias("bin_to")).join(bin_centres.select(F.col("bin").alias("bin_to"), F.col("x").alias("_c")), "bin_to")
     rest = counts.where("not filled").select("bin").join(bin_centres.select("bin", "x"), "bin")
-    d = squared_distance(F.col("x"), F.col("_c"))
+    d = distance(F.col("x"), F.col("_c"))
     moved = rest.crossJoin(_few(filled)).groupBy("bin").agg(F.min(F.struct(d.alias("d"), F.col("bin_to").alias("b"))).alias("m")).select("bin", F.col("m.b").alias("bin_to"))
     return counts.where("filled").select("bin", F.col("bin").alias("bin_to")).unionByName(moved)
 

@@ -83,11 +83,14 @@ def coarse_profile(edges: DataFrame, centres: DataFrame, low: float, high: float
     return net.select(F.col("state").alias("bin"), F.sum("net").over(w).alias("flux"))
 
 
-def fit_line(points: DataFrame, x: str, y: str) -> DataFrame:
-    """(slope, intercept, r, stderr, overcorrected) of a straight line through the points."""
+def fit_line(points: DataFrame, x: str, y: str, target_before_basis: bool = False) -> DataFrame:
+    """(slope, intercept, r, stderr, overcorrected) of a straight line through the points.
+
+    overcorrected: the flux is higher towards the target, which lies at the far end of x unless it comes before the basis.
+    """
     fit = points.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("r"), F.regr_syy(y, x).alias("syy"), F.regr_sxx(y, x).alias("sxx"), F.regr_count(y, x).alias("n"))
     err = F.sqrt((1 - F.col("r") * F.col("r")) * F.col("syy") / F.col("sxx") / (F.col("n") - 2))
-    return fit.select("slope", "intercept", "r", err.alias("stderr"), (F.col("slope") < 0).alias("overcorrected"))
+    return fit.select("slope", "intercept", "r", err.alias("stderr"), (F.col("slope") < 0 if target_before_basis else F.col("slope") > 0).alias("overcorrected"))
 
 
 def student_p(r: float, n: int) -> float:
@@ -108,8 +111,11 @@ def student_p(r: float, n: int) -> float:
 
 
 def block_groups(segments: DataFrame, max_iter: int, groups: int, blocks: int) -> DataFrame:
-    """group_id for validation: blocks of equal length dealt in turn; iterations of the remainder, and the last one, are left out."""
-    per = max_iter // blocks
+    """group_id for validation: blocks of equal length dealt in turn; iterations of the remainder, and the last one, are left out.
+
+    With fewer iterations than blocks each iteration is a block.
+    """
+    per = max(1, max_iter // blocks)
     block = F.expr(f"(n_iter - 1) div {per}")
     return segments.where((block < blocks) & (F.col("n_iter") < max_iter)).withColumn("group_id", (block % groups).cast("long"))
 

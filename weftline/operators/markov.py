@@ -10,8 +10,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .flux import net_inflow  # noqa: F401  (re-exported for models)
-
 LIMIT = 5000
 
 
@@ -179,16 +177,10 @@ def steady_state(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def inverse_iteration(guess: np.ndarray, t: np.ndarray, mu: float = 1.0) -> np.ndarray:
-    """One step of inverse iteration towards the left eigenvector of eigenvalue mu, shifted when singular."""
-    for shift in (mu, 0.999 * mu):
-        try:
-            v = np.linalg.solve(t.T - shift * np.eye(len(t)), guess)
-        except np.linalg.LinAlgError:
-            continue
-        if np.isfinite(v).all():
-            return v / v.sum()
-    raise np.linalg.LinAlgError("singular even when shifted")
+def inverse_iteration(t: np.ndarray, shift: float = 1.0 + 1e-9, guess: np.ndarray | None = None) -> np.ndarray:
+    """The left eigenvector nearest to shift by one shifted solve, scaled to sum one; shift must not be an eigenvalue."""
+    v = np.linalg.solve(t.T - shift * np.eye(len(t)), np.ones(len(t)) if guess is None else guess)
+    return v / v.sum()
 
 
 def steady_state_algebraic(t: np.ndarray, max_iters: int = 1000, check_negative: bool = True) -> np.ndarray:
@@ -286,10 +278,6 @@ def weighted_choice(items: list, weights: list[float], rng: np.random.Generator)
     return items[int(np.searchsorted(np.cumsum(weights) / sum(weights), rng.random(), side="right"))]
 
 
-def populations(t: np.ndarray) -> np.ndarray:
-    return steady_state(t)
-
-
 def folded(pi2: np.ndarray) -> np.ndarray:
     """Populations of states from those of (state, colour) pairs."""
     return pi2.reshape(-1, 2).sum(axis=1)
@@ -305,3 +293,26 @@ def lifted_matrix(t: np.ndarray, a: list[int], b: list[int]) -> np.ndarray:
             for e in range(n):
                 out[2 * s + c, 2 * e + (0 if e in a else 1 if e in b else c)] += t[s, e]
     return out
+
+
+def accumulated_flux(t: np.ndarray, target: list[int], tau: float = 1.0, conv: float = 1e-6, max_iters: int = 50_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h, kh, varh): flux into the target gathered from each state beyond its mean, until it settles; T h; T h^2 - (T h)^2.
+
+    The flux after n steps comes from the matrix to the power n, from states that aren't targets into those that are.
+    """
+    n = len(t)
+    other = np.setdiff1d(np.arange(n), target)
+    out_rate = t[np.ix_(other, target)].sum(axis=1) / tau
+    power, total, h, mean = t.copy(), np.zeros(n), np.zeros(n), 0.0
+    for k in range(1, max_iters + 1):
+        f = power[:, other] @ out_rate
+        total += f
+        now = f[other].mean()
+        new = total - k * now
+        top = new.max()
+        settled = top > 0 and np.abs(new - h).max() <= conv * top and abs(now - mean) <= conv * now
+        h, mean, power = new, now, power @ t
+        if settled:
+            break
+    kh = t @ h
+    return h, kh, t @ h**2 - kh**2

@@ -78,6 +78,34 @@ def optimized_bins(points: DataFrame, mapper: DataFrame, n_bins: int, in_basis:
     return rows.withColumn("bin", b.cast("long")).drop("_b")
 
 
+def mapped_points(points: DataFrame, base_bin: Column, remap: DataFrame, centres: DataFrame, mapper: DataFrame, n_bins: int, in_basis: Column, in_target: Column) -> DataFrame:
+    """points (x, ...) with their optimised bin: coordinate to base bin, to the bin it was merged into, to microstate, to bin.
+
+    remap (bin, bin_to), centres (bin, state, x) and mapper (state, bin) are what a model was built with; all small. A
+    point that no microstate of the mapper takes goes to the bin of the nearest state that the mapper has.
+    """
+    from .cluster import assigned, nearest
+
+    key = "_row"
+    to = F.broadcast(remap.select(F.col("bin").alias("_b"), F.col("bin_to").alias("_to")))
+    rows = points.withColumn(key, F.monotonically_increasing_id()).withColumn("_base", base_bin).join(to, F.col("_base") == F.col("_b"), "left")
+    rows = rows.withColumn("bin", F.coalesce("_to", "_base")).drop("_b", "_to", "_base")
+    found = optimized_bins(assigned(rows, centres), mapper, n_bins, in_basis, in_target)
+    known = centres.join(F.broadcast(mapper.select("state", F.col("bin").alias("_bin"))), "state").select(F.col("_bin").alias("state"), "x")
+    lost = nearest(found.where("bin < 0").select(key, "x"), known, [key]).select(F.col(key).alias("_lost"), F.col("state").alias("_fixed"))
+    return found.join(lost, F.col(key) == F.col("_lost"), "left").withColumn("bin", F.coalesce("_fixed", "bin")).drop(key, "_lost", "_fixed", "state")
+
+
+def save_mapper(path: str, remap: DataFrame, centres: DataFrame, mapper: DataFrame) -> None:
+    """What mapped_points needs, as tables; restored by load_mapper."""
+    for name, table in (("remap", remap), ("centres", centres), ("mapper", mapper)):
+        table.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_mapper(spark, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("remap", "centres", "mapper"))
+
+
 def bin_totals(states: DataFrame, bins: DataFrame) -> DataFrame:
     """(bin, share): allocation of walkers in proportion to sqrt of the bin's summed pi^2 * v^2 over its weight."""
     rows = states.join(bins, "state").groupBy("bin").agg(F.sum("pi").alias("w"), F.sum(F.col("pi") * F.col("v") * F.col("v")).alias("s"))

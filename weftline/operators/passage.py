@@ -12,18 +12,27 @@ from .markov import check_rows, lifted_matrix, normalized_rows, steady_state
 
 
 def mfpt_to(t: np.ndarray, k: int, lag: float = 1.0) -> np.ndarray:
-    """Mean first-passage times to state k from every state; inf where it isn't reached."""
+    """Mean first-passage times to state k from every state; inf from those that may never reach it."""
     n = len(t)
-    other = np.arange(n) != k
-    a = np.eye(n - 1) - t[np.ix_(other, other)]
-    out = np.zeros(n)
-    try:
-        out[other] = np.linalg.solve(a, np.ones(n - 1))
-    except np.linalg.LinAlgError:
-        out[other] = math.inf
+    out = np.full(n, math.inf)
+    arrives = _leads_to(t, np.arange(n) == k)
+    lost = _leads_to(np.where(np.arange(n)[:, None] == k, 0, t), ~arrives)  # once at k, a walk has arrived
+    free = np.flatnonzero(~lost & (np.arange(n) != k))
+    out[free] = np.linalg.solve(np.eye(len(free)) - t[np.ix_(free, free)], np.ones(len(free)))
+    out[k] = 0
     return out * lag
 
 
+def _leads_to(t: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """States from which some path leads into the goal (a mask), the goal's own among them."""
+    seen, step = goal.copy(), t > 0
+    while True:
+        more = seen | step[:, seen].any(axis=1)
+        if (more == seen).all():
+            return seen
+        seen = more
+
+
 def mfpt_matrix(t: np.ndarray, lag: float = 1.0) -> np.ndarray:
     return np.stack([mfpt_to(t, k, lag) for k in range(len(t))], axis=1)
 
@@ -73,70 +82,88 @@ def commute_time(t: np.ndarray, a: list[int], b: list[int], lag: float = 1.0) ->
     return m["AB"] + m["BA"]
 
 
-def fpt_distribution(t: np.ndarray, a: list[int], b: list[int], start: np.ndarray | None = None, max_lags: int = 100, lag: float = 1.0, dt: int = 1, log_scale: bool = False, powers: tuple[int, int] = (0, 12), points: int = 1000) -> list[tuple[float, float]]:
+def _merged_target(t: np.ndarray, a: list[int], b: list[int]) -> tuple[np.ndarray, list[int], int]:
+    """The matrix with the states of b merged into the first of them, and where a and b then are."""
+    targets = sorted(b)
+    m = t.astype(float).copy()
+    m[:, targets[0]] = m[:, targets].sum(axis=1)
+    stay = [i for i in range(len(t)) if i not in set(targets[1:])]
+    at = {s: i for i, s in enumerate(stay)}
+    return m[np.ix_(stay, stay)], [at[s] for s in a], at[targets[0]]
+
+
+def fpt_distribution(t: np.ndarray, a: list[int], b: list[int], start: np.ndarray | None = None, max_lags: int = 100, lag: float = 1.0, dt: float = 1.0, log_scale: bool = False, powers: tuple[float, float] = (1, 12), clean_recycling: bool = False) -> list[tuple[float, float]]:
     """(time, share) of first passages from a into b, scaled to sum one, preceded by (0, 0).
 
-    The shares follow from F(t) = T^d (F(t - d) - diag F(t - d)) with the states of b merged into the first of them;
-    on a log scale times are powers of ten, spread evenly, and the target does not feed back.
+    F, at first T - diag T, goes on by F <- T^d (F - diag F), d being the steps to the next time. Times are 1 to
+    max_lags, or, on a log scale, max_lags powers of ten spread evenly between powers, where each share is weighed
+    with the length of the interval that it stands for. clean_recycling: the target does not feed back.
     """
-    n = len(t)
-    first = b[0]
-    merged = t.astype(float).copy()
-    for k in b[1:]:
-        merged[:, first] += merged[:, k]
-    stay = [i for i in range(n) if i not in set(b[1:])]
-    at = {s: i for i, s in enumerate(stay)}
-    m = merged[np.ix_(stay, stay)]
-    j = at[first]
-    begin = [at[s] for s in a if s in at]
-    p = np.full(len(begin), 1 / len(begin)) if start is None else np.asarray(start, float) / np.sum(start)
-    if log_scale:
-        m = m.copy()
+    m, begin, j = _merged_target(t, a, b)
+    if clean_recycling:
         m[j] = 0
-        times = sorted({int(x) for x in np.logspace(powers[0], powers[1], points) if x <= max_lags})
-        out, vec = [(0.0, 0.0)], np.zeros(len(m))
-        vec[begin] = p
-        now = 0
-        for x in times:
-            vec = vec @ np.linalg.matrix_power(m, x - now)
-            now = x
-            out.append((x * lag, float(vec[j])))
-    else:
-        power = np.linalg.matrix_power(m, dt)
-        f = power.copy()
-        out = [(0.0, 0.0), (dt * lag, float(p @ f[begin, j]))]
-        for k in range(2, max_lags + 1):
-            f = power @ (f - np.diag(np.diag(f)))
-            out.append((k * dt * lag, float(p @ f[begin, j])))
-    total = sum(v for _, v in out)
-    return [(x, v / total if total else 0.0) for x, v in out]
-
-
-def adaptive_fpt_distribution(t: np.ndarray, a: list[int], b: list[int], start: np.ndarray | None = None, tau: float = 1.0, increment: float = 5.0, fine_increment: float = 1.2, thresh: float = 1e-4, max_steps: int = 100_000, max_time: float = math.inf) -> list[tuple[float, float]]:
-    """(time, probability absorbed in b by then), with steps that grow geometrically.
-
-    Steps grow by increment until the target holds more than thresh; then the last step is taken back and steps grow
-    by fine_increment. Times are increasing and unique.
+    p = np.full(len(begin), 1 / len(begin)) if start is None else np.asarray(start, float) / np.sum(start)
+    times = np.logspace(*powers, max_lags, dtype=int) if log_scale else np.arange(max_lags)
+    steps = np.diff(times, prepend=0)
+    f, shares = m.copy(), []
+    for d in steps.tolist():
+        f = np.linalg.matrix_power(m, d) @ (f - np.diag(np.diag(f)))
+        shares.append(float(p @ f[begin, j]))
+    weights = np.array(shares) * (steps if log_scale else 1)
+    total = weights.sum()
+    at = times if log_scale else times + 1
+    return [(0.0, 0.0)] + [(float(x * lag * dt), float(v / total) if total else 0.0) for x, v in zip(at, weights, strict=True)]
+
+
+def one_way_matrix(t2: np.ndarray, a: list[int], b: list[int], direction: str = "AB") -> np.ndarray:
+    """A coloured chain's steps within one direction: the colour left behind, the macrostate ahead absorbing."""
+    c, ahead = ("AB".index(direction[0]), np.isin(np.arange(len(t2) // 2), b if direction == "AB" else a))
+    out = np.where(ahead[None, :], t2[c::2, 1 - c :: 2], t2[c::2, c::2])
+    out[ahead] = np.eye(len(out))[ahead]
+    return out
+
+
+def entry_flux(t2: np.ndarray, into: list[int], direction: str = "AB") -> np.ndarray:
+    """Steady flux of one direction into each state of the macrostate that it ends in."""
+    c = "AB".index(direction[0])
+    flow = steady_state(t2)[c::2] @ t2[c::2]
+    return np.array([flow[2 * s] + flow[2 * s + 1] for s in into])
+
+
+def directed_fpt_distribution(t2: np.ndarray, a: list[int], b: list[int], direction: str = "AB", max_lags: int = 1000, lag: float = 1.0, dt: float = 1.0) -> list[tuple[float, float]]:
+    """First passages of a coloured chain in one direction, started where the other direction's flux enters."""
+    begin, end = (a, b) if direction == "AB" else (b, a)
+    start = entry_flux(t2, begin, direction[::-1])
+    return fpt_distribution(one_way_matrix(t2, a, b, direction), begin, end, start, max_lags, lag, dt)
+
+
+def adaptive_fpt_distribution(t: np.ndarray, a: list[int], b: list[int], start: np.ndarray | None = None, tau: float = 1.0, increment: float = 5.0, fine_increment: float = 1.2, thresh: float = 1e-4, max_steps: int = 1_000_000, max_time: float = math.inf) -> list[tuple[float, float]]:
+    """(time, probability that newly enters b by then), at times that grow geometrically from 1.
+
+    Times grow by increment until more than thresh enters at once; that time is taken back (it stands, divided by
+    increment, with the value before, which counts as entered again) and times grow by fine_increment from then on.
+    Ends once all probability has entered or after max_time.
     """
     m = t.astype(float).copy()
     m[b] = 0
     m[b, b] = 1
     v = np.zeros(len(t))
     v[a] = np.full(len(a), 1 / len(a)) if start is None else np.asarray(start, float) / np.sum(start)
-    out, now, size, grow = [(0.0, float(v[b].sum()))], 0, 1, increment
-    for _ in range(max_steps):
-        nxt = v @ np.linalg.matrix_power(m, size)
-        if grow == increment and nxt[b].sum() > thresh:
+    out, entered, last, grow = [(1.0, 0.0)], 0.0, 1, increment
+    for i in range(max_steps - 1):
+        now = max(int(last * grow), last + 1)
+        new = float((v @ np.linalg.matrix_power(m, now))[b].sum()) - (entered if i else 0.0)
+        if i and grow == increment and new > thresh:
             grow = fine_increment
-            if size > 1:
-                size = max(1, int(size / increment))
-                continue
-        v, now = nxt, now + size
-        out.append((now * tau, float(v[b].sum())))
-        if now * tau >= max_time or v[b].sum() >= 1 - thresh:
+            out.append((now / increment, out[-1][1]))
+            entered += out[-1][1]
+            continue
+        out.append((float(now), new))
+        entered += new
+        if abs(entered - 1) <= 1e-8 + 1e-5 or now > max_time:
             break
-        size = max(size + 1, math.ceil(size * grow)) if grow == increment else max(size, math.ceil(now * (grow - 1)))
-    return out
+        last = now
+    return [(x * tau, y) for x, y in out]
 
 
 def color_correlation(t2: np.ndarray, a: list[int], b: list[int], times: list[int]) -> list[tuple[int, float, float, float, float]]:
@@ -201,5 +228,11 @@ def simulate_paths(spark: SparkSession, t: np.ndarray, a: list[int], b: list[int
     return spark.range(n_paths).mapInPandas(run, "path_id bigint, path array<int>")
 
 
-def reversible_matrix(counts: np.ndarray) -> np.ndarray:
-    return normalized_rows(counts, reversible=True)
+def macrostate_populations(pi: np.ndarray, a: list[int], b: list[int]) -> tuple[float, float]:
+    """Steady probability of the two macrostates."""
+    return float(pi[list(a)].sum()), float(pi[list(b)].sum())
+
+
+def path_model_mfpt(counts: np.ndarray, a: list[int], b: list[int], lag: float = 1.0) -> float:
+    """Mean time from a to b of the chain counted along paths from a to b."""
+    return directional_mfpt(normalized_rows(counts), a, b, lag=lag)

@@ -28,29 +28,57 @@ class Reduction:
         return F.array(*out)
 
 
-def _sums(pairs: DataFrame) -> dict[str, np.ndarray]:
-    """Weighted sums of 1, x, y, xx', xy', yy' over rows (x, y, weight): one partial for each task, a few numbers each."""
-    d = len(pairs.select("x").first()[0])
+#: Columns of a block of a moment matrix: a row of the partial sums holds ROWS of it by all columns.
+ROWS = 64
+
+
+def _sums(pairs: DataFrame, both: bool = True) -> dict[str, np.ndarray]:
+    """Weighted means of 1, x, y, xx', xy', yy' over rows (x, y, weight); without both, of 1, x and xx' only.
+
+    Each task adds up its moments and sends them in packed blocks of ROWS rows of a matrix; blocks are added by number,
+    so the driver gets one row for each block, whatever the number of tasks. An empty table raises ValueError.
+    """
+    head = pairs.select("x").first()
+    if head is None:
+        raise ValueError("no rows to reduce")
+    d = len(head[0])
+    parts = ["xx", "xy", "yy"] if both else ["xx"]
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        total = np.zeros(1 + 2 * d + 3 * d * d)
+        total = np.zeros((1 + len(parts) * d, d))
+        first = np.zeros((3, max(d, 1)))
         for pdf in batches:
             if not len(pdf):
                 continue
-            x, y = np.stack(pdf["x"]), np.stack(pdf["y"])
+            x = np.stack(pdf["x"])
             w = pdf["weight"].to_numpy()[:, None]
-            total += np.concatenate([[w.sum()], (w * x).sum(0), (w * y).sum(0), ((w * x).T @ x).ravel(), ((w * x).T @ y).ravel(), ((w * y).T @ y).ravel()])
-        yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
-
-    got = pairs.select("x", "y", "weight").mapInPandas(run, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    v = np.zeros(1 + 2 * d + 3 * d * d)
-    for k, x in got:
-        v[k] = x
-    w, rest = v[0], v[1:]
-    cut = np.split(rest, [d, 2 * d, 2 * d + d * d, 2 * d + 2 * d * d])
-    return {"w": w, "x": cut[0] / w, "y": cut[1] / w, "xx": cut[2].reshape(d, d) / w, "xy": cut[3].reshape(d, d) / w, "yy": cut[4].reshape(d, d) / w}
+            first[0, 0] += w.sum()
+            first[1, :d] += (w * x).sum(0)
+            total[:d] += (w * x).T @ x
+            if both:
+                y = np.stack(pdf["y"])
+                first[2, :d] += (w * y).sum(0)
+                total[d : 2 * d] += (w * x).T @ y
+                total[2 * d : 3 * d] += (w * y).T @ y
+        if first[0, 0]:
+            blocks = [first.ravel(), *[total[i : min(i + ROWS, len(parts) * d)].ravel() for i in range(0, len(parts) * d, ROWS)]]
+            yield pd.DataFrame({"k": range(len(blocks)), "v": [b.tobytes() for b in blocks]})
+
+    def added(pdf):
+        return pdf.head(1).assign(v=[sum(np.frombuffer(v) for v in pdf["v"]).tobytes()])
+
+    columns = ["x", "y", "weight"] if both else ["x", "weight"]
+    got = pairs.select(*columns).mapInPandas(run, "k bigint, v binary")
+    rows = {r["k"]: np.frombuffer(r["v"]) for r in got.groupBy("k").applyInPandas(added, "k bigint, v binary").collect()}
+    if not rows:
+        raise ValueError("no weight to reduce by")
+    first = rows.pop(0).reshape(3, -1)
+    w = first[0, 0]
+    moments = np.concatenate([rows[k] for k in sorted(rows)]).reshape(-1, d) / w
+    out = {"w": w, "x": first[1, :d] / w, "y": first[2, :d] / w}
+    return out | {name: moments[i * d : (i + 1) * d] for i, name in enumerate(parts)}
 
 
 def pca(vectors: DataFrame, column: str, cutoff: float = 0.95, dims: int | None = None) -> Reduction:
@@ -58,7 +86,7 @@ def pca(vectors: DataFrame, column: str, cutoff: float = 0.95, dims: int | None
 
     Signs are fixed: the largest entry of each direction is positive.
     """
-    s = _sums(vectors.select(F.col(column).cast("array<double>").alias("x"), F.col(column).cast("array<double>").alias("y"), F.lit(1.0).alias("weight")))
+    s = _sums(vectors.select(F.col(column).cast("array<double>").alias("x"), F.lit(1.0).alias("weight")), both=False)
     values, dirs = np.linalg.eigh(s["xx"] - np.outer(s["x"], s["x"]))
     values, dirs = np.clip(values[::-1], 0, None), dirs[:, ::-1]
     share = np.cumsum(values) / values.sum()

@@ -7,6 +7,7 @@ has one exchange and one sort of the trajectories.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,20 +123,45 @@ def history_counts(trajs: DataFrame, in_a: Column, in_b: Column, lag: int = 1, h
     return rows.groupBy("from_state", known("from_color"), F.col("state").alias("to_state"), known("to_color")).agg(F.count("*").alias("n"))
 
 
-def fractional_counts(counts: DataFrame, fraction_a: DataFrame) -> DataFrame:
-    """history_counts with unknown colours split: fraction_a (state, f) is the share of each state's rows in colour A.
+def fractional_counts(counts: DataFrame, flux: DataFrame) -> DataFrame:
+    """history_counts with unknown colours split in proportion to a flux (from_state, from_color, to_state, to_color, f).
 
-    Pairs from an unknown colour count f for A and 1 - f for B; where the end is unknown too it keeps that colour.
+    A pair from an unknown colour into a known one is shared by both colours of its start; where the end is unknown
+    too, by all four cells. Pairs that the flux does not know at all are left out. States are few, so the flux is.
     """
-    share = fraction_a.select(F.col("state").alias("from_state"), "f")
-    rows = counts.join(F.broadcast(share), "from_state", "left")
-    f = F.coalesce("f", F.lit(0.0))
-    options = F.array(F.struct(F.lit("A").alias("c"), f.alias("w")), F.struct(F.lit("B").alias("c"), (1 - f).alias("w")))
-    one = F.array(F.struct(F.col("from_color").alias("c"), F.lit(1.0).alias("w")))
-    rows = rows.withColumn("_s", F.explode(F.when(F.col("from_color") == "U", options).otherwise(one)))
-    to = F.when(F.col("to_color") == "U", F.col("_s.c")).otherwise(F.col("to_color"))
-    rows = rows.select("from_state", F.col("_s.c").alias("from_color"), "to_state", to.alias("to_color"), (F.col("n") * F.col("_s.w")).alias("n"))
-    return rows.groupBy("from_state", "from_color", "to_state", "to_color").agg(F.sum("n").alias("n"))
+    known = counts.where("from_color <> 'U'").select("from_state", "from_color", "to_state", "to_color", F.col("n").cast("double").alias("n"))
+    open_ = counts.where("from_color = 'U'").select(F.col("from_state").alias("_f"), F.col("to_state").alias("_t"), F.col("to_color").alias("_c"), "n")
+    cells = open_.join(flux, (F.col("_f") == F.col("from_state")) & (F.col("_t") == F.col("to_state")) & ((F.col("_c") == "U") | (F.col("_c") == F.col("to_color"))))
+    share = F.col("f") / F.sum("f").over(Window.partitionBy("_f", "_t", "_c"))
+    split = cells.where("f > 0").select("from_state", "from_color", "to_state", "to_color", (F.col("n") * share).alias("n"))
+    return known.unionByName(split).groupBy("from_state", "from_color", "to_state", "to_color").agg(F.sum("n").alias("n"))
+
+
+def pseudo_flux(trajs: DataFrame, a: list, b: list, lag: int = 1, sliding: bool = True, keys=KEYS) -> DataFrame:
+    """(from_state, from_color, to_state, to_color, f): the flux of the reversible Markov chain with colours added.
+
+    a, b: the states of the two macrostates. The chain is solved on the driver, states by states.
+    """
+    from . import markov as M
+
+    names = [r[0] for r in trajs.select("state").where("state is not null").distinct().orderBy("state").limit(M.LIMIT + 1).collect()]
+    at = {s: i for i, s in enumerate(names)}
+    if len(names) > M.LIMIT:
+        raise ValueError("too many states for a dense matrix")
+    w = np.zeros((len(names), len(names)))
+    for r in count_pairs(trajs, lag, sliding, keys).collect():  # states by states
+        w[at[r["from_state"]], at[r["to_state"]]] += r["n"]
+    t2 = M.lifted_matrix(M.normalized_rows(w + w.T), [at[s] for s in a if s in at], [at[s] for s in b if s in at])
+    f = M.steady_state(t2)[:, None] * t2
+    rows = [(names[i // 2], "AB"[i % 2], names[j // 2], "AB"[j % 2], float(f[i, j])) for i, j in zip(*np.nonzero(f), strict=True)]
+    kind = trajs.schema["state"].dataType.simpleString()
+    return trajs.sparkSession.createDataFrame(rows, f"from_state {kind}, from_color string, to_state {kind}, to_color string, f double")
+
+
+def history_model(trajs: DataFrame, a: list, b: list, lag: int = 1, history: int = 0, sliding: bool = True, keys=KEYS) -> DataFrame:
+    """Coloured counts with finite history, unknown colours split by the flux of the chain with colours added."""
+    counts = history_counts(trajs, F.col("state").isin(a), F.col("state").isin(b), lag, history, sliding, keys)
+    return fractional_counts(counts.where("from_state is not null and to_state is not null"), pseudo_flux(trajs, a, b, lag, sliding, keys))
 
 
 def correlation(trajs: DataFrame, in_a: Column, in_b: Column, lags: list[int], symmetric: bool = False, keys=KEYS) -> DataFrame:
@@ -172,3 +198,17 @@ def joined_ensembles(a: DataFrame, b: DataFrame) -> DataFrame:
         raise ValueError("the ensembles differ in dimensions")
     tag = lambda d, n: d.withColumn("traj", F.concat(F.lit(n), F.col("traj").cast("string")))
     return tag(a, "a:").unionByName(tag(b, "b:"))
+
+
+def shape_of(trajs: DataFrame, column: str = "x", keys=KEYS) -> DataFrame:
+    """(keys, n_snapshots, n_variables) of each trajectory; column is a number or an array of numbers, nothing deeper."""
+    kind = trajs.schema[column].dataType.simpleString()
+    if kind.startswith("array<array") or kind.startswith(("map", "struct")):
+        raise ValueError("a trajectory has one or two dimensions")
+    size = F.max(F.size(column)) if kind.startswith("array") else F.lit(1)
+    return trajs.groupBy(*keys).agg(F.count("*").alias("n_snapshots"), size.cast("long").alias("n_variables"))
+
+
+def sorted_together(rows: DataFrame, by: str, *others: str) -> DataFrame:
+    """Columns in the order of the first, largest first; equal ones by the others, so that the order is fixed."""
+    return rows.select(by, *others).orderBy(F.desc(by), *others)

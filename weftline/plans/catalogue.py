@@ -101,12 +101,6 @@ def warped_segments(spark, d):
 
 @query
 def structure_references(spark, d):
-    rows = S.iteration(V.segments(spark, d), 2)
-    return rows.select("seg_id", S.structure_reference(F.concat(F.lit("f"), F.col("file_idx")), F.col("n_iter"), F.col("seg_id")).alias("ref"))
-
-
-@query
-def structure_references_all(spark, d):
     """Of every complete iteration."""
     rows = S.complete(V.segments(spark, d))
     return rows.select("seg_id", S.structure_reference(F.concat(F.lit("f"), F.col("file_idx")), F.col("n_iter"), F.col("seg_id")).alias("ref"))
@@ -203,12 +197,6 @@ def flux_special_states(spark, d):
 
 @query
 def flux_pcoord1d(spark, d):
-    rows = V.segments(spark, d).where("n_iter <= 20")
-    return tidy(X.pcoord_flux(rows, 0.0, 200.0, 10, 20))
-
-
-@query
-def flux_pcoord1d_all(spark, d):
     """The mean over all complete iterations, by their real number."""
     rows = S.complete(V.segments(spark, d))
     n = rows.agg(F.countDistinct("n_iter")).first()[0]
@@ -265,7 +253,7 @@ def coarse_flux_profile(spark, d):
 @query
 def flux_profile_fit(spark, d):
     points = X.profile(_edges(spark, d), _places(spark, d)).join(_centres(spark, d).select("state", "centre"), "state")
-    return tidy(X.fit_line(points, "centre", "flux"))
+    return tidy(X.fit_line(points, "centre", "flux", P.box_centre(V.TARGET)[0] < P.box_centre(V.BASIS)[0]))
 
 
 @query
@@ -293,13 +281,6 @@ def block_validation_flux(spark, d):
 
 @query
 def start_state_weights(spark, d):
-    rows = X.with_states(V.segments(spark, d), N, V.BASIS, V.TARGET).where("n_iter = 3")
-    pi = M.vector_frame(spark, M.steady_state_powers(_t_dense(spark, d), 0, 200))
-    return tidy(X.start_weights(rows, pi, [BASIS, TARGET]))
-
-
-@query
-def start_state_weights_all(spark, d):
     """Segments of all complete iterations share their state's weight."""
     rows = S.complete(X.with_states(V.segments(spark, d), N, V.BASIS, V.TARGET))
     pi = M.vector_frame(spark, M.steady_state_powers(_t_dense(spark, d), 0, 200))
@@ -472,11 +453,26 @@ def history_color_counts(spark, d):
 
 @query
 def history_color_fractional(spark, d):
-    trajs = V.event_trajs(spark, d)
-    w = Window.partitionBy("traj").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    color = F.last(T.macrostate(*_ab()), ignorenulls=True).over(w)
-    share = trajs.withColumn("c", color).where("c is not null").groupBy("state").agg(F.avg((F.col("c") == "A").cast("double")).alias("f"))
-    return tidy(T.fractional_counts(T.history_counts(trajs, *_ab(), 2, 3), share))
+    """Unknown colours split by the flux of the reversible chain with colours added."""
+    return tidy(T.history_model(V.event_trajs(spark, d), ["signup"], ["purchase"], 2, 3))
+
+
+@query
+def pseudo_flux(spark, d):
+    return tidy(T.pseudo_flux(V.event_trajs(spark, d), ["signup"], ["purchase"], 2))
+
+
+@query
+def trajectory_shapes(spark, d):
+    return T.shape_of(V.event_trajs(spark, d))
+
+
+@query
+def sorted_together(spark, d):
+    """Users by their number of events, the most first, with the place of each."""
+    rows = V.event_trajs(spark, d).groupBy("traj").agg(F.count("*").alias("n"), F.sum("x").alias("x_sum"))
+    order = T.sorted_together(rows, "n", "traj", "x_sum")
+    return tidy(order.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "traj")) - 1))
 
 
 @query
@@ -525,10 +521,44 @@ def entry_flux_distribution(spark, d):
     return tidy(M.entry_distribution(counts, "A"))
 
 
+def _colored_dense(spark, d):
+    """The coloured chain over the five labels: row 2s in colour A, 2s + 1 in colour B."""
+    m = np.zeros((2 * N, 2 * N))
+    for r in _colored(spark, d).select(V.cluster_of("from_state").alias("f"), "from_color", V.cluster_of("to_state").alias("t"), "to_color", "p").collect():
+        m[2 * r["f"] + "AB".index(r["from_color"]), 2 * r["t"] + "AB".index(r["to_color"])] = r["p"]
+    return m
+
+
 @query
 def folded_populations(spark, d):
-    rows = _colored(spark, d).groupBy(F.col("to_state").alias("state")).agg(F.sum("n").alias("n"))
-    return rows
+    """Populations of the states from the steady state of the coloured chain."""
+    return tidy(M.vector_frame(spark, M.folded(M.steady_state(_colored_dense(spark, d)))))
+
+
+@query
+def macrostate_populations(spark, d):
+    a, b = Q.macrostate_populations(M.folded(M.steady_state(_colored_dense(spark, d))), [3], [2])
+    return tidy(spark.createDataFrame([(a, b)], "pop_a double, pop_b double"))
+
+
+@query
+def fpt_distribution_ab(spark, d):
+    return tidy(spark.createDataFrame(Q.directed_fpt_distribution(_colored_dense(spark, d), [3], [2], "AB", 40), "t double, density double"))
+
+
+@query
+def fpt_distribution_ba(spark, d):
+    return tidy(spark.createDataFrame(Q.directed_fpt_distribution(_colored_dense(spark, d), [3], [2], "BA", 40), "t double, density double"))
+
+
+@query
+def path_model_mfpt(spark, d):
+    """The chain counted along paths from A to B, and its mean time from A to B."""
+    rows = T.paths(V.event_trajs(spark, d), *_ab()).withColumn("traj", F.concat_ws("-", "traj", "path_id"))
+    w = Window.partitionBy("traj").orderBy("idx")
+    counts = T.count_pairs(rows.withColumn("idx", F.row_number().over(w) - 1))
+    m = M.dense(counts.select(V.cluster_of("from_state").alias("from_state"), V.cluster_of("to_state").alias("to_state"), F.col("n").cast("double").alias("w")), N, "w")
+    return tidy(spark.createDataFrame([(Q.path_model_mfpt(m, [3], [2]),)], "mfpt double"))
 
 
 def _given_mfpts(spark):
@@ -617,6 +647,73 @@ def lagged_pairs(spark, d):
     return tidy(out.agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.sum(F.col("start")[0]).alias("start_sum"), F.sum(F.col("end")[0]).alias("end_sum")))
 
 
+@query
+def lagged_pairs_lag2(spark, d):
+    rows = V.segments(spark, d).withColumn("parent_id", F.when(F.col("p1") > 150, F.lit(-1)).otherwise(F.col("parent_id")))
+    rows = rows.select("file_idx", "n_iter", "seg_id", "weight", "parent_id", F.array("p0").alias("coord0"), F.array("p1").alias("coord1"))
+    out = S.lagged_pairs(rows, 2, F.array(F.lit(-1.0)), F.array(F.lit(-2.0)))
+    return tidy(out.agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.sum(F.col("start")[0]).alias("start_sum"), F.sum(F.col("end")[0]).alias("end_sum")))
+
+
+@query
+def structures_by_state(spark, d):
+    return tidy(S.structures_by_state(X.with_states(V.segments(spark, d), N, V.BASIS, V.TARGET)))
+
+
+@query
+def fill_bins(spark, d):
+    """Coordinates of the iterations pulled until every bin seen holds 40 points."""
+    points = V.segments(spark, d).withColumn("bin", P.uniform_bin(F.col("p1"), 0.0, 200.0, 4))
+    return tidy(S.fill_bins(points, 40).groupBy("bin").agg(F.count("*").alias("n"), F.min("n_iter").alias("first"), F.sum("p1").alias("p1_sum")))
+
+
+CORNERS = ((0.0, 0.0), (20.0, 10.0), (60.0, 5.0), (200.0, 20.0))
+
+
+@query
+def voronoi_bins(spark, d):
+    rows = V.read(spark, d, "events").where("value is not null and user_id is not null")
+    b = P.voronoi_bin(F.array(F.col("value"), F.col("user_id").cast("double")), CORNERS)
+    return rows.groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query
+def nearest_bin_overridden(spark, d):
+    """As nearest_bin, by the largest difference of a coordinate instead of the RMSD."""
+    v = V.vectors(spark, d)
+    counts = C.bin_counts(v, (v.count() + 9) // 10)
+    far = lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
+    return C.thin_bins(counts, _label_centres(spark, d), far).select("bin", "bin_to")
+
+
+@query
+def optimized_mapper(spark, d):
+    """From coordinate to base bin, microstate and optimised bin, with clusters of a fixed grid."""
+    points = V.segments(spark, d).select("p1", F.array("p1").alias("x"))
+    centres = spark.createDataFrame([(b, k, 2 * b + k, [100.0 * b + 30.0 + 40.0 * k]) for b in range(3) for k in range(2)], "bin bigint, local_id bigint, state bigint, x array<double>")
+    remap = spark.createDataFrame([(0, 0), (1, 1), (2, 2), (3, 2), (4, 2)], "bin bigint, bin_to bigint")
+    mapper = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1), (4, 2)], "state bigint, bin bigint")
+    base = P.uniform_bin(F.col("p1"), 0.0, 400.0, 4)
+    out = O.mapped_points(points, base, remap, centres, mapper, 5, P.in_box([F.col("p1")], V.BASIS), P.in_box([F.col("p1")], V.TARGET))
+    return tidy(out.groupBy("bin").agg(F.count("*").alias("n"), F.sum("p1").alias("p1_sum")))
+
+
+@query
+def accumulated_flux(spark, d):
+    h, kh, varh = M.accumulated_flux(_t_dense(spark, d), [TARGET])
+    return tidy(spark.createDataFrame([(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(h, kh, varh, strict=True))], "state bigint, h double, kh double, varh double"))
+
+
+@query
+def reduced_coordinates(spark, d):
+    """Both ends of each segment through one reduction of features that a user's function makes."""
+    from .model import prepared
+
+    rows = V.segments(spark, d).select("n_iter", "seg_id", "weight", F.array("p0").alias("coord0"), F.array("p1").alias("coord1"))
+    out = prepared(rows, "pca", lambda x: np.concatenate([x, 2 * x], axis=1), {"dims": 1})
+    return tidy(out.select("n_iter", "seg_id", F.col("x0")[0].alias("x0"), F.col("x1")[0].alias("x1")))
+
+
 @query
 def history_trajectories(spark, d):
     rows = V.segments(spark, d).withColumn("coord1", F.array("p1"))
@@ -627,13 +724,6 @@ def history_trajectories(spark, d):
 
 @query
 def parsed_labels(spark, d):
-    rows = V.segments(spark, d).where("n_iter = 2").select(F.concat(F.lit("b"), F.col("to_cluster"), F.lit("_s"), F.col("seg_id")).alias("label"), "p1")
-    part = lambda k: F.regexp_extract("label", r"b(\d+)_s(\d+)", k).cast("bigint")
-    return tidy(rows.select("label", part(1).alias("bin"), part(2).alias("seg"), "p1"))
-
-
-@query
-def parsed_labels_all(spark, d):
     """Of every complete iteration."""
     rows = S.complete(V.segments(spark, d)).select("n_iter", F.concat(F.lit("b"), F.col("to_cluster"), F.lit("_s"), F.col("seg_id")).alias("label"), "p1")
     part = lambda k: F.regexp_extract("label", r"b(\d+)_s(\d+)", k).cast("bigint")
@@ -642,15 +732,6 @@ def parsed_labels_all(spark, d):
 
 @query
 def structure_hash_states(spark, d):
-    """Structures named by a hash of their coordinates, joined to states by it."""
-    rows = X.with_states(V.segments(spark, d), N, V.BASIS, V.TARGET).where("n_iter = 3")
-    hashed = rows.select("seg_id", "to_state", F.md5(F.concat_ws(",", F.format_string("%.2f", "p0"), F.format_string("%.2f", "p1"))).alias("hash"))
-    known = hashed.groupBy("hash").agg(F.min("to_state").alias("state"))
-    return hashed.join(known, "hash").select("seg_id", "hash", "state")
-
-
-@query
-def structure_hash_states_all(spark, d):
     """Of every complete iteration: a structure seen in several has one state."""
     rows = S.complete(X.with_states(V.segments(spark, d), N, V.BASIS, V.TARGET))
     hashed = rows.select("n_iter", "seg_id", "to_state", F.md5(F.concat_ws(",", F.format_string("%.2f", "p0"), F.format_string("%.2f", "p1"))).alias("hash"))
@@ -686,7 +767,7 @@ def flux_fit_pvalue(spark, d):
 
 @query
 def fpt_distribution_log(spark, d):
-    rows = Q.fpt_distribution(M.dense(_label_edges(spark, d), N), [3], [2], max_lags=1000, log_scale=True, powers=(0, 3), points=60)
+    rows = Q.fpt_distribution(M.dense(_label_edges(spark, d), N), [3], [2], max_lags=30, log_scale=True, powers=(0, 3), clean_recycling=True)
     return tidy(spark.createDataFrame(rows, "t double, density double"))
 
 

@@ -73,6 +73,24 @@ class Model:
         spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
+def prepared(segments: DataFrame, method: str = "pca", featurize=None, options: dict | None = None) -> DataFrame:
+    """segments (coord0, coord1, ...) with reduced coordinates x0 and x1, for build().
+
+    featurize: a user's function, an array of coordinates in and a 2-D array of features out; without one the
+    coordinates are the features. options are those of the reduction. Both ends go through the same reduction.
+    """
+    from weftline.operators import reduce as R
+
+    out = segments
+    for end in ("0", "1"):
+        if featurize is None:
+            out = out.withColumn(f"_f{end}", F.col(f"coord{end}").cast("array<double>"))
+        else:
+            out = R.featurized(out, f"coord{end}", featurize, f"_f{end}")
+    found = R.reduction(method, out.select(F.col("_f0").alias("x"), F.col("_f1").alias("y"), F.col("weight").cast("double").alias("weight")), **(options or {}))
+    return out.withColumn("x0", found.column(F.col("_f0"))).withColumn("x1", found.column(F.col("_f1"))).drop("_f0", "_f1")
+
+
 def _assigned(segments: DataFrame, centres: DataFrame, n: int, config: Config) -> DataFrame:
     """Segments with from_cluster and to_cluster, both ends assigned in one pass each, then states."""
     start = C.assigned(segments.withColumn("bin_end", F.col("bin")).withColumn("bin", F.col("bin0")).withColumn("x", F.col("x0")), centres).withColumnRenamed("state", "from_cluster")

@@ -96,6 +96,41 @@ def iterated(matrix: str, source: int, sink: int) -> str:
 UNION ALL SELECT k + 1, s.state, CASE s.state WHEN {sink} THEN 1.0 WHEN {source} THEN 0.0 ELSE sum(s.p * q.value) END FROM q JOIN (SELECT st.state, to_state, p FROM states st LEFT JOIN {matrix} ON from_state = st.state) s ON s.to_state = q.state OR (s.to_state IS NULL AND q.state = s.state) WHERE k < 40 GROUP BY k, s.state)"""
 
 
+COMPLETE = ", c AS (SELECT *, max(n_iter) OVER (PARTITION BY file_idx) AS last FROM st), done AS (SELECT * FROM c WHERE n_iter < last)"
+#: The coloured chain (codes 2s and 2s + 1 for state s in colours A and B) and its steady state after 300 steps.
+CODED = f", cn AS (SELECT 2 * {CLUSTER.format('from_state')} + (from_color = 'B')::INT AS f, 2 * {CLUSTER.format('to_state')} + (to_color = 'B')::INT AS t, p FROM ce)"
+STEADY = """, cv AS (SELECT 0 AS k, f AS s, 1.0::DOUBLE / count(*) OVER () AS v FROM (SELECT DISTINCT f FROM cn) UNION ALL SELECT k + 1, t, sum(v * p) FROM cv JOIN cn ON f = s WHERE k < 300 GROUP BY k, t),
+cpi AS (SELECT s, v FROM cv WHERE k = 300)"""
+#: Reversible counts over two rows, their chain with colours added, and its flux after 300 steps.
+PSEUDO = """, pn AS (SELECT a, b, sum(n) AS n FROM (SELECT from_state AS a, to_state AS b, n FROM prs UNION ALL SELECT to_state, from_state, n FROM prs) GROUP BY ALL),
+pt AS (SELECT a, b, n / sum(n) OVER (PARTITION BY a) AS p FROM pn),
+pl AS (SELECT a, c AS ca, b, CASE b WHEN 'signup' THEN 'A' WHEN 'purchase' THEN 'B' ELSE c END AS cb, p FROM pt, (VALUES ('A'), ('B')) x(c) WHERE NOT (c = 'A' AND a = 'purchase') AND NOT (c = 'B' AND a = 'signup')),
+pv AS (SELECT 0 AS k, a AS s, ca AS c, 1.0::DOUBLE / count(*) OVER () AS v FROM (SELECT DISTINCT a, ca FROM pl) UNION ALL SELECT k + 1, b, cb, sum(v * p) FROM pv JOIN pl ON a = s AND ca = c WHERE k < 300 GROUP BY k, b, cb),
+pf AS (SELECT a AS from_state, ca AS from_color, b AS to_state, cb AS to_color, v * p AS f FROM pl JOIN pv ON a = s AND ca = c WHERE k = 300)"""
+
+
+def passage_shares(matrix: str, start: int, end: int, n: int) -> str:
+    """Shares of first passages at times 1 to n from one state to another of a matrix (f, t, p)."""
+    return f""", fp AS (SELECT 0 AS k, f AS s, p AS v FROM {matrix} WHERE t = {end} UNION ALL SELECT k + 1, f, sum(p * v) FROM fp JOIN {matrix} ON t = s AND s <> {end} WHERE k < {n - 1} GROUP BY k, f),
+fs AS (SELECT n.k, coalesce(v, 0) AS v FROM (SELECT range AS k FROM range({n})) n LEFT JOIN (SELECT k, v FROM fp WHERE s = {start}) x ON x.k = n.k)
+SELECT 0.0::DOUBLE AS t, 0.0::DOUBLE AS density UNION ALL SELECT (k + 1)::DOUBLE, {r6('v / (SELECT sum(v) FROM fs)')} FROM fs"""
+
+
+def directed(color: str, start: int, end: int) -> str:
+    return f"WITH RECURSIVE {TRAJ}{coloured(AB, 1)}{CEDGES}{CODED}, ow AS (SELECT f // 2 AS f, t // 2 AS t, sum(p) AS p FROM cn WHERE f % 2 = {'AB'.index(color)} AND f // 2 <> {end} AND (t // 2 = {end} OR t % 2 = {'AB'.index(color)}) GROUP BY ALL)" + passage_shares("ow", start, end, 40)
+
+
+def lagged(lag: int) -> str:
+    """Pairs over one or two parents, recycled walkers among them."""
+    s = f"WITH {SEG}, s AS (SELECT file_idx, n_iter, seg_id, weight, p0, p1, CASE WHEN p1 > 150 THEN -1 ELSE parent_id END AS parent_id FROM seg), z AS (SELECT file_idx, n_iter, min_by(p0, seg_id) AS p0 FROM s GROUP BY ALL), "
+    up = "b.file_idx = a.file_idx AND b.n_iter = a.n_iter - 1 AND b.seg_id = a.parent_id AND a.parent_id >= 0"
+    if lag == 1:
+        h = f"h AS (SELECT a.*, CASE WHEN a.parent_id < 0 THEN a.weight END AS warp, b.p0 AS far FROM s a LEFT JOIN s b ON {up})"
+    else:
+        h = f"h AS (SELECT a.*, CASE WHEN a.parent_id < 0 THEN a.weight WHEN b.parent_id < 0 THEN b.weight END AS warp, c.p0 AS far FROM s a LEFT JOIN s b ON {up} LEFT JOIN s c ON c.file_idx = b.file_idx AND c.n_iter = b.n_iter - 1 AND c.seg_id = b.parent_id AND b.parent_id >= 0)"
+    return f"{s}{h}, o AS (SELECT far AS x, p1 AS y, weight FROM h WHERE warp IS NULL AND far IS NOT NULL UNION ALL SELECT -1, p1, weight FROM h WHERE warp IS NOT NULL UNION ALL SELECT z.p0, -2, warp FROM h JOIN z ON z.file_idx = h.file_idx AND z.n_iter = h.n_iter - {lag} WHERE warp IS NOT NULL) SELECT count(*) AS n, {r6('sum(weight)')} AS w, {r6('sum(x)')} AS start_sum, {r6('sum(y)')} AS end_sum FROM o"
+
+
 GIVEN = "g AS (SELECT range AS state, ((range * 37) % 23) / 7.0::DOUBLE AS h, ((range * 13) % 17) / 5.0::DOUBLE + 0.1 AS v, (range % 5 + 1) / 60.0::DOUBLE AS pi FROM range(20))"
 FLUX_T = "sum(CASE WHEN p1 > 150 AND p1 < 1000 THEN weight ELSE 0 END)"
 
@@ -110,7 +145,7 @@ SQL: dict[str, str] = {
     "start_from_parent": f"WITH {SEG} SELECT a.n_iter, count(*) AS n, {r6('sum(coalesce(b.p1, -1))')} AS start_sum FROM seg a LEFT JOIN seg b ON b.file_idx = a.file_idx AND b.n_iter = a.n_iter - 1 AND b.seg_id = a.parent_id GROUP BY a.n_iter",
     "masked_transitions": f"WITH {SEG} SELECT n_iter, count(*) AS n, {r6('sum(CASE WHEN p1 > 100 THEN 0 ELSE weight END)')} AS w FROM seg GROUP BY n_iter",
     "warped_segments": f"WITH {SEG} SELECT n_iter, count(*) AS n, {r6('sum(weight)')} AS w FROM seg WHERE p1 > 150 AND p1 < 1000 GROUP BY n_iter",
-    "structure_references": f"WITH {SEG}, c AS (SELECT *, max(n_iter) OVER (PARTITION BY file_idx) AS last FROM seg) SELECT seg_id, 'hdf:f' || file_idx || ':' || n_iter || ':' || seg_id AS ref FROM c WHERE n_iter = 2 AND n_iter < last",
+    "structure_references": f"WITH {SEG}{COMPLETE} SELECT seg_id, 'hdf:f' || file_idx || ':' || n_iter || ':' || seg_id AS ref FROM done",
     "box_basis_target": "SELECT event_id, value > 0 AND value < 5 AS in_basis, value > 150 AND value < 1000 AS in_target FROM events",
     "interval_union_nd": "SELECT event_id, (value >= 1 AND value < 2) OR (value >= 3 AND value < 4) OR (value >= 10 AND value < 40) AS in_union, (value >= 0 AND value < 20 AND user_id >= 0 AND user_id < 5) OR (value >= 20 AND value < 50 AND user_id >= 5 AND user_id < 15) AS in_product FROM events WHERE value IS NOT NULL",
     "label_dictionary": f"WITH {TRAJ}, f AS (SELECT DISTINCT ON (state) state, traj, idx FROM traj ORDER BY state, traj, idx) SELECT state AS label, row_number() OVER (ORDER BY traj, idx) - 1 AS code FROM f",
@@ -121,19 +156,19 @@ SQL: dict[str, str] = {
     "flux_matrix_total_one": f"WITH {EDGES} SELECT from_state, to_state, {r6('w / (SELECT sum(w) FROM edges)')} AS w FROM edges",
     "flux_matrix_by_iter": f"WITH {EDGES} SELECT n_iter, from_state, to_state, {r6('sum(weight)')} AS w FROM used GROUP BY ALL",
     "flux_special_states": f"WITH {SEG} SELECT from_state, to_state, count(*) AS n FROM st GROUP BY ALL",
-    "flux_pcoord1d": f"WITH {SEG}, b AS (SELECT n_iter, CASE WHEN p0 < 0 THEN -1 WHEN p0 >= 200 THEN 10 ELSE floor(p0 / 20) END::BIGINT AS from_state, CASE WHEN p1 < 0 THEN -1 WHEN p1 >= 200 THEN 10 ELSE floor(p1 / 20) END::BIGINT AS to_state, weight / sum(weight) OVER (PARTITION BY n_iter) AS w FROM seg WHERE n_iter <= 20) SELECT from_state, to_state, {r6('sum(w) / 20')} AS w FROM b GROUP BY ALL",
+    "flux_pcoord1d": f"WITH {SEG}{COMPLETE}, b AS (SELECT n_iter, CASE WHEN p0 < 0 THEN -1 WHEN p0 >= 200 THEN 10 ELSE floor(p0 / 20) END::BIGINT AS from_state, CASE WHEN p1 < 0 THEN -1 WHEN p1 >= 200 THEN 10 ELSE floor(p1 / 20) END::BIGINT AS to_state, weight / sum(weight) OVER (PARTITION BY n_iter) AS w FROM done) SELECT from_state, to_state, {r6('sum(w) / (SELECT count(DISTINCT n_iter) FROM done)')} AS w FROM b GROUP BY ALL",
     "cluster_centers_stats": f"WITH {EDGES}{CENTRES} SELECT state, {r6('centre')} AS centre, {r6('low')} AS low, {r6('high')} AS high FROM centres",
     "sorted_states": f"WITH {EDGES}{CENTRES} SELECT state, row_number() OVER (ORDER BY state >= 5, centre NULLS LAST, state) - 1 AS place FROM centres",
     "flux_sorted": f"WITH {EDGES}{CENTRES}, s AS (SELECT state, row_number() OVER (ORDER BY state >= 5, centre NULLS LAST, state) - 1 AS place FROM centres) SELECT a.place AS from_state, b.place AS to_state, {r6('w')} AS w FROM edges JOIN s a ON a.state = from_state JOIN s b ON b.state = to_state",
     "flux_profile": f"WITH {EDGES}{CENTRES}{NET}, s AS (SELECT state, row_number() OVER (ORDER BY centre NULLS FIRST, state) - 1 AS place FROM centres) SELECT place, s.state, {r6('sum(coalesce(net, 0)) OVER (ORDER BY place)')} AS flux FROM s LEFT JOIN net ON net.state = s.state",
     "flux_profile_committor": f"WITH RECURSIVE {TM}{NET}{iterated('t', 5, 6)}, s AS (SELECT state, row_number() OVER (ORDER BY round(value, 9) DESC, state) - 1 AS place FROM q WHERE k = 40) SELECT place, s.state, {r6('sum(coalesce(net, 0)) OVER (ORDER BY place)')} AS flux FROM s LEFT JOIN net ON net.state = s.state",
     "coarse_flux_profile": f"WITH {EDGES}{CENTRES}, b AS (SELECT state, CASE WHEN centre < 0 THEN -1 WHEN centre >= 100 THEN 20 ELSE floor(centre / 5) END::BIGINT AS bin FROM centres WHERE state < 5 AND centre IS NOT NULL), e AS (SELECT x.bin AS f, y.bin AS t, w FROM edges JOIN b x ON x.state = from_state JOIN b y ON y.state = to_state), n AS (SELECT bin, sum(v) AS net FROM (SELECT t AS bin, w AS v FROM e UNION ALL SELECT f, -w FROM e) GROUP BY bin) SELECT bin, {r6('sum(net) OVER (ORDER BY bin)')} AS flux FROM n",
-    "flux_profile_fit": f"WITH {EDGES}{CENTRES}{NET}, s AS (SELECT state, centre, row_number() OVER (ORDER BY centre NULLS FIRST, state) - 1 AS place FROM centres), p AS (SELECT centre, sum(coalesce(net, 0)) OVER (ORDER BY place) AS flux FROM s LEFT JOIN net ON net.state = s.state) SELECT {r6('regr_slope(flux, centre)')} AS slope, {r6('regr_intercept(flux, centre)')} AS intercept, {r6('corr(flux, centre)')} AS r, {r6('sqrt((1 - corr(flux, centre) ^ 2) * regr_syy(flux, centre) / regr_sxx(flux, centre) / (regr_count(flux, centre) - 2))')} AS stderr, regr_slope(flux, centre) < 0 AS overcorrected FROM p",
+    "flux_profile_fit": f"WITH {EDGES}{CENTRES}{NET}, s AS (SELECT state, centre, row_number() OVER (ORDER BY centre NULLS FIRST, state) - 1 AS place FROM centres), p AS (SELECT centre, sum(coalesce(net, 0)) OVER (ORDER BY place) AS flux FROM s LEFT JOIN net ON net.state = s.state) SELECT {r6('regr_slope(flux, centre)')} AS slope, {r6('regr_intercept(flux, centre)')} AS intercept, {r6('corr(flux, centre)')} AS r, {r6('sqrt((1 - corr(flux, centre) ^ 2) * regr_syy(flux, centre) / regr_sxx(flux, centre) / (regr_count(flux, centre) - 2))')} AS stderr, regr_slope(flux, centre) > 0 AS overcorrected FROM p",
     "smoothed_flux": f"WITH {SEG}, f AS (SELECT n_iter, {FLUX_T} AS flux FROM seg GROUP BY n_iter) SELECT n_iter, {r6('avg(flux) OVER w')} AS mean, {r6('stddev_pop(flux) OVER w')} AS std FROM f WINDOW w AS (ORDER BY n_iter ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)",
     "direct_target_flux": f"WITH {SEG} SELECT n_iter, {r6(FLUX_T + ' / 2')} AS flux FROM seg GROUP BY n_iter",
     "windowed_direct_flux": f"WITH {SEG}, f AS (SELECT n_iter, {FLUX_T} AS flux FROM seg GROUP BY n_iter) SELECT n_iter, {r6('avg(flux) OVER (ORDER BY n_iter ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)')} AS flux FROM f",
     "block_validation_flux": f"WITH {SEG}, g AS (SELECT *, (n_iter - 1) // ({LAST} // 4) AS b FROM st WHERE n_iter < {LAST}), u AS (SELECT *, b % 2 AS group_id FROM g WHERE b < 4), k AS (SELECT group_id, count(DISTINCT n_iter) AS n FROM u GROUP BY ALL) SELECT group_id, from_state, to_state, {r6('sum(weight) / any_value(n)')} AS w FROM u JOIN k USING (group_id) GROUP BY ALL",
-    "start_state_weights": f"WITH RECURSIVE {TM}{PI} SELECT n_iter, seg_id, to_state, {r6('weight * value / sum(weight) OVER (PARTITION BY to_state)')} AS start_weight FROM st JOIN pi ON pi.state = to_state WHERE n_iter = 3 AND to_state < 5 AND value > 0",
+    "start_state_weights": f"WITH RECURSIVE {TM}{PI}{COMPLETE} SELECT n_iter, seg_id, to_state, {r6('weight * value / sum(weight) OVER (PARTITION BY to_state)')} AS start_weight FROM done JOIN pi ON pi.state = to_state WHERE to_state < 5 AND value > 0",
     "transition_matrix": f"WITH {TM} SELECT from_state, to_state, {r6('p')} AS p FROM t",
     "eq_transition_matrix": f"WITH {EDGES} SELECT from_state, to_state, {r6('w / sum(w) OVER (PARTITION BY from_state)')} AS p FROM edges WHERE from_state < 5 AND to_state < 5 AND w > 0",
     "steady_state_power": f"WITH RECURSIVE {TM}{PI} SELECT state, {r6('value')} AS value FROM pi",
@@ -162,14 +197,14 @@ SQL: dict[str, str] = {
     "colored_count_nonsliding": f"WITH {TRAJ}{coloured(AB, 3, False)} SELECT * FROM colored",
     "colored_tmatrix": f"WITH {TRAJ}{coloured(AB, 1)}{CEDGES} SELECT from_state, from_color, to_state, to_color, {r6('p')} AS p FROM ce",
     "history_color_counts": f"WITH {TRAJ}{HISTORY} SELECT * FROM hist",
-    "history_color_fractional": f"WITH {TRAJ}{HISTORY}, cl AS (SELECT state, last_value({AB} IGNORE NULLS) OVER (PARTITION BY traj ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM traj), sh AS (SELECT state, avg((c = 'A')::INT) AS f FROM cl WHERE c IS NOT NULL GROUP BY state), o AS (SELECT from_state, from_color, to_state, to_color, n::DOUBLE AS n FROM hist WHERE from_color <> 'U' UNION ALL SELECT from_state, 'A', to_state, CASE to_color WHEN 'U' THEN 'A' ELSE to_color END, n * coalesce(f, 0) FROM hist LEFT JOIN sh ON sh.state = from_state WHERE from_color = 'U' UNION ALL SELECT from_state, 'B', to_state, CASE to_color WHEN 'U' THEN 'B' ELSE to_color END, n * (1 - coalesce(f, 0)) FROM hist LEFT JOIN sh ON sh.state = from_state WHERE from_color = 'U') SELECT from_state, from_color, to_state, to_color, {r6('sum(n)')} AS n FROM o GROUP BY ALL",
+    "history_color_fractional": f"WITH RECURSIVE {TRAJ}{HISTORY}{pairs('traj', 2)}{PSEUDO}, u AS (SELECT h.from_state, x.from_color, h.to_state, x.to_color, n * f / sum(f) OVER (PARTITION BY h.from_state, h.to_state, h.to_color) AS n FROM hist h JOIN pf x ON x.from_state = h.from_state AND x.to_state = h.to_state AND (h.to_color = 'U' OR h.to_color = x.to_color) WHERE h.from_color = 'U' AND f > 0) SELECT from_state, from_color, to_state, to_color, {r6('sum(n)')} AS n FROM (SELECT from_state, from_color, to_state, to_color, n::DOUBLE AS n FROM hist WHERE from_color <> 'U' UNION ALL SELECT * FROM u) GROUP BY ALL",
     "path_counts": f"WITH p AS (SELECT conv_id, string_agg(role, '>' ORDER BY turn, role) AS path FROM conversations GROUP BY conv_id), c AS (SELECT path, count(*) AS n FROM p GROUP BY path) SELECT path, n, {r6('n / sum(n) OVER ()')} AS weight FROM c",
     "ensemble_union": f"WITH {TRAJ}, {OTRAJ} SELECT traj, count(*) AS n, {r6('sum(x)')} AS x_sum FROM (SELECT 'a:' || traj AS traj, x FROM traj UNION ALL SELECT 'b:' || traj, x FROM otraj) GROUP BY traj",
     "pseudo_color_matrix": f"WITH {TRAJ}{pairs('traj', 1)}{LEDGES} SELECT from_state, c AS from_color, to_state, CASE to_state WHEN 3 THEN 'A' WHEN 2 THEN 'B' ELSE c END AS to_color, {r6('p')} AS p FROM le, (VALUES ('A'), ('B')) x(c) WHERE NOT (c = 'A' AND from_state = 2) AND NOT (c = 'B' AND from_state = 3)",
     "tmatrix_ab": one_way("A", "purchase"),
     "tmatrix_ba": one_way("B", "signup"),
     "entry_flux_distribution": f"WITH {TRAJ}{coloured('CASE WHEN state IN (' + chr(39) + 'signup' + chr(39) + ', ' + chr(39) + 'view' + chr(39) + ') THEN ' + chr(39) + 'A' + chr(39) + ' WHEN state IN (' + chr(39) + 'purchase' + chr(39) + ', ' + chr(39) + 'error' + chr(39) + ') THEN ' + chr(39) + 'B' + chr(39) + ' END', 1)}, e AS (SELECT to_state AS state, sum(n) AS n FROM colored WHERE from_color = 'A' AND to_color = 'B' GROUP BY ALL) SELECT state, {r6('n / (SELECT sum(n) FROM e)')} AS p FROM e",
-    "folded_populations": f"WITH {TRAJ}{coloured(AB, 1)} SELECT to_state AS state, sum(n)::BIGINT AS n FROM colored GROUP BY to_state",
+    "folded_populations": f"WITH RECURSIVE {TRAJ}{coloured(AB, 1)}{CEDGES}{CODED}{STEADY} SELECT range AS state, {r6('coalesce(sum(v), 0)')} AS value FROM range(5) LEFT JOIN cpi ON s // 2 = range GROUP BY range",
     "commute_time_min": f"WITH {MFPTS} SELECT i, j, {r6('c')} AS commute FROM c ORDER BY c, i, j LIMIT 1",
     "commute_time_max": f"WITH {MFPTS} SELECT i, j, {r6('c')} AS commute FROM c ORDER BY c DESC, i, j LIMIT 1",
     "nearest_center": f"WITH {VEC}, d AS (SELECT vec_id, cen.bin AS state, sqrt(sum((v - c) ^ 2)) AS d FROM vec JOIN cen USING (k) GROUP BY ALL) SELECT vec_id, state, {r6('d')} AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, state) = 1",
@@ -180,11 +215,30 @@ SQL: dict[str, str] = {
     "optimized_bin_lookup": f"WITH {SEG}, b AS (SELECT CASE WHEN p1 > 150 AND p1 < 1000 THEN 4 WHEN p1 > 0 AND p1 < 5 THEN 3 ELSE CASE to_cluster WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 4 THEN 2 ELSE -1 END END::BIGINT AS bin FROM seg) SELECT bin, count(*) AS n FROM b GROUP BY bin",
     "target_reached": f"WITH {SEG}, c AS (SELECT *, max(n_iter) OVER (PARTITION BY file_idx) AS last FROM seg) SELECT count(*) > 0 AS reached FROM c WHERE n_iter < last AND p1 > 150 AND p1 < 1000",
     "end_coordinates": f"WITH {SEG} SELECT n_iter, count(*) AS n, {r6('sum(p1)')} AS x_sum FROM seg WHERE p1 <= 100 GROUP BY n_iter",
-    "lagged_pairs": f"WITH {SEG}, s AS (SELECT file_idx, n_iter, seg_id, weight, p0, p1, CASE WHEN p1 > 150 THEN -1 ELSE parent_id END AS parent_id FROM seg), o AS (SELECT b.p0 AS x, a.p1 AS y, a.weight FROM s a JOIN s b ON b.file_idx = a.file_idx AND b.n_iter = a.n_iter - 1 AND b.seg_id = a.parent_id WHERE a.parent_id >= 0 UNION ALL SELECT -1, p1, weight FROM s WHERE parent_id < 0 UNION ALL SELECT p0, -2, weight FROM s WHERE parent_id < 0) SELECT count(*) AS n, {r6('sum(weight)')} AS w, {r6('sum(x)')} AS start_sum, {r6('sum(y)')} AS end_sum FROM o",
+    "lagged_pairs": lagged(1),
     "history_trajectories": f"WITH {SEG} SELECT a.file_idx, a.seg_id, count(b.seg_id) AS n, {r6('sum(b.p1)')} AS x_sum FROM seg a JOIN seg b ON b.file_idx = a.file_idx AND b.seg_id = a.seg_id AND b.n_iter BETWEEN 9 AND 12 WHERE a.n_iter = 12 GROUP BY ALL",
-    "parsed_labels": f"WITH {SEG} SELECT 'b' || to_cluster || '_s' || seg_id AS label, to_cluster::BIGINT AS bin, seg_id AS seg, {r6('p1')} AS p1 FROM seg WHERE n_iter = 2",
-    "structure_hash_states": f"WITH {SEG}, h AS (SELECT seg_id, to_state, md5(printf('%.2f', p0) || ',' || printf('%.2f', p1)) AS hash FROM st WHERE n_iter = 3) SELECT seg_id, hash, min(to_state) OVER (PARTITION BY hash) AS state FROM h",
+    "parsed_labels": f"WITH {SEG}{COMPLETE} SELECT n_iter, 'b' || to_cluster || '_s' || seg_id AS label, to_cluster::BIGINT AS bin, seg_id AS seg, {r6('p1')} AS p1 FROM done",
+    "structure_hash_states": f"WITH {SEG}{COMPLETE}, h AS (SELECT n_iter, seg_id, to_state, md5(printf('%.2f', p0) || ',' || printf('%.2f', p1)) AS hash FROM done) SELECT n_iter, seg_id, hash, min(to_state) OVER (PARTITION BY hash) AS state FROM h",
     "normalized_vector": f"WITH {TRAJ}, v AS (SELECT state, sum(x) AS v FROM traj GROUP BY state) SELECT state, {r6('CASE WHEN (SELECT sum(v) FROM v) = 0 THEN v ELSE v / (SELECT sum(v) FROM v) END')} AS value FROM v",
     "checked_tmatrix": f"WITH {TM} SELECT bool_and(ok) AS ok FROM (SELECT min(p) >= 0 AND abs(sum(p) - 1) <= 1e-6 AS ok FROM t GROUP BY from_state)",
     "evolve_probability": f"WITH RECURSIVE {TM}, e AS (SELECT 0 AS k, state, 1.0::DOUBLE / 7 AS value FROM states UNION ALL SELECT k + 1, to_state, sum(value * p) FROM e JOIN t ON from_state = e.state WHERE k < 30 GROUP BY k, to_state), s AS (SELECT range AS step FROM range(0, 31, 10)) SELECT step, states.state, {r6('coalesce(value, 0)')} AS p FROM s CROSS JOIN states LEFT JOIN e ON e.k = step AND e.state = states.state",
+    "pseudo_flux": f"WITH RECURSIVE {TRAJ}{pairs('traj', 2)}{PSEUDO} SELECT from_state, from_color, to_state, to_color, {r6('f')} AS f FROM pf WHERE f > 0",
+    "trajectory_shapes": f"WITH {TRAJ} SELECT traj, count(*) AS n_snapshots, 1::BIGINT AS n_variables FROM traj GROUP BY traj",
+    "sorted_together": f"WITH {TRAJ}, c AS (SELECT traj, count(*) AS n, sum(x) AS x_sum FROM traj GROUP BY traj) SELECT n, traj, {r6('x_sum')} AS x_sum, row_number() OVER (ORDER BY n DESC, traj) - 1 AS place FROM c",
+    "macrostate_populations": f"WITH RECURSIVE {TRAJ}{coloured(AB, 1)}{CEDGES}{CODED}{STEADY} SELECT {r6('sum(CASE WHEN s // 2 = 3 THEN v ELSE 0 END)')} AS pop_a, {r6('sum(CASE WHEN s // 2 = 2 THEN v ELSE 0 END)')} AS pop_b FROM cpi",
+    "fpt_distribution": f"WITH RECURSIVE {TRAJ}{pairs('traj', 1)}{LEDGES}, m AS (SELECT from_state AS f, to_state AS t, p FROM le)" + passage_shares("m", 3, 2, 50),
+    "fpt_distribution_ab": directed("A", 3, 2),
+    "fpt_distribution_ba": directed("B", 2, 3),
+    "mfpt_matrix": f"WITH RECURSIVE {TRAJ}{pairs('traj', 1)}{LEDGES}, g AS (SELECT 0 AS k, i, j, 0.0::DOUBLE AS v FROM (SELECT range AS i FROM range(5)), (SELECT range AS j FROM range(5)) UNION ALL SELECT k + 1, le.from_state, j, CASE WHEN le.from_state = j THEN 0 ELSE 1 + sum(CASE WHEN to_state = j THEN 0 ELSE p * v END) END FROM g JOIN le ON to_state = i WHERE k < 600 GROUP BY k, le.from_state, j) SELECT i, j, {r6('v')} AS t FROM g WHERE k = 600",
+    "path_model_mfpt": f"WITH RECURSIVE {TRAJ}{PATHS.replace(BOXES, AB)}, prs AS (SELECT from_state, state AS to_state, count(*) AS n FROM (SELECT *, lag(state) OVER (PARTITION BY traj, path_id ORDER BY idx) AS from_state FROM path) WHERE from_state IS NOT NULL GROUP BY ALL){LEDGES}, g AS (SELECT 0 AS k, from_state AS s, 0.0::DOUBLE AS v FROM (SELECT DISTINCT from_state FROM le) UNION ALL SELECT g.k + 1, le.from_state, 1 + sum(CASE WHEN to_state = 2 THEN 0 ELSE p * v END) FROM (SELECT k, s, v FROM g UNION ALL SELECT DISTINCT k, 2::BIGINT, 0.0::DOUBLE FROM g) g JOIN le ON g.s = to_state WHERE g.k < 600 GROUP BY g.k, le.from_state) SELECT {r6('v')} AS mfpt FROM g WHERE k = 600 AND s = 3",
+    "lagged_pairs_lag2": lagged(2),
+    "structures_by_state": f"WITH {SEG} SELECT to_state AS state, n_iter, file_idx, seg_id, {r6('weight')} AS weight FROM st WHERE n_iter >= 1 AND n_iter < {LAST} - 1",
+    "fill_bins": f"WITH {SEG}, b AS (SELECT n_iter, p1, CASE WHEN p1 < 0 THEN -1 WHEN p1 >= 200 THEN 4 ELSE floor(p1 / 50) END::BIGINT AS bin FROM seg), i AS (SELECT DISTINCT n_iter AS s FROM b), c AS (SELECT s, bin, count(*) AS n FROM b JOIN i ON n_iter >= s GROUP BY ALL), ok AS (SELECT s FROM c GROUP BY s HAVING min(n) >= 40), f AS (SELECT coalesce((SELECT max(s) FROM ok), (SELECT min(s) FROM i)) AS first) SELECT bin, count(*) AS n, min(n_iter) AS first, {r6('sum(p1)')} AS p1_sum FROM b, f WHERE n_iter >= f.first GROUP BY bin",
+    "voronoi_bins": "WITH c AS (SELECT * FROM (VALUES (0, 0.0, 0.0), (1, 20.0, 10.0), (2, 60.0, 5.0), (3, 200.0, 20.0)) v(i, x, y)), d AS (SELECT event_id, i, (value - x) ^ 2 + (user_id - y) ^ 2 AS d FROM events, c WHERE value IS NOT NULL AND user_id IS NOT NULL), n AS (SELECT i FROM d QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY d, i) = 1) SELECT i::BIGINT AS bin, count(*) AS n FROM n GROUP BY i",
+    "nearest_bin_overridden": f"WITH {VEC}, n AS (SELECT label::BIGINT AS bin, count(*) >= ((SELECT count(*) FROM embeddings) + 9) // 10 AS filled FROM embeddings GROUP BY label), d AS (SELECT a.bin, b.bin AS bin_to, max(abs(a.c - b.c)) AS d FROM cen a JOIN cen b USING (k) WHERE a.bin IN (SELECT bin FROM n WHERE NOT filled) AND b.bin IN (SELECT bin FROM n WHERE filled) GROUP BY ALL) SELECT bin, bin AS bin_to FROM n WHERE filled UNION ALL (SELECT bin, bin_to FROM d QUALIFY row_number() OVER (PARTITION BY bin ORDER BY d, bin_to) = 1)",
+    "optimized_mapper": f"WITH {SEG}, b AS (SELECT p1, least(CASE WHEN p1 < 0 THEN -1 WHEN p1 >= 400 THEN 4 ELSE floor(p1 / 100) END, 2)::BIGINT AS bin FROM seg), m AS (SELECT p1, CASE WHEN bin < 0 THEN NULL WHEN p1 <= 100 * bin + 50 THEN 2 * bin ELSE 2 * bin + 1 END AS state, CASE WHEN p1 <= 50 THEN 0 WHEN p1 <= 100 THEN 1 WHEN p1 <= 150 THEN 2 WHEN p1 <= 200 THEN 3 ELSE 4 END AS close FROM b), o AS (SELECT p1, CASE WHEN p1 > 150 AND p1 < 1000 THEN 4 WHEN p1 > 0 AND p1 < 5 THEN 3 WHEN state IN (0, 1) THEN 0 WHEN state IN (2, 3) THEN 1 WHEN state = 4 THEN 2 ELSE CASE close WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 1 ELSE 2 END END::BIGINT AS bin FROM m) SELECT bin, count(*) AS n, {r6('sum(p1)')} AS p1_sum FROM o GROUP BY bin",
+    "allocation": f"WITH {GIVEN}, c AS (SELECT state, pi, v, sum(pi * v) OVER (ORDER BY h, state ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM g), b AS (SELECT *, greatest(ceil(total / (SELECT max(total) FROM c) * 5) - 1, 0)::BIGINT AS bin FROM c), a AS (SELECT bin, sum(pi) * sqrt(sum(pi * v * v) / sum(pi)) AS alloc FROM b GROUP BY bin) SELECT bin, (round(alloc / sum(alloc) OVER () * 100) + 2)::BIGINT AS walkers FROM a",
+    "steady_state": f"WITH RECURSIVE {TM}{PI.replace('k < 200', 'k < 2000').replace('k = 200', 'k = 2000')} SELECT state, {r6('value')} AS value FROM pi",
+    "scc_clean": f"WITH RECURSIVE {EDGES}, e AS (SELECT from_state AS a, to_state AS b FROM edges WHERE w > 0 UNION SELECT 6, 5), r AS (SELECT state AS i, state AS j FROM states UNION SELECT i, b FROM r JOIN e ON a = j), c AS (SELECT x.i AS state, count(*) AS n, min(x.j) AS low FROM r x JOIN r y ON y.i = x.j AND y.j = x.i GROUP BY x.i) SELECT state, n = (SELECT max(n) FROM c) AND low = (SELECT min(low) FROM c WHERE n = (SELECT max(n) FROM c)) AS stays FROM c",
+    "model_mfpts": f"WITH RECURSIVE {TRAJ}{pairs('traj', 1)}{LEDGES}, cn AS (SELECT 2 * from_state + c AS f, 2 * to_state + CASE to_state WHEN 3 THEN 0 WHEN 2 THEN 1 ELSE c END AS t, p FROM le, (VALUES (0), (1)) x(c) WHERE NOT (c = 0 AND from_state = 2) AND NOT (c = 1 AND from_state = 3)){STEADY} SELECT 'AB' AS direction, {r6('(SELECT sum(v) FROM cpi WHERE s % 2 = 0) / (SELECT sum(v * p) FROM cpi JOIN cn ON f = s WHERE s % 2 = 0 AND t = 5)')} AS mfpt UNION ALL SELECT 'BA', {r6('(SELECT sum(v) FROM cpi WHERE s % 2 = 1) / (SELECT sum(v * p) FROM cpi JOIN cn ON f = s WHERE s % 2 = 1 AND t = 6)')}",
 }

@@ -112,20 +112,29 @@ def histories(segments: DataFrame, depth: int, keys: Sequence[str] = ("file_idx"
 
 
 def lagged_pairs(segments: DataFrame, n_lag: int, basis: Column, reference: Column, keys: Sequence[str] = ("file_idx",)) -> DataFrame:
-    """(start, end, weight) over n_lag parents; a recycled walker gives two: basis to its end, and the walker before to the reference.
+    """(start, end, weight) over n_lag parents; a walker recycled on the way gives two.
 
-    basis and reference: coordinate columns (literals) of the basis and target structures.
+    One is from the basis to its end, with its weight. The other is from the structure before the warp to the
+    reference, with the weight that the walker had where it was recycled. A history ends at a warp, and what it then
+    points to n_lag iterations back is the first segment of that iteration in its file: that one's start is the
+    structure before the warp. basis and reference: coordinate columns (literals) of the two structures.
     """
     if n_lag == 0:
         return transition_pairs(segments).select("start", "end", "weight")
     chain = histories(segments, n_lag, keys, ("coord0", "parent_id", "weight"))
-    warped = F.col("parent_id") < 0
+    at_warp = F.when(F.col("parent_id") < 0, F.col("weight"))
     for k in range(1, n_lag):
-        warped = warped | (F.col(f"parent_id_{k}") < 0)
+        at_warp = at_warp.when(F.col(f"parent_id_{k}") < 0, F.col(f"weight_{k}"))
+    chain = chain.withColumn("_warp", at_warp)
     start = F.col(f"coord0_{n_lag}")
-    plain = chain.where(~F.coalesce(warped, F.lit(False)) & start.isNotNull()).select(start.alias("start"), F.col("coord1").alias("end"), "weight")
-    recycled = chain.where(F.coalesce(warped, F.lit(False)))
-    return plain.unionByName(recycled.select(basis.alias("start"), F.col("coord1").alias("end"), "weight")).unionByName(recycled.select(F.col("coord0").alias("start"), reference.alias("end"), F.col("weight")))
+    plain = chain.where(F.col("_warp").isNull() & start.isNotNull()).select(start.alias("start"), F.col("coord1").alias("end"), "weight")
+    recycled = chain.where(F.col("_warp").isNotNull())
+    first = segments.groupBy(*[F.col(c).alias(f"_{c}") for c in keys], (F.col("n_iter") + n_lag).alias("_iter")).agg(F.min_by("coord0", "seg_id").alias("_before"))
+    on = F.col("n_iter") == F.col("_iter")
+    for c in keys:
+        on = on & (F.col(c) == F.col(f"_{c}"))
+    before = recycled.join(first, on).select(F.col("_before").alias("start"), reference.alias("end"), F.col("_warp").alias("weight"))
+    return plain.unionByName(recycled.select(basis.alias("start"), F.col("coord1").alias("end"), "weight")).unionByName(before)
 
 
 def trajectories(segments: DataFrame, from_iter: int, length: int) -> DataFrame:
@@ -160,12 +169,63 @@ def until_budget(segments: DataFrame, budget: int) -> DataFrame:
 
 
 def read_pdb(spark: SparkSession, path: str) -> DataFrame:
-    """ATOM records of a structure file: serial, name, res_name, res_seq, x, y, z (fixed columns of the format)."""
+    """Atoms of a structure file: serial, name, res_name, res_seq, x, y, z (fixed columns of the format)."""
     text = lambda a, n: F.trim(F.substring("value", a, n))
-    rows = spark.read.text(path).where(F.substring("value", 1, 4) == "ATOM")
+    rows = spark.read.text(path).where(F.rtrim(F.substring("value", 1, 6)).isin("ATOM", "HETATM"))
     return rows.select(text(7, 5).cast("int").alias("serial"), text(13, 4).alias("name"), text(18, 3).alias("res_name"), text(23, 4).cast("int").alias("res_seq"), text(31, 8).cast("double").alias("x"), text(39, 8).cast("double").alias("y"), text(47, 8).cast("double").alias("z"))
 
 
+def read_structure(spark: SparkSession, source: str | dict) -> DataFrame:
+    """(serial, x array) of a topology or basis structure: a .pdb file, a text file of numbers, or {"coords": rows}."""
+    if isinstance(source, dict):
+        rows = [(i, [float(v) for v in (x if hasattr(x, "__len__") else [x])]) for i, x in enumerate(source["coords"], 1)]
+        return spark.createDataFrame(rows, "serial int, x array<double>")
+    if source.endswith(".pdb"):
+        return read_pdb(spark, source).select("serial", F.array("x", "y", "z").alias("x"))
+    # Such a file is one structure; its lines are numbered as one file is read.
+    rows = spark.read.text(source, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda v: (F.trim(v) != "") & ~F.trim(v).startswith("#"))).alias("k", "line"))
+    return rows.select((F.col("k") + 1).alias("serial"), F.transform(F.split(F.trim("line"), r"[\s,]+"), lambda v: v.cast("double")).alias("x"))
+
+
+def write_values(rows: DataFrame, order: str, column: str, path: str) -> None:
+    """A text sink: one number for each line in scientific form, in order; for vectors over states, which are few."""
+    rows.coalesce(1).sortWithinPartitions(order).select(F.format_string("%.18e", F.col(column)).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_states(rows: DataFrame, path: str) -> None:
+    """Start, basis or target states (label, weight, ref) as lines "label weight ref", in order of their labels."""
+    line = F.concat_ws(" ", F.col("label").cast("string"), F.col("weight").cast("string"), F.col("ref"))
+    rows.orderBy("label").select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def structures_by_state(segments: DataFrame, state: str = "to_state") -> DataFrame:
+    """(state, n_iter, file_idx, seg_id, weight) of all structures, but those of the last two iterations; kept long."""
+    last = segments.agg(F.max("n_iter").alias("_last"))
+    rows = segments.crossJoin(F.broadcast(last)).where((F.col("n_iter") >= 1) & (F.col("n_iter") < F.col("_last") - 1))
+    return rows.where(F.col(state).isNotNull()).select(F.col(state).alias("state"), "n_iter", "file_idx", "seg_id", "weight")
+
+
+def first_filled(points: DataFrame, least: int) -> DataFrame:
+    """(first): the latest iteration from which on every bin that is seen holds at least least points, else the first.
+
+    Iterations are pulled from the last one back. A bin spoils every start after which it is seen but not yet filled;
+    the table of bins and iterations is small beside the points (n_iter, bin).
+    """
+    counts = points.groupBy("bin", "n_iter").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("bin").orderBy(F.desc("n_iter"))
+    run = counts.withColumn("have", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    bins = run.groupBy("bin").agg(F.max("n_iter").alias("seen"), F.max(F.when(F.col("have") >= least, F.col("n_iter"))).alias("full"))
+    iters = counts.select("n_iter").distinct()
+    spoilt = iters.join(bins, (F.col("n_iter") <= F.col("seen")) & (F.col("full").isNull() | (F.col("n_iter") > F.col("full"))), "left_anti")
+    least_iter = iters.agg(F.min("n_iter").alias("_min"))
+    return spoilt.agg(F.max("n_iter").alias("_max")).crossJoin(F.broadcast(least_iter)).select(F.coalesce("_max", "_min").alias("first"))
+
+
+def fill_bins(points: DataFrame, least: int) -> DataFrame:
+    """The points from first_filled() on."""
+    return points.join(F.broadcast(first_filled(points, least)), F.col("n_iter") >= F.col("first")).drop("first")
+
+
 def structure_reference(file: Column, n_iter: Column, seg_id: Column) -> Column:
     """A structure named by where it is stored."""
     return F.concat_ws(":", F.lit("hdf"), file, n_iter.cast("string"), seg_id.cast("string"))
