@@ -6,8 +6,9 @@ source is wanted target / source words times: the whole part is taken at once, t
 Pairs of fractional documents pass word mass between each other, in a random direction that keeps each expectation,
 until one is whole; so all but one document of a group become whole and the words taken keep their sum. Documents
 far larger than the rest come first and are made whole by trading with all smaller ones in equal shares. The one
-left over goes on to the next level of a reduction tree, and the last of a source is rounded by its own fraction.
-Words taken by a source differ from its target by less than the size of one document, mostly a small one.
+left over goes on to the next level of a reduction tree, and the last of a source is rounded by its own fraction. At
+the root what that leaves is settled: documents there, the largest first, change sides as long as that brings the
+words taken nearer to the target. A document's copies stay the whole numbers next to what is wanted of it.
 
 Groups are (source, chunk) with about CHUNK documents, chunks dealt by a hash of the row, so a source with most rows
 is many groups. Every random number is a hash of the documents paired, so reruns agree. Texts that are null or hold no
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, keep, small_or_not
+from .common import WORD, keep, small_or_not, unused
 
 WEIGHTS, CAP, CHUNK, SEED = (5, 2, 1), 3.0, 4096, 20240301
 #: A document of more than LARGE times its group's middle size trades mass with all smaller ones at once.
@@ -105,10 +106,28 @@ def pair_off(keys: list[int], sizes: list[int], shares: list[float]) -> list[flo
     return shares
 
 
+def settle(keys: list[int], sizes: list[int], before: list[float], after: list[float]) -> list[float]:
+    """Shares of a tree's root, all whole: the last fraction is rounded by itself, and what that leaves is settled.
+
+    Documents whose share was a fraction before change sides, the largest first, as long as the words taken come
+    nearer to their sum; so what is left is about half of a small document.
+    """
+    after = [(1.0 if _unit(k, 1) < p else 0.0) if p not in (0.0, 1.0) else p for k, p in zip(keys, after, strict=True)]
+    rest = sum(s * (q - p) for s, p, q in zip(sizes, before, after, strict=True))
+    for i in sorted(range(len(keys)), key=lambda i: (-sizes[i], keys[i])):
+        if 1e-9 < before[i] < 1 - 1e-9 and sizes[i]:
+            turned = rest + sizes[i] * (1 - 2 * after[i])
+            if abs(turned) < abs(rest):
+                after[i], rest = 1 - after[i], turned
+    return after
+
+
 def _level(pdf):
     """One group of the tree, paired off from the largest document down, so that the one left over tends to be small."""
     pdf = pdf.sort_values(["size", "key"], ascending=[False, True], kind="stable")
-    return pdf.assign(share=pair_off([k & 0xFFFFFFFFFFFFFFFF for k in pdf["key"].tolist()], pdf["size"].tolist(), pdf["share"].tolist()))
+    keys, sizes, shares = [k & 0xFFFFFFFFFFFFFFFF for k in pdf["key"].tolist()], pdf["size"].tolist(), pdf["share"].tolist()
+    after = pair_off(keys, sizes, shares)
+    return pdf.assign(share=settle(keys, sizes, shares, after) if pdf["chunks"].iloc[0] <= 1 else after)
 
 
 def _final(share: Column) -> Column:
@@ -138,8 +157,6 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     while True:
         part = keep(part.groupBy("source", "chunk").applyInPandas(_level, part.schema), "op3-level")
         if most <= 1:
-            last = F.when(_final(F.col("share")), F.col("share")).when((F.pmod(F.xxhash64(F.lit(SEED), F.col("key"), F.lit("last")), F.lit(1 << 30)) / float(1 << 30)) < F.col("share"), 1.0).otherwise(0.0)
-            part = part.withColumn("share", last)
             break
         whole = part.where(_final(F.col("share")))
         done = whole if done is None else done.unionByName(whole)
@@ -156,10 +173,11 @@ def repeat_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str =
 
     Rows that share an id get their copies in the order of their sizes.
     """
-    plan = mix_documents(docs, id_col, source_col, text_col).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("size", "copies"))).alias("_plan"))
-    once = plan.where(F.size("_plan") == 1).select("_id", F.col("_plan")[0]["copies"].alias("_n")).where("_n > 0")
-    single = docs.join(small_or_not(keep(once, "op3-copies")), F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
-    more = keep(plan.where(F.size("_plan") > 1), "op3-repeated")
+    key, plan_col, n, i = unused(docs, "_id", "_plan", "_n", "_i")
+    plan = mix_documents(docs, id_col, source_col, text_col).groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("size", "copies"))).alias(plan_col))
+    once = plan.where(F.size(plan_col) == 1).select(key, F.col(plan_col)[0]["copies"].alias(n)).where(F.col(n) > 0)
+    single = docs.join(small_or_not(keep(once, "op3-copies")), F.col(id_col).eqNullSafe(F.col(key))).drop(key)
+    more = keep(plan.where(F.size(plan_col) > 1), "op3-repeated")
     if more.isEmpty():
         rows = single
     else:
@@ -167,6 +185,6 @@ def repeat_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str =
 
         size = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.regexp_count(F.col(text_col), F.lit(WORD)))
         w = Window.partitionBy(id_col).orderBy(size, text_col, source_col)
-        many = docs.join(more, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_n", F.get("_plan", F.row_number().over(w) - 1)["copies"])
-        rows = single.unionByName(many.where("_n > 0").drop("_id", "_plan"))
-    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_i", "_n")
+        many = docs.join(more, F.col(id_col).eqNullSafe(F.col(key))).withColumn(n, F.get(plan_col, F.row_number().over(w) - 1)["copies"])
+        rows = single.unionByName(many.where(F.col(n) > 0).drop(key, plan_col))
+    return rows.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(i, n)
