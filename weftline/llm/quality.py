@@ -11,7 +11,7 @@ shares) is taken, the most lenient of equals; in a stratum without one (too few
 the rules.
 
 Texts: null counts as empty. Documents below the base limits fail without a look at the rules. Labels: repeated
-ones count once, a document with different labels counts as bad, null labels are left out. Null languages are a
+ones count once, as do repeated rows of one id, a document with different labels counts as bad, null labels are left out. Null languages are a
 stratum, and so is every other value, however many there are. Extra columns are ignored by the statistics and passed
 on by filter_documents.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import keep, small_or_not, trimmed
 
-ALPHA, DELTA, PENALTY, BINS = 0.02, 0.05, 5.0, 256
+ALPHA, DELTA, PENALTY = 0.02, 0.05, 5.0
 WINDOW = 8
 
 #: Rule: its unit. Symbols a word, capitals among letters, exclamation marks a word, words in repeated windows, words
@@ -126,7 +126,7 @@ def at_most(k: int, n: int, p: float) -> float:
 
 
 def choose_cutoff(good: np.ndarray, bad: np.ndarray, alpha: float, delta: float) -> int | None:
-    """The cutoff of one stratum from counts of documents by level: those above it are rejected."""
+    """The place of one stratum's cutoff among its levels, from counts of documents by level: those above it are rejected."""
     n, best, chosen = int(good.sum()), 0.0, None
     over = np.concatenate([np.cumsum(good[::-1])[::-1][1:], [0]])
     hits = np.concatenate([np.cumsum(bad[::-1])[::-1][1:], [0]])
@@ -140,19 +140,21 @@ def choose_cutoff(good: np.ndarray, bad: np.ndarray, alpha: float, delta: float)
 
 
 def level() -> Column:
-    """The largest of the rules' statistics in units, BINS - 1 at most."""
-    return F.least(F.greatest(*[F.ceil(F.col(r) / w) for r, w in RULES.items()]), F.lit(BINS - 1)).cast("int")
+    """The largest of the rules' statistics in units, rounded up."""
+    return F.greatest(*[F.ceil(F.col(r) / w) for r, w in RULES.items()]).cast("long")
 
 
 def fit_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str = "lang", label: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(_stratum, _cutoff): the cutoff level of each stratum that has one; _stratum may be null.
 
-    Uses every labelled document that passes the base limits. A stratum's counts by level are one row, and its cutoff
-    is chosen where that row is.
+    Uses every labelled document that passes the base limits; rows that share an id are one trial, that of the highest
+    level. A stratum's counts by level are one row, and its cutoff is chosen where that row is: the highest level that
+    parts the labelled documents in the same way.
     """
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label).alias("_good"))
     rows = stats.where(~base_failed()).join(marks, F.col(id_col) == F.col("_id"))
-    counts = rows.groupBy(F.col(stratum).alias("_stratum"), (F.col("_good") > 0).cast("int").alias("good"), level().alias("level")).agg(F.count("*").alias("n"))
+    trials = rows.groupBy("_id").agg(F.max(F.struct(level().alias("level"), F.col(stratum).alias("_stratum"), (F.col("_good") > 0).cast("int").alias("good"))).alias("t")).select("t.*")
+    counts = trials.groupBy("_stratum", "good", "level").agg(F.count("*").alias("n"))
     strata = keep(counts.groupBy("_stratum").agg(F.collect_list(F.struct("good", "level", "n")).alias("counts")), "op4-counts")
     share = delta / max(1, strata.count())
 
@@ -162,13 +164,16 @@ def fit_rules(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", strat
         for batch in batches:
             cutoffs = []
             for found in batch.column(1).to_pylist():
-                t = np.zeros((2, BINS), np.int64)
+                levels = sorted({r["level"] for r in found} | {0})
+                at = {v: i for i, v in enumerate(levels)}
+                t = np.zeros((2, len(levels)), np.int64)
                 for r in found:
-                    t[r["good"], r["level"]] += r["n"]
-                cutoffs.append(choose_cutoff(t[1], t[0], alpha, share))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cutoffs, pa.int32())], names=["_stratum", "_cutoff"])
+                    t[r["good"], at[r["level"]]] += r["n"]
+                c = choose_cutoff(t[1], t[0], alpha, share)
+                cutoffs.append(None if c is None else levels[c + 1] - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cutoffs, pa.int64())], names=["_stratum", "_cutoff"])
 
-    schema = T.StructType([T.StructField("_stratum", stats.schema[stratum].dataType), T.StructField("_cutoff", T.IntegerType())])
+    schema = T.StructType([T.StructField("_stratum", stats.schema[stratum].dataType), T.StructField("_cutoff", T.LongType())])
     return keep(strata.mapInArrow(trimmed(run), schema).where("_cutoff is not null"), "op4-cutoffs")
 
 
