@@ -10,7 +10,9 @@ Reading: archives are cut into records by their content lengths. Records with a
 origin, ordered by number, checked to be complete and of the stated total length, and joined; then the chunked
 framing is decoded and the digest compared with the one stated. A record that fails a check raises an error.
 
-Null html counts as empty. Null ids and urls are written as absent fields and read back as null.
+Null html counts as empty. Null ids and urls are written as absent fields and read back as null. Ids may be numbers
+or strings; an id or url that would not survive in a header line is written in hexadecimal. A file holds at most
+PER_FILE records of at most SEGMENT bytes and a head, so reading one whole is bounded.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from .common import keep, scratch_path, small_or_not, trimmed
 SHARED, SEGMENT, CHUNK, PER_FILE = 100, 16384, 4096, 2000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-READ = "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, origin string, segment int, total bigint, block binary"
+READ = "page_id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes bigint, origin string, segment int, total bigint, block binary"
 
 
 def cuts(data: bytes, size: int) -> Iterator[bytes]:
@@ -65,14 +67,28 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n%bContent-Length: %d\r\n\r\n%b\r\n\r\n" % (head.encode(), len(block), block)
 
 
-def records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None, mark: str) -> Iterator[bytes]:
+def _named(field: str, value: object) -> list[tuple[str, object]]:
+    """A field that holds value, in hexadecimal if need be."""
+    text = None if value is None else str(value)
+    if text is None or text and text.isascii() and text.isprintable() and text == text.strip():
+        return [(field, text)]
+    return [(f"{field}-Hex", text.encode("utf-8", "surrogatepass").hex())]
+
+
+def _value(fields: dict[str, str], field: str) -> str | None:
+    if f"{field}-hex" in fields:
+        return bytes.fromhex(fields[f"{field}-hex"]).decode("utf-8", "surrogatepass")
+    return fields.get(field)
+
+
+def records(page_id: object, url: str | None, payload: bytes, digest: str, refers_to: object, refers_url: str | None, mark: str) -> Iterator[bytes]:
     """The records of one page; mark makes their ids unique."""
     name = lambda *x: f"<{uuid.UUID(bytes=hashlib.blake2b(repr((mark, *x)).encode(), digest_size=16).digest()).urn}>"
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     uri = None if url is None else " ".join(url.split())
-    common = [("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response"), ("WARC-Page-ID", page_id), ("WARC-Page-URL", None if url is None or url == uri else url.encode().hex())]
+    common = [("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response"), *_named("WARC-Page-ID", page_id), ("WARC-Page-URL", None if url is None or url == uri else url.encode().hex())]
     if refers_to is not None:
-        extra = [("WARC-Profile", PROFILE), ("WARC-Refers-To-Target-URI", refers_url), ("WARC-Refers-To-Page-ID", refers_to), ("WARC-Payload-Length", len(payload))]
+        extra = [("WARC-Profile", PROFILE), ("WARC-Refers-To-Target-URI", refers_url), *_named("WARC-Refers-To-Page-ID", refers_to), ("WARC-Payload-Length", len(payload))]
         yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", name()), *common, *extra], head)
         return
     block = head + chunked(payload)
@@ -134,12 +150,12 @@ def _written(batches: Iterator) -> Iterator:
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Archives of all pages in the folder path, gzip-compressed."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
     same = rows.where(F.octet_length("html") >= SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n")).where("n > 1").drop("n")
     same = small_or_not(keep(same, "op9-shared"))
     rows = rows.join(same, "digest", "left").withColumn("first", F.when(F.col("first").eqNullSafe(F.col("page_id")), F.lit(None)).otherwise(F.col("first")))
-    rows = rows.select("page_id", "url", "html", "digest", "first", "first_url").mapInArrow(trimmed(_written), "value string")
+    rows = rows.select(F.col("page_id").cast("string"), "url", "html", "digest", F.col("first").cast("string"), "first_url").mapInArrow(trimmed(_written), "value string")
     rows.write.option("compression", "gzip").option("lineSep", "\r\n").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
@@ -147,7 +163,7 @@ def _read(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     names = [x.split()[0] for x in READ.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -165,7 +181,7 @@ def _read(batches: Iterator) -> Iterator:
                 if kind == "response" and segment is None:
                     digest, size = _checked(block, stated)
                 origin = f.get("warc-segment-origin-id") or f["warc-record-id"]
-                rows.append((number(f.get("warc-page-id")), url, kind, number(f.get("warc-refers-to-page-id")), digest, size, origin, segment, number(f.get("warc-segment-total-length")), block if segment else None))
+                rows.append((_value(f, "warc-page-id"), url, kind, _value(f, "warc-refers-to-page-id"), digest, size, origin, segment, number(f.get("warc-segment-total-length")), block if segment else None))
                 held += len(block) if segment else 100
                 if held > 4 << 20:
                     yield made(rows)
@@ -189,19 +205,20 @@ def _joined(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(digests, pa.string()), pa.array(sizes, pa.int64())], names=["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes"])
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """page_id, url, record_type, refers_to, payload_digest and payload_bytes of each page in a folder of archives."""
     found = keep(spark.read.format("binaryFile").load(path).select("content").mapInArrow(trimmed(_read), READ), "op9-records")
     out = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes"]
     lead = F.when(F.col("segment") == 1, F.struct("page_id", "url", "record_type", "refers_to", F.col("payload_digest").alias("stated")))
     parts = found.where("segment is not null").groupBy("origin").agg(F.max(lead).alias("lead"), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"))
-    schema = "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint"
+    schema = "page_id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes bigint"
     joined = parts.select("lead.*", "total", "parts").mapInArrow(trimmed(_joined), schema)
-    return found.where("segment is null").select(*out).unionByName(joined)
+    both = found.where("segment is null").select(*out).unionByName(joined)
+    return both.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes the pages to archives in the shared folder and reads these back."""
     path = scratch_path(pages.sparkSession, "warc")
     write_archives(pages, path, id_col, url_col, html_col)
-    return read_archives(pages.sparkSession, path)
+    return read_archives(pages.sparkSession, path, pages.schema[id_col].dataType.simpleString())
