@@ -81,7 +81,7 @@ def with_next(rows: DataFrame, id_col: str, carry: list[str], text: str) -> Data
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     h1, h2 = wide_hash(canonical(F.col("text")))
-    near = with_next(rows.select("*", h1.alias("h1"), h2.alias("h2")), "doc_id", ["text", "h1", "h2"], "text")
+    near = with_next(rows.select("*", h1.alias("h1"), h2.alias("h2")), "doc_id", ["doc_id", "text", "h1", "h2"], "text")
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
@@ -90,6 +90,23 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return near.withColumn("edited_form", canonical(F.col("edited"))).select("*", e1.alias("e1"), e2.alias("e2"))
 
 
+def _entries(docs: DataFrame, slim: DataFrame, shared: DataFrame) -> DataFrame:
+    """(h1, h2, form) of texts and edited texts whose hash others share: texts are read again, and only such are moved.
+
+    An edited text needs the next row, so rows with a needed id or the id after it are read; among these the next one
+    is the same as in the whole table.
+    """
+    h1, h2 = wide_hash(F.col("form"))
+    own = docs.select(canonical(F.coalesce("text", F.lit(""))).alias("form")).select(h1.alias("h1"), h2.alias("h2"), "form")
+    keys = shared.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"))
+    need = slim.join(small_or_not(keys), ["e1", "e2"], "left_semi").select(F.explode(F.array("doc_id", "next_doc_id")).alias("_need")).distinct()
+    need = small_or_not(keep(need, "op1-needed"))
+    some = docs.join(need, F.col("doc_id").eqNullSafe(F.col("_need")), "left_semi")
+    edited = _hashed(some, "doc_id", "text").select(F.col("e1").alias("h1"), F.col("e2").alias("h2"), F.col("edited_form").alias("form"))
+    hits = small_or_not(shared)
+    return own.join(hits, ["h1", "h2"], "left_semi").unionByName(edited.join(hits, ["h1", "h2"], "left_semi"))
+
+
 def mixed_buckets(entries: DataFrame, keys: DataFrame) -> DataFrame:
     """Of the buckets in keys (h1, h2), those whose entries (h1, h2, form) hold more than one form, compared as bytes."""
     same = entries.join(small_or_not(keys), ["h1", "h2"], "left_semi")
@@ -103,11 +120,11 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     equal and 0.0 elsewhere.
     """
     full = _hashed(docs, id_col, text_col)
-    slim = keep(full.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "h1", "h2", "e1", "e2", "next_h1", "next_h2"), "op1")
+    slim = keep(full.select("doc_id", "next_doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "h1", "h2", "e1", "e2", "next_h1", "next_h2"), "op1")
     pairs = lambda a, b: F.struct(F.col(a).alias("h1"), F.col(b).alias("h2"))
     shared = slim.select(F.inline(F.array(pairs("h1", "h2"), pairs("e1", "e2")))).groupBy("h1", "h2").count().where("count > 1").drop("count")
-    form = lambda a, b, c: F.struct(F.col(a).alias("h1"), F.col(b).alias("h2"), c.alias("form"))
-    entries = full.select(F.inline(F.array(form("h1", "h2", canonical(F.col("text"))), form("e1", "e2", F.col("edited_form")))))
+    shared = keep(shared, "op1-shared")
+    entries = _entries(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), slim, shared)
     mixed = keep(mixed_buckets(entries, shared), "op1-mixed")
     key = lambda a, b: F.concat(hex64(F.col(a)), hex64(F.col(b)))
     if mixed.isEmpty():
