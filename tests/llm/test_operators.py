@@ -177,9 +177,25 @@ def test_mix_levels(spark, monkeypatch):
     assert all(abs(r["t"] - r["w"]) <= 40 for r in got)
 
 
+def test_small_sources_meet_their_targets(spark):
+    """Sources of a few dozen documents, some of them very long, are mixed to within a small document."""
+    from weftline.llm import mixing
+
+    rng = random.Random(7)
+    rows = [(i, "w " * rng.choice([rng.randint(20, 600), rng.randint(20, 600), 5000]), f"s{i % 9}") for i in range(400)]
+    got = mixing.mix_documents(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    for s in {r["source"] for r in got}:
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 0.01 * mine[0]["target"]
+        wanted = mine[0]["target"] / mine[0]["source_size"]
+        assert all(math.floor(wanted) <= r["copies"] <= math.ceil(wanted) for r in mine)
+
+
 def test_repeated_documents(spark, docs, rows):
     from weftline.llm.mixing import mix_documents, repeat_documents
 
+    clash = docs.withColumns({"_id": F.lit(1), "_n": F.lit(2), "_plan": F.lit(3), "_i": F.lit(4)})
+    assert repeat_documents(clash).columns == clash.columns
     got = repeat_documents(docs)
     assert got.columns == docs.columns
     want = mix_documents(docs).agg(F.sum("copies")).first()[0]
@@ -230,6 +246,23 @@ def test_binomial_and_cutoffs():
         assert c is None or at_most(int(g[c + 1 :].sum()), int(g.sum()), 0.1) <= 0.05
 
 
+def test_repeated_rows_are_one_trial(spark):
+    """Five copies of each labelled good document are no more evidence than one."""
+    from weftline.llm.quality import fit_rules, with_statistics
+
+    rng = random.Random(4)
+    say = lambda mark: " ".join(w + mark for w in rng.choices([f"word{i}" for i in range(200)], k=40))
+    good, bad = [(i, say(""), "en") for i in range(150)], [(1000 + i, say("#" * 400), "en") for i in range(40)]
+    labels = spark.createDataFrame([(i, 1) for i, *_ in good] + [(i, 0) for i, *_ in bad], "doc_id bigint, quality int")
+    fit = lambda rows: fit_rules(with_statistics(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")), labels).collect()
+    assert fit(good + bad)
+    assert fit(good[:100] + bad) == fit(good[:100] * 5 + bad) == []
+    # Levels have no upper end: 400 marks a word are told from 300.
+    milder = [(2000 + i, say("#" * 300), "en") for i in range(300)]
+    labels = labels.unionByName(spark.createDataFrame([(i, 1) for i, *_ in milder], "doc_id bigint, quality int"))
+    assert 30_000 <= fit(good + bad + milder)[0]["_cutoff"] < 40_000
+
+
 def test_judged(spark, docs, rows, none):
     from weftline.llm.quality import filter_documents, judge_documents
 
@@ -558,8 +591,11 @@ def test_near_duplicates(spark, docs, rows, none):
 
     got = sorted((tuple(r) for r in near_duplicates(docs).collect()), key=str)
     assert got == slow_groups(rows)
+    clash = docs.withColumns({"_id": F.lit(1), "_n": F.lit(2), "m": F.create_map(F.lit("a"), F.lit(1))})
+    assert keep_one_of_each(clash).columns == clash.columns
     left = keep_one_of_each(docs)
     assert left.columns == docs.columns
+    assert keep_one_of_each(clash).count() == left.count()
     ids = [r[0] for r in left.where("doc_id = 200").select("doc_id").collect()]
     assert len(ids) <= 1
     assert near_duplicates(none).count() == 0
@@ -634,6 +670,16 @@ def test_archives(spark, tmp_path):
     assert read_archives  # the reader stands alone, too
 
 
+def test_archives_with_names_as_ids(spark):
+    from weftline.llm.warc import round_trip
+
+    same = "<p>" + "same " * 40
+    pages = [("b 1", same), ("a\nWARC-Type: x", same), ("é", "x"), ("", "y"), (" z", same + "!"), ("7", same)]
+    got = {r["page_id"]: r for r in round_trip(spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id string, url string, html string")).collect()}
+    assert set(got) == {i for i, _ in pages}
+    assert {i: r["refers_to"] for i, r in got.items() if r["record_type"] == "revisit"} == {"b 1": "7", "a\nWARC-Type: x": "7"}
+
+
 def test_segments_are_checked():
     from weftline.llm import warc
 

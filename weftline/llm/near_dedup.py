@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, small_or_not, trimmed
+from .common import keep, small_or_not, trimmed, unused
 from .graphs import components, merged
 from .shingles import BITS, HASHES
 
@@ -330,14 +330,16 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Documents without words are in no group and stay.
     """
     judged = keep(near_duplicates(docs, id_col, text_col), "op8-judged")
-    gone = small_or_not(judged.where("not kept").select(F.col("doc_id").alias("_id")).distinct())
-    rows = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
-    again = judged.where("kept and n_shingles > 0").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    key, n = unused(docs, "_id", "_n")
+    gone = small_or_not(judged.where("not kept").select(F.col("doc_id").alias(key)).distinct())
+    same = F.col(id_col).eqNullSafe(F.col(key))
+    rows = docs.join(gone, same, "left_anti")
+    again = judged.where("kept and n_shingles > 0").groupBy(F.col("doc_id").alias(key)).count().where("count > 1").select(key)
     again = keep(again, "op8-again")
     if again.isEmpty():
         return rows
     again = small_or_not(again)
-    same = F.col(id_col).eqNullSafe(F.col("_id"))
-    w = Window.partitionBy(id_col).orderBy(*[F.col(c) for c in docs.columns])
-    first = rows.join(again, same, "left_semi").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    # Columns of kinds that have no order, such as maps, are ordered as text.
+    w = Window.partitionBy(id_col).orderBy(*[F.col(c) if docs.schema[c].dataType.typeName() not in ("map", "variant") else F.col(c).cast("string") for c in docs.columns])
+    first = rows.join(again, same, "left_semi").withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
     return rows.join(again, same, "left_anti").unionByName(first)
