@@ -121,6 +121,36 @@ def test_partitions_do_not_matter(spark):
     assert one == sorted(r for p in parts for r in p)
 
 
+@pytest.mark.parametrize("block", [5, 16, 1000])
+def test_blocks_do_not_matter(spark, block):
+    """Operators over blocks of a trajectory give what windows over whole trajectories give."""
+    rows = [(t, i, "abcd"[(t * 7 + i * i * 3 + i // 3) % 4]) for t in range(4) for i in range(60 - 7 * t)] + [(9, 0, "a"), (None, 0, "a"), (None, 1, "b")]
+    df = spark.createDataFrame(rows, "traj bigint, idx bigint, state string").repartition(3)
+    a, b = F.col("state") == "a", F.col("state") == "d"
+    both = lambda f: [sorted(map(str, f(x).collect())) for x in (None, block)]
+    for f in (
+        lambda x: T.passages(df, a, b, block=x),
+        lambda x: T.passages(df, a, b, 2, block=x),
+        lambda x: T.paths(df, a, b, block=x),
+        lambda x: T.count_pairs(df, 3, block=x),
+        lambda x: T.count_pairs(df, 3, False, block=x),
+        lambda x: T.coloured_counts(df, a, b, 3, block=x),
+        lambda x: T.coloured_counts(df, a, b, 2, False, block=x),
+        lambda x: T.history_counts(df, a, b, 2, 3, block=x),
+        lambda x: T.correlation(df, a, b, [1, 2, 5], True, block=x),
+    ):
+        whole, parts = both(f)
+        assert whole == parts
+        assert whole
+
+
+def test_numbering_by_buckets(spark):
+    log = spark.createDataFrame([(i % 3, (i * 37) % 100, i) for i in range(90)], "who bigint, at bigint, id bigint")
+    one = T.from_log(log, "who", ["at", "id"], x="id")
+    many = T.from_log(log, "who", ["at", "id"], F.expr("at div 7"), x="id")
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+
+
 def test_one_exchange_for_passages(spark):
     df = spark.createDataFrame([(t, i, t * i % 10 / 10) for t in range(5) for i in range(9)], "traj bigint, idx bigint, x double")
     plan = T.passages(df, F.col("x") < 0.1, F.col("x") > 0.9)._jdf.queryExecution().executedPlan().toString()

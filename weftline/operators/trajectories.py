@@ -3,6 +3,10 @@
 in_a and in_b are Boolean columns over a row. A row's colour is the macrostate visited last, A being tested first;
 it is unknown (null) before the first visit. All windows of one operator share partition and order, so each plan
 has one exchange and one sort of the trajectories.
+
+With block, an operator never needs a whole trajectory in one task: rows are dealt by (traj, idx div block), a summary
+row for each block carries what came before it (the last label, a running count), and rows that look a fixed number
+of steps back or ahead are sent to the neighbouring block, too. Only the summary rows of a trajectory meet in a window.
 """
 
 from __future__ import annotations
@@ -18,10 +22,82 @@ def _by(keys=KEYS):
     return Window.partitionBy(*keys).orderBy("idx")
 
 
-def from_log(log: DataFrame, traj: str, order: list[str], **columns: str) -> DataFrame:
-    """Trajectories from an event log: idx numbers the rows of each traj by order, from 0."""
-    w = Window.partitionBy(traj).orderBy(*order)
-    return log.select(F.col(traj).alias("traj"), (F.row_number().over(w) - 1).cast("long").alias("idx"), *[F.col(c).alias(n) for n, c in columns.items()])
+#: Rows of a block where callers ask for blocks.
+BLOCK = 1 << 16
+
+
+def from_log(log: DataFrame, traj: str, order: list[str], bucket: Column | None = None, **columns: str) -> DataFrame:
+    """Trajectories from an event log: idx numbers the rows of each traj by order, from 0.
+
+    bucket: a column that never falls as order goes on, such as the day of a time; then rows are numbered within
+    (traj, bucket), and each bucket's rows start where the buckets before it end.
+    """
+    out = [F.col(traj).alias("traj"), *[F.col(c).alias(n) for n, c in columns.items()]]
+    if bucket is None:
+        w = Window.partitionBy(traj).orderBy(*order)
+        return log.select(out[0], (F.row_number().over(w) - 1).cast("long").alias("idx"), *out[1:])
+    rows = log.withColumn("_b", bucket)
+    sizes = rows.groupBy(F.col(traj).alias("_t"), F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))
+    first = F.coalesce(F.sum("_n").over(Window.partitionBy("_t").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_t", "_c", first.alias("_first"))
+    rows = rows.join(starts, F.col(traj).eqNullSafe(F.col("_t")) & F.col("_b").eqNullSafe(F.col("_c")))
+    w = Window.partitionBy("_t", "_c").orderBy(*order)
+    return rows.select(out[0], (F.col("_first") + F.row_number().over(w) - 1).cast("long").alias("idx"), *out[1:])
+
+
+def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    return rows.withColumn("_b", F.expr(f"idx div {int(block)}"))
+
+
+def _joined(rows: DataFrame, summary: DataFrame, keys) -> DataFrame:
+    """rows (keys, _b, ...) with the columns of summary (keys, _b, ...); null keys are equal."""
+    names = [*keys, "_b"]
+    side = summary.withColumnsRenamed({c: f"_s{i}" for i, c in enumerate(names)})
+    on = F.lit(True)
+    for i, c in enumerate(names):
+        on = on & F.col(c).eqNullSafe(F.col(f"_s{i}"))
+    return rows.join(side, on, "left").drop(*[f"_s{i}" for i in range(len(names))])
+
+
+def previous(rows: DataFrame, columns: list[str], keys, block: int) -> DataFrame:
+    """rows with _prev: a struct of columns of the row before by idx, null for a trajectory's first."""
+    rows = _in_blocks(rows, block)
+    of = F.struct(*columns)
+    last = rows.groupBy(*keys, "_b").agg(F.max_by(of, "idx").alias("_last"))
+    carry = last.select(*keys, "_b", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")).alias("_carry"))
+    inside = F.lag(of).over(Window.partitionBy(*keys, "_b").orderBy("idx"))
+    return _joined(rows.withColumn("_prev", inside), carry, keys).withColumn("_prev", F.coalesce("_prev", "_carry")).drop("_carry", "_b")
+
+
+def _coloured(rows: DataFrame, keys, block: int | None) -> DataFrame:
+    """rows (keys, idx, lab, ...) with color, the last label so far, and before, the color of the row before."""
+    if block is None:
+        w = _by(keys)
+        out = rows.withColumn("color", F.last("lab", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        return out.withColumn("before", F.lag("color").over(w))
+    rows = _in_blocks(rows, block)
+    last = rows.groupBy(*keys, "_b").agg(F.max_by("lab", F.when(F.col("lab").isNotNull(), F.col("idx"))).alias("_last"))
+    over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select(*keys, "_b", F.last("_last", ignorenulls=True).over(over).alias("_carry"))
+    w = Window.partitionBy(*keys, "_b").orderBy("idx")
+    out = rows.withColumn("color", F.last("lab", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = _joined(out.withColumn("before", F.lag("color").over(w)), carry, keys)
+    return out.withColumn("color", F.coalesce("color", "_carry")).withColumn("before", F.coalesce("before", "_carry")).drop("_carry", "_b")
+
+
+def _with_neighbours(rows: DataFrame, back: int, ahead: int, block: int) -> DataFrame:
+    """rows in blocks (_b), with _own; those within back rows of a block's start also stand in the block before it, and
+    those within ahead rows of its end also in the block after it."""
+    if max(back, ahead) > block:
+        raise ValueError("a block must hold the rows that are looked back and ahead")
+    at = F.col("idx") % block
+    copies = [F.struct(F.lit(0).alias("d"), F.lit(True).alias("own"))]
+    if ahead:
+        copies.append(F.when(at >= block - ahead, F.struct(F.lit(1).alias("d"), F.lit(False).alias("own"))))
+    if back:
+        copies.append(F.when((at < back) & (F.col("idx") >= block), F.struct(F.lit(-1).alias("d"), F.lit(False).alias("own"))))
+    out = _in_blocks(rows, block).withColumn("_c", F.explode(F.array_compact(F.array(*copies))))
+    return out.withColumn("_own", F.col("_c.own")).withColumn("_b", F.col("_b") + F.col("_c.d")).drop("_c")
 
 
 def macrostate(in_a: Column, in_b: Column) -> Column:
@@ -33,15 +109,21 @@ def strided(trajs: DataFrame, lag: int) -> DataFrame:
     return trajs if lag == 1 else trajs.where(F.col("idx") % lag == 0).withColumn("idx", F.expr(f"idx div {int(lag)}"))
 
 
-def passages(trajs: DataFrame, in_a: Column, in_b: Column, lag: int = 1, keys=KEYS) -> DataFrame:
+def passages(trajs: DataFrame, in_a: Column, in_b: Column, lag: int = 1, keys=KEYS, block: int | None = None) -> DataFrame:
     """First passages: (keys, idx of arrival, direction AB or BA, fpt, between: rows strictly between the two last-seen states)."""
-    w = _by(keys)
-    seen = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     rows = strided(trajs, lag).withColumn("lab", macrostate(in_a, in_b))
-    rows = rows.withColumn("color", F.last("lab", ignorenulls=True).over(seen)).withColumn("last_in", F.last(F.when(F.col("lab").isNotNull(), F.col("idx")), ignorenulls=True).over(earlier))
-    rows = rows.where("color is not null").withColumn("before", F.lag("color").over(w)).where("before is null or color <> before")
-    rows = rows.withColumn("fpt", (F.col("idx") - F.lag("idx").over(w)) * lag).where("before is not null")
+    if block is not None:
+        seen = previous(rows.where("lab is not null").select(*keys, "idx", "lab"), ["idx", "lab"], keys, block)
+        turns = seen.where("_prev is null or _prev.lab <> lab").select(*keys, "idx", "lab", F.col("_prev.idx").alias("last_in"))
+        rows = previous(turns, ["idx", "lab"], keys, block).where("_prev is not null")
+        rows = rows.select(*keys, "idx", F.col("lab").alias("color"), F.col("_prev.lab").alias("before"), "last_in", ((F.col("idx") - F.col("_prev.idx")) * lag).alias("fpt"))
+    else:
+        w = _by(keys)
+        seen = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("color", F.last("lab", ignorenulls=True).over(seen)).withColumn("last_in", F.last(F.when(F.col("lab").isNotNull(), F.col("idx")), ignorenulls=True).over(earlier))
+        rows = rows.where("color is not null").withColumn("before", F.lag("color").over(w)).where("before is null or color <> before")
+        rows = rows.withColumn("fpt", (F.col("idx") - F.lag("idx").over(w)) * lag).where("before is not null")
     return rows.select(*keys, (F.col("idx") * lag).alias("idx"), F.concat("before", "color").alias("direction"), "fpt", (F.col("idx") - F.col("last_in") - 1).alias("between"))
 
 
@@ -55,18 +137,31 @@ def event_durations(found: DataFrame) -> DataFrame:
     return found.select("traj", "idx", "direction", (F.col("between") + 1).alias("steps"), (2 * F.col("between") + 1).alias("steps_compat"))
 
 
-def paths(trajs: DataFrame, in_a: Column, in_b: Column, keys=KEYS) -> DataFrame:
+def paths(trajs: DataFrame, in_a: Column, in_b: Column, keys=KEYS, block: int | None = None) -> DataFrame:
     """Rows of A to B paths: (keys, path_id, idx, in_path, ...): from the first A after the last B to the next B."""
-    w = _by(keys)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = trajs.withColumn("lab", macrostate(in_a, in_b)).withColumn("color", F.last("lab", ignorenulls=True).over(upto))
-    rows = rows.withColumn("before", F.lag("color").over(w))
+    rows = _coloured(trajs.withColumn("lab", macrostate(in_a, in_b)), keys, block)
     starts = (F.col("color") == "A") & ~F.col("before").eqNullSafe("A")
     closes = (F.col("color") == "B") & F.col("before").eqNullSafe("A")
-    rows = rows.withColumn("path_id", F.sum(starts.cast("long")).over(upto)).where((F.col("color") == "A") | closes)
-    whole = Window.partitionBy(*keys, "path_id")
-    rows = rows.withColumn("_closed", F.max(closes.cast("int")).over(whole)).where("_closed = 1")
-    return rows.select(*keys, "path_id", "idx", *[c for c in trajs.columns if c not in (*keys, "idx")])
+    one = F.coalesce(starts, F.lit(False)).cast("long")
+    if block is None:
+        rows = rows.withColumn("path_id", F.sum(one).over(_by(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    else:
+        rows = _in_blocks(rows, block)
+        sums = rows.groupBy(*keys, "_b").agg(F.sum(one).alias("_n"))
+        over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        carry = sums.select(*keys, "_b", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_carry"))
+        w = Window.partitionBy(*keys, "_b").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = _joined(rows.withColumn("path_id", F.sum(one).over(w)), carry, keys).withColumn("path_id", F.col("path_id") + F.col("_carry")).drop("_carry", "_b")
+    rows = rows.where((F.col("color") == "A") | closes)
+    kept = ["path_id", "idx", *[c for c in trajs.columns if c not in (*keys, "idx")]]
+    if block is None:
+        whole = Window.partitionBy(*keys, "path_id")
+        return rows.withColumn("_closed", F.max(closes.cast("int")).over(whole)).where("_closed = 1").select(*keys, *kept)
+    ends = rows.where(closes).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, "path_id"])])
+    on = F.lit(True)
+    for i, c in enumerate([*keys, "path_id"]):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(ends, on, "left_semi").select(*keys, *kept)
 
 
 def path_lengths(found: DataFrame, keys=KEYS) -> DataFrame:
@@ -74,9 +169,14 @@ def path_lengths(found: DataFrame, keys=KEYS) -> DataFrame:
     return found.groupBy(*keys, "path_id").agg((F.count("*") - 1).alias("steps"))
 
 
-def count_pairs(trajs: DataFrame, lag: int = 1, sliding: bool = True, keys=KEYS) -> DataFrame:
+def count_pairs(trajs: DataFrame, lag: int = 1, sliding: bool = True, keys=KEYS, block: int | None = None) -> DataFrame:
     """(from_state, to_state, n): transitions over lag rows, from every row or from every lag-th."""
-    rows = trajs.withColumn("from_state", F.lag("state", lag).over(_by(keys))).where(F.col("idx") >= lag)
+    if block is None:
+        rows = trajs.withColumn("from_state", F.lag("state", lag).over(_by(keys)))
+    else:
+        rows = _with_neighbours(trajs, 0, lag, block)
+        rows = rows.withColumn("from_state", F.lag("state", lag).over(Window.partitionBy(*keys, "_b").orderBy("idx"))).where("_own")
+    rows = rows.where(F.col("idx") >= lag)
     if not sliding:
         rows = rows.where(F.col("idx") % lag == 0)
     return rows.where("from_state is not null and state is not null").groupBy("from_state", F.col("state").alias("to_state")).agg(F.count("*").alias("n"))
@@ -92,30 +192,36 @@ def normalized(edges: DataFrame, by: list[str], weight: str, name: str = "p") ->
     return edges.withColumn(name, F.col(weight) / F.sum(weight).over(Window.partitionBy(*by)))
 
 
-def coloured_counts(trajs: DataFrame, in_a: Column, in_b: Column, lag: int = 1, sliding: bool = True, keys=KEYS) -> DataFrame:
+def coloured_counts(trajs: DataFrame, in_a: Column, in_b: Column, lag: int = 1, sliding: bool = True, keys=KEYS, block: int | None = None) -> DataFrame:
     """(from_state, from_color, to_state, to_color, n) at stride lag.
 
     Rows of one residue of idx are a chain; its first row only lends its state. A pair counts when the colours before
     and after are known from rows of the chain after the first.
     """
     chain = [*keys, "_r"]
-    w = Window.partitionBy(*chain).orderBy("idx")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = trajs.withColumn("_r", F.col("idx") % lag)
     if not sliding:
         rows = rows.where("_r = 0")
-    rows = rows.withColumn("from_state", F.lag("state").over(w)).withColumn("lab", F.when(F.col("idx") >= lag, macrostate(in_a, in_b)))
-    rows = rows.withColumn("color", F.last("lab", ignorenulls=True).over(upto)).withColumn("from_color", F.lag("color").over(w))
+    rows = rows.withColumn("lab", F.when(F.col("idx") >= lag, macrostate(in_a, in_b)))
+    if block is None:
+        rows = rows.withColumn("from_state", F.lag("state").over(Window.partitionBy(*chain).orderBy("idx")))
+    else:
+        rows = previous(rows, ["state"], chain, block).withColumn("from_state", F.col("_prev.state")).drop("_prev")
+    rows = _coloured(rows, chain, block).withColumnRenamed("before", "from_color")
     rows = rows.where((F.col("idx") >= lag) & F.col("color").isNotNull() & F.col("from_color").isNotNull())
     return rows.groupBy("from_state", "from_color", F.col("state").alias("to_state"), F.col("color").alias("to_color")).agg(F.count("*").alias("n"))
 
 
-def history_counts(trajs: DataFrame, in_a: Column, in_b: Column, lag: int = 1, history: int = 0, sliding: bool = True, keys=KEYS) -> DataFrame:
+def history_counts(trajs: DataFrame, in_a: Column, in_b: Column, lag: int = 1, history: int = 0, sliding: bool = True, keys=KEYS, block: int | None = None) -> DataFrame:
     """As coloured_counts, with colours known from history rows before the pair only; U stands for unknown."""
-    w = _by(keys)
     rows = trajs.withColumn("lab", macrostate(in_a, in_b))
+    w = _by(keys)
+    if block is not None:
+        rows, w = _with_neighbours(rows, 0, lag + history, block), Window.partitionBy(*keys, "_b").orderBy("idx")
     rows = rows.withColumn("from_state", F.lag("state", lag).over(w))
     rows = rows.withColumn("from_color", F.last("lab", ignorenulls=True).over(w.rowsBetween(-(lag + history), -lag)))
+    if block is not None:
+        rows = rows.where("_own")
     rows = rows.withColumn("to_color", F.coalesce("lab", "from_color")).where(F.col("idx") >= lag)
     if not sliding:
         rows = rows.where(F.col("idx") % lag == 0)
@@ -137,7 +243,7 @@ def fractional_counts(counts: DataFrame, flux: DataFrame) -> DataFrame:
     return known.unionByName(split).groupBy("from_state", "from_color", "to_state", "to_color").agg(F.sum("n").alias("n"))
 
 
-def pseudo_flux(trajs: DataFrame, a: list, b: list, lag: int = 1, sliding: bool = True, keys=KEYS) -> DataFrame:
+def pseudo_flux(trajs: DataFrame, a: list, b: list, lag: int = 1, sliding: bool = True, keys=KEYS, block: int | None = None) -> DataFrame:
     """(from_state, from_color, to_state, to_color, f): the flux of the reversible Markov chain with colours added.
 
     a, b: the states of the two macrostates. The chain is solved on the driver, states by states.
@@ -149,7 +255,7 @@ def pseudo_flux(trajs: DataFrame, a: list, b: list, lag: int = 1, sliding: bool
     if len(names) > M.LIMIT:
         raise ValueError("too many states for a dense matrix")
     w = np.zeros((len(names), len(names)))
-    for r in count_pairs(trajs, lag, sliding, keys).collect():  # states by states
+    for r in count_pairs(trajs, lag, sliding, keys, block).collect():  # states by states
         w[at[r["from_state"]], at[r["to_state"]]] += r["n"]
     t2 = M.lifted_matrix(M.normalized_rows(w + w.T), [at[s] for s in a if s in at], [at[s] for s in b if s in at])
     f = M.steady_state(t2)[:, None] * t2
@@ -158,22 +264,27 @@ def pseudo_flux(trajs: DataFrame, a: list, b: list, lag: int = 1, sliding: bool
     return trajs.sparkSession.createDataFrame(rows, f"from_state {kind}, from_color string, to_state {kind}, to_color string, f double")
 
 
-def history_model(trajs: DataFrame, a: list, b: list, lag: int = 1, history: int = 0, sliding: bool = True, keys=KEYS) -> DataFrame:
+def history_model(trajs: DataFrame, a: list, b: list, lag: int = 1, history: int = 0, sliding: bool = True, keys=KEYS, block: int | None = None) -> DataFrame:
     """Coloured counts with finite history, unknown colours split by the flux of the chain with colours added."""
-    counts = history_counts(trajs, F.col("state").isin(a), F.col("state").isin(b), lag, history, sliding, keys)
-    return fractional_counts(counts.where("from_state is not null and to_state is not null"), pseudo_flux(trajs, a, b, lag, sliding, keys))
+    counts = history_counts(trajs, F.col("state").isin(a), F.col("state").isin(b), lag, history, sliding, keys, block)
+    return fractional_counts(counts.where("from_state is not null and to_state is not null"), pseudo_flux(trajs, a, b, lag, sliding, keys, block))
 
 
-def correlation(trajs: DataFrame, in_a: Column, in_b: Column, lags: list[int], symmetric: bool = False, keys=KEYS) -> DataFrame:
+def correlation(trajs: DataFrame, in_a: Column, in_b: Column, lags: list[int], symmetric: bool = False, keys=KEYS, block: int | None = None) -> DataFrame:
     """(delta, p): share of row pairs delta apart that start in A and end in B; symmetric: either order, averaged."""
     w = _by(keys)
     rows = trajs.withColumn("a", in_a.cast("int")).withColumn("b", in_b.cast("int"))
+    if block is not None:
+        rows, w = _with_neighbours(rows, max(lags), 0, block), Window.partitionBy(*keys, "_b").orderBy("idx")
     parts = []
     for d in lags:
         ahead = F.lead("b", d).over(w)
         back = F.lead("a", d).over(w)
         parts.append(F.struct(F.lit(d).cast("long").alias("delta"), (F.col("a") * ahead).alias("ab"), (F.col("b") * back).alias("ba")))
-    rows = rows.select(F.array(*parts).alias("_p")).select(F.inline("_p")).where("ab is not null")
+    rows = rows.withColumn("_p", F.array(*parts))
+    if block is not None:
+        rows = rows.where("_own")
+    rows = rows.select(F.inline("_p")).where("ab is not null")
     p = (F.avg("ab") + F.avg("ba")) / 2 if symmetric else F.avg("ab")
     return rows.groupBy("delta").agg(p.alias("p"))
 

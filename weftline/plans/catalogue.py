@@ -347,7 +347,7 @@ def is_reachable(spark, d):
 
 
 def _fpts(spark, d, lag=1):
-    return T.passages(V.event_trajs(spark, d), V.in_a(), V.in_b(), lag)
+    return T.passages(V.event_trajs(spark, d), V.in_a(), V.in_b(), lag, block=T.BLOCK)
 
 
 @query
@@ -368,7 +368,7 @@ def mean_fpt_lag2(spark, d):
 @query
 def mean_fpt_discrete(spark, d):
     rows = V.event_trajs(spark, d)
-    return tidy(T.mean_passages(T.passages(rows, F.col("state") == "signup", F.col("state") == "purchase")))
+    return tidy(T.mean_passages(T.passages(rows, F.col("state") == "signup", F.col("state") == "purchase", block=T.BLOCK)))
 
 
 @query
@@ -378,52 +378,52 @@ def event_durations(spark, d):
 
 @query
 def paths_ab(spark, d):
-    return T.paths(V.event_trajs(spark, d), V.in_a(), V.in_b()).select("traj", "path_id", "idx", "state")
+    return T.paths(V.event_trajs(spark, d), V.in_a(), V.in_b(), block=T.BLOCK).select("traj", "path_id", "idx", "state")
 
 
 @query
 def path_lengths(spark, d):
-    return T.path_lengths(T.paths(V.event_trajs(spark, d), V.in_a(), V.in_b()))
+    return T.path_lengths(T.paths(V.event_trajs(spark, d), V.in_a(), V.in_b(), block=T.BLOCK))
 
 
 @query
 def corr_function(spark, d):
-    return tidy(T.correlation(V.event_trajs(spark, d), V.in_a(), V.in_b(), [1, 2, 5]))
+    return tidy(T.correlation(V.event_trajs(spark, d), V.in_a(), V.in_b(), [1, 2, 5], block=T.BLOCK))
 
 
 @query
 def corr_function_symmetric(spark, d):
-    return tidy(T.correlation(V.event_trajs(spark, d), V.in_a(), V.in_b(), [1, 2, 5], True))
+    return tidy(T.correlation(V.event_trajs(spark, d), V.in_a(), V.in_b(), [1, 2, 5], True, block=T.BLOCK))
 
 
 @query
 def count_matrix(spark, d):
-    return T.count_pairs(V.event_trajs(spark, d))
+    return T.count_pairs(V.event_trajs(spark, d), block=T.BLOCK)
 
 
 @query
 def count_matrix_orders(spark, d):
-    return T.count_pairs(V.order_trajs(spark, d))
+    return T.count_pairs(V.order_trajs(spark, d), block=T.BLOCK)
 
 
 @query
 def count_matrix_lag3(spark, d):
-    return T.count_pairs(V.event_trajs(spark, d), 3)
+    return T.count_pairs(V.event_trajs(spark, d), 3, block=T.BLOCK)
 
 
 @query
 def count_matrix_nonsliding(spark, d):
-    return T.count_pairs(V.event_trajs(spark, d), 3, False)
+    return T.count_pairs(V.event_trajs(spark, d), 3, False, block=T.BLOCK)
 
 
 @query
 def mle_transition_matrix(spark, d):
-    return tidy(T.normalized(T.count_pairs(V.turn_trajs(spark, d)), ["from_state"], "n").select("from_state", "to_state", "p"))
+    return tidy(T.normalized(T.count_pairs(V.turn_trajs(spark, d), block=T.BLOCK), ["from_state"], "n").select("from_state", "to_state", "p"))
 
 
 @query
 def symmetric_tmatrix(spark, d):
-    return tidy(T.normalized(T.symmetrized(T.count_pairs(V.event_trajs(spark, d), 3)), ["from_state"], "n").select("from_state", "to_state", "p"))
+    return tidy(T.normalized(T.symmetrized(T.count_pairs(V.event_trajs(spark, d), 3, block=T.BLOCK)), ["from_state"], "n").select("from_state", "to_state", "p"))
 
 
 def _ab():
@@ -432,34 +432,34 @@ def _ab():
 
 @query
 def colored_count_matrix(spark, d):
-    return T.coloured_counts(V.event_trajs(spark, d), *_ab(), 3)
+    return T.coloured_counts(V.event_trajs(spark, d), *_ab(), 3, block=T.BLOCK)
 
 
 @query
 def colored_count_nonsliding(spark, d):
-    return T.coloured_counts(V.event_trajs(spark, d), *_ab(), 3, False)
+    return T.coloured_counts(V.event_trajs(spark, d), *_ab(), 3, False, block=T.BLOCK)
 
 
 @query
 def colored_tmatrix(spark, d):
-    counts = T.coloured_counts(V.event_trajs(spark, d), *_ab(), 1)
+    counts = T.coloured_counts(V.event_trajs(spark, d), *_ab(), 1, block=T.BLOCK)
     return tidy(T.normalized(counts, ["from_state", "from_color"], "n").drop("n"))
 
 
 @query
 def history_color_counts(spark, d):
-    return T.history_counts(V.event_trajs(spark, d), *_ab(), 2, 3)
+    return T.history_counts(V.event_trajs(spark, d), *_ab(), 2, 3, block=T.BLOCK)
 
 
 @query
 def history_color_fractional(spark, d):
     """Unknown colours split by the flux of the reversible chain with colours added."""
-    return tidy(T.history_model(V.event_trajs(spark, d), ["signup"], ["purchase"], 2, 3))
+    return tidy(T.history_model(V.event_trajs(spark, d), ["signup"], ["purchase"], 2, 3, block=T.BLOCK))
 
 
 @query
 def pseudo_flux(spark, d):
-    return tidy(T.pseudo_flux(V.event_trajs(spark, d), ["signup"], ["purchase"], 2))
+    return tidy(T.pseudo_flux(V.event_trajs(spark, d), ["signup"], ["purchase"], 2, block=T.BLOCK))
 
 
 @query
@@ -490,7 +490,7 @@ def ensemble_union(spark, d):
 
 
 def _label_edges(spark, d):
-    rows = T.normalized(T.count_pairs(V.event_trajs(spark, d)), ["from_state"], "n")
+    rows = T.normalized(T.count_pairs(V.event_trajs(spark, d), block=T.BLOCK), ["from_state"], "n")
     return rows.select(V.cluster_of("from_state").alias("from_state"), V.cluster_of("to_state").alias("to_state"), "p")
 
 
@@ -500,7 +500,7 @@ def pseudo_color_matrix(spark, d):
 
 
 def _colored(spark, d):
-    counts = T.coloured_counts(V.event_trajs(spark, d), *_ab(), 1)
+    counts = T.coloured_counts(V.event_trajs(spark, d), *_ab(), 1, block=T.BLOCK)
     return T.normalized(counts, ["from_state", "from_color"], "n")
 
 
@@ -517,7 +517,7 @@ def tmatrix_ba(spark, d):
 @query
 def entry_flux_distribution(spark, d):
     trajs = V.event_trajs(spark, d)
-    counts = T.coloured_counts(trajs, F.col("state").isin("signup", "view"), F.col("state").isin("purchase", "error"), 1)
+    counts = T.coloured_counts(trajs, F.col("state").isin("signup", "view"), F.col("state").isin("purchase", "error"), 1, block=T.BLOCK)
     return tidy(M.entry_distribution(counts, "A"))
 
 
@@ -554,7 +554,7 @@ def fpt_distribution_ba(spark, d):
 @query
 def path_model_mfpt(spark, d):
     """The chain counted along paths from A to B, and its mean time from A to B."""
-    rows = T.paths(V.event_trajs(spark, d), *_ab()).withColumn("traj", F.concat_ws("-", "traj", "path_id"))
+    rows = T.paths(V.event_trajs(spark, d), *_ab(), block=T.BLOCK).withColumn("traj", F.concat_ws("-", "traj", "path_id"))
     w = Window.partitionBy("traj").orderBy("idx")
     counts = T.count_pairs(rows.withColumn("idx", F.row_number().over(w) - 1))
     m = M.dense(counts.select(V.cluster_of("from_state").alias("from_state"), V.cluster_of("to_state").alias("to_state"), F.col("n").cast("double").alias("w")), N, "w")
@@ -877,7 +877,7 @@ def allocation(spark, d):
 @query
 def fundamental_sequences(spark, d):
     t = M.dense(_label_edges(spark, d), N)
-    rows = T.paths(V.event_trajs(spark, d), *_ab()).withColumn("s", V.cluster_of("state").cast("int"))
+    rows = T.paths(V.event_trajs(spark, d), *_ab(), block=T.BLOCK).withColumn("s", V.cluster_of("state").cast("int"))
     found = rows.groupBy("traj", "path_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "s"))), lambda x: x["s"]).alias("path"))
     return G.fundamental_sequences(found, t)
 

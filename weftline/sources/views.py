@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.predicates import in_interval
-from weftline.operators.trajectories import from_log
+from weftline.operators.trajectories import BLOCK, from_log, previous
 
 #: Clusters are the event types in this order; the basis is state 5, the target 6.
 CLUSTERS = ("click", "error", "purchase", "signup", "view")
@@ -19,12 +19,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def event_trajs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_log(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], x="value", state="event_type")
+    return from_log(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.to_date("ts"), x="value", state="event_type")
 
 
 def order_trajs(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").withColumn("state", F.concat("o_orderstatus", "o_orderpriority"))
-    return from_log(orders, "o_custkey", ["o_orderdate", "o_orderkey"], x="o_totalprice", state="state")
+    return from_log(orders, "o_custkey", ["o_orderdate", "o_orderkey"], F.to_date("o_orderdate"), x="o_totalprice", state="state")
 
 
 def turn_trajs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +45,8 @@ def cluster_of(label: str) -> Column:
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive events of a user as segments; an iteration's segments share its weight equally."""
-    w = Window.partitionBy("traj").orderBy("idx")
-    rows = event_trajs(spark, sf_dir).withColumn("p0", F.lag("x").over(w)).withColumn("from_label", F.lag("state").over(w)).where("idx >= 1")
+    rows = previous(event_trajs(spark, sf_dir), ["x", "state"], ("traj",), BLOCK)
+    rows = rows.withColumn("p0", F.col("_prev.x")).withColumn("from_label", F.col("_prev.state")).where("idx >= 1")
     n = rows.groupBy("idx").agg(F.count("*").alias("_n"))
     rows = rows.join(F.broadcast(n), "idx")
     return rows.select((F.col("traj") % 3).alias("file_idx"), F.col("idx").alias("n_iter"), F.col("traj").alias("seg_id"), F.col("traj").alias("parent_id"), "p0", F.col("x").alias("p1"), "from_label", F.col("state").alias("to_label"), cluster_of("from_label").alias("from_cluster"), cluster_of("state").alias("to_cluster"), (1.0 / F.col("_n")).alias("weight"))
