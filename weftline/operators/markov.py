@@ -55,6 +55,23 @@ def power_iteration(edges: DataFrame, states: DataFrame, steps: int, every: int
     return v
 
 
+def fixed_point(edges: DataFrame, states: DataFrame, ends: DataFrame, steps: int, gain: float = 0.0, every: int = 10) -> DataFrame:
+    """(state, value) after steps of value <- gain + T value, with the values of ends (state, value) held.
+
+    A committor holds 0 in the basis and 1 in the target; mean passage times hold 0 in the target and gain 1 a step.
+    The lineage is cut by a checkpoint every few steps, so any number of states will do.
+    """
+    held = ends.select("state", F.col("value").cast("double").alias("_held"))
+    out = states.select("state").join(held, "state", "left").select("state", F.coalesce("_held", F.lit(0.0)).alias("value"))
+    for k in range(1, steps + 1):
+        after = backed(edges, out).withColumnRenamed("value", "_next")
+        rows = states.select("state").join(held, "state", "left").join(after, "state", "left")
+        out = rows.select("state", F.coalesce("_held", F.coalesce("_next", F.lit(0.0)) + gain).alias("value"))
+        if k % every == 0:
+            out = out.checkpoint()
+    return out
+
+
 def target_flux(edges: DataFrame, pi: DataFrame, target: int, tau: float = 1.0) -> DataFrame:
     """(flux): probability that enters the target each step, over tau."""
     rows = edges.where((F.col("from_state") != target) & (F.col("to_state") == target)).join(pi.withColumnRenamed("state", "from_state"), "from_state")

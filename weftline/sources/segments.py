@@ -32,7 +32,7 @@ SEGMENTS = T.StructType([
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SEGMENTS).parquet(path)
+    return spark.read.schema(SEGMENTS).parquet(path).select(*SEGMENTS.names)  # folders put n_iter last
 
 
 def write_segments(segments: DataFrame, path: str) -> None:
