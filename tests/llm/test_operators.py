@@ -601,6 +601,21 @@ def test_near_duplicates(spark, docs, rows, none):
     assert near_duplicates(none).count() == 0
 
 
+def test_pairs_at_the_threshold(spark):
+    """Of 300 pairs at a likeness of exactly 0.75 all are linked, and none of 300 just below."""
+    from weftline.llm.near_dedup import near_duplicates
+
+    rng = random.Random(17)
+    rows = []
+    for i in range(600):
+        body = [f"w{i}x{k}" for k in range(60)]
+        cut = 8 if i < 300 else 9  # 48 of 64 shingles, or 47 of 65
+        rows += [(2 * i, " ".join(body)), (2 * i + 1, " ".join(body[:-cut] + [f"v{rng.random()}" for _ in range(cut)]))]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert all(got[2 * i + 1] == 2 * i for i in range(300))
+    assert all(got[2 * i + 1] == 2 * i + 1 for i in range(300, 600))
+
+
 def test_near_duplicates_in_small_blocks(spark, rows, monkeypatch):
     """Blocks much smaller than a bucket find the same groups."""
     from weftline.llm import near_dedup
@@ -613,6 +628,37 @@ def test_near_duplicates_in_small_blocks(spark, rows, monkeypatch):
     assert got == slow_groups(near)
 
 
+def test_templates_are_split_by_rare_shingles(spark, monkeypatch):
+    """A bucket of many texts of one template, most of them not linked, is split and still finds every link."""
+    from weftline.llm import near_dedup
+
+    rng = random.Random(16)
+    frame = [f"t{i}" for i in range(70)]
+    rows = []
+    for i in range(90):
+        own = [f"o{i}x{k}" for k in range(26)]
+        rows.append((3 * i, " ".join(frame + own)))
+        if i % 3 == 0:
+            rows.append((3 * i + 1, " ".join(frame + own[:-3] + ["z", "zz", "zzz"])))
+        if i % 5 == 0:
+            rows.append((3 * i + 2, " ".join(["a", "b"] + frame + own + [f"q{rng.random()}"])))
+    rows = [(*r, None, None) for r in rows]
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "BIG", 20)
+    seen, parted = [], near_dedup._parted
+
+    def watched(members, linker, big):
+        out = parted(members, linker, big)
+        seen.append((out.where("part <> 0").count(), out.groupBy("bucket", "part").count().where("part <> 0").agg(F.max("count")).first()[0] or 0))
+        return out
+
+    monkeypatch.setattr(near_dedup, "_parted", watched)
+    got = sorted((tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == slow_groups(rows)
+    assert seen[0][0] > 0
+    assert seen[0][1] <= 20
+
+
 def test_estimate(spark):
     from weftline.llm import shingles as S
     from weftline.llm.near_dedup import estimate

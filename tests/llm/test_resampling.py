@@ -66,3 +66,28 @@ def test_kth_largest(spark, monkeypatch):
     df = spark.createDataFrame([(x,) for x in v], "score double")
     for k in (1, 2, 60, 90, 219, 220):
         assert R.kth_largest(df, k) == sorted(v, reverse=True)[k - 1]
+
+
+def slow_features(text):
+    """Buckets of one- and two-word features, word by word with whole numbers."""
+    import hashlib
+
+    top = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 31
+        x = x * 0x9E3779B97F4A7C15 & top
+        x ^= x >> 29
+        x = x * 0xBF58476D1CE4E5B9 & top
+        return x ^ (x >> 32)
+
+    h = [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in (text or "").encode().lower().split()]
+    return [mixed(x) % R.BUCKETS for x in h] + [mixed((a * 0x9E3779B97F4A7C15 + b) & top) % R.BUCKETS for a, b in zip(h, h[1:], strict=False)]
+
+
+def test_features():
+    from weftline.llm.shingles import Words
+
+    words = Words()
+    for text in (None, "", " ", "one", "One one two", "é É x\ty\x0bz " * 40):
+        assert R._features(words, text).tolist() == slow_features(text)

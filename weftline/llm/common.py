@@ -21,12 +21,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset (tests), one of our own."""
+    """The folder named by spark.checkpoint.dir; only where it is unset and everything is on one machine (tests), one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         if made.isDefined():
             root = made.get()
+        elif not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             root = tempfile.mkdtemp(prefix="weftline-")
             spark.sparkContext.setCheckpointDir(root)

@@ -11,7 +11,9 @@ forest of the likeliest pairs is emitted to be confirmed: what those links join
 round, over all pairs of blocks, the members that still have a likely partner in another component meet with their
 full sets, whose intersections are all counted at once, and a forest of the true links is emitted. So no link
 between components is dropped, and what is emitted grows with the members. A pair that shares several buckets is
-looked at in the one of its first band.
+looked at in the one of its first band. Before blocks of a bucket of more than BIG members meet in pairs, it is split
+exactly: each member goes to the buckets of its rarest shingles, as many as two linked sets must share one of (what
+all members of a template have in common is rare in none), so that only members that may be linked meet.
 
 Texts without words (null, empty, white space) have an empty set, are linked with nothing and are kept. A repeated
 row is linked with its copies. Null ids come last: a group's id is null only if all its ids are. Other columns are
@@ -34,6 +36,8 @@ from .shingles import BITS, HASHES
 MARGIN = 0.16
 #: Members of a bucket that are compared in one piece.
 BLOCK = 1024
+#: Members beyond which a bucket that is still open is split by its members' rarest shingles.
+BIG = 16 * BLOCK
 
 SIGNED = "doc_id {id}, n_shingles bigint, node binary, bands array<bigint>, sig array<bigint>"
 SETS = "node binary, items array<bigint>"
@@ -271,10 +275,10 @@ def _meet(percent: int):
 
 
 def _compared(members: DataFrame, ask: bool, percent: int) -> DataFrame:
-    """What _compare finds among bucket members (bucket, size, head, node, comp, n_shingles, sig, bands).
+    """What _compare finds among bucket members (bucket, size, head, node, comp, n_shingles, sig, bands, part).
 
-    Buckets of more than BLOCK members are dealt in blocks by a hash of the node. The head goes to every block of its
-    bucket; when asking further, every two blocks meet.
+    Buckets (or parts of them) of more than BLOCK members are dealt in blocks by a hash of the node. The head goes to
+    every block of its bucket; when asking further, every two blocks meet.
     """
     k = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.hash("node"), k)
@@ -284,13 +288,37 @@ def _compared(members: DataFrame, ask: bool, percent: int) -> DataFrame:
     else:
         every = F.transform(F.sequence(F.lit(0), k - 1), lambda x: F.struct(x.alias("i"), x.alias("j")))
         dealt = members.withColumn("to", F.explode(F.when(F.col("node") == F.col("head"), every).otherwise(F.array(F.struct(own.alias("i"), own.alias("j"))))))
-    rows = dealt.select(F.xxhash64("bucket", "to.i", "to.j").alias("key"), own.alias("side"), "bucket", "node", "comp", F.col("n_shingles").alias("n"), "sig", "bands")
+    part = F.col("part") if "part" in members.columns else F.lit(0).cast("bigint")
+    rows = dealt.select(F.xxhash64("bucket", part, "to.i", "to.j").alias("key"), own.alias("side"), "bucket", "node", "comp", F.col("n_shingles").alias("n"), "sig", "bands")
     sorted_ = rows.repartition("key").sortWithinPartitions("key")
     if ask:
         return sorted_.mapInArrow(trimmed(_compare(True, percent)), "key bigint, node binary, comp binary")
     return sorted_.mapInArrow(trimmed(_compare(False, percent)), "a binary, b binary").distinct()
 
 
+def _parted(members: DataFrame, linker: _Linker, big: int) -> DataFrame:
+    """members with part: 0 in buckets of at most big members; the others once for each of their rarest shingles.
+
+    Of two sets of which percent of the union is shared, each holds percent of the other's size at least, so in any
+    one order of shingles the first n - ceil(n * percent / 100) + 1 of either have one in common. The order is by how
+    many members of the bucket hold a shingle. A shingle that one member holds brings nobody together.
+    """
+    calm = members.where(F.col("size") <= big).withColumn("part", F.lit(0).cast("bigint"))
+    large = members.where(F.col("size") > big)
+    if large.isEmpty():
+        return calm
+    sets = linker.sets(large.select("node"))
+    items = keep(large.select("bucket", "node", "n_shingles").join(sets, "node").select("bucket", "node", "n_shingles", F.explode("items").alias("part")), "op8-items")
+    held = keep(items.groupBy("bucket", "part").agg(F.count("*").alias("held")), "op8-held")
+    first = Window.partitionBy("bucket", "node").orderBy("held", "part")
+    need = F.col("n_shingles") - F.ceil(F.col("n_shingles") * linker.percent / 100) + 1
+    rare = items.join(held, ["bucket", "part"]).withColumn("rank", F.row_number().over(first)).where((F.col("rank") <= need) & (F.col("held") > 1)).select("bucket", "node", "part")
+    rare = keep(rare, "op8-rare")
+    sizes = rare.groupBy("bucket", "part").agg(F.count("*").alias("size")).where("size > 1")
+    parts = rare.join(sizes, ["bucket", "part"]).join(large.drop("size"), ["bucket", "node"])
+    return calm.unionByName(parts.select(*calm.columns))
+
+
 def _open(members: DataFrame, groups: DataFrame) -> DataFrame:
     """Members of buckets that still hold several components, with these."""
     tagged = members.drop("comp").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -314,7 +342,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twos = buckets.where("size = 2").select(F.col("head").alias("a"), F.col("tail").alias("b"))
     pairs = keep(twos.union(_compared(members, False, percent)).distinct(), "op8-pairs")
     groups = components(linker.links(pairs))
-    asked = keep(_compared(_open(members, groups), True, percent), "op8-asked")
+    asked = keep(_compared(_parted(_open(members, groups), linker, BIG), True, percent), "op8-asked")
     if not asked.isEmpty():
         groups = merged(groups, keep(linker.links_within(asked), "op8-links"))
     named = nodes.select("node", "first").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
