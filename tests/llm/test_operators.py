@@ -487,7 +487,7 @@ def slow_scores(docs, train):
             two, one = hashes[i], hashes[i + 1]
             for node, way in ((0, leaf(x) // 16), (1 + leaf(x) // 16, leaf(x) % 16)):
                 add = node * 0x632BE5AB
-                yield x, node, way, [(0, fold(one * 0x9E3779B1 + add & 0xFFFFFFFF)), (1, fold(two * 0x85EBCA6B + 1 + add & 0xFFFFFFFF))]
+                yield x, node, way, [(0, fold(one * 0x9E3779B1 + add & 0xFFFFFFFF)), (1, fold(two * 0x85EBCA6B + 1 + add & 0xFFFFFFFF)), (2, fold(one * 0xC2B2AE35 + two * 0x27D4EB2F + 2 + add & 0xFFFFFFFF))]
 
     w = collections.defaultdict(lambda: np.zeros(16))
     grad = collections.defaultdict(lambda: np.zeros(16))
