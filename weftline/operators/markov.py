@@ -55,6 +55,12 @@ def power_iteration(edges: DataFrame, states: DataFrame, steps: int, every: int
     return v
 
 
+def normalized_vector(vector: DataFrame) -> DataFrame:
+    """vector (state, value) over its sum; one that sums to zero stays as it is."""
+    total = vector.agg(F.sum("value").alias("_t"))
+    return vector.crossJoin(F.broadcast(total)).select("state", F.coalesce(F.try_divide("value", "_t"), F.col("value")).alias("value"))
+
+
 def fixed_point(edges: DataFrame, states: DataFrame, ends: DataFrame, steps: int, gain: float = 0.0, every: int = 10) -> DataFrame:
     """(state, value) after steps of value <- gain + T value, with the values of ends (state, value) held.
 

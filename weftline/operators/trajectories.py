@@ -104,6 +104,17 @@ def macrostate(in_a: Column, in_b: Column) -> Column:
     return F.when(in_a, F.lit("A")).when(in_b, F.lit("B"))
 
 
+def discretized(trajs: DataFrame, state: Column) -> DataFrame:
+    """A discrete ensemble from a continuous one: state maps a row's coordinates to its label."""
+    return trajs.select("traj", "idx", state.alias("state"))
+
+
+def sliced(trajs: DataFrame, start: int = 0, stop: int | None = None, keys=KEYS) -> DataFrame:
+    """Rows start <= idx < stop of each trajectory, numbered anew."""
+    rows = trajs.where(F.col("idx") >= start) if stop is None else trajs.where((F.col("idx") >= start) & (F.col("idx") < stop))
+    return rows.withColumn("idx", F.col("idx") - start)
+
+
 def strided(trajs: DataFrame, lag: int) -> DataFrame:
     """Every lag-th row of each trajectory, numbered anew."""
     return trajs if lag == 1 else trajs.where(F.col("idx") % lag == 0).withColumn("idx", F.expr(f"idx div {int(lag)}"))

@@ -639,6 +639,35 @@ def end_coordinates(spark, d):
     return tidy(S.end_coordinates(rows).groupBy("n_iter").agg(F.count("*").alias("n"), F.sum(F.col("coord1")[0]).alias("x_sum")))
 
 
+@query
+def start_coordinates(spark, d):
+    rows = V.segments(spark, d).withColumn("coord0", F.array(F.when(F.col("p0") > 100, F.lit(float("nan"))).otherwise(F.col("p0"))))
+    return tidy(S.start_coordinates(rows).groupBy("n_iter").agg(F.count("*").alias("n"), F.sum(F.col("coord0")[0]).alias("x_sum")))
+
+
+@query
+def coordinate_set(spark, d):
+    """Structures of all iterations, with bad segments masked."""
+    bad = F.when(F.col("p1") > 100, F.lit(float("nan"))).otherwise(F.col("p1"))
+    rows = V.segments(spark, d).withColumn("pcoord1", F.array("p1")).withColumn("coord1", F.array(bad))
+    last = (rows.agg(F.max("n_iter")).first()[0] or 0) + 1
+    out = S.coordinate_set(rows, 1, last)
+    return tidy(out.groupBy("n_iter").agg(F.count("*").alias("n"), F.count("coord1").alias("good"), F.sum(F.when(~F.isnan(F.col("pcoord1")[0]), F.col("pcoord1")[0])).alias("x_sum")))
+
+
+@query
+def discretized(spark, d):
+    """Events as states by intervals of their value, counted."""
+    rows = T.discretized(V.event_trajs(spark, d), P.uniform_bin(F.col("x"), 0.0, 100.0, 5))
+    return T.count_pairs(rows, block=T.BLOCK)
+
+
+@query
+def sliced(spark, d):
+    rows = T.sliced(V.event_trajs(spark, d), 3, 9)
+    return tidy(rows.groupBy("idx").agg(F.count("*").alias("n"), F.sum("x").alias("x_sum")))
+
+
 @query
 def lagged_pairs(spark, d):
     rows = V.segments(spark, d).withColumn("parent_id", F.when(F.col("p1") > 150, F.lit(-1)).otherwise(F.col("parent_id")))
@@ -726,8 +755,8 @@ def history_trajectories(spark, d):
 def parsed_labels(spark, d):
     """Of every complete iteration."""
     rows = S.complete(V.segments(spark, d)).select("n_iter", F.concat(F.lit("b"), F.col("to_cluster"), F.lit("_s"), F.col("seg_id")).alias("label"), "p1")
-    part = lambda k: F.regexp_extract("label", r"b(\d+)_s(\d+)", k).cast("bigint")
-    return tidy(rows.select("n_iter", "label", part(1).alias("bin"), part(2).alias("seg"), "p1"))
+    b, seg = S.label_parts(F.col("label"), r"^b(\d+)_s(\d+)$", 2)
+    return tidy(rows.select("n_iter", "label", b.alias("bin"), seg.alias("seg"), "p1"))
 
 
 @query
@@ -741,9 +770,7 @@ def structure_hash_states(spark, d):
 
 @query
 def normalized_vector(spark, d):
-    rows = V.event_trajs(spark, d).groupBy("state").agg(F.sum("x").alias("v"))
-    total = rows.agg(F.sum("v").alias("t"))
-    return tidy(rows.crossJoin(F.broadcast(total)).select("state", F.coalesce(F.try_divide("v", "t"), F.col("v")).alias("value")))
+    return tidy(M.normalized_vector(V.event_trajs(spark, d).groupBy("state").agg(F.sum("x").alias("value"))))
 
 
 @query

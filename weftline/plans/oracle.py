@@ -241,4 +241,9 @@ SQL: dict[str, str] = {
     "steady_state": f"WITH RECURSIVE {TM}{PI.replace('k < 200', 'k < 2000').replace('k = 200', 'k = 2000')} SELECT state, {r6('value')} AS value FROM pi",
     "scc_clean": f"WITH RECURSIVE {EDGES}, e AS (SELECT from_state AS a, to_state AS b FROM edges WHERE w > 0 UNION SELECT 6, 5), r AS (SELECT state AS i, state AS j FROM states UNION SELECT i, b FROM r JOIN e ON a = j), c AS (SELECT x.i AS state, count(*) AS n, min(x.j) AS low FROM r x JOIN r y ON y.i = x.j AND y.j = x.i GROUP BY x.i) SELECT state, n = (SELECT max(n) FROM c) AND low = (SELECT min(low) FROM c WHERE n = (SELECT max(n) FROM c)) AS stays FROM c",
     "model_mfpts": f"WITH RECURSIVE {TRAJ}{pairs('traj', 1)}{LEDGES}, cn AS (SELECT 2 * from_state + c AS f, 2 * to_state + CASE to_state WHEN 3 THEN 0 WHEN 2 THEN 1 ELSE c END AS t, p FROM le, (VALUES (0), (1)) x(c) WHERE NOT (c = 0 AND from_state = 2) AND NOT (c = 1 AND from_state = 3)){STEADY} SELECT 'AB' AS direction, {r6('(SELECT sum(v) FROM cpi WHERE s % 2 = 0) / (SELECT sum(v * p) FROM cpi JOIN cn ON f = s WHERE s % 2 = 0 AND t = 5)')} AS mfpt UNION ALL SELECT 'BA', {r6('(SELECT sum(v) FROM cpi WHERE s % 2 = 1) / (SELECT sum(v * p) FROM cpi JOIN cn ON f = s WHERE s % 2 = 1 AND t = 6)')}",
+    "start_coordinates": f"WITH {SEG} SELECT n_iter, count(*) AS n, {r6('sum(p0)')} AS x_sum FROM seg WHERE p0 <= 100 GROUP BY n_iter",
+    "coordinate_set": f"WITH {SEG} SELECT n_iter, count(*) AS n, count(CASE WHEN p1 <= 100 THEN 1 END) AS good, {r6('sum(CASE WHEN p1 <= 100 THEN p1 END)')} AS x_sum FROM seg GROUP BY n_iter",
+    "discretized": f"WITH {TRAJ}, dtraj AS (SELECT traj, idx, CASE WHEN x < 0 THEN -1 WHEN x >= 100 THEN 5 ELSE floor(x / 20) END::BIGINT AS state FROM traj){pairs('dtraj', 1)} SELECT * FROM prs WHERE from_state IS NOT NULL AND to_state IS NOT NULL",
+    "sliced": f"WITH {TRAJ} SELECT idx - 3 AS idx, count(*) AS n, {r6('sum(x)')} AS x_sum FROM traj WHERE idx BETWEEN 3 AND 8 GROUP BY idx",
+    "color_correlation": f"WITH RECURSIVE {TRAJ}{pairs('traj', 1)}{LEDGES}, cn AS (SELECT 2 * from_state + c AS f, 2 * to_state + CASE to_state WHEN 3 THEN 0 WHEN 2 THEN 1 ELSE c END AS t, p FROM le, (VALUES (0), (1)) x(c) WHERE NOT (c = 0 AND from_state = 2) AND NOT (c = 1 AND from_state = 3)){STEADY}, e AS (SELECT 0 AS k, s AS b, s, v FROM cpi WHERE s IN (5, 6) UNION ALL SELECT k + 1, b, t, sum(v * p) FROM e JOIN cn ON f = s WHERE k < 10 GROUP BY k, b, t) SELECT k::BIGINT AS t, {r6('sum(CASE WHEN s = 6 AND b = 6 THEN v ELSE 0 END)')} AS aa, {r6('sum(CASE WHEN s = 6 AND b = 5 THEN v ELSE 0 END)')} AS ab, {r6('sum(CASE WHEN s = 5 AND b = 6 THEN v ELSE 0 END)')} AS ba, {r6('sum(CASE WHEN s = 5 AND b = 5 THEN v ELSE 0 END)')} AS bb FROM e WHERE k IN (1, 2, 5, 10) GROUP BY k",
 }

@@ -83,6 +83,27 @@ def end_coordinates(segments: DataFrame) -> DataFrame:
     return segments.where(~has_nan(F.col("coord1"))).select("file_idx", "n_iter", "seg_id", "coord1")
 
 
+def start_coordinates(segments: DataFrame) -> DataFrame:
+    """Coordinates at the start of each segment, without bad segments."""
+    return segments.where(~has_nan(F.col("coord0"))).select("file_idx", "n_iter", "seg_id", "coord0")
+
+
+def coordinate_set(segments: DataFrame, first: int, last: int) -> DataFrame:
+    """(file_idx, n_iter, seg_id, pcoord1, coord1) of iterations first <= n_iter < last, for reductions and clusters.
+
+    A bad segment's progress coordinates are NaN and its structure is null, so that rows stay those of the segments.
+    """
+    rows = pick_iterations(segments, first, last)
+    good = ~has_nan(F.col("coord1"))
+    nan = F.transform("pcoord1", lambda x: F.lit(float("nan")))
+    return rows.select("file_idx", "n_iter", "seg_id", F.when(good, F.col("pcoord1")).otherwise(nan).alias("pcoord1"), F.when(good, F.col("coord1")).alias("coord1"))
+
+
+def label_parts(label: Column, pattern: str, n: int) -> list[Column]:
+    """The whole numbers that a label's n groups hold, null where the label does not fit the pattern."""
+    return [F.when(label.rlike(pattern), F.regexp_extract(label, pattern, k).cast("bigint")) for k in range(1, n + 1)]
+
+
 def transition_pairs(segments: DataFrame) -> DataFrame:
     """(start, end, weight) of each segment; a segment with NaN coordinates weighs nothing."""
     bad = has_nan(F.col("coord0")) | has_nan(F.col("coord1"))
