@@ -76,6 +76,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit_sources
+
+    return audit_sources(_read(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import audit_documents
+
+    return audit_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 # ---- columns that SQL can express, of operators that decide more than that ---------------------------------------
 
 
@@ -113,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_warc_reassembly": op9_warc_reassembly,
     "op10_bpe": op10_bpe,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_decontamination": op12_decontamination,
     "edited_texts": edited_texts,
     "mix_targets": mix_targets,
     "text_statistics": text_statistics,
@@ -149,6 +163,27 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 c AS (SELECT r AS s, r AS t FROM d UNION SELECT s, b FROM c JOIN e ON a = t),
 k AS (SELECT s, min(doc_id) AS component_id FROM c JOIN d ON r = t GROUP BY s)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN k ON s = d.r LEFT JOIN n ON n.r = d.r""",
+    "op11_source_divergence": rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOW}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+k AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+v AS (SELECT lang, term, count(*)::HUGEINT AS n FROM k GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM v GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM k SEMI JOIN v USING (lang, term) GROUP BY ALL),
+m AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT m.lang, m.source, v.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (m.n + 2 * l.v) AS p, 1 + (1000000000 * (v.n + 2)) // (l.n + 2 * l.v) AS q
+FROM m JOIN v ON v.lang = m.lang JOIN l ON l.lang = m.lang LEFT JOIN c ON c.lang = m.lang AND c.source = m.source AND c.term = v.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM x QUALIFY part = 'pair' OR rank <= 10""",
+    "op12_decontamination": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+p AS (SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n)),
+h AS (SELECT r, i, n, item FROM p JOIN g USING (n, g)),
+x AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS j FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN x ON x.r = d.r LEFT JOIN t ON t.r = d.r""",
     "edited_texts": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS u FROM d WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT doc_id, length(t) AS n_chars, sha256(substring(t, 1, length(t) - length(t) // 4) || substring(u, 1, length(t) // 4)) AS edited_sha256 FROM n""",
