@@ -11,6 +11,8 @@ of steps back or ahead are sent to the neighbouring block, too. Only the summary
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -193,6 +195,17 @@ def count_pairs(trajs: DataFrame, lag: int = 1, sliding: bool = True, keys=KEYS,
     return rows.where("from_state is not null and state is not null").groupBy("from_state", F.col("state").alias("to_state")).agg(F.count("*").alias("n"))
 
 
+def count_array_pairs(rows: DataFrame, states: Column, lag: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """(by, from_state, to_state, n): transitions over lag places of trajectories kept as one array a row, from every place.
+
+    Nothing but the counts is shuffled. Arrays that are null or have at most lag states have none, nulls are no state.
+    """
+    n = F.greatest(F.lit(0), F.size(F.col("_states")) - lag)
+    pairs = F.arrays_zip(F.slice("_states", F.lit(1), n).alias("from_state"), F.slice("_states", F.lit(1 + lag), n).alias("to_state"))
+    flat = rows.select(*by, F.coalesce(states, F.array().cast(rows.select(states).schema[0].dataType)).alias("_states")).select(*by, F.inline(pairs).alias("from_state", "to_state"))
+    return flat.where("from_state is not null and to_state is not null").groupBy(*by, "from_state", "to_state").agg(F.count("*").alias("n"))
+
+
 def symmetrized(counts: DataFrame) -> DataFrame:
     back = counts.select(F.col("to_state").alias("from_state"), F.col("from_state").alias("to_state"), "n")
     return counts.select("from_state", "to_state", "n").unionByName(back).groupBy("from_state", "to_state").agg(F.sum("n").alias("n"))

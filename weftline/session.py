@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -15,6 +16,21 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROWS, DEFAULT = 1000, "10000"
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder that is not there yet, under the one that spark.checkpoint.dir names and all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if made.isDefined():
+            root = made.get()
+        elif spark.sparkContext.master.startswith("local["):
+            root = tempfile.mkdtemp(prefix="weftline-")
+            spark.sparkContext.setCheckpointDir(root)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{root.rstrip('/')}/weftline/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the session's executors, once for each application, and keep Arrow batches small."""
     if spark.conf.get(BATCH, DEFAULT) == DEFAULT:
