@@ -96,3 +96,25 @@ def test_search_stops_before_all_buckets(spark, monkeypatch):
 
 def test_empty(spark):
     assert audit_sources(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_counting_in_pieces(monkeypatch):
+    """What a task counts does not depend on how many terms it holds and on where long texts are cut."""
+    import pyarrow as pa
+
+    docs = [((text or "") * 3, lang or "", source or "") for _, text, lang, source, *_ in made(7, 60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*docs[i : i + 20], strict=True)], ["text", "lang", "source"]) for i in range(0, len(docs), 20)]
+
+    def counted():
+        n, docs = Counter(), Counter()
+        for b in divergence._counted(iter(batches)):
+            for r in b.to_pylist():
+                n[r["lang"], r["source"], r["term"]] += r["n"]
+                docs[r["lang"], r["source"], r["term"]] += r["docs"]
+        return n, docs
+
+    whole = counted()
+    monkeypatch.setattr(divergence, "HELD", 7)
+    monkeypatch.setattr(divergence, "PIECE", 5)
+    assert counted() == whole
+    assert sum(whole[0].values()) == sum(len(TERM.findall(t.translate(LOW))) for t, *_ in docs)

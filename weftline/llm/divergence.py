@@ -20,31 +20,72 @@ A null doc_id or extra columns do not matter, repeated rows count again, an empt
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, small_or_not
-from .decontamination import LOWER, UPPER
+from .common import keep, small_or_not, trimmed
 
 MIN_DOCS = 10
 SCALE = 1_000_000_000
 K = 10
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Of the bytes of a text, A-Z become a-z, and what is neither a letter nor beyond ASCII becomes a space.
+_TABLE = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Terms of all groups that a task counts before it gives them out, and bytes of a text that it takes apart at once.
+HELD, PIECE = 1 << 19, 1 << 20
 #: Buckets opened for each group in the first round; each later round opens twice as many.
 FIRST = 4
 #: Buckets for each doubling of the count.
 STEPS = 4
 
 
+def _words(data: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text in UTF-8, in pieces of about PIECE bytes that no term crosses."""
+    data, at = data.translate(_TABLE), 0
+    while at < len(data):
+        end = data.find(b" ", at + PIECE)
+        end = len(data) if end < 0 else end
+        yield data[at:end].split()
+        at = end
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each group's terms over a task's texts, given out whenever HELD terms are in memory."""
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in held.items():
+            terms = [b"", *n]
+            same = lambda v: pa.array([v], pa.string()).take(pa.array([0] * len(terms)))  # noqa: B023, E731
+            values = [same(lang), same(source), pa.array(terms, pa.binary()).cast(pa.string()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *map(docs.__getitem__, n)], pa.int64())]
+            yield pa.RecordBatch.from_arrays(values, ["lang", "source", "term", "n", "docs"])
+        held.clear()
+
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    size = 0
+    for batch in batches:
+        for text, lang, source in zip(batch["text"].cast(pa.binary()), batch["lang"].to_pylist(), batch["source"].to_pylist(), strict=True):
+            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
+            seen, before = set(), len(n)
+            for terms in _words(text.as_py()):
+                n.update(terms)
+                seen.update(terms)
+            docs.update(seen)
+            size += len(n) - before
+            if size >= HELD:
+                yield from out()
+                size = 0
+    yield from out()
+
+
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of each term; the term '' stands for the group itself."""
-    text = F.translate(F.coalesce(text_col, F.lit("")), UPPER, LOWER)
-    none = F.lit("")
-    rows = docs.select(F.coalesce(lang_col, none).alias("lang"), F.coalesce(source_col, none).alias("source"), F.regexp_extract_all(text, F.lit(TERM), 0).alias("terms"))
-    # All occurrences, the group's mark, then each distinct term once.
-    rows = rows.select("lang", "source", F.size("terms").alias("m"), F.posexplode(F.concat("terms", F.array(none), F.array_distinct("terms"))).alias("at", "term"))
-    once, again = (F.col("at") < F.col("m")).cast("long"), (F.col("at") > F.col("m")).cast("long")
-    return rows.groupBy("lang", "source", "term").agg(F.sum(once).alias("n"), F.sum(again).alias("docs"))
+    named = {"text": text_col, "lang": lang_col, "source": source_col}
+    rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in named.items()])
+    rows = rows.mapInArrow(trimmed(_counted), "lang string, source string, term string, n long, docs long")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def probability(n: str, total: str, kept: str) -> Column:
