@@ -18,6 +18,7 @@ from weftline.operators import passage as Q
 from weftline.operators import reduce as R
 from weftline.operators import trajectories as T
 from weftline.session import ship
+from weftline.sources import lineage as L
 from weftline.sources import segments as S
 from weftline.sources import views as V
 
@@ -684,6 +685,27 @@ def lagged_pairs_lag2(spark, d):
     return tidy(out.agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.sum(F.col("start")[0]).alias("start_sum"), F.sum(F.col("end")[0]).alias("end_sum")))
 
 
+@query
+def lagged_pairs_lag20(spark, d):
+    rows = V.branching(spark, d).select("file_idx", "n_iter", "seg_id", "weight", "parent_id", F.array("p0").alias("coord0"), F.array("p1").alias("coord1"))
+    out = S.lagged_pairs(rows, 20, F.array(F.lit(-1.0)), F.array(F.lit(-2.0)))
+    return tidy(out.groupBy(F.floor(F.col("start")[0] / 10).alias("from_bin"), F.floor(F.col("end")[0] / 10).alias("to_bin")).agg(F.count("*").alias("n"), F.sum("weight").alias("w")))
+
+
+@query
+def ancestors_64(spark, d):
+    """Of every segment: the ancestor 64 iterations back, or the recycled one on the way; -1 where there is none."""
+    return tidy(L.ancestors(V.branching(spark, d), 64).fillna(-1))
+
+
+@query
+def path_sums(spark, d):
+    """Of every segment: length and summed coordinate of its history, up to 40 iterations back."""
+    rows = V.branching(spark, d)
+    steps = L.joined(L.ancestry(rows, 40), rows.select("file_idx", "n_iter", "seg_id", "p1", "weight"), ("file_idx",), F.col("step"), "ancestor", ["p1", "weight"])
+    return tidy(steps.groupBy("file_idx", "n_iter", "seg_id").agg(F.count("*").alias("n"), F.sum("p1").alias("p1_sum"), F.sum("weight").alias("w_sum")))
+
+
 @query
 def structures_by_state(spark, d):
     return tidy(S.structures_by_state(X.with_states(V.segments(spark, d), N, V.BASIS, V.TARGET)))

@@ -131,6 +131,20 @@ def lagged(lag: int) -> str:
     return f"{s}{h}, o AS (SELECT far AS x, p1 AS y, weight FROM h WHERE warp IS NULL AND far IS NOT NULL UNION ALL SELECT -1, p1, weight FROM h WHERE warp IS NOT NULL UNION ALL SELECT z.p0, -2, warp FROM h JOIN z ON z.file_idx = h.file_idx AND z.n_iter = h.n_iter - {lag} WHERE warp IS NOT NULL) SELECT count(*) AS n, {r6('sum(weight)')} AS w, {r6('sum(x)')} AS start_sum, {r6('sum(y)')} AS end_sum FROM o"
 
 
+def chained(depth: int) -> str:
+    """Histories step by step: c (keys, step, at, up), a row for each ancestor that the table has."""
+    return f"""WITH RECURSIVE {SEG}, s AS (SELECT file_idx, n_iter, seg_id, weight, p0, p1, CASE WHEN p1 > 150 THEN -1 WHEN (seg_id + n_iter) % 4 = 0 THEN seg_id + 3 ELSE seg_id END AS parent_id FROM seg),
+c AS (SELECT file_idx, n_iter, seg_id, 0 AS step, seg_id AS at, parent_id AS up FROM s UNION ALL SELECT c.file_idx, c.n_iter, c.seg_id, step + 1, s.seg_id, s.parent_id FROM c JOIN s ON s.file_idx = c.file_idx AND s.n_iter = c.n_iter - step - 1 AND s.seg_id = up WHERE up >= 0 AND step < {depth})"""
+
+
+def lagged_far(lag: int) -> str:
+    return f"""{chained(lag)}, z AS (SELECT file_idx, n_iter, min_by(p0, seg_id) AS p0 FROM s GROUP BY ALL),
+h AS (SELECT s.*, f.p0 AS far, w.weight AS warp FROM s LEFT JOIN c a ON a.file_idx = s.file_idx AND a.n_iter = s.n_iter AND a.seg_id = s.seg_id AND a.step = {lag} LEFT JOIN s f ON f.file_idx = s.file_idx AND f.n_iter = s.n_iter - {lag} AND f.seg_id = a.at
+LEFT JOIN c r ON r.file_idx = s.file_idx AND r.n_iter = s.n_iter AND r.seg_id = s.seg_id AND r.step < {lag} AND r.up < 0 LEFT JOIN s w ON w.file_idx = s.file_idx AND w.n_iter = s.n_iter - r.step AND w.seg_id = r.at),
+o AS (SELECT far AS x, p1 AS y, weight FROM h WHERE warp IS NULL AND far IS NOT NULL UNION ALL SELECT -1, p1, weight FROM h WHERE warp IS NOT NULL UNION ALL SELECT z.p0, -2, warp FROM h JOIN z ON z.file_idx = h.file_idx AND z.n_iter = h.n_iter - {lag} WHERE warp IS NOT NULL)
+SELECT floor(x / 10)::BIGINT AS from_bin, floor(y / 10)::BIGINT AS to_bin, count(*) AS n, {r6('sum(weight)')} AS w FROM o GROUP BY ALL"""
+
+
 GIVEN = "g AS (SELECT range AS state, ((range * 37) % 23) / 7.0::DOUBLE AS h, ((range * 13) % 17) / 5.0::DOUBLE + 0.1 AS v, (range % 5 + 1) / 60.0::DOUBLE AS pi FROM range(20))"
 FLUX_T = "sum(CASE WHEN p1 > 150 AND p1 < 1000 THEN weight ELSE 0 END)"
 
@@ -232,6 +246,9 @@ SQL: dict[str, str] = {
     "mfpt_matrix": f"WITH RECURSIVE {TRAJ}{pairs('traj', 1)}{LEDGES}, g AS (SELECT 0 AS k, i, j, 0.0::DOUBLE AS v FROM (SELECT range AS i FROM range(5)), (SELECT range AS j FROM range(5)) UNION ALL SELECT k + 1, le.from_state, j, CASE WHEN le.from_state = j THEN 0 ELSE 1 + sum(CASE WHEN to_state = j THEN 0 ELSE p * v END) END FROM g JOIN le ON to_state = i WHERE k < 600 GROUP BY k, le.from_state, j) SELECT i, j, {r6('v')} AS t FROM g WHERE k = 600",
     "path_model_mfpt": f"WITH RECURSIVE {TRAJ}{PATHS.replace(BOXES, AB)}, prs AS (SELECT from_state, state AS to_state, count(*) AS n FROM (SELECT *, lag(state) OVER (PARTITION BY traj, path_id ORDER BY idx) AS from_state FROM path) WHERE from_state IS NOT NULL GROUP BY ALL){LEDGES}, g AS (SELECT 0 AS k, from_state AS s, 0.0::DOUBLE AS v FROM (SELECT DISTINCT from_state FROM le) UNION ALL SELECT g.k + 1, le.from_state, 1 + sum(CASE WHEN to_state = 2 THEN 0 ELSE p * v END) FROM (SELECT k, s, v FROM g UNION ALL SELECT DISTINCT k, 2::BIGINT, 0.0::DOUBLE FROM g) g JOIN le ON g.s = to_state WHERE g.k < 600 GROUP BY g.k, le.from_state) SELECT {r6('v')} AS mfpt FROM g WHERE k = 600 AND s = 3",
     "lagged_pairs_lag2": lagged(2),
+    "lagged_pairs_lag20": lagged_far(20),
+    "ancestors_64": f"{chained(63)} SELECT s.file_idx, s.n_iter, s.seg_id, CASE WHEN a.up >= 0 THEN a.up ELSE -1 END AS ancestor, coalesce(r.step, -1)::BIGINT AS root_steps, coalesce(r.at, -1) AS root FROM s LEFT JOIN c a ON a.file_idx = s.file_idx AND a.n_iter = s.n_iter AND a.seg_id = s.seg_id AND a.step = 63 LEFT JOIN c r ON r.file_idx = s.file_idx AND r.n_iter = s.n_iter AND r.seg_id = s.seg_id AND r.up < 0",
+    "path_sums": f"{chained(40)} SELECT c.file_idx, c.n_iter, c.seg_id, count(*) AS n, {r6('sum(p1)')} AS p1_sum, {r6('sum(weight)')} AS w_sum FROM c JOIN s ON s.file_idx = c.file_idx AND s.n_iter = c.n_iter - step AND s.seg_id = c.at GROUP BY ALL",
     "structures_by_state": f"WITH {SEG} SELECT to_state AS state, n_iter, file_idx, seg_id, {r6('weight')} AS weight FROM st WHERE n_iter >= 1 AND n_iter < {LAST} - 1",
     "fill_bins": f"WITH {SEG}, b AS (SELECT n_iter, p1, CASE WHEN p1 < 0 THEN -1 WHEN p1 >= 200 THEN 4 ELSE floor(p1 / 50) END::BIGINT AS bin FROM seg), i AS (SELECT DISTINCT n_iter AS s FROM b), c AS (SELECT s, bin, count(*) AS n FROM b JOIN i ON n_iter >= s GROUP BY ALL), ok AS (SELECT s FROM c GROUP BY s HAVING min(n) >= 40), f AS (SELECT coalesce((SELECT max(s) FROM ok), (SELECT min(s) FROM i)) AS first) SELECT bin, count(*) AS n, min(n_iter) AS first, {r6('sum(p1)')} AS p1_sum FROM b, f WHERE n_iter >= f.first GROUP BY bin",
     "voronoi_bins": "WITH c AS (SELECT * FROM (VALUES (0, 0.0, 0.0), (1, 20.0, 10.0), (2, 60.0, 5.0), (3, 200.0, 20.0)) v(i, x, y)), d AS (SELECT event_id, i, (value - x) ^ 2 + (user_id - y) ^ 2 AS d FROM events, c WHERE value IS NOT NULL AND user_id IS NOT NULL), n AS (SELECT i FROM d QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY d, i) = 1) SELECT i::BIGINT AS bin, count(*) AS n FROM n GROUP BY i",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 #: Rows of an Arrow batch where the session leaves Spark's default: texts are long, and a batch is held several times.
@@ -31,6 +32,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/weftline/{name}-{uuid.uuid4().hex}"
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may have ended before the interpreter
+        pass
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: df as a Parquet table in the shared folder, removed when the interpreter ends."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    atexit.register(_remove, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the session's executors, once for each application, and keep Arrow batches small."""
     if spark.conf.get(BATCH, DEFAULT) == DEFAULT:

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from weftline.functions.predicates import has_nan
 
+from . import lineage
+
 RECYCLED = 3  # fixed value: endpoint type of a recycled walker in the simulation's tables
 
 SEGMENTS = T.StructType([
@@ -139,31 +141,37 @@ def lagged_pairs(segments: DataFrame, n_lag: int, basis: Column, reference: Colu
     reference, with the weight that the walker had where it was recycled. A history ends at a warp, and what it then
     points to n_lag iterations back is the first segment of that iteration in its file: that one's start is the
     structure before the warp. basis and reference: coordinate columns (literals) of the two structures.
+
+    Ancestors come by doubling (lineage.ancestors), so the joins grow with the logarithm of n_lag.
     """
     if n_lag == 0:
         return transition_pairs(segments).select("start", "end", "weight")
-    chain = histories(segments, n_lag, keys, ("coord0", "parent_id", "weight"))
-    at_warp = F.when(F.col("parent_id") < 0, F.col("weight"))
-    for k in range(1, n_lag):
-        at_warp = at_warp.when(F.col(f"parent_id_{k}") < 0, F.col(f"weight_{k}"))
-    chain = chain.withColumn("_warp", at_warp)
-    start = F.col(f"coord0_{n_lag}")
-    plain = chain.where(F.col("_warp").isNull() & start.isNotNull()).select(start.alias("start"), F.col("coord1").alias("end"), "weight")
-    recycled = chain.where(F.col("_warp").isNotNull())
+    narrow = segments.select(*keys, "n_iter", "seg_id", "parent_id")
+    found = lineage.ancestors(narrow, n_lag, keys)
+    rows = lineage.joined(segments.select(*keys, "n_iter", "seg_id", "coord1", "weight"), found, keys, 0, "seg_id", ["ancestor", "root_steps", "root"])
+    starts = segments.select(*keys, "n_iter", "seg_id", F.col("coord0").alias("start"))
+    plain = lineage.joined(rows.where("root_steps is null and ancestor is not null"), starts, keys, n_lag, "ancestor", ["start"])
+    plain = plain.where("start is not null").select("start", F.col("coord1").alias("end"), "weight")
+    weights = segments.select(*keys, "n_iter", "seg_id", F.col("weight").alias("_warp"))
+    recycled = lineage.joined(rows.where("root_steps is not null"), weights, keys, F.col("root_steps"), "root", ["_warp"])
     first = segments.groupBy(*[F.col(c).alias(f"_{c}") for c in keys], (F.col("n_iter") + n_lag).alias("_iter")).agg(F.min_by("coord0", "seg_id").alias("_before"))
     on = F.col("n_iter") == F.col("_iter")
     for c in keys:
-        on = on & (F.col(c) == F.col(f"_{c}"))
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
     before = recycled.join(first, on).select(F.col("_before").alias("start"), reference.alias("end"), F.col("_warp").alias("weight"))
     return plain.unionByName(recycled.select(basis.alias("start"), F.col("coord1").alias("end"), "weight")).unionByName(before)
 
 
 def trajectories(segments: DataFrame, from_iter: int, length: int) -> DataFrame:
-    """Coordinates along the histories of one iteration's segments: (file_idx, seg_id, steps array of (n_iter, coord1))."""
-    chain = histories(segments, length - 1, carry=("coord1",)).where(F.col("n_iter") == from_iter)
-    steps = [F.struct(F.col("n_iter").alias("n_iter"), F.col("coord1").alias("coord"))]
-    steps += [F.struct((F.col("n_iter") - k).alias("n_iter"), F.col(f"coord1_{k}").alias("coord")) for k in range(1, length)]
-    return chain.select("file_idx", "seg_id", F.filter(F.array(*reversed(steps)), lambda s: s["coord"].isNotNull()).alias("steps"))
+    """Coordinates along the histories of one iteration's segments: (file_idx, seg_id, steps array of (n_iter, coord)).
+
+    Only the iterations on the way are read; a history has at most length steps, so an array has, too.
+    """
+    rows = segments.where(F.col("n_iter").between(from_iter - length + 1, from_iter))
+    paths = lineage.ancestry(rows.select("file_idx", "n_iter", "seg_id", "parent_id"), length - 1, start=F.col("n_iter") == from_iter)
+    steps = lineage.joined(paths, rows.select("file_idx", "n_iter", "seg_id", "coord1"), ("file_idx",), F.col("step"), "ancestor", ["coord1"])
+    step = F.struct((F.col("n_iter") - F.col("step")).alias("n_iter"), F.col("coord1").alias("coord"))
+    return steps.where("coord1 is not null").groupBy("file_idx", "seg_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
 
 
 def target_reached(segments: DataFrame) -> bool:

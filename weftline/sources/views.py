@@ -52,5 +52,12 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((F.col("traj") % 3).alias("file_idx"), F.col("idx").alias("n_iter"), F.col("traj").alias("seg_id"), F.col("traj").alias("parent_id"), "p0", F.col("x").alias("p1"), "from_label", F.col("state").alias("to_label"), cluster_of("from_label").alias("from_cluster"), cluster_of("state").alias("to_cluster"), (1.0 / F.col("_n")).alias("weight"))
 
 
+def branching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments with histories that merge and end: a fourth have another walker of their file as parent (which may
+    have no segment there), those that end in the target are recycled and have none."""
+    other = F.when((F.col("seg_id") + F.col("n_iter")) % 4 == 0, F.col("seg_id") + 3).otherwise(F.col("seg_id"))
+    return segments(spark, sf_dir).withColumn("parent_id", F.when(F.col("p1") > TARGET[0], F.lit(-1).cast("long")).otherwise(other))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("bin"), F.col("embedding").cast("array<double>").alias("x"), F.lit(1.0).alias("weight"))
