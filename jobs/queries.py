@@ -20,7 +20,7 @@ def job1_flux_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = settings("flux_ledger", input=f"{sf_dir}/events.parquet", output=new_folder(spark, "job1"))
     for _ in range(2):
         flux_ledger.run(spark, config)
-    return _rounded(flux_ledger.ledger(spark, config))
+    return _rounded(flux_ledger.ledger(spark, config)).withColumn("day", F.col("day").cast("string"))
 
 
 def job2_word_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ s AS (SELECT day, CASE WHEN p0 > 0 AND p0 < 5 THEN 5 ELSE c0 END::BIGINT AS from
 1.0::DOUBLE / count(*) OVER (PARTITION BY day) AS weight FROM e WHERE k > 1),
 d AS (SELECT day, from_state, to_state, sum(weight) AS w FROM s WHERE from_state IS NOT NULL AND to_state IS NOT NULL GROUP BY ALL),
 t AS (SELECT *, sum(w) OVER (PARTITION BY from_state, to_state ORDER BY day) AS total, sum(w) OVER (PARTITION BY from_state ORDER BY day) AS left_it FROM d)
-SELECT day, from_state, to_state, round(w, 6) + 0.0 AS w, round(total, 6) + 0.0 AS total, round(total / left_it, 6) + 0.0 AS p FROM t""",
+SELECT day::VARCHAR AS day, from_state, to_state, round(w, 6) + 0.0 AS w, round(total, 6) + 0.0 AS total, round(total / left_it, 6) + 0.0 AS p FROM t""",
     "job2_word_walks": r"""WITH d AS (SELECT coalesce(nullif(lang, ''), '(none)') AS lang, coalesce(nullif(source, ''), '(none)') AS source,
 list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: (CASE WHEN length(w) >= 13 THEN 6 WHEN length(w) >= 9 THEN 5 WHEN length(w) >= 6 THEN 4 WHEN length(w) >= 4 THEN 3 WHEN length(w) >= 3 THEN 2 WHEN length(w) >= 2 THEN 1 ELSE 0 END)::BIGINT) AS s FROM documents),
 x AS (SELECT lang, source, unnest(s[: len(s) - 1]) AS from_state, unnest(s[2 :]) AS to_state FROM d WHERE len(s) > 1),
