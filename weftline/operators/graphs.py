@@ -12,31 +12,32 @@ from pyspark.sql import DataFrame
 
 def strong_components(m: np.ndarray, directed: bool = True) -> list[list[int]]:
     """Strongly connected components, largest first, then by first state; states ascending."""
-    n = len(m)
     adj = m != 0
     if not directed:
         adj = adj | adj.T
-    out_of = [np.flatnonzero(adj[i]).tolist() for i in range(n)]
-    number, low, on, stack, parts, count = [-1] * n, [0] * n, [False] * n, [], [], 0
-    for s in range(n):
-        if number[s] >= 0:
+    return sorted(parts_of({i: np.flatnonzero(adj[i]).tolist() for i in range(len(m))}), key=lambda p: (-len(p), p[0]))
+
+
+def parts_of(ends: dict[int, list[int]]) -> list[list[int]]:
+    """Strongly connected components of a graph in memory: ends of the edges that leave each state; states ascending."""
+    number, low, on, stack, parts = {}, {}, set(), [], []
+    for s in ends:
+        if s in number:
             continue
-        work = [(s, iter(out_of[s]))]
-        number[s] = low[s] = count
-        count += 1
+        work = [(s, iter(ends[s]))]
+        number[s] = low[s] = len(number)
         stack.append(s)
-        on[s] = True
+        on.add(s)
         while work:
             v, it = work[-1]
             for u in it:
-                if number[u] < 0:
-                    number[u] = low[u] = count
-                    count += 1
+                if u not in number:
+                    number[u] = low[u] = len(number)
                     stack.append(u)
-                    on[u] = True
-                    work.append((u, iter(out_of[u])))
+                    on.add(u)
+                    work.append((u, iter(ends.get(u, ()))))
                     break
-                if on[u]:
+                if u in on:
                     low[v] = min(low[v], number[u])
             else:
                 work.pop()
@@ -46,12 +47,12 @@ def strong_components(m: np.ndarray, directed: bool = True) -> list[list[int]]:
                     part = []
                     while True:
                         u = stack.pop()
-                        on[u] = False
+                        on.discard(u)
                         part.append(u)
                         if u == v:
                             break
                     parts.append(sorted(part))
-    return sorted(parts, key=lambda p: (-len(p), p[0]))
+    return parts
 
 
 def reaches(m: np.ndarray, sources: list[int], ends: list[int], directed: bool = True) -> bool:

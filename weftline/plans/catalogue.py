@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import predicates as P
 from weftline.operators import cluster as C
+from weftline.operators import components as K
 from weftline.operators import flux as X
 from weftline.operators import graphs as G
 from weftline.operators import markov as M
@@ -344,6 +345,26 @@ def is_reachable(spark, d):
     return spark.createDataFrame([(i, j, G.reaches(m, [i], [j])) for i in range(N + 2) for j in range(N + 2)], "i bigint, j bigint, reached boolean")
 
 
+@query
+def part_components(spark, d):
+    """Strongly connected components of the walks over parts, each state with its component."""
+    return tidy(K.components(V.part_edges(spark, d)))
+
+
+@query
+def part_reach(spark, d):
+    """How many parts the walks reach from each part whose number is divisible by 20."""
+    edges = V.part_edges(spark, d)
+    sources = edges.select(F.explode(F.array("from_state", "to_state")).alias("state")).where("state % 20 = 0").distinct()
+    return tidy(K.reached(edges, sources).groupBy("source").agg(F.count("*").alias("n"), F.max("state").alias("last")))
+
+
+@query
+def part_chain_cleaned(spark, d):
+    """The chain of the walks over parts without states that are never entered or never left."""
+    return tidy(K.cleaned_edges(V.part_edges(spark, d), "w"))
+
+
 # ---- trajectories ------------------------------------------------------------------------------------------------
 
 

@@ -145,6 +145,10 @@ o AS (SELECT far AS x, p1 AS y, weight FROM h WHERE warp IS NULL AND far IS NOT
 SELECT floor(x / 10)::BIGINT AS from_bin, floor(y / 10)::BIGINT AS to_bin, count(*) AS n, {r6('sum(weight)')} AS w FROM o GROUP BY ALL"""
 
 
+PARTS = """WITH RECURSIVE pe AS (SELECT a, b, sum(q)::DOUBLE AS w FROM (SELECT lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS a, l_partkey AS b, l_quantity AS q FROM lineitem) WHERE a IS NOT NULL AND q <= 3 GROUP BY a, b),
+pr AS (SELECT a AS i, a AS j FROM pe UNION SELECT b, b FROM pe UNION SELECT i, b FROM pr JOIN pe ON a = j)"""
+
+
 GIVEN = "g AS (SELECT range AS state, ((range * 37) % 23) / 7.0::DOUBLE AS h, ((range * 13) % 17) / 5.0::DOUBLE + 0.1 AS v, (range % 5 + 1) / 60.0::DOUBLE AS pi FROM range(20))"
 FLUX_T = "sum(CASE WHEN p1 > 150 AND p1 < 1000 THEN weight ELSE 0 END)"
 
@@ -246,6 +250,8 @@ SQL: dict[str, str] = {
     "mfpt_matrix": f"WITH RECURSIVE {TRAJ}{pairs('traj', 1)}{LEDGES}, g AS (SELECT 0 AS k, i, j, 0.0::DOUBLE AS v FROM (SELECT range AS i FROM range(5)), (SELECT range AS j FROM range(5)) UNION ALL SELECT k + 1, le.from_state, j, CASE WHEN le.from_state = j THEN 0 ELSE 1 + sum(CASE WHEN to_state = j THEN 0 ELSE p * v END) END FROM g JOIN le ON to_state = i WHERE k < 600 GROUP BY k, le.from_state, j) SELECT i, j, {r6('v')} AS t FROM g WHERE k = 600",
     "path_model_mfpt": f"WITH RECURSIVE {TRAJ}{PATHS.replace(BOXES, AB)}, prs AS (SELECT from_state, state AS to_state, count(*) AS n FROM (SELECT *, lag(state) OVER (PARTITION BY traj, path_id ORDER BY idx) AS from_state FROM path) WHERE from_state IS NOT NULL GROUP BY ALL){LEDGES}, g AS (SELECT 0 AS k, from_state AS s, 0.0::DOUBLE AS v FROM (SELECT DISTINCT from_state FROM le) UNION ALL SELECT g.k + 1, le.from_state, 1 + sum(CASE WHEN to_state = 2 THEN 0 ELSE p * v END) FROM (SELECT k, s, v FROM g UNION ALL SELECT DISTINCT k, 2::BIGINT, 0.0::DOUBLE FROM g) g JOIN le ON g.s = to_state WHERE g.k < 600 GROUP BY g.k, le.from_state) SELECT {r6('v')} AS mfpt FROM g WHERE k = 600 AND s = 3",
     "lagged_pairs_lag2": lagged(2),
+    "part_components": f"{PARTS} SELECT x.i AS state, min(x.j) AS component, count(*) AS size FROM pr x JOIN pr y ON y.i = x.j AND y.j = x.i GROUP BY x.i",
+    "part_reach": f"{PARTS} SELECT i AS source, count(*) AS n, max(j) AS last FROM pr WHERE i % 20 = 0 GROUP BY i",
     "lagged_pairs_lag20": lagged_far(20),
     "ancestors_64": f"{chained(63)} SELECT s.file_idx, s.n_iter, s.seg_id, CASE WHEN a.up >= 0 THEN a.up ELSE -1 END AS ancestor, coalesce(r.step, -1)::BIGINT AS root_steps, coalesce(r.at, -1) AS root FROM s LEFT JOIN c a ON a.file_idx = s.file_idx AND a.n_iter = s.n_iter AND a.seg_id = s.seg_id AND a.step = 63 LEFT JOIN c r ON r.file_idx = s.file_idx AND r.n_iter = s.n_iter AND r.seg_id = s.seg_id AND r.up < 0",
     "path_sums": f"{chained(40)} SELECT c.file_idx, c.n_iter, c.seg_id, count(*) AS n, {r6('sum(p1)')} AS p1_sum, {r6('sum(weight)')} AS w_sum FROM c JOIN s ON s.file_idx = c.file_idx AND s.n_iter = c.n_iter - step AND s.seg_id = c.at GROUP BY ALL",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.predicates import in_interval
@@ -59,5 +59,12 @@ def branching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).withColumn("parent_id", F.when(F.col("p1") > TARGET[0], F.lit(-1).cast("long")).otherwise(other))
 
 
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks over parts, a state each: from one line of an order to the next, among lines of at most three pieces."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")
+    rows = read(spark, sf_dir, "lineitem").withColumn("from_state", F.lag("l_partkey").over(w)).where("from_state is not null and l_quantity <= 3")
+    return rows.groupBy("from_state", F.col("l_partkey").alias("to_state")).agg(F.sum("l_quantity").cast("double").alias("w"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("bin"), F.col("embedding").cast("array<double>").alias("x"), F.lit(1.0).alias("weight"))
