@@ -1,4 +1,4 @@
-"""Density decides what is text; names and elements only lower a line's weight."""
+"""Density decides what is text, but what a page sets apart is none while anything else weighs."""
 
 import random
 
@@ -39,6 +39,9 @@ def slow_text(lines, marked):
     sums = [{k: sum(weights[j] for j in g[p : p + 3]) for p, k in enumerate(g)} for g in groups]
     most = max(sums[0].values(), default=0)
     need = 0 if marked or most < 60 else 60
+    if any(w and x[2] != "apart" for w, x in zip(weights, lines, strict=True)):
+        groups[1] = [k for k in groups[1] if lines[k][2] != "apart"]
+        sums[1] = {k: sum(weights[j] for j in groups[1][p : p + 3]) for p, k in enumerate(groups[1])}
     kept = set()
     for p, k in enumerate(groups[0]):
         if weights[k] and any(sums[0][groups[0][q]] >= need and weights[groups[0][q]] and all(sums[0][j] > 0 for j in groups[0][q : p + 1]) for q in range(p + 1)):
@@ -50,6 +53,27 @@ def slow_text(lines, marked):
     return "\n".join(lines[k][0] for k in sorted(kept))
 
 
+STORY = "A short story about a bridge that was built twice, and about the river that did not mind at all. " * 2
+
+
+@pytest.mark.parametrize(
+    "apart",
+    [
+        "<div class='comments'>{0}</div>",
+        "<footer>{0}</footer>",
+        "<div class='cookie-banner'>{0}</div>",
+        "<aside>{0}</aside>",
+        "<form action='x'>{0}</form>",
+    ],
+)
+@pytest.mark.parametrize("page", ["<body><p>{story}</p>{apart}</body>", "<body><article><p>{story}</p>{apart}</article></body>", "<body><article><p>{story}</p></article>{apart}</body>"])
+def test_mass_does_not_let_in_what_is_set_apart(page, apart):
+    from weftline.llm.html import main_text
+
+    long = apart.format("".join(f"<p>{LONG[0]}</p>" for _ in range(25)))
+    assert main_text(page.format(story=STORY, apart=long)) == STORY.strip()
+
+
 @pytest.mark.parametrize("marked", [False, True])
 def test_against_line_blocks(marked):
     from weftline.llm.html import main_text

@@ -4,11 +4,12 @@ Markup is stripped into lines, one for each block of the page. A line's weight i
 links, and weights are summed over sliding windows of SPAN lines. Text surges where a window's sum passes the
 threshold and dives where the sums fall back to nothing; the weighing lines between a surge and its dive are the text.
 
-Elements and names only change weights. Lines in menus, headers, footers, sidebars, notices, adverts, forms or reader
-comments (ASIDE, STRONG) weigh FAR_LOWER as much, and lines beside a marked article or main part BESIDE as much. Such
-lines stand in a sequence of their own, so the windows of the other lines reach across them; of theirs, those are text
-whose window passes THRESHOLD and SHARE of the page's densest window, each holding its part of it. Ambiguous names
-(WEAK) halve a line's weight. Of the other lines, where an article or main part is marked, a single character passes;
+Lines in menus, headers, footers, sidebars, notices, adverts, forms or reader comments (ASIDE, STRONG) are set apart:
+however long, they are no text on a page where any other line weighs. Where nothing else weighs, they are judged as
+what stands beside an article, at FAR_LOWER of their weight. Lines beside a marked article or main part weigh BESIDE as
+much. Such lines stand in a sequence of their own, so the windows of the other lines reach across them; of theirs,
+those are text whose window passes THRESHOLD and SHARE of the page's densest window, each holding its part of it.
+Ambiguous names (WEAK) halve a line's weight. Of the other lines, where an article or main part is marked, a single character passes;
 elsewhere THRESHOLD characters do, or any weight where no window has as much. So no page with text comes out empty, a
 marked part does not silence a denser text beside it, and a name does not silence a page's only text.
 
@@ -186,7 +187,8 @@ def main_text(page: str | None) -> str:
     lines = lines_of(page)
     marked = any(m and w and not a for _, w, a, _, m in lines)
     own = [k for k, (_, _, a, _, m) in enumerate(lines) if not a and (m or not marked)]
-    rest = [k for k, (_, _, a, _, m) in enumerate(lines) if a or marked and not m]
+    silent = not any(w and not a for _, w, a, _, _ in lines)
+    rest = [k for k, (_, _, a, _, m) in enumerate(lines) if (silent if a else marked and not m)]
     weights = [lines[k][1] * (0.5 if lines[k][3] else 1) for k in own]
     lowered = [lines[k][1] * (FAR_LOWER if lines[k][2] else 1) * (BESIDE if marked and not lines[k][4] else 1) for k in rest]
     sums, low_sums = window_sums(weights), window_sums(lowered)
