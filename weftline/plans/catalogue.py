@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import predicates as P
+from weftline.operators import chains as H
 from weftline.operators import cluster as C
 from weftline.operators import components as K
 from weftline.operators import flux as X
@@ -345,6 +346,35 @@ def is_reachable(spark, d):
     return spark.createDataFrame([(i, j, G.reaches(m, [i], [j])) for i in range(N + 2) for j in range(N + 2)], "i bigint, j bigint, reached boolean")
 
 
+def _fine_chain(spark, d):
+    """The chain of 20 states: the clusters, each in four ranges of the coordinate."""
+    fine = lambda c, x: F.col(c) * 4 + sum((F.col(x) >= b).cast("long") for b in (5, 20, 60))
+    rows = V.segments(spark, d).select(fine("from_cluster", "p0").alias("from_state"), fine("to_cluster", "p1").alias("to_state"))
+    rows = rows.where("from_state is not null and to_state is not null").groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
+    return T.normalized(rows, ["from_state"], "n").select("from_state", "to_state", "p")
+
+
+def _named(spark, *states):
+    return spark.createDataFrame([(s,) for s in states], "state bigint")
+
+
+@query
+def fine_stationary(spark, d):
+    """Stationary probabilities by aggregation over blocks of eight states."""
+    return tidy(H.stationary(_fine_chain(spark, d), block=8))
+
+
+@query
+def fine_committor(spark, d):
+    return tidy(H.committor(_fine_chain(spark, d), _named(spark, 12), _named(spark, 11), block=8))
+
+
+@query
+def fine_passage(spark, d):
+    """Mean steps to one state, of every state."""
+    return tidy(H.mean_passage(_fine_chain(spark, d), _named(spark, 11), block=8))
+
+
 @query
 def part_components(spark, d):
     """Strongly connected components of the walks over parts, each state with its component."""

@@ -149,6 +149,10 @@ PARTS = """WITH RECURSIVE pe AS (SELECT a, b, sum(q)::DOUBLE AS w FROM (SELECT l
 pr AS (SELECT a AS i, a AS j FROM pe UNION SELECT b, b FROM pe UNION SELECT i, b FROM pr JOIN pe ON a = j)"""
 
 
+FINE = f"""WITH RECURSIVE {SEG}, fc AS (SELECT 4 * from_cluster + (CASE WHEN p0 >= 60 THEN 3 WHEN p0 >= 20 THEN 2 WHEN p0 >= 5 THEN 1 ELSE 0 END) AS a, 4 * to_cluster + (CASE WHEN p1 >= 60 THEN 3 WHEN p1 >= 20 THEN 2 WHEN p1 >= 5 THEN 1 ELSE 0 END) AS b FROM seg WHERE p0 IS NOT NULL AND p1 IS NOT NULL),
+ft AS (SELECT a, b, count(*) / sum(count(*)) OVER (PARTITION BY a) AS p FROM fc WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY a, b), fs AS (SELECT a AS s FROM ft UNION SELECT b FROM ft)"""
+
+
 GIVEN = "g AS (SELECT range AS state, ((range * 37) % 23) / 7.0::DOUBLE AS h, ((range * 13) % 17) / 5.0::DOUBLE + 0.1 AS v, (range % 5 + 1) / 60.0::DOUBLE AS pi FROM range(20))"
 FLUX_T = "sum(CASE WHEN p1 > 150 AND p1 < 1000 THEN weight ELSE 0 END)"
 
@@ -250,6 +254,9 @@ SQL: dict[str, str] = {
     "mfpt_matrix": f"WITH RECURSIVE {TRAJ}{pairs('traj', 1)}{LEDGES}, g AS (SELECT 0 AS k, i, j, 0.0::DOUBLE AS v FROM (SELECT range AS i FROM range(5)), (SELECT range AS j FROM range(5)) UNION ALL SELECT k + 1, le.from_state, j, CASE WHEN le.from_state = j THEN 0 ELSE 1 + sum(CASE WHEN to_state = j THEN 0 ELSE p * v END) END FROM g JOIN le ON to_state = i WHERE k < 600 GROUP BY k, le.from_state, j) SELECT i, j, {r6('v')} AS t FROM g WHERE k = 600",
     "path_model_mfpt": f"WITH RECURSIVE {TRAJ}{PATHS.replace(BOXES, AB)}, prs AS (SELECT from_state, state AS to_state, count(*) AS n FROM (SELECT *, lag(state) OVER (PARTITION BY traj, path_id ORDER BY idx) AS from_state FROM path) WHERE from_state IS NOT NULL GROUP BY ALL){LEDGES}, g AS (SELECT 0 AS k, from_state AS s, 0.0::DOUBLE AS v FROM (SELECT DISTINCT from_state FROM le) UNION ALL SELECT g.k + 1, le.from_state, 1 + sum(CASE WHEN to_state = 2 THEN 0 ELSE p * v END) FROM (SELECT k, s, v FROM g UNION ALL SELECT DISTINCT k, 2::BIGINT, 0.0::DOUBLE FROM g) g JOIN le ON g.s = to_state WHERE g.k < 600 GROUP BY g.k, le.from_state) SELECT {r6('v')} AS mfpt FROM g WHERE k = 600 AND s = 3",
     "lagged_pairs_lag2": lagged(2),
+    "fine_stationary": f"{FINE}, v AS (SELECT 0 AS k, s, 1.0::DOUBLE / count(*) OVER () AS v FROM fs UNION ALL SELECT k + 1, b, sum(v * p) FROM v JOIN ft ON a = s WHERE k < 200 GROUP BY k, b) SELECT fs.s AS state, {r6('coalesce(v, 0)')} AS value FROM fs LEFT JOIN v ON v.s = fs.s AND k = 200",
+    "fine_committor": f"{FINE}, v AS (SELECT 0 AS k, s, (s = 11)::INT::DOUBLE AS v FROM fs UNION ALL SELECT k + 1, a, CASE a WHEN 11 THEN 1 WHEN 12 THEN 0 ELSE sum(v * p) END FROM v JOIN ft ON b = s WHERE k < 600 GROUP BY k, a) SELECT s AS state, {r6('v')} AS value FROM v WHERE k = 600",
+    "fine_passage": f"{FINE}, v AS (SELECT 0 AS k, s, 0.0::DOUBLE AS v FROM fs UNION ALL SELECT k + 1, a, CASE a WHEN 11 THEN 0 ELSE 1 + sum(v * p) END FROM v JOIN ft ON b = s WHERE k < 3000 GROUP BY k, a) SELECT s AS state, {r6('v')} AS value FROM v WHERE k = 3000",
     "part_components": f"{PARTS} SELECT x.i AS state, min(x.j) AS component, count(*) AS size FROM pr x JOIN pr y ON y.i = x.j AND y.j = x.i GROUP BY x.i",
     "part_reach": f"{PARTS} SELECT i AS source, count(*) AS n, max(j) AS last FROM pr WHERE i % 20 = 0 GROUP BY i",
     "lagged_pairs_lag20": lagged_far(20),
