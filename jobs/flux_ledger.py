@@ -38,18 +38,16 @@ log = logger("flux_ledger")
 def segments(snapshots: DataFrame, clusters: list[str]) -> DataFrame:
     """(day, from_cluster, to_cluster, p0, p1, weight) of consecutive snapshots of a walker, by the day of their end."""
     rows = snapshots.withColumn("day", F.to_date("ts"))
-    rows = trajectories.from_log(rows, "user_id", ["ts", "event_id"], F.col("day"), x="value", state="event_type", day="day")
-    rows = trajectories.previous(rows, ["x", "state"], ("traj",), trajectories.BLOCK).where("_prev is not null")
+    rows = trajectories.previous_in(rows, ["value", "event_type"], ["user_id"], F.col("day"), ["ts", "event_id"]).where("_prev is not null")
     number = lambda c: F.nullif(F.array_position(F.array(*[F.lit(x) for x in clusters]), c), F.lit(0)).cast("long") - 1
-    return rows.select("day", number(F.col("_prev.state")).alias("from_cluster"), number(F.col("state")).alias("to_cluster"), F.col("_prev.x").alias("p0"), F.col("x").alias("p1"))
+    return rows.select("day", number(F.col("_prev.event_type")).alias("from_cluster"), number(F.col("event_type")).alias("to_cluster"), F.col("_prev.value").alias("p0"), F.col("value").alias("p1"))
 
 
 def daily_flux(rows: DataFrame, n: int, basis: list[float], target: list[float]) -> DataFrame:
     """(day, from_state, to_state, w) of segments; a day's segments share the weight 1."""
-    days = rows.groupBy(F.col("day").alias("_day")).agg((1.0 / F.count("*")).alias("weight"))
-    rows = rows.join(days, F.col("day") == F.col("_day"))
-    rows = flux.with_states(rows, n, basis, target).where("from_state is not null and to_state is not null")
-    return flux.flux_matrix(rows, by=("day",))
+    rows = flux.with_states(rows, n, basis, target).withColumn("weight", F.lit(1.0))
+    edges = trajectories.normalized(flux.flux_matrix(rows, by=("day",)), ["day"], "w", "w")
+    return edges.where("from_state is not null and to_state is not null")
 
 
 def with_totals(edges: DataFrame, before: DataFrame, day: Column) -> DataFrame:
@@ -72,7 +70,7 @@ def run(spark: SparkSession, config: dict) -> dict:
         events = events.where(F.col("ts") >= F.lit(mark + timedelta(days=1)).cast("timestamp"))
     last = events.agg(F.max(F.to_date("ts"))).first()[0]  # still open
     closed = events.where(F.col("ts") < F.lit(last).cast("timestamp")) if last is not None else None
-    upto = closed.agg(F.max(F.to_date("ts"))).first()[0] if closed is not None else None
+    upto, read = closed.agg(F.max(F.to_date("ts")), F.count("*")).first() if closed is not None else (None, 0)
     if upto is None:
         log.info("%s holds no closed day beyond %s: nothing to do", config["input"], mark)
         return {"mark": mark, "read": 0, "written": 0}
@@ -92,7 +90,7 @@ def run(spark: SparkSession, config: dict) -> dict:
     totals.groupBy("from_state", "to_state").agg(F.sum("total").alias("total")).write.mode("overwrite").parquet(f"{out}/totals/upto={upto}")
     newest = F.max_by(F.struct(*SNAPSHOTS), F.struct("ts", "event_id"))
     fresh.groupBy("user_id").agg(newest.alias("s")).select("s.*").write.mode("overwrite").parquet(f"{out}/walkers/upto={upto}")
-    done = {"mark": upto, "read": closed.count(), "written": new.count()}
+    done = {"mark": upto, "read": read, "written": new.count()}
     spark.createDataFrame([(upto,)], "upto date").coalesce(1).write.mode("append").parquet(f"{out}/marks")
     log.info("read %d snapshots of %s after %s, wrote %d ledger rows, mark is now %s", done["read"], config["input"], mark, done["written"], upto)
     return done

@@ -222,3 +222,30 @@ def test_simulated_paths(spark, chain):
     assert len(paths) == 50
     assert all(r["path"][0] == 0 and r["path"][-1] == 6 and 6 not in r["path"][:-1] for r in paths)
     assert sorted(map(tuple, (r["path"] for r in paths))) == sorted(tuple(r["path"]) for r in Q.simulate_paths(spark, chain, [0], [6], 50, seed=1).repartition(3).collect())
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_all_passage_times_from_one_factorisation(spark, block, monkeypatch):
+    from weftline.operators import markov as M
+    from weftline.operators import passage as Q
+
+    t = M.random_markov_matrix(11, 3)
+    t[2] = 0
+    t[2, [2, 3]] = 0.999, 0.001  # one state is hard to leave
+    want = Q.mfpt_matrix(t, 2.0)
+    solves = []
+    monkeypatch.setattr(Q, "mfpt_to", lambda *a: solves.append(1))
+    got = {(r.i, r.j): r.t for r in Q.mfpt_table(spark, t, 2.0, block).collect()}
+    assert len(got) == 121 and not solves
+    assert max(abs(got[i, j] - want[i, j]) / max(1.0, want[i, j]) for i, j in got) < 1e-9
+
+
+def test_passage_times_of_a_chain_in_parts(spark):
+    import numpy as np
+
+    from weftline.operators import passage as Q
+
+    t = np.array([[0.5, 0.5, 0], [0.25, 0.75, 0], [0.1, 0.1, 0.8]])
+    want = Q.mfpt_matrix(t)
+    got = {(r.i, r.j): r.t for r in Q.mfpt_table(spark, t).collect()}
+    assert all(got[i, j] == want[i, j] or abs(got[i, j] - want[i, j]) < 1e-12 for i, j in got)

@@ -7,6 +7,7 @@ moved for an assignment.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.predicates import squared_distance
+from weftline.session import kept
 
 FEW = 1_000_000
 
@@ -26,44 +28,72 @@ def _by_bin(pdf, centres: dict) -> Iterator:
         yield b, at, x, None if c is None else np.stack([((x - y) ** 2).sum(axis=1) for y in c], axis=1)
 
 
-def _drawn(points: DataFrame, centres: dict, seed: int) -> dict:
-    """One more centre for each bin that has a point off its centres, drawn in proportion to weight times squared distance.
+def _keys(pdf, centres: dict, u: np.ndarray, weights: np.ndarray) -> Iterator:
+    """(bin, its rows' places, coordinates, keys): a key is the least the likelier its point is to be drawn.
 
-    The draw is the least exponential number over that product; the numbers are hashes, so partitions do not matter.
+    Points are drawn in proportion to weight times squared distance from their bin's centres, those on a centre never.
+    """
+    for b, at, x, d in _by_bin(pdf, centres):
+        p = weights[at] if d is None else weights[at] * d.min(axis=1)
+        yield b, at, x, np.divide(-np.log(u[at]), p, out=np.full(len(p), np.inf), where=p > 0)
+
+
+def _drawn(points: DataFrame, centres: dict, m: int, seed: int) -> dict:
+    """m different points for each bin (or all that are off its centres), drawn without replacement, in two passes.
+
+    The first finds the m-th least key of each bin from m numbers a task, the second fetches the points up to it. Keys
+    come from hashes of the coordinates, so neither partitions nor lost executors matter.
     """
     shared = points.sparkSession.sparkContext.broadcast(centres)
     u = (F.pmod(F.xxhash64("bin", "x", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    rows = points.withColumn("u", u)
+    kind = points.schema["bin"].dataType.simpleString()
 
-    def run(batches: Iterator) -> Iterator:
+    def least(batches: Iterator) -> Iterator:
         import pandas as pd
 
         best: dict = {}
         for pdf in batches:
-            e, w = -np.log(pdf["u"].to_numpy()), pdf["weight"].to_numpy()
-            for b, at, x, d in _by_bin(pdf, shared.value):
-                p = w[at] if d is None else w[at] * d.min(axis=1)
-                key = np.divide(e[at], p, out=np.full(len(p), np.inf), where=p > 0)
-                found = min(zip(key, map(tuple, x[key == key.min()]), strict=False))
-                if found[0] < np.inf:
-                    best[b] = min(best.get(b, found), found)
-        if best:
-            yield pd.DataFrame({"bin": list(best), "key": [k for k, _ in best.values()], "x": [list(x) for _, x in best.values()]})
+            for b, _, _, key in _keys(pdf, shared.value, pdf["u"].to_numpy(), pdf["weight"].to_numpy()):
+                best[b] = np.unique(np.concatenate([best.get(b, np.empty(0)), key[key < np.inf]]))[:m]
+        for b, key in best.items():
+            yield pd.DataFrame({"bin": [b] * len(key), "key": key})
 
-    kind = points.schema["bin"].dataType.simpleString()
-    got = points.withColumn("u", u).mapInPandas(run, f"bin {kind}, key double, x array<double>")
-    rows = got.groupBy("bin").agg(F.min(F.struct("key", "x")).alias("m")).select("bin", "m.x").collect()
+    w = Window.partitionBy("bin").orderBy("key")
+    found = rows.mapInPandas(least, f"bin {kind}, key double").distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= m)
+    last = {r[0]: r[1] for r in found.groupBy("bin").agg(F.max("key")).collect()}  # a number for each bin
+
+    def fetch(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            for b, _, x, key in _keys(pdf, shared.value, pdf["u"].to_numpy(), pdf["weight"].to_numpy()):
+                if b in last and (key <= last[b]).any():
+                    got = np.unique(x[key <= last[b]], axis=0)
+                    yield pd.DataFrame({"bin": [b] * len(got), "x": list(got)})
+
+    out: dict = {}
+    for b, x in rows.mapInPandas(fetch, f"bin {kind}, x array<double>").distinct().collect():  # m points for each bin
+        out.setdefault(b, []).append(x)
     shared.unpersist()
-    return {r["bin"]: np.array(r["x"]) for r in rows}
+    return {b: np.array(sorted(x)) for b, x in out.items()}
 
 
 def _moved(points: DataFrame, centres: dict) -> dict:
-    """The weighted means of the points nearest to each centre, by (bin, place); a centre without points has none."""
+    """(mean, weight) of the points nearest to each centre, by (bin, place); a centre without points has none.
+
+    Each task sums its own; sums of a centre are packed in one array, however many coordinates there are.
+    """
     shared = points.sparkSession.sparkContext.broadcast(centres)
-    size = len(next(iter(centres.values()))[0])
+    kind = points.schema["bin"].dataType.simpleString()
 
-    def run(batches: Iterator) -> Iterator:
+    def frame(sums: dict) -> Iterator:
         import pandas as pd
 
+        if sums:
+            yield pd.DataFrame({"bin": [b for b, _ in sums], "i": [int(i) for _, i in sums], "s": list(sums.values())})
+
+    def run(batches: Iterator) -> Iterator:
         sums: dict = {}
         for pdf in batches:
             w = pdf["weight"].to_numpy()
@@ -73,46 +103,87 @@ def _moved(points: DataFrame, centres: dict) -> dict:
                 own = d.argmin(axis=1)
                 for i in np.unique(own):
                     of = own == i
-                    part = np.append(w[at][of] @ x[of], w[at][of].sum())
-                    sums[b, i] = sums.get((b, i), 0.0) + part
-        if sums:
-            yield pd.DataFrame({"bin": [b for b, _ in sums], "i": [int(i) for _, i in sums], "s": [list(v) for v in sums.values()]})
+                    sums[b, i] = sums.get((b, i), 0.0) + np.append(w[at][of] @ x[of], w[at][of].sum())
+        yield from frame(sums)
 
-    kind = points.schema["bin"].dataType.simpleString()
-    got = points.mapInPandas(run, f"bin {kind}, i bigint, s array<double>").groupBy("bin", "i").agg(*[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(size + 1)])
-    out = {(r[0], r[1]): np.array(r[2:-1]) / r[-1] for r in got.collect() if r[-1] > 0}
+    def merge(batches: Iterator) -> Iterator:
+        sums: dict = {}
+        for pdf in batches:
+            for key, v in zip(zip(pdf["bin"], pdf["i"], strict=True), pdf["s"], strict=True):
+                sums[key] = sums.get(key, 0.0) + v
+        yield from frame(sums)
+
+    schema = f"bin {kind}, i bigint, s array<double>"
+    got = points.mapInPandas(run, schema).repartition("bin", "i").mapInPandas(merge, schema)
+    out = {(r[0], r[1]): (np.array(r[2][:-1]) / r[2][-1], r[2][-1]) for r in got.collect() if r[2][-1] > 0}
     shared.unpersist()
     return out
 
 
+#: Rounds of seeding, and how many candidates a round draws for each centre asked for.
+ROUNDS, OVERSAMPLED = 3, 2
+
+
+def _chosen(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k of few weighted candidates: the best of some k-means++ seedings after Lloyd steps among the candidates."""
+    if len(x) <= k:
+        return x
+    best, least = x[:k], np.inf
+    for _ in range(8):
+        c = x[[rng.choice(len(x), p=w / w.sum())]]
+        for _ in range(k - 1):
+            d = ((x[:, None] - c) ** 2).sum(axis=2).min(axis=1) * w
+            if not d.sum() > 0:
+                break
+            c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum())]])
+        for _ in range(20):
+            own = ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+            c = np.array([np.average(x[own == i], axis=0, weights=w[own == i]) if (own == i).any() else c[i] for i in range(len(c))])
+        cost = (((x[:, None] - c) ** 2).sum(axis=2).min(axis=1) * w).sum()
+        if cost < least:
+            best, least = c, cost
+    return best
+
+
+def seeded_centres(points: DataFrame, k: int, seed: int = 0) -> dict:
+    """k first centres for each bin of points (bin, x, weight), in as many passes whatever k is.
+
+    Each of ROUNDS rounds draws OVERSAMPLED * k candidates for each bin, far from those that it has; one more pass weighs
+    the candidates by the points nearest to them, and the driver clusters the candidates.
+    """
+    found: dict = {}
+    for r in range(ROUNDS):
+        for b, x in _drawn(points, found, OVERSAMPLED * k, seed * 1_000_003 + r).items():
+            found[b] = np.unique(np.vstack([found[b], x]), axis=0) if b in found else x
+    weights = _moved(points, found)
+    rng = np.random.default_rng(seed)
+    return {b: _chosen(x, np.array([weights[b, i][1] if (b, i) in weights else 0.0 for i in range(len(x))]), k, rng) for b, x in sorted(found.items())}
+
+
 def stratified_centres(points: DataFrame, k: int, seed: int = 0, iters: int = 100) -> DataFrame:
     """(bin, local_id, x): k-means in each bin over all its points, by weight if there is a column of that name.
 
-    Seeding is k-means++, then come Lloyd's iterations; each step is one pass over the points for all bins. Equal
-    points are one with their weights summed. What comes to the driver are centres, k a bin.
+    Seeding is seeded_centres(), then come Lloyd's iterations, each one pass over the points for all bins; if iters do
+    not settle all bins, a warning says so. Points without bin or coordinates, with a null coordinate, or without
+    positive weight don't count. What comes to the driver are centres and candidates, some k a bin.
     """
     schema = f"bin {points.schema['bin'].dataType.simpleString()}, local_id bigint, x array<double>"
     weight = F.col("weight").cast("double") if "weight" in points.columns else F.lit(1.0)
-    distinct = points.select("bin", F.col("x").cast("array<double>").alias("x"), weight.alias("weight")).groupBy("bin", "x").agg(F.sum("weight").alias("weight"))
-    distinct = distinct.where("bin is not null and weight > 0").persist()
-    centres: dict = {}
-    for r in range(k):
-        new = _drawn(distinct, centres, seed * 1_000_003 + r)
-        if not new:
-            break
-        for b, x in new.items():
-            centres[b] = np.vstack([centres[b], x]) if b in centres else x[None]
+    rows = points.select("bin", F.col("x").cast("array<double>").alias("x"), weight.alias("weight"))
+    rows = kept(rows.where("bin is not null and weight > 0 and x is not null and not exists(x, v -> v is null)"), "points")
+    centres = seeded_centres(rows, k, seed)
     active = centres
     for _ in range(iters):
         if not active:
             break
-        means = _moved(distinct, active)
-        moved = {b: np.array([means.get((b, i), c[i]) for i in range(len(c))]) for b, c in active.items()}
+        means = _moved(rows, active)
+        moved = {b: np.array([means[b, i][0] if (b, i) in means else c[i] for i in range(len(c))]) for b, c in active.items()}
         active = {b: c for b, c in moved.items() if not np.allclose(c, centres[b], rtol=0, atol=1e-12)}
-        centres |= moved
-    distinct.unpersist()
-    rows = [(b, i, x.tolist()) for b, c in centres.items() for i, x in enumerate(c[np.lexsort(c.T[::-1])])]
-    return points.sparkSession.createDataFrame(rows, schema)
+        centres = centres | moved
+    if active:
+        warnings.warn(f"{len(active)} bins have not settled after {iters} iterations", stacklevel=2)
+    out = [(b, i, x.tolist()) for b, c in centres.items() for i, x in enumerate(c[np.lexsort(c.T[::-1])])]
+    return points.sparkSession.createDataFrame(out, schema)
 
 
 def aggregated_centres(points: DataFrame, k: int, seed: int = 0) -> DataFrame:

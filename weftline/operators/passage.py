@@ -37,19 +37,48 @@ def mfpt_matrix(t: np.ndarray, lag: float = 1.0) -> np.ndarray:
     return np.stack([mfpt_to(t, k, lag) for k in range(len(t))], axis=1)
 
 
-def mfpt_table(spark: SparkSession, t: np.ndarray, lag: float = 1.0) -> DataFrame:
-    """(i, j, t) for all pairs; the targets are solved in parallel."""
-    shared = spark.sparkContext.broadcast(t)
-    n = len(t)
+def fundamental_matrix(t: np.ndarray, pi: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(z, pi) of an irreducible chain: z is the inverse of I - T + 1 pi, from which all passage times follow."""
+    pi = steady_state(t) if pi is None else pi
+    return np.linalg.inv(np.eye(len(t)) - t + pi[None, :]), pi
 
-    def run(batches: Iterator) -> Iterator:
+
+def mfpt_table(spark: SparkSession, t: np.ndarray, lag: float = 1.0, block: int = 256) -> DataFrame:
+    """(i, j, t) for all pairs of states.
+
+    An irreducible chain is factorised once, on the driver; tasks are sent a block of columns of the fundamental matrix
+    each and make their columns' times from it. Of other chains every target is solved by itself, in parallel.
+    """
+    from .graphs import strong_components
+
+    n, schema = len(t), "i bigint, j bigint, t double"
+    if n and len(strong_components(t)) > 1:
+        shared = spark.sparkContext.broadcast(t)
+
+        def each(batches: Iterator) -> Iterator:
+            import pandas as pd
+
+            for pdf in batches:
+                for k in pdf["id"]:
+                    yield pd.DataFrame({"i": range(n), "j": [int(k)] * n, "t": mfpt_to(shared.value, int(k), lag)})
+
+        return spark.range(n).mapInPandas(each, schema)
+    z, pi = fundamental_matrix(t)
+    blocks = [(j, z[:, j : j + block].astype("<f8").tobytes(), z.diagonal()[j : j + block].tolist(), pi[j : j + block].tolist()) for j in range(0, n, block)]
+    rows = spark.createDataFrame(blocks, "j bigint, z binary, d array<double>, pi array<double>").repartition(max(1, len(blocks)))
+
+    def columns(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for pdf in batches:
-            for k in pdf["id"]:
-                yield pd.DataFrame({"i": range(n), "j": [int(k)] * n, "t": mfpt_to(shared.value, int(k), lag)})
-
-    return spark.range(n).mapInPandas(run, "i bigint, j bigint, t double")
+            for j, raw, d, p in zip(pdf["j"], pdf["z"], pdf["d"], pdf["pi"], strict=True):
+                d, p = np.asarray(d), np.asarray(p)
+                m = (d - np.frombuffer(raw, "<f8").reshape(n, len(d))) / p * lag
+                at = np.arange(j, j + len(d))
+                m[at, at - j] = 0.0
+                yield pd.DataFrame({"i": np.repeat(np.arange(n), len(d)), "j": np.tile(at, n), "t": m.ravel()})
+
+    return rows.mapInPandas(columns, schema)
 
 
 def directional_mfpt(t: np.ndarray, a: list[int], b: list[int], start: np.ndarray | None = None, lag: float = 1.0) -> float:

@@ -39,12 +39,14 @@ def from_log(log: DataFrame, traj: str, order: list[str], bucket: Column | None
         w = Window.partitionBy(traj).orderBy(*order)
         return log.select(out[0], (F.row_number().over(w) - 1).cast("long").alias("idx"), *out[1:])
     rows = log.withColumn("_b", bucket)
-    sizes = rows.groupBy(F.col(traj).alias("_t"), F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))
-    first = F.coalesce(F.sum("_n").over(Window.partitionBy("_t").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_t", "_c", first.alias("_first"))
-    rows = rows.join(starts, F.col(traj).eqNullSafe(F.col("_t")) & F.col("_b").eqNullSafe(F.col("_c")))
-    w = Window.partitionBy("_t", "_c").orderBy(*order)
-    return rows.select(out[0], (F.col("_first") + F.row_number().over(w) - 1).cast("long").alias("idx"), *out[1:])
+    sizes = rows.groupBy(traj, "_b").agg(F.count("*").alias("_n"))
+    first = F.coalesce(F.sum("_n").over(Window.partitionBy(traj).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Each bucket's start comes as a row of its own, before all others there, so that the rows move once.
+    starts = sizes.select(traj, "_b", first.alias("_first"), F.lit(0).alias("_own"))
+    both = rows.withColumn("_own", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    w = Window.partitionBy(traj, "_b").orderBy("_own", *order)
+    idx = F.max("_first").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.row_number().over(w) - 2
+    return both.withColumn("_idx", idx.cast("long")).where("_own = 1").select(out[0], F.col("_idx").alias("idx"), *out[1:])
 
 
 def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
@@ -63,12 +65,23 @@ def _joined(rows: DataFrame, summary: DataFrame, keys) -> DataFrame:
 
 def previous(rows: DataFrame, columns: list[str], keys, block: int) -> DataFrame:
     """rows with _prev: a struct of columns of the row before by idx, null for a trajectory's first."""
-    rows = _in_blocks(rows, block)
+    return previous_in(rows, columns, keys, F.expr(f"idx div {int(block)}"), ["idx"])
+
+
+def previous_in(rows: DataFrame, columns: list[str], keys, bucket: Column, order: list[str]) -> DataFrame:
+    """rows with _prev: a struct of columns of the row before by order, null for a trajectory's first.
+
+    bucket never falls as order goes on, such as the day of a time: rows move once, by (keys, bucket). A bucket's last
+    values go to the trajectory's next bucket as a row of their own, before all others there.
+    """
     of = F.struct(*columns)
-    last = rows.groupBy(*keys, "_b").agg(F.max_by(of, "idx").alias("_last"))
-    carry = last.select(*keys, "_b", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")).alias("_carry"))
-    inside = F.lag(of).over(Window.partitionBy(*keys, "_b").orderBy("idx"))
-    return _joined(rows.withColumn("_prev", inside), carry, keys).withColumn("_prev", F.coalesce("_prev", "_carry")).drop("_carry", "_b")
+    rows = rows.withColumn("_b", bucket).withColumn("_own", F.lit(1)).withColumn("_now", of)
+    ends = rows.groupBy(*keys, "_b").agg(F.max_by("_now", F.struct(*order)).alias("_now"))
+    ends = ends.withColumn("_to", F.lead("_b").over(Window.partitionBy(*keys).orderBy("_b"))).where("_to is not null")
+    ends = ends.select(*keys, F.col("_to").alias("_b"), F.lit(0).alias("_own"), "_now")
+    both = rows.unionByName(ends, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_b").orderBy("_own", *order)
+    return both.withColumn("_prev", F.lag("_now").over(w)).where("_own = 1").drop("_b", "_own", "_now")
 
 
 def _coloured(rows: DataFrame, keys, block: int | None) -> DataFrame:
@@ -77,14 +90,14 @@ def _coloured(rows: DataFrame, keys, block: int | None) -> DataFrame:
         w = _by(keys)
         out = rows.withColumn("color", F.last("lab", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         return out.withColumn("before", F.lag("color").over(w))
-    rows = _in_blocks(rows, block)
+    rows = _in_blocks(rows, block).withColumn("_own", F.lit(1))
     last = rows.groupBy(*keys, "_b").agg(F.max_by("lab", F.when(F.col("lab").isNotNull(), F.col("idx"))).alias("_last"))
     over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = last.select(*keys, "_b", F.last("_last", ignorenulls=True).over(over).alias("_carry"))
-    w = Window.partitionBy(*keys, "_b").orderBy("idx")
-    out = rows.withColumn("color", F.last("lab", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    out = _joined(out.withColumn("before", F.lag("color").over(w)), carry, keys)
-    return out.withColumn("color", F.coalesce("color", "_carry")).withColumn("before", F.coalesce("before", "_carry")).drop("_carry", "_b")
+    carry = last.select(*keys, "_b", F.last("_last", ignorenulls=True).over(over).alias("lab"), F.lit(0).alias("_own"))
+    both = rows.unionByName(carry.where("lab is not null"), allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_b").orderBy("_own", "idx")
+    both = both.withColumn("color", F.last("lab", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return both.withColumn("before", F.lag("color").over(w)).where("_own = 1").drop("_own", "_b")
 
 
 def _with_neighbours(rows: DataFrame, back: int, ahead: int, block: int) -> DataFrame:
