@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.session import ship
+
 
 @dataclass
 class Reduction:
@@ -19,25 +22,58 @@ class Reduction:
     spectrum: np.ndarray
 
     def column(self, array: Column) -> Column:
-        """The reduced vector of an array column, as JVM expressions."""
-        out = []
-        for k in range(self.directions.shape[1]):
-            d = F.array(*[F.lit(float(v)) for v in self.directions[:, k]])
-            shift = float(self.mean @ self.directions[:, k])
-            out.append(F.aggregate(F.zip_with(array, d, lambda x, y: x * y), F.lit(-shift), lambda s, v: s + v))
-        return F.array(*out)
+        """The reduced vector of an array column: one matrix product for each Arrow batch; null for a null vector.
+
+        The matrix is broadcast; its size is that of the model, not of the data.
+        """
+        from pyspark.sql.functions import pandas_udf
+
+        spark = SparkSession.active()
+        shared = spark.sparkContext.broadcast((self.mean, self.directions))
+        ship(spark)
+
+        def project(x: pd.Series) -> pd.Series:
+            mean, directions = shared.value
+            there = [v for v in x if v is not None]
+            found = iter((np.stack(there).astype(float) - mean) @ directions) if there else iter(())
+            return pd.Series([None if v is None else next(found) for v in x], dtype=object)
+
+        return pandas_udf(project, "array<double>")(array)
 
 
 #: Columns of a block of a moment matrix: a row of the partial sums holds ROWS of it by all columns.
 ROWS = 64
 
 
+PACKED = "k bigint, v binary"
+#: Tasks that the first round of adding up deals each block to.
+FANS = 32
+
+
+def _added(parts: DataFrame) -> DataFrame:
+    """PACKED sums by k of packed arrays, in two rounds: first the parts of groups of tasks, then the groups."""
+
+    def merge(batches: Iterator) -> Iterator:
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for k, v in zip(pdf["k"], pdf["v"], strict=True):
+                sums[k] = sums[k] + np.frombuffer(v) if k in sums else np.frombuffer(v)
+        for k, v in sums.items():
+            yield pd.DataFrame({"k": [k], "v": [v.tobytes()]})
+
+    first = parts.withColumn("fan", F.spark_partition_id() % FANS).repartition("k", "fan").select("k", "v").mapInPandas(merge, PACKED)
+    return first.repartition("k").mapInPandas(merge, PACKED)
+
+
 def _sums(pairs: DataFrame, both: bool = True) -> dict[str, np.ndarray]:
     """Weighted means of 1, x, y, xx', xy', yy' over rows (x, y, weight); without both, of 1, x and xx' only.
 
-    Each task adds up its moments and sends them in packed blocks of ROWS rows of a matrix; blocks are added by number,
-    so the driver gets one row for each block, whatever the number of tasks. An empty table raises ValueError.
+    Each task adds up its moments and sends them in packed blocks of ROWS rows of a matrix; blocks are added by number
+    in two rounds, streamed, so that no task holds more than one sum of each of its blocks, and the driver gets one row
+    for each block. Rows with a null vector, or a null in one, don't count. An empty table raises ValueError.
     """
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda v: v.isNull())
+    pairs = pairs.where(whole("x") & whole("y")) if both else pairs.where(whole("x"))
     head = pairs.select("x").first()
     if head is None:
         raise ValueError("no rows to reduce")
@@ -45,8 +81,6 @@ def _sums(pairs: DataFrame, both: bool = True) -> dict[str, np.ndarray]:
     parts = ["xx", "xy", "yy"] if both else ["xx"]
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
         total = np.zeros((1 + len(parts) * d, d))
         first = np.zeros((3, max(d, 1)))
         for pdf in batches:
@@ -66,12 +100,9 @@ def _sums(pairs: DataFrame, both: bool = True) -> dict[str, np.ndarray]:
             blocks = [first.ravel(), *[total[i : min(i + ROWS, len(parts) * d)].ravel() for i in range(0, len(parts) * d, ROWS)]]
             yield pd.DataFrame({"k": range(len(blocks)), "v": [b.tobytes() for b in blocks]})
 
-    def added(pdf):
-        return pdf.head(1).assign(v=[sum(np.frombuffer(v) for v in pdf["v"]).tobytes()])
-
     columns = ["x", "y", "weight"] if both else ["x", "weight"]
-    got = pairs.select(*columns).mapInPandas(run, "k bigint, v binary")
-    rows = {r["k"]: np.frombuffer(r["v"]) for r in got.groupBy("k").applyInPandas(added, "k bigint, v binary").collect()}
+    got = _added(pairs.select(*columns).mapInPandas(run, PACKED))
+    rows = {r["k"]: np.frombuffer(r["v"]) for r in got.collect()}
     if not rows:
         raise ValueError("no weight to reduce by")
     first = rows.pop(0).reshape(3, -1)
@@ -97,6 +128,51 @@ def pca(vectors: DataFrame, column: str, cutoff: float = 0.95, dims: int | None
     return Reduction(s["x"], dirs, values[:dims])
 
 
+def sketched_pca(vectors: DataFrame, column: str, dims: int, oversample: int = 10, tol: float = 1e-9, most: int = 30, seed: int = 0) -> Reduction:
+    """The first dims principal components of wide vectors, without a matrix of coordinates by coordinates.
+
+    Block subspace iteration from a random start: each pass multiplies the covariance by dims + oversample directions,
+    so a task sends an array of coordinates by directions, in packed blocks. Passes end when no variance wanted changes
+    by more than tol of the largest; after most passes an ArithmeticError is raised. Signs are fixed as in pca().
+    """
+    rows = vectors.select(F.col(column).cast("array<double>").alias("x")).where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+    head = rows.first()
+    if head is None:
+        raise ValueError("no rows to reduce")
+    spark, d = vectors.sparkSession, len(head[0])
+    size = min(d, dims + oversample)
+    dims = min(dims, d)
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, size)))[0]
+    before = np.full(dims, np.inf)
+    ship(spark)
+    for _ in range(most):
+        shared = spark.sparkContext.broadcast(q)
+
+        def run(batches: Iterator, shared=shared) -> Iterator:
+            n, mean, total = 0, np.zeros(d), np.zeros((d, size))
+            for pdf in batches:
+                if len(pdf):
+                    x = np.stack(pdf["x"])
+                    n, mean, total = n + len(x), mean + x.sum(0), total + x.T @ (x @ shared.value)
+            if n:
+                blocks = [np.append(mean, n), *[total[i : i + ROWS].ravel() for i in range(0, d, ROWS)]]
+                yield pd.DataFrame({"k": range(len(blocks)), "v": [b.tobytes() for b in blocks]})
+
+        sums = {r["k"]: np.frombuffer(r["v"]) for r in _added(rows.mapInPandas(run, PACKED)).collect()}
+        shared.unpersist()
+        first = sums.pop(0)
+        mean = first[:d] / first[d]
+        product = np.concatenate([sums[k] for k in sorted(sums)]).reshape(d, size) / first[d] - np.outer(mean, mean @ q)
+        values, turn = np.linalg.eigh(q.T @ product)
+        values, turn = np.clip(values[::-1], 0, None), turn[:, ::-1]
+        if np.abs(values[:dims] - before).max() <= tol * max(values[0], 1e-300) or size == d:
+            dirs = (q @ turn)[:, :dims]
+            return Reduction(mean, dirs * np.sign(dirs[np.abs(dirs).argmax(axis=0), np.arange(dims)]), values[:dims])
+        before = values[:dims]
+        q = np.linalg.qr(product)[0]
+    raise ArithmeticError(f"the components have not settled after {most} passes")
+
+
 def batch_pca(pairs: DataFrame, dims: int | None = None) -> Reduction:
     """All components over starts and ends together: pairs (x, y)."""
     both = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x")))
@@ -138,12 +214,14 @@ def identity(d: int) -> Reduction:
 
 
 def reduction(method: str, pairs: DataFrame, **options) -> Reduction:
-    """pca, tica, vamp, batch-pca or none over rows (x, y, weight)."""
+    """pca, sketched-pca, tica, vamp, batch-pca or none over rows (x, y, weight)."""
     if method == "none":
         return identity(len(pairs.select("x").first()[0]))
     if method == "pca":
         return pca(pairs, "x", **options)
     made: dict[str, Callable[..., Reduction]] = {"tica": tica, "vamp": vamp, "batch-pca": batch_pca}
+    if method == "sketched-pca":
+        return sketched_pca(pairs, "x", **options)
     if method not in made:
         raise ValueError(f"no reduction is called {method}")
     return made[method](pairs, **options)

@@ -894,6 +894,13 @@ def pca_reduce(spark, d):
     return tidy(v.select("vec_id", F.posexplode(R.pca(v, "x", dims=5).column(F.col("x"))).alias("k", "value")))
 
 
+@query
+def sketched_pca_reduce(spark, d):
+    """The same components without a matrix of coordinates by coordinates."""
+    v = V.vectors(spark, d)
+    return tidy(v.select("vec_id", F.posexplode(R.sketched_pca(v, "x", 3, 20, most=200, tol=1e-11).column(F.col("x"))).alias("k", "value")))
+
+
 @query
 def tica_reduce(spark, d):
     w = Window.partitionBy("bin").orderBy("vec_id")
