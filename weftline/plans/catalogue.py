@@ -18,6 +18,7 @@ from weftline.operators import markov as M
 from weftline.operators import optimize as O
 from weftline.operators import passage as Q
 from weftline.operators import reduce as R
+from weftline.operators import sequences as Z
 from weftline.operators import trajectories as T
 from weftline.session import ship
 from weftline.sources import lineage as L
@@ -532,6 +533,13 @@ def path_counts(spark, d):
     return tidy(T.path_counts(V.turn_trajs(spark, d)))
 
 
+@query
+def path_sequences(spark, d):
+    """Every different sequence of roles, a row for each place, with the number of conversations that have it."""
+    counts, states = Z.sequence_counts(V.turn_trajs(spark, d))
+    return tidy(states.join(counts, "traj").select("traj", "place", "state", "n", "weight"))
+
+
 @query
 def ensemble_union(spark, d):
     both = T.joined_ensembles(V.event_trajs(spark, d).select("traj", "idx", "x"), V.order_trajs(spark, d).select("traj", "idx", "x"))
@@ -613,18 +621,18 @@ def path_model_mfpt(spark, d):
     return tidy(spark.createDataFrame([(Q.path_model_mfpt(m, [3], [2]),)], "mfpt double"))
 
 
-def _given_mfpts(spark):
-    return spark.createDataFrame([(i, j, float((i * 7 + j * 3) % 11 + 1)) for i in range(6) for j in range(6) if i != j], "i bigint, j bigint, t double")
+def _mfpts(spark, d):
+    return Q.mfpt_table(spark, M.dense(_label_edges(spark, d), N))
 
 
 @query
 def commute_time_min(spark, d):
-    return tidy(M.extreme_commute(_given_mfpts(spark)))
+    return tidy(M.extreme_commute(_mfpts(spark, d)))
 
 
 @query
 def commute_time_max(spark, d):
-    return tidy(M.extreme_commute(_given_mfpts(spark), True))
+    return tidy(M.extreme_commute(_mfpts(spark, d), True))
 
 
 # ---- clusters ----------------------------------------------------------------------------------------------------
@@ -662,13 +670,17 @@ def state_offsets(spark, d):
     return tidy(C.state_offsets(V.vectors(spark, d)))
 
 
-def _given_states(spark):
-    return spark.createDataFrame([(i, ((i * 37) % 23) / 7.0, ((i * 13) % 17) / 5.0 + 0.1, (i % 5 + 1) / 60.0) for i in range(20)], "state bigint, h double, v double, pi double")
+def _fine_states(spark, d):
+    """The 20 states of the fine chain: mean coordinate one step on, its deviation, and the share of segments."""
+    fine = F.col("from_cluster") * 4 + sum((F.col("p0") >= b).cast("long") for b in (5, 20, 60))
+    rows = V.segments(spark, d).withColumn("state", fine).where("state is not null and p1 is not null")
+    rows = rows.groupBy("state").agg(F.avg("p1").alias("h"), F.stddev_pop("p1").alias("v"), F.count("*").alias("n"))
+    return rows.select("state", "h", "v", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("pi"))
 
 
 @query
 def optimized_uniform_bins(spark, d):
-    return O.uniform_bins(_given_states(spark), 7)
+    return O.uniform_bins(_fine_states(spark, d), 7)
 
 
 @query
@@ -970,15 +982,15 @@ def discrepancy(spark, d):
 
 @query
 def clustered_bins(spark, d):
-    rows = sorted(_given_states(spark).collect())
+    rows = sorted(_fine_states(spark, d).collect())
     b = O.clustered_bins(*(np.array([r[k] for r in rows]) for k in ("h", "v", "pi")), 7)
     return spark.createDataFrame([(r["state"], int(x)) for r, x in zip(rows, b, strict=True)], "state bigint, bin bigint")
 
 
 @query
 def allocation(spark, d):
-    bins = O.uniform_bins(_given_states(spark), 7)
-    return tidy(O.walkers(O.bin_totals(_given_states(spark), bins), 100, 2))
+    bins = O.uniform_bins(_fine_states(spark, d), 7)
+    return tidy(O.walkers(O.bin_totals(_fine_states(spark, d), bins), 100, 2))
 
 
 @query

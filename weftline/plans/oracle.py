@@ -81,7 +81,6 @@ def correlation(symmetric: bool) -> str:
 LEDGES = f", le AS (SELECT {CLUSTER.format('from_state')}::BIGINT AS from_state, {CLUSTER.format('to_state')}::BIGINT AS to_state, n / sum(n) OVER (PARTITION BY from_state) AS p FROM prs)"
 CEDGES = ", ce AS (SELECT *, n / sum(n) OVER (PARTITION BY from_state, from_color) AS p FROM colored)"
 VEC = "vec AS (SELECT vec_id, label::BIGINT AS bin, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings), cen AS (SELECT bin, k, avg(v) AS c FROM vec GROUP BY ALL)"
-MFPTS = "m AS (SELECT i, j, ((i * 7 + j * 3) % 11 + 1)::DOUBLE AS t FROM (SELECT range AS i FROM range(6)), (SELECT range AS j FROM range(6)) WHERE i <> j), c AS (SELECT a.i, a.j, a.t + b.t AS c FROM m a JOIN m b ON a.i = b.j AND a.j = b.i WHERE a.i < a.j)"
 
 
 def one_way(color: str, end: str) -> str:
@@ -153,9 +152,14 @@ FINE = f"""WITH RECURSIVE {SEG}, fc AS (SELECT 4 * from_cluster + (CASE WHEN p0
 ft AS (SELECT a, b, count(*) / sum(count(*)) OVER (PARTITION BY a) AS p FROM fc WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY a, b), fs AS (SELECT a AS s FROM ft UNION SELECT b FROM ft)"""
 
 
-GIVEN = "g AS (SELECT range AS state, ((range * 37) % 23) / 7.0::DOUBLE AS h, ((range * 13) % 17) / 5.0::DOUBLE + 0.1 AS v, (range % 5 + 1) / 60.0::DOUBLE AS pi FROM range(20))"
+GIVEN = f"""{SEG}, gs AS (SELECT 4 * from_cluster + (CASE WHEN p0 >= 60 THEN 3 WHEN p0 >= 20 THEN 2 WHEN p0 >= 5 THEN 1 ELSE 0 END) AS state, p1 FROM seg WHERE p0 IS NOT NULL AND p1 IS NOT NULL AND from_cluster IS NOT NULL),
+g AS (SELECT state, avg(p1) AS h, stddev_pop(p1) AS v, count(*) / sum(count(*)) OVER () AS pi FROM gs GROUP BY state)"""
 FLUX_T = "sum(CASE WHEN p1 > 150 AND p1 < 1000 THEN weight ELSE 0 END)"
 
+#: Mean steps between labels after 600 rounds of value <- 1 + T value.
+PASSAGE = f"WITH RECURSIVE {TRAJ}{pairs('traj', 1)}{LEDGES}, g AS (SELECT 0 AS k, i, j, 0.0::DOUBLE AS v FROM (SELECT range AS i FROM range(5)), (SELECT range AS j FROM range(5)) UNION ALL SELECT k + 1, le.from_state, j, CASE WHEN le.from_state = j THEN 0 ELSE 1 + sum(CASE WHEN to_state = j THEN 0 ELSE p * v END) END FROM g JOIN le ON to_state = i WHERE k < 600 GROUP BY k, le.from_state, j)"
+COMMUTE = f"{PASSAGE}, c AS (SELECT a.i, a.j, a.v + b.v AS c FROM g a JOIN g b ON b.i = a.j AND b.j = a.i AND b.k = 600 WHERE a.k = 600 AND a.i < a.j)"
+
 SQL: dict[str, str] = {
     "load_segments": f"WITH {SEG}, c AS (SELECT *, max(n_iter) OVER (PARTITION BY file_idx) AS last FROM seg) SELECT file_idx, seg_id, {r6('p0')} AS p0, {r6('p1')} AS p1, from_label, to_label, {r6('weight')} AS weight FROM c WHERE n_iter = 3 AND n_iter < last",
     "iteration_counts": f"WITH {SEG}, c AS (SELECT n_iter, count(*) AS n_segments, row_number() OVER (ORDER BY n_iter) AS place FROM seg GROUP BY n_iter) SELECT n_iter, n_segments FROM c WHERE n_iter = place",
@@ -220,6 +224,7 @@ SQL: dict[str, str] = {
     "colored_tmatrix": f"WITH {TRAJ}{coloured(AB, 1)}{CEDGES} SELECT from_state, from_color, to_state, to_color, {r6('p')} AS p FROM ce",
     "history_color_counts": f"WITH {TRAJ}{HISTORY} SELECT * FROM hist",
     "history_color_fractional": f"WITH RECURSIVE {TRAJ}{HISTORY}{pairs('traj', 2)}{PSEUDO}, u AS (SELECT h.from_state, x.from_color, h.to_state, x.to_color, n * f / sum(f) OVER (PARTITION BY h.from_state, h.to_state, h.to_color) AS n FROM hist h JOIN pf x ON x.from_state = h.from_state AND x.to_state = h.to_state AND (h.to_color = 'U' OR h.to_color = x.to_color) WHERE h.from_color = 'U' AND f > 0) SELECT from_state, from_color, to_state, to_color, {r6('sum(n)')} AS n FROM (SELECT from_state, from_color, to_state, to_color, n::DOUBLE AS n FROM hist WHERE from_color <> 'U' UNION ALL SELECT * FROM u) GROUP BY ALL",
+    "path_sequences": f"WITH p AS (SELECT conv_id, string_agg(role, '>' ORDER BY turn, role) AS path FROM conversations WHERE role IS NOT NULL GROUP BY conv_id), c AS (SELECT path, min(conv_id) AS traj, count(*) AS n, count(*) / sum(count(*)) OVER () AS weight FROM p GROUP BY path), s AS (SELECT traj, n, weight, string_split(path, '>') AS x FROM c) SELECT traj, i - 1 AS place, x[i] AS state, n, {r6('weight')} AS weight FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM s)",
     "path_counts": f"WITH p AS (SELECT conv_id, string_agg(role, '>' ORDER BY turn, role) AS path FROM conversations GROUP BY conv_id), c AS (SELECT path, count(*) AS n FROM p GROUP BY path) SELECT path, n, {r6('n / sum(n) OVER ()')} AS weight FROM c",
     "ensemble_union": f"WITH {TRAJ}, {OTRAJ} SELECT traj, count(*) AS n, {r6('sum(x)')} AS x_sum FROM (SELECT 'a:' || traj AS traj, x FROM traj UNION ALL SELECT 'b:' || traj, x FROM otraj) GROUP BY traj",
     "pseudo_color_matrix": f"WITH {TRAJ}{pairs('traj', 1)}{LEDGES} SELECT from_state, c AS from_color, to_state, CASE to_state WHEN 3 THEN 'A' WHEN 2 THEN 'B' ELSE c END AS to_color, {r6('p')} AS p FROM le, (VALUES ('A'), ('B')) x(c) WHERE NOT (c = 'A' AND from_state = 2) AND NOT (c = 'B' AND from_state = 3)",
@@ -227,8 +232,8 @@ SQL: dict[str, str] = {
     "tmatrix_ba": one_way("B", "signup"),
     "entry_flux_distribution": f"WITH {TRAJ}{coloured('CASE WHEN state IN (' + chr(39) + 'signup' + chr(39) + ', ' + chr(39) + 'view' + chr(39) + ') THEN ' + chr(39) + 'A' + chr(39) + ' WHEN state IN (' + chr(39) + 'purchase' + chr(39) + ', ' + chr(39) + 'error' + chr(39) + ') THEN ' + chr(39) + 'B' + chr(39) + ' END', 1)}, e AS (SELECT to_state AS state, sum(n) AS n FROM colored WHERE from_color = 'A' AND to_color = 'B' GROUP BY ALL) SELECT state, {r6('n / (SELECT sum(n) FROM e)')} AS p FROM e",
     "folded_populations": f"WITH RECURSIVE {TRAJ}{coloured(AB, 1)}{CEDGES}{CODED}{STEADY} SELECT range AS state, {r6('coalesce(sum(v), 0)')} AS value FROM range(5) LEFT JOIN cpi ON s // 2 = range GROUP BY range",
-    "commute_time_min": f"WITH {MFPTS} SELECT i, j, {r6('c')} AS commute FROM c ORDER BY c, i, j LIMIT 1",
-    "commute_time_max": f"WITH {MFPTS} SELECT i, j, {r6('c')} AS commute FROM c ORDER BY c DESC, i, j LIMIT 1",
+    "commute_time_min": f"{COMMUTE} SELECT i, j, {r6('c')} AS commute FROM c ORDER BY c, i, j LIMIT 1",
+    "commute_time_max": f"{COMMUTE} SELECT i, j, {r6('c')} AS commute FROM c ORDER BY c DESC, i, j LIMIT 1",
     "nearest_center": f"WITH {VEC}, d AS (SELECT vec_id, cen.bin AS state, sqrt(sum((v - c) ^ 2)) AS d FROM vec JOIN cen USING (k) GROUP BY ALL) SELECT vec_id, state, {r6('d')} AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, state) = 1",
     "nearest_center_stratified": f"WITH {VEC}, two AS (SELECT bin, vec_id % 2 AS l, k, avg(v) AS c FROM vec GROUP BY ALL), num AS (SELECT bin, l, row_number() OVER (ORDER BY bin, l) - 1 AS state FROM (SELECT DISTINCT bin, l FROM two)), d AS (SELECT vec_id, state, sqrt(sum((v - c) ^ 2)) AS d FROM vec JOIN two USING (bin, k) JOIN num USING (bin, l) GROUP BY ALL) SELECT vec_id, state, {r6('d')} AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, state) = 1",
     "nearest_bin": f"WITH {VEC}, n AS (SELECT label::BIGINT AS bin, count(*) >= ((SELECT count(*) FROM embeddings) + 9) // 10 AS filled FROM embeddings GROUP BY label), d AS (SELECT a.bin, b.bin AS bin_to, sum((a.c - b.c) ^ 2) AS d FROM cen a JOIN cen b USING (k) WHERE a.bin IN (SELECT bin FROM n WHERE NOT filled) AND b.bin IN (SELECT bin FROM n WHERE filled) GROUP BY ALL) SELECT bin, bin AS bin_to FROM n WHERE filled UNION ALL (SELECT bin, bin_to FROM d QUALIFY row_number() OVER (PARTITION BY bin ORDER BY d, bin_to) = 1)",
@@ -251,7 +256,7 @@ SQL: dict[str, str] = {
     "fpt_distribution": f"WITH RECURSIVE {TRAJ}{pairs('traj', 1)}{LEDGES}, m AS (SELECT from_state AS f, to_state AS t, p FROM le)" + passage_shares("m", 3, 2, 50),
     "fpt_distribution_ab": directed("A", 3, 2),
     "fpt_distribution_ba": directed("B", 2, 3),
-    "mfpt_matrix": f"WITH RECURSIVE {TRAJ}{pairs('traj', 1)}{LEDGES}, g AS (SELECT 0 AS k, i, j, 0.0::DOUBLE AS v FROM (SELECT range AS i FROM range(5)), (SELECT range AS j FROM range(5)) UNION ALL SELECT k + 1, le.from_state, j, CASE WHEN le.from_state = j THEN 0 ELSE 1 + sum(CASE WHEN to_state = j THEN 0 ELSE p * v END) END FROM g JOIN le ON to_state = i WHERE k < 600 GROUP BY k, le.from_state, j) SELECT i, j, {r6('v')} AS t FROM g WHERE k = 600",
+    "mfpt_matrix": f"{PASSAGE} SELECT i, j, {r6('v')} AS t FROM g WHERE k = 600",
     "path_model_mfpt": f"WITH RECURSIVE {TRAJ}{PATHS.replace(BOXES, AB)}, prs AS (SELECT from_state, state AS to_state, count(*) AS n FROM (SELECT *, lag(state) OVER (PARTITION BY traj, path_id ORDER BY idx) AS from_state FROM path) WHERE from_state IS NOT NULL GROUP BY ALL){LEDGES}, g AS (SELECT 0 AS k, from_state AS s, 0.0::DOUBLE AS v FROM (SELECT DISTINCT from_state FROM le) UNION ALL SELECT g.k + 1, le.from_state, 1 + sum(CASE WHEN to_state = 2 THEN 0 ELSE p * v END) FROM (SELECT k, s, v FROM g UNION ALL SELECT DISTINCT k, 2::BIGINT, 0.0::DOUBLE FROM g) g JOIN le ON g.s = to_state WHERE g.k < 600 GROUP BY g.k, le.from_state) SELECT {r6('v')} AS mfpt FROM g WHERE k = 600 AND s = 3",
     "lagged_pairs_lag2": lagged(2),
     "fine_stationary": f"{FINE}, v AS (SELECT 0 AS k, s, 1.0::DOUBLE / count(*) OVER () AS v FROM fs UNION ALL SELECT k + 1, b, sum(v * p) FROM v JOIN ft ON a = s WHERE k < 200 GROUP BY k, b) SELECT fs.s AS state, {r6('coalesce(v, 0)')} AS value FROM fs LEFT JOIN v ON v.s = fs.s AND k = 200",
