@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import predicates as P
+from weftline.operators import centre_index as I
 from weftline.operators import chains as H
 from weftline.operators import cluster as C
 from weftline.operators import components as K
@@ -678,6 +679,14 @@ def _fine_states(spark, d):
     return rows.select("state", "h", "v", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("pi"))
 
 
+@query
+def nearest_of_many(spark, d):
+    """Of all vectors: the nearest of those whose number is divisible by 20, through an index."""
+    v = V.vectors(spark, d)
+    index = I.index_centres(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("state"), "x"), shard=64)
+    return tidy(I.nearest_of_many(v, index, ["vec_id"]))
+
+
 @query
 def optimized_uniform_bins(spark, d):
     return O.uniform_bins(_fine_states(spark, d), 7)

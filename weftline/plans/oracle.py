@@ -225,6 +225,7 @@ SQL: dict[str, str] = {
     "history_color_counts": f"WITH {TRAJ}{HISTORY} SELECT * FROM hist",
     "history_color_fractional": f"WITH RECURSIVE {TRAJ}{HISTORY}{pairs('traj', 2)}{PSEUDO}, u AS (SELECT h.from_state, x.from_color, h.to_state, x.to_color, n * f / sum(f) OVER (PARTITION BY h.from_state, h.to_state, h.to_color) AS n FROM hist h JOIN pf x ON x.from_state = h.from_state AND x.to_state = h.to_state AND (h.to_color = 'U' OR h.to_color = x.to_color) WHERE h.from_color = 'U' AND f > 0) SELECT from_state, from_color, to_state, to_color, {r6('sum(n)')} AS n FROM (SELECT from_state, from_color, to_state, to_color, n::DOUBLE AS n FROM hist WHERE from_color <> 'U' UNION ALL SELECT * FROM u) GROUP BY ALL",
     "path_sequences": f"WITH p AS (SELECT conv_id, string_agg(role, '>' ORDER BY turn, role) AS path FROM conversations WHERE role IS NOT NULL GROUP BY conv_id), c AS (SELECT path, min(conv_id) AS traj, count(*) AS n, count(*) / sum(count(*)) OVER () AS weight FROM p GROUP BY path), s AS (SELECT traj, n, weight, string_split(path, '>') AS x FROM c) SELECT traj, i - 1 AS place, x[i] AS state, n, {r6('weight')} AS weight FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM s)",
+    "nearest_of_many": f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), c AS (SELECT vec_id AS state, x AS c FROM v WHERE vec_id % 20 = 0), p AS (SELECT v.vec_id, state, sqrt(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM v, c) SELECT vec_id, min_by(state, struct_pack(d := d, s := state)) AS state, {r6('min(d)')} AS distance FROM p GROUP BY vec_id",
     "path_counts": f"WITH p AS (SELECT conv_id, string_agg(role, '>' ORDER BY turn, role) AS path FROM conversations GROUP BY conv_id), c AS (SELECT path, count(*) AS n FROM p GROUP BY path) SELECT path, n, {r6('n / sum(n) OVER ()')} AS weight FROM c",
     "ensemble_union": f"WITH {TRAJ}, {OTRAJ} SELECT traj, count(*) AS n, {r6('sum(x)')} AS x_sum FROM (SELECT 'a:' || traj AS traj, x FROM traj UNION ALL SELECT 'b:' || traj, x FROM otraj) GROUP BY traj",
     "pseudo_color_matrix": f"WITH {TRAJ}{pairs('traj', 1)}{LEDGES} SELECT from_state, c AS from_color, to_state, CASE to_state WHEN 3 THEN 'A' WHEN 2 THEN 'B' ELSE c END AS to_color, {r6('p')} AS p FROM le, (VALUES ('A'), ('B')) x(c) WHERE NOT (c = 'A' AND from_state = 2) AND NOT (c = 'B' AND from_state = 3)",
