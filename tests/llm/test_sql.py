@@ -13,7 +13,7 @@ def test_against_sql(spark, subtests=None):
     from weftline.llm.queries import QUERIES, SQL
 
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name in SQL:
         got, want = QUERIES[name](spark, SF).toPandas(), con.execute(SQL[name]).df()
