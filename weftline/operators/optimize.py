@@ -113,6 +113,62 @@ def bin_totals(states: DataFrame, bins: DataFrame) -> DataFrame:
     return rows.withColumn("share", F.col("alloc") / F.sum("alloc").over(Window.partitionBy())).select("bin", "share")
 
 
+#: Fine bins of the summary from which equal shares are cut.
+FINE = 10_000
+
+
+def value_centres(rows: DataFrame, n: int, method: str = "uniform", fine: int = FINE) -> list[float]:
+    """Ascending centres of n bins of a value, from rows (value, pi, var) of segments or states.
+
+    uniform: bins of equal width over the values' range. log_uniform: widths that grow geometrically from the lower end;
+    needs a negative least and a positive largest value. equal: bins of about equal allocation, which is a bin's
+    weight times the root of its weighted mean of var; cut from a summary of fine equal bins that tasks add up, so the
+    driver gets at most fine rows. Null and NaN values don't count; without values there are no centres, with one
+    value there is one.
+    """
+    rows = rows.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    low, high = rows.agg(F.min("value"), F.max("value")).first()
+    if low is None:
+        return []
+    if low == high:
+        return [float(low)]
+    if method == "uniform":
+        edges = np.linspace(low, high, n + 1)
+    elif method == "log_uniform":
+        if not low < 0 < high:
+            raise ValueError("values on both sides of 0 are needed")
+        edges = np.geomspace(-low / high, 1 - 2 * low / high, n + 1) * high + 2 * low
+    elif method == "equal":
+        place = F.least(F.floor((F.col("value") - low) / (high - low) * fine), F.lit(fine - 1))
+        sums = rows.groupBy(place.alias("place")).agg(F.sum("pi").alias("w"), F.sum(F.col("pi") * F.col("var")).alias("s"))
+        got = sorted((r["place"], np.sqrt(max(r["w"] or 0, 0) * max(r["s"] or 0, 0))) for r in sums.collect())
+        at, mass = np.array([g[0] for g in got]), np.array([g[1] for g in got])
+        if not mass.sum() > 0:
+            return value_centres(rows, n, "uniform", fine)
+        share = np.cumsum(mass) / mass.sum()
+        # Where the summed share first reaches the middle of each n-th part; parts in one fine bin are one.
+        picked = np.unique(np.searchsorted(share, (np.arange(n) + 0.5) / n))
+        return [float(low + (at[k] + 0.5) * (high - low) / fine) for k in picked]
+    else:
+        raise ValueError(f"no bins are called {method}")
+    return [float(x) for x in (edges[1:] + edges[:-1]) / 2]
+
+
+def value_bin(value: Column, centres: list[float]) -> Column:
+    """Number of the nearest of ascending centres, the lower of equals; null for null or NaN."""
+    edges = [(a + b) / 2 for a, b in zip(centres, centres[1:], strict=False)]
+    place = sum(((value > e).cast("long") for e in edges), F.lit(0).cast("long"))
+    return F.when(value.isNotNull() & ~F.isnan(value), place)
+
+
+def value_bins(rows: DataFrame, centres: list[float]) -> DataFrame:
+    """(bin, n, weight, variance, share): of rows (value, pi, var) in each bin their number and weight, the variance of
+    value among them, and the bin's share of the allocation. Bins without rows have no row."""
+    out = rows.withColumn("bin", value_bin(F.col("value"), centres)).where("bin is not null")
+    out = out.groupBy("bin").agg(F.count("*").alias("n"), F.sum("pi").alias("weight"), F.var_pop("value").alias("variance"), F.sqrt(F.sum("pi") * F.sum(F.col("pi") * F.col("var"))).alias("a"))
+    return out.select("bin", "n", "weight", "variance", F.coalesce(F.try_divide(F.col("a"), F.sum("a").over(Window.partitionBy())), F.lit(0.0)).alias("share"))
+
+
 def walkers(share: DataFrame, total: int, least: int) -> DataFrame:
     """(bin, walkers)."""
     return share.select("bin", (F.round(F.col("share") * total) + least).cast("long").alias("walkers"))

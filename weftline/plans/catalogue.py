@@ -1002,6 +1002,24 @@ def allocation(spark, d):
     return tidy(O.walkers(O.bin_totals(_fine_states(spark, d), bins), 100, 2))
 
 
+def _valued(spark, d):
+    """The segments' coordinate, its square step, and their weight."""
+    return V.segments(spark, d).select(F.col("p1").alias("value"), F.col("weight").alias("pi"), ((F.col("p1") - F.col("p0")) * (F.col("p1") - F.col("p0"))).alias("var"))
+
+
+@query
+def value_bins_uniform(spark, d):
+    rows = _valued(spark, d)
+    return tidy(O.value_bins(rows, O.value_centres(rows, 9)))
+
+
+@query
+def value_bins_equal(spark, d):
+    """Bins of about equal allocation, cut from 200 fine ones."""
+    rows = _valued(spark, d)
+    return tidy(O.value_bins(rows, O.value_centres(rows, 6, "equal", 200)))
+
+
 @query
 def fundamental_sequences(spark, d):
     t = M.dense(_label_edges(spark, d), N)

@@ -160,6 +160,12 @@ FLUX_T = "sum(CASE WHEN p1 > 150 AND p1 < 1000 THEN weight ELSE 0 END)"
 PASSAGE = f"WITH RECURSIVE {TRAJ}{pairs('traj', 1)}{LEDGES}, g AS (SELECT 0 AS k, i, j, 0.0::DOUBLE AS v FROM (SELECT range AS i FROM range(5)), (SELECT range AS j FROM range(5)) UNION ALL SELECT k + 1, le.from_state, j, CASE WHEN le.from_state = j THEN 0 ELSE 1 + sum(CASE WHEN to_state = j THEN 0 ELSE p * v END) END FROM g JOIN le ON to_state = i WHERE k < 600 GROUP BY k, le.from_state, j)"
 COMMUTE = f"{PASSAGE}, c AS (SELECT a.i, a.j, a.v + b.v AS c FROM g a JOIN g b ON b.i = a.j AND b.j = a.i AND b.k = 600 WHERE a.k = 600 AND a.i < a.j)"
 
+#: Segments' values, and what a bin of them holds: centres are in e (k, c).
+VALUED = f"WITH {SEG}, vr AS (SELECT p1 AS value, weight AS pi, (p1 - p0) * (p1 - p0) AS var FROM seg WHERE p1 IS NOT NULL), vm AS (SELECT min(value) AS lo, max(value) AS hi FROM vr)"
+IN_BINS = f"""vb AS (SELECT value, pi, var, (SELECT count(*) FROM (SELECT (c + lead(c) OVER (ORDER BY k)) / 2 AS edge FROM e) WHERE edge < value) AS bin FROM vr),
+va AS (SELECT bin, count(*) AS n, sum(pi) AS weight, var_pop(value) AS variance, sqrt(sum(pi) * sum(pi * var)) AS a FROM vb GROUP BY bin)
+SELECT bin, n, {r6('weight')} AS weight, {r6('variance')} AS variance, {r6('a / sum(a) OVER ()')} AS share FROM va"""
+
 SQL: dict[str, str] = {
     "load_segments": f"WITH {SEG}, c AS (SELECT *, max(n_iter) OVER (PARTITION BY file_idx) AS last FROM seg) SELECT file_idx, seg_id, {r6('p0')} AS p0, {r6('p1')} AS p1, from_label, to_label, {r6('weight')} AS weight FROM c WHERE n_iter = 3 AND n_iter < last",
     "iteration_counts": f"WITH {SEG}, c AS (SELECT n_iter, count(*) AS n_segments, row_number() OVER (ORDER BY n_iter) AS place FROM seg GROUP BY n_iter) SELECT n_iter, n_segments FROM c WHERE n_iter = place",
@@ -226,6 +232,8 @@ SQL: dict[str, str] = {
     "history_color_fractional": f"WITH RECURSIVE {TRAJ}{HISTORY}{pairs('traj', 2)}{PSEUDO}, u AS (SELECT h.from_state, x.from_color, h.to_state, x.to_color, n * f / sum(f) OVER (PARTITION BY h.from_state, h.to_state, h.to_color) AS n FROM hist h JOIN pf x ON x.from_state = h.from_state AND x.to_state = h.to_state AND (h.to_color = 'U' OR h.to_color = x.to_color) WHERE h.from_color = 'U' AND f > 0) SELECT from_state, from_color, to_state, to_color, {r6('sum(n)')} AS n FROM (SELECT from_state, from_color, to_state, to_color, n::DOUBLE AS n FROM hist WHERE from_color <> 'U' UNION ALL SELECT * FROM u) GROUP BY ALL",
     "path_sequences": f"WITH p AS (SELECT conv_id, string_agg(role, '>' ORDER BY turn, role) AS path FROM conversations WHERE role IS NOT NULL GROUP BY conv_id), c AS (SELECT path, min(conv_id) AS traj, count(*) AS n, count(*) / sum(count(*)) OVER () AS weight FROM p GROUP BY path), s AS (SELECT traj, n, weight, string_split(path, '>') AS x FROM c) SELECT traj, i - 1 AS place, x[i] AS state, n, {r6('weight')} AS weight FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM s)",
     "nearest_of_many": f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), c AS (SELECT vec_id AS state, x AS c FROM v WHERE vec_id % 20 = 0), p AS (SELECT v.vec_id, state, sqrt(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM v, c) SELECT vec_id, min_by(state, struct_pack(d := d, s := state)) AS state, {r6('min(d)')} AS distance FROM p GROUP BY vec_id",
+    "value_bins_uniform": f"{VALUED}, e AS (SELECT range AS k, lo + (range + 0.5) * (hi - lo) / 9 AS c FROM range(9), vm), {IN_BINS}",
+    "value_bins_equal": f"{VALUED}, f AS (SELECT least(floor((value - lo) / (hi - lo) * 200), 199) AS place, sqrt(sum(pi) * sum(pi * var)) AS m FROM vr, vm GROUP BY place), h AS (SELECT place, sum(m) OVER (ORDER BY place) / sum(m) OVER () AS share FROM f), e AS (SELECT DISTINCT min(place) AS k, (SELECT lo FROM vm) + (min(place) + 0.5) * (SELECT hi - lo FROM vm) / 200 AS c FROM h, range(6) t(i) WHERE share >= (i + 0.5) / 6 GROUP BY i), {IN_BINS}",
     "path_counts": f"WITH p AS (SELECT conv_id, string_agg(role, '>' ORDER BY turn, role) AS path FROM conversations GROUP BY conv_id), c AS (SELECT path, count(*) AS n FROM p GROUP BY path) SELECT path, n, {r6('n / sum(n) OVER ()')} AS weight FROM c",
     "ensemble_union": f"WITH {TRAJ}, {OTRAJ} SELECT traj, count(*) AS n, {r6('sum(x)')} AS x_sum FROM (SELECT 'a:' || traj AS traj, x FROM traj UNION ALL SELECT 'b:' || traj, x FROM otraj) GROUP BY traj",
     "pseudo_color_matrix": f"WITH {TRAJ}{pairs('traj', 1)}{LEDGES} SELECT from_state, c AS from_color, to_state, CASE to_state WHEN 3 THEN 'A' WHEN 2 THEN 'B' ELSE c END AS to_color, {r6('p')} AS p FROM le, (VALUES ('A'), ('B')) x(c) WHERE NOT (c = 'A' AND from_state = 2) AND NOT (c = 'B' AND from_state = 3)",
