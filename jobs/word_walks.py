@@ -66,15 +66,15 @@ def run(spark: SparkSession, config: dict) -> dict:
     done = {"batches": 0, "read": 0, "written": 0}
 
     def take(batch: DataFrame, number: int) -> None:
-        path = f"{out}/counts/batch={number}"
+        path, n = f"{out}/counts/batch={number}", batch.count()  # of Parquet files, from their footers
         transitions(batch, config["edges"], config["lag"]).write.mode("overwrite").parquet(path)
         done["batches"] += 1
-        log.info("batch %d is in %s", number, path)
+        done["read"] += n
+        log.info("batch %d of %d texts is in %s", number, n, path)
 
     stream = spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", config["files"]).parquet(as_pattern(config["input"]))
     query = stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    done["read"] = sum(p["numInputRows"] for p in query.recentProgress)
     counts = found(spark, f"{out}/counts", COUNTS)
     if counts is None:
         log.info("%s holds no file: nothing to do", config["input"])

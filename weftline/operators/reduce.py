@@ -65,59 +65,75 @@ def _added(parts: DataFrame) -> DataFrame:
     return first.repartition("k").mapInPandas(merge, PACKED)
 
 
-def _sums(pairs: DataFrame, both: bool = True) -> dict[str, np.ndarray]:
-    """Weighted means of 1, x, y, xx', xy', yy' over rows (x, y, weight); without both, of 1, x and xx' only.
+def _whole(pairs: DataFrame, both: bool) -> DataFrame:
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda v: v.isNull())
+    return pairs.where(whole("x") & whole("y")) if both else pairs.where(whole("x"))
+
 
-    Each task adds up its moments and sends them in packed blocks of ROWS rows of a matrix; blocks are added by number
-    in two rounds, streamed, so that no task holds more than one sum of each of its blocks, and the driver gets one row
-    for each block. Rows with a null vector, or a null in one, don't count. An empty table raises ValueError.
+def packed_moments(pairs: DataFrame, d: int, both: bool = True, by: str | None = None) -> DataFrame:
+    """PACKED weighted sums of 1, x, y, xx', xy', yy' over rows (x, y, weight) of d coordinates, one set for each task; without
+    both, of 1, x and xx' only.
+
+    A set is a row for what is no matrix and one for each ROWS rows of the matrices, by number. With by (a column of
+    whole numbers, such as the iteration) there is a set for each of its values, and by in front. Sums add up by number:
+    those of any parts of the data, such as batches or iterations, are those of all of it. Rows with a null vector, or
+    with a null in one, don't count.
     """
-    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda v: v.isNull())
-    pairs = pairs.where(whole("x") & whole("y")) if both else pairs.where(whole("x"))
-    head = pairs.select("x").first()
-    if head is None:
-        raise ValueError("no rows to reduce")
-    d = len(head[0])
     parts = ["xx", "xy", "yy"] if both else ["xx"]
 
     def run(batches: Iterator) -> Iterator:
-        total = np.zeros((1 + len(parts) * d, d))
-        first = np.zeros((3, max(d, 1)))
+        totals: dict = {}
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["x"])
-            w = pdf["weight"].to_numpy()[:, None]
-            first[0, 0] += w.sum()
-            first[1, :d] += (w * x).sum(0)
-            total[:d] += (w * x).T @ x
-            if both:
-                y = np.stack(pdf["y"])
-                first[2, :d] += (w * y).sum(0)
-                total[d : 2 * d] += (w * x).T @ y
-                total[2 * d : 3 * d] += (w * y).T @ y
-        if first[0, 0]:
-            blocks = [first.ravel(), *[total[i : min(i + ROWS, len(parts) * d)].ravel() for i in range(0, len(parts) * d, ROWS)]]
-            yield pd.DataFrame({"k": range(len(blocks)), "v": [b.tobytes() for b in blocks]})
+            for g, at in (pdf.groupby("by").indices if by else {0: slice(None)} if len(pdf) else {}).items():
+                x, w = np.stack(pdf["x"].iloc[at]), pdf["weight"].to_numpy()[at][:, None]
+                first, total = totals.setdefault(g, (np.zeros((3, max(d, 1))), np.zeros((len(parts) * d, d))))
+                first[0, 0] += w.sum()
+                first[1, :d] += (w * x).sum(0)
+                total[:d] += (w * x).T @ x
+                if both:
+                    y = np.stack(pdf["y"].iloc[at])
+                    first[2, :d] += (w * y).sum(0)
+                    total[d : 2 * d] += (w * x).T @ y
+                    total[2 * d : 3 * d] += (w * y).T @ y
+        for g, (first, total) in totals.items():
+            if first[0, 0]:
+                blocks = [first.ravel(), *[total[i : i + ROWS].ravel() for i in range(0, len(parts) * d, ROWS)]]
+                rows = pd.DataFrame({"k": range(len(blocks)), "v": [b.tobytes() for b in blocks]})
+                yield rows.assign(by=g)[["by", "k", "v"]] if by else rows
 
     columns = ["x", "y", "weight"] if both else ["x", "weight"]
-    got = _added(pairs.select(*columns).mapInPandas(run, PACKED))
-    rows = {r["k"]: np.frombuffer(r["v"]) for r in got.collect()}
+    columns = [*([F.col(by).cast("long").alias("by")] if by else []), *columns]
+    rows = _whole(pairs, both).select(*columns)
+    if by:
+        return rows.where("by is not null").mapInPandas(run, f"by bigint, {PACKED}").withColumnRenamed("by", by)
+    return rows.mapInPandas(run, PACKED)
+
+
+def moments(packed: DataFrame, d: int, both: bool = True) -> dict[str, np.ndarray]:
+    """Weighted means of x, y, xx', xy', yy' from PACKED sums, which are added in two rounds."""
+    rows = {r["k"]: np.frombuffer(r["v"]) for r in _added(packed.select("k", "v")).collect()}
     if not rows:
         raise ValueError("no weight to reduce by")
     first = rows.pop(0).reshape(3, -1)
     w = first[0, 0]
-    moments = np.concatenate([rows[k] for k in sorted(rows)]).reshape(-1, d) / w
+    found = np.concatenate([rows[k] for k in sorted(rows)]).reshape(-1, d) / w
     out = {"w": w, "x": first[1, :d] / w, "y": first[2, :d] / w}
-    return out | {name: moments[i * d : (i + 1) * d] for i, name in enumerate(parts)}
+    return out | {name: found[i * d : (i + 1) * d] for i, name in enumerate(["xx", "xy", "yy"] if both else ["xx"])}
 
 
-def pca(vectors: DataFrame, column: str, cutoff: float = 0.95, dims: int | None = None) -> Reduction:
-    """Principal components of an array column; as many as explain more than cutoff of the variance, all if none do.
+def _sums(pairs: DataFrame, both: bool = True) -> dict[str, np.ndarray]:
+    """moments() of rows (x, y, weight); an empty table raises ValueError."""
+    head = _whole(pairs, both).select("x").first()
+    if head is None:
+        raise ValueError("no rows to reduce")
+    return moments(packed_moments(pairs, len(head[0]), both), len(head[0]), both)
+
+
+def pca_of(s: dict[str, np.ndarray], cutoff: float = 0.95, dims: int | None = None) -> Reduction:
+    """Principal components from moments(); as many as explain more than cutoff of the variance, all if none do.
 
     Signs are fixed: the largest entry of each direction is positive.
     """
-    s = _sums(vectors.select(F.col(column).cast("array<double>").alias("x"), F.lit(1.0).alias("weight")), both=False)
     values, dirs = np.linalg.eigh(s["xx"] - np.outer(s["x"], s["x"]))
     values, dirs = np.clip(values[::-1], 0, None), dirs[:, ::-1]
     share = np.cumsum(values) / values.sum()
@@ -128,6 +144,11 @@ def pca(vectors: DataFrame, column: str, cutoff: float = 0.95, dims: int | None
     return Reduction(s["x"], dirs, values[:dims])
 
 
+def pca(vectors: DataFrame, column: str, cutoff: float = 0.95, dims: int | None = None) -> Reduction:
+    """pca_of() an array column, every row weighing the same."""
+    return pca_of(_sums(vectors.select(F.col(column).cast("array<double>").alias("x"), F.lit(1.0).alias("weight")), both=False), cutoff, dims)
+
+
 def sketched_pca(vectors: DataFrame, column: str, dims: int, oversample: int = 10, tol: float = 1e-9, most: int = 30, seed: int = 0) -> Reduction:
     """The first dims principal components of wide vectors, without a matrix of coordinates by coordinates.
 
@@ -186,8 +207,12 @@ def _whitening(c: np.ndarray, eps: float) -> np.ndarray:
 
 
 def tica(pairs: DataFrame, var_cutoff: float = 0.95, kinetic_map: bool = True, eps: float = 1e-10) -> Reduction:
-    """Time-lagged independent components of weighted pairs (x, y, weight), symmetrised."""
-    s = _sums(pairs)
+    """tica_of() weighted pairs (x, y, weight)."""
+    return tica_of(_sums(pairs), var_cutoff, kinetic_map, eps)
+
+
+def tica_of(s: dict[str, np.ndarray], var_cutoff: float = 0.95, kinetic_map: bool = True, eps: float = 1e-10) -> Reduction:
+    """Time-lagged independent components from moments(), symmetrised."""
     mean = (s["x"] + s["y"]) / 2
     c0 = (s["xx"] + s["yy"]) / 2 - np.outer(mean, mean)
     ct = (s["xy"] + s["xy"].T) / 2 - np.outer(mean, mean)
@@ -201,8 +226,12 @@ def tica(pairs: DataFrame, var_cutoff: float = 0.95, kinetic_map: bool = True, e
 
 
 def vamp(pairs: DataFrame, dims: int | None = None, eps: float = 1e-10) -> Reduction:
-    """Left singular functions of the whitened lagged covariance; weights are left out."""
-    s = _sums(pairs.withColumn("weight", F.lit(1.0)))
+    """vamp_of() pairs (x, y); weights are left out."""
+    return vamp_of(_sums(pairs.withColumn("weight", F.lit(1.0))), dims, eps)
+
+
+def vamp_of(s: dict[str, np.ndarray], dims: int | None = None, eps: float = 1e-10) -> Reduction:
+    """Left singular functions of the whitened lagged covariance, from moments()."""
     wx, wy = _whitening(s["xx"] - np.outer(s["x"], s["x"]), eps), _whitening(s["yy"] - np.outer(s["y"], s["y"]), eps)
     u, values, _ = np.linalg.svd(wx.T @ (s["xy"] - np.outer(s["x"], s["y"])) @ wy)
     k = min(dims or len(values), len(values))
