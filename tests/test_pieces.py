@@ -130,6 +130,23 @@ def test_model_from_raw_coordinates(spark, walk, tmp_path):
     assert '"n_states"' in spark.read.text(str(tmp_path / "model/manifest")).first()[0]
 
 
+def test_model_in_one_call(spark, walk):
+    """The same model as step by step; bad segments are left out, the reduction may be fitted on the latest iterations."""
+    from weftline.plans.model import Config, analyse, build, prepared
+
+    config, bins = Config((0.0, 0.15), (1.2, 9.0), per_bin=2, seed=3), lambda p: P.uniform_bin(p, 0.0, 1.6, 4)
+    bad = walk.limit(3).withColumn("coord1", F.array(F.lit(float("nan"))))
+    got = analyse(walk.unionByName(bad), config, bins, "pca", lambda x: x * 3, {"dims": 1})
+    rows = prepared(S.complete(walk), "pca", lambda x: x * 3, {"dims": 1})
+    rows = rows.withColumn("p0", F.col("pcoord0")[0]).withColumn("p1", F.col("pcoord1")[0])
+    want = build(rows.withColumn("bin0", bins(F.col("p0"))).withColumn("bin", bins(F.col("p1"))), config)
+    assert got.pi == pytest.approx(want.pi) and got.flux == pytest.approx(want.flux) and got.centres == pytest.approx(want.centres)
+    late = analyse(walk, config, bins, least=5)
+    assert late.pi.sum() == pytest.approx(1)
+    with pytest.raises(ValueError):
+        analyse(walk.limit(0), config, bins)
+
+
 def test_windowed_edges(spark, tmp_path):
     src = str(tmp_path / "w")
     rows = spark.createDataFrame([(i % 2, 1, 0.5, f"2024-01-01 00:{i:02}:00") for i in range(40)], "from_state bigint, to_state bigint, weight double, t string").withColumn("t", F.to_timestamp("t"))

@@ -9,17 +9,21 @@ clusters and are summed in one grouped plan.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.predicates import box_centre, in_box
+from weftline.functions.predicates import box_centre, has_nan, in_box
 from weftline.operators import cluster as C
 from weftline.operators import flux as X
 from weftline.operators import markov as M
 from weftline.operators import optimize as O
+from weftline.operators import reduce as R
+from weftline.session import kept
+from weftline.sources import segments as S
 
 
 class BlockValidationError(RuntimeError):
@@ -73,24 +77,54 @@ class Model:
         spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
-def prepared(segments: DataFrame, method: str = "pca", featurize=None, options: dict | None = None) -> DataFrame:
-    """segments (coord0, coord1, ...) with reduced coordinates x0 and x1, for build().
-
-    featurize: a user's function, an array of coordinates in and a 2-D array of features out; without one the
-    coordinates are the features. options are those of the reduction. Both ends go through the same reduction.
-    """
-    from weftline.operators import reduce as R
-
+def _featured(segments: DataFrame, featurize) -> DataFrame:
     out = segments
     for end in ("0", "1"):
         if featurize is None:
             out = out.withColumn(f"_f{end}", F.col(f"coord{end}").cast("array<double>"))
         else:
             out = R.featurized(out, f"coord{end}", featurize, f"_f{end}")
-    found = R.reduction(method, out.select(F.col("_f0").alias("x"), F.col("_f1").alias("y"), F.col("weight").cast("double").alias("weight")), **(options or {}))
+    return out
+
+
+def reduction_of(segments: DataFrame, method: str = "pca", featurize=None, options: dict | None = None) -> R.Reduction:
+    """The reduction of segments (coord0, coord1, weight); see prepared()."""
+    pairs = _featured(segments, featurize).select(F.col("_f0").alias("x"), F.col("_f1").alias("y"), F.col("weight").cast("double").alias("weight"))
+    return R.reduction(method, pairs, **(options or {}))
+
+
+def _reduced(segments: DataFrame, found: R.Reduction, featurize) -> DataFrame:
+    out = _featured(segments, featurize)
     return out.withColumn("x0", found.column(F.col("_f0"))).withColumn("x1", found.column(F.col("_f1"))).drop("_f0", "_f1")
 
 
+def prepared(segments: DataFrame, method: str = "pca", featurize=None, options: dict | None = None) -> DataFrame:
+    """segments (coord0, coord1, ...) with reduced coordinates x0 and x1, for build().
+
+    featurize: a user's function, an array of coordinates in and a 2-D array of features out; without one the
+    coordinates are the features. options are those of the reduction. Both ends go through the same reduction.
+    """
+    return _reduced(segments, reduction_of(segments, method, featurize, options), featurize)
+
+
+def analyse(raw: DataFrame, config: Config, bins: Callable[[Column], Column], method: str = "pca", featurize=None, options: dict | None = None, least: int | None = None) -> Model:
+    """A model from raw segments (SEGMENTS of sources.segments) in one call.
+
+    Each file's last iteration, which may be unfinished, is left out, as are segments with NaN or missing coordinates.
+    bins maps the first progress coordinate to a whole number, the bin. The reduction (method, featurize, options, as in
+    prepared()) is fitted on the latest iterations that give every bin at least least segments, or on all without least,
+    and applied to all. What follows is build().
+    """
+    rows = S.complete(raw).where(~has_nan(F.col("coord0")) & ~has_nan(F.col("coord1")))
+    rows = rows.withColumn("p0", F.col("pcoord0")[0]).withColumn("p1", F.col("pcoord1")[0])
+    rows = rows.withColumn("bin0", bins(F.col("p0"))).withColumn("bin", bins(F.col("p1"))).where("bin0 is not null and bin is not null")
+    rows = kept(rows.select("n_iter", "weight", "p0", "p1", "bin0", "bin", "coord0", "coord1"), "segments")
+    if rows.isEmpty():
+        raise ValueError("no complete iteration has segments with coordinates")
+    fitted = rows if least is None else S.fill_bins(rows, least)
+    return build(_reduced(rows, reduction_of(fitted, method, featurize, options), featurize), config)
+
+
 def _assigned(segments: DataFrame, centres: DataFrame, n: int, config: Config) -> DataFrame:
     """Segments with from_cluster and to_cluster, both ends assigned in one pass each, then states."""
     start = C.assigned(segments.withColumn("bin_end", F.col("bin")).withColumn("bin", F.col("bin0")).withColumn("x", F.col("x0")), centres).withColumnRenamed("state", "from_cluster")
@@ -107,7 +141,7 @@ def _remapped(segments: DataFrame, bins: DataFrame) -> DataFrame:
 def build(segments: DataFrame, config: Config) -> Model:
     """A model from segments (n_iter, p0, p1, x0, x1, bin0, bin, weight): bin0 and bin are the bins of start and end."""
     spark = segments.sparkSession
-    segments = segments.select("n_iter", "p0", "p1", "x0", "x1", "bin0", "bin", "weight")
+    segments = kept(segments.select("n_iter", "p0", "p1", "x0", "x1", "bin0", "bin", "weight"), "segments")  # read some ten times
     inside = in_box([F.col("p1")], config.basis) | in_box([F.col("p1")], config.target)
     points = segments.where(~inside).select("bin", F.col("x1").alias("x"), "weight")
     seen = segments.select("bin").union(segments.select("bin0")).distinct()
@@ -123,15 +157,15 @@ def build(segments: DataFrame, config: Config) -> Model:
     n_iters = max(1, last - 2)
     first = X.flux_matrix(_assigned(used, centres, n, config), n_iters)
     stay, _ = C.strongly_connected(first, n + 2, (n, n + 1))
-    kept = C.cleaned_centres(centres, stay).collect()
-    kept_bins = {r["bin"] for r in kept}
+    staying = C.cleaned_centres(centres, stay).collect()
+    kept_bins = {r["bin"] for r in staying}
     bin_means = {r["bin"]: r["x"][0] for r in mean.collect()}
     nearest = {b: min(kept_bins, key=lambda k: (abs(bin_means[k] - bin_means[b]), k)) for b in {r["bin"] for r in centres.collect()}}
     again = spark.createDataFrame([(b, k) for b, k in nearest.items()], "bin bigint, bin_to bigint")
-    kept = sorted(kept, key=lambda r: r["state"])
-    m = len(kept)
-    new = spark.createDataFrame([(r["bin"], r["local_id"], i, r["x"]) for i, r in enumerate(kept)], centres.schema)
-    rows = _assigned(_remapped(used, again), new, m, config)
+    staying = sorted(staying, key=lambda r: r["state"])
+    m = len(staying)
+    new = spark.createDataFrame([(r["bin"], r["local_id"], i, r["x"]) for i, r in enumerate(staying)], centres.schema)
+    rows = kept(_assigned(_remapped(used, again), new, m, config), "assigned")
     found = X.centre_stats(rows, spark.range(m + 2).withColumnRenamed("id", "state")).collect()
     centre = {r["state"]: r["centre"] for r in found}
     order = sorted(range(m), key=lambda s: (centre[s] is None, centre[s] or 0.0, s))
@@ -141,8 +175,8 @@ def build(segments: DataFrame, config: Config) -> Model:
     w = M.dense(edges, m + 2, "w")
     edges = spark.createDataFrame([(int(i), int(j), float(w[i, j])) for i, j in zip(*np.nonzero(w), strict=True)], "from_state bigint, to_state bigint, w double")
     model = _solved(w, m, config)
-    raw = {i: r["state"] for i, r in enumerate(kept)}
-    smap = spark.createDataFrame([(raw[s], kept[s]["bin"], kept[s]["local_id"], "cluster", place[s]) for s in range(m)] + [(None, None, None, "basis", m), (None, None, None, "target", m + 1)], "raw_state bigint, bin bigint, local_id bigint, kind string, sorted_state bigint")
+    raw = {i: r["state"] for i, r in enumerate(staying)}
+    smap = spark.createDataFrame([(raw[s], staying[s]["bin"], staying[s]["local_id"], "cluster", place[s]) for s in range(m)] + [(None, None, None, "basis", m), (None, None, None, "target", m + 1)], "raw_state bigint, bin bigint, local_id bigint, kind string, sorted_state bigint")
     x = np.array([np.nan if centre[s] is None else centre[s] for s in order] + [box_centre(config.basis)[0], box_centre(config.target)[0]])
     groups = {}
     if config.groups:
