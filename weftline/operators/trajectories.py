@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import kept
+
 KEYS = ("traj",)
 
 
@@ -179,15 +181,15 @@ def paths(trajs: DataFrame, in_a: Column, in_b: Column, keys=KEYS, block: int |
         w = Window.partitionBy(*keys, "_b").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         rows = _joined(rows.withColumn("path_id", F.sum(one).over(w)), carry, keys).withColumn("path_id", F.col("path_id") + F.col("_carry")).drop("_carry", "_b")
     rows = rows.where((F.col("color") == "A") | closes)
-    kept = ["path_id", "idx", *[c for c in trajs.columns if c not in (*keys, "idx")]]
+    columns = ["path_id", "idx", *[c for c in trajs.columns if c not in (*keys, "idx")]]
     if block is None:
         whole = Window.partitionBy(*keys, "path_id")
-        return rows.withColumn("_closed", F.max(closes.cast("int")).over(whole)).where("_closed = 1").select(*keys, *kept)
+        return rows.withColumn("_closed", F.max(closes.cast("int")).over(whole)).where("_closed = 1").select(*keys, *columns)
     ends = rows.where(closes).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, "path_id"])])
     on = F.lit(True)
     for i, c in enumerate([*keys, "path_id"]):
         on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    return rows.join(ends, on, "left_semi").select(*keys, *kept)
+    return rows.join(ends, on, "left_semi").select(*keys, *columns)
 
 
 def path_lengths(found: DataFrame, keys=KEYS) -> DataFrame:
@@ -326,10 +328,23 @@ def correlation(trajs: DataFrame, in_a: Column, in_b: Column, lags: list[int], s
     return rows.groupBy("delta").agg(p.alias("p"))
 
 
+def ranked(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """rows with their place by order, from 0, numbered range by range: no task sees all rows.
+
+    order must leave no ties. Only the sizes of the ranges, one for each partition, meet in a window and are broadcast.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = kept(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_first"))
+    place = F.col("_first") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return rows.join(F.broadcast(starts), "_part").withColumn(name, place.cast("long")).drop("_part", "_first")
+
+
 def dictionary(trajs: DataFrame) -> DataFrame:
     """(label, code): numbers for state labels in the order in which trajectories first show them."""
     first = trajs.groupBy(F.col("state").alias("label")).agg(F.min(F.struct("traj", "idx")).alias("at"))
-    return first.select("label", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("code"))
+    return ranked(first, [F.col("at"), F.col("label")], "code").select("label", "code")
 
 
 def path_counts(found: DataFrame, keys=KEYS) -> DataFrame:

@@ -525,8 +525,7 @@ def trajectory_shapes(spark, d):
 def sorted_together(spark, d):
     """Users by their number of events, the most first, with the place of each."""
     rows = V.event_trajs(spark, d).groupBy("traj").agg(F.count("*").alias("n"), F.sum("x").alias("x_sum"))
-    order = T.sorted_together(rows, "n", "traj", "x_sum")
-    return tidy(order.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "traj")) - 1))
+    return tidy(T.ranked(rows, [F.desc("n"), F.col("traj")]).select("n", "traj", "x_sum", "place"))
 
 
 @query
