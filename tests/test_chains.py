@@ -76,6 +76,30 @@ def test_poisson(spark):
     assert max(abs(rows[i].pi - pi[i]) for i in range(15)) < 1e-10
 
 
+@pytest.mark.parametrize("every", [3, 8])
+def test_passage_distribution(spark, every):
+    t = loose(14, 10)
+    starts = np.zeros((2, 14))
+    starts[0, 0], starts[1, [2, 5]] = 1.0, (0.25, 0.75)
+    rows = [(k, i, float(starts[k, i])) for k in range(2) for i in np.flatnonzero(starts[k]).tolist()]
+    got = {(r.source, r.step): r.p for r in H.passage_distribution(M.matrix_frame(spark, t), spark.createDataFrame(rows, "source int, state int, value double"), frame(spark, [5, 7]), 11, every).collect()}
+    v, off = starts, t.copy()
+    want = {}
+    for k in range(1, 12):
+        v = v @ off
+        for s in range(2):
+            if v[s, [5, 7]].sum() > 0:
+                want[s, k] = v[s, [5, 7]].sum()
+        v[:, [5, 7]] = 0
+    assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_walks_that_have_all_arrived_end_the_search(spark):
+    t = np.array([[0, 1.0, 0], [0, 0, 1.0], [1.0, 0, 0]])
+    starts = spark.createDataFrame([(1, 0, 1.0)], "source int, state int, value double")
+    assert H.passage_distribution(M.matrix_frame(spark, t), starts, frame(spark, [2]), 500, 2).collect() == [(1, 2, 1.0)]
+
+
 def test_refuses_to_return_what_has_not_settled(spark):
     with pytest.raises(H.NotConverged):
         H.stationary(M.matrix_frame(spark, line(30, 1)), block=8, most=2)

@@ -285,3 +285,26 @@ def poisson(edges: DataFrame, target: DataFrame, pi: DataFrame | None = None, **
     once, square = step(F.col("h")).withColumnRenamed("x", "th"), step(F.col("h") * F.col("h")).withColumnRenamed("x", "thh")
     spread = F.coalesce(F.col("thh") - F.col("th") * F.col("th"), F.lit(0.0))
     return h.join(once, "state", "left").join(square, "state", "left").select("state", "h", F.sqrt(F.greatest(spread, F.lit(0.0))).alias("v"), "pi")
+
+
+def passage_distribution(edges: DataFrame, starts: DataFrame, ends: DataFrame, steps: int, every: int = 8) -> DataFrame:
+    """(source, step, p): the probability that a walk from source's start first is in ends (state) after step steps.
+
+    starts: (source, state, value), a distribution for each source; all sources go on together, one join and one sum a
+    step, and what has arrived stays aside with its step. A walk that starts in ends counts from its first step on, as
+    any other. Steps without arrivals have no row. The walks not yet arrived are kept as a table every few steps.
+    """
+    goal = ends.select(F.col("state").cast("long").alias("b")).distinct().withColumn("there", F.lit(True))
+    rows = kept(_edges(edges).join(goal, "b", "left").select("a", "b", "p", F.col("there").isNotNull().alias("there")), "passages")
+    here = starts.select("source", F.col("state").cast("long").alias("a"), F.col("value").cast("double").alias("value")).groupBy("source", "a").agg(F.sum("value").alias("value"))
+    walks = here.select("source", "a", F.lit(None).cast("long").alias("step"), "value")
+    for k in range(1, steps + 1):
+        moved = walks.where("step is null").select("source", "a", "value").join(rows, "a")
+        to = F.when(~F.col("there"), F.col("b"))
+        moved = moved.groupBy("source", to.alias("a"), F.when(F.col("there"), F.lit(k)).cast("long").alias("step")).agg(F.sum(F.col("p") * F.col("value")).alias("value"))
+        walks = walks.where("step is not null").unionByName(moved)
+        if k % every == 0:
+            walks = kept(walks, "passages")
+            if walks.where("step is null").isEmpty():
+                break
+    return walks.where("step is not null").select("source", "step", F.col("value").alias("p"))

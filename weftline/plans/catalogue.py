@@ -377,6 +377,13 @@ def fine_passage(spark, d):
     return tidy(H.mean_passage(_fine_chain(spark, d), _named(spark, 11), block=8))
 
 
+@query
+def fine_passage_times(spark, d):
+    """Distributions of the steps from two states to a third, up to 24."""
+    starts = spark.createDataFrame([(12, 12, 1.0), (3, 3, 1.0)], "source bigint, state bigint, value double")
+    return tidy(H.passage_distribution(_fine_chain(spark, d), starts, _named(spark, 11), 24))
+
+
 @query
 def part_components(spark, d):
     """Strongly connected components of the walks over parts, each state with its component."""

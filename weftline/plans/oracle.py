@@ -235,6 +235,7 @@ SQL: dict[str, str] = {
     "value_bins_uniform": f"{VALUED}, e AS (SELECT range AS k, lo + (range + 0.5) * (hi - lo) / 9 AS c FROM range(9), vm), {IN_BINS}",
     "value_bins_equal": f"{VALUED}, f AS (SELECT least(floor((value - lo) / (hi - lo) * 200), 199) AS place, sqrt(sum(pi) * sum(pi * var)) AS m FROM vr, vm GROUP BY place), h AS (SELECT place, sum(m) OVER (ORDER BY place) / sum(m) OVER () AS share FROM f), e AS (SELECT DISTINCT min(place) AS k, (SELECT lo FROM vm) + (min(place) + 0.5) * (SELECT hi - lo FROM vm) / 200 AS c FROM h, range(6) t(i) WHERE share >= (i + 0.5) / 6 GROUP BY i), {IN_BINS}",
     "discrepancy": f"WITH RECURSIVE {TM}{PI.replace('k < 200', 'k < 2000').replace('k = 200', 'k = 2000')}, r AS (SELECT state, (state = 6)::INT - (SELECT value FROM pi WHERE state = 6) AS b FROM states), ph AS (SELECT 0 AS k, state, b AS v FROM r UNION ALL SELECT k + 1, r.state, any_value(b) + sum(p * v) FROM ph JOIN t ON to_state = ph.state JOIN r ON r.state = from_state WHERE k < 2000 GROUP BY k, r.state), hk AS (SELECT state, v AS h FROM ph WHERE k = 2000), o AS (SELECT from_state, sum(p * h) AS th, sum(p * h * h) AS thh FROM t JOIN hk ON to_state = hk.state GROUP BY from_state) SELECT hk.state, {r6('h')} AS h, {r6('sqrt(greatest(thh - th * th, 0))')} AS v, {r6('value')} AS pi FROM hk JOIN o ON from_state = hk.state JOIN pi ON pi.state = hk.state",
+    "fine_passage_times": f"{FINE}, w AS (SELECT 0 AS k, s AS source, s AS z, 1.0::DOUBLE AS v FROM (VALUES (12), (3)) x(s) UNION ALL SELECT k + 1, source, b, sum(v * p) FROM w JOIN ft ON a = z WHERE k < 24 AND (k = 0 OR z <> 11) GROUP BY k, source, b) SELECT source::BIGINT AS source, k::BIGINT AS step, {r6('v')} AS p FROM w WHERE k > 0 AND z = 11",
     "path_counts": f"WITH p AS (SELECT conv_id, string_agg(role, '>' ORDER BY turn, role) AS path FROM conversations GROUP BY conv_id), c AS (SELECT path, count(*) AS n FROM p GROUP BY path) SELECT path, n, {r6('n / sum(n) OVER ()')} AS weight FROM c",
     "ensemble_union": f"WITH {TRAJ}, {OTRAJ} SELECT traj, count(*) AS n, {r6('sum(x)')} AS x_sum FROM (SELECT 'a:' || traj AS traj, x FROM traj UNION ALL SELECT 'b:' || traj, x FROM otraj) GROUP BY traj",
     "pseudo_color_matrix": f"WITH {TRAJ}{pairs('traj', 1)}{LEDGES} SELECT from_state, c AS from_color, to_state, CASE to_state WHEN 3 THEN 'A' WHEN 2 THEN 'B' ELSE c END AS to_color, {r6('p')} AS p FROM le, (VALUES ('A'), ('B')) x(c) WHERE NOT (c = 'A' AND from_state = 2) AND NOT (c = 'B' AND from_state = 3)",
