@@ -73,3 +73,29 @@ def test_numbers_of_tica_and_vamp(spark):
     root = lambda c: np.linalg.inv(np.linalg.cholesky(c))
     s = np.linalg.svd(root(mx.T @ mx / n) @ (mx.T @ my / n) @ root(my.T @ my / n).T, compute_uv=False)
     assert R.vamp(frame(spark, x, y)).spectrum == pytest.approx(s, rel=1e-6)
+
+
+def test_close_variances_take_few_passes(spark, monkeypatch):
+    """Nearly equal variances: once the directions span all coordinates, the components are exact."""
+    x = np.random.default_rng(8).standard_normal((3000, 16))
+    df = frame(spark, x)
+    passes = []
+    real = R._added
+    monkeypatch.setattr(R, "_added", lambda parts: passes.append(1) or real(parts))
+    got = R.sketched_pca(df, "x", 2, 3, most=200, tol=1e-11)
+    assert len(passes) <= 4
+    want = R.pca(df, "x", dims=2)
+    assert np.allclose(got.directions, want.directions, atol=1e-9) and np.allclose(got.spectrum, want.spectrum)
+
+
+def test_sketch_goes_on_from_its_best_block(spark, monkeypatch):
+    monkeypatch.setattr(R, "SPAN", 2)
+    x = np.random.default_rng(9).standard_normal((2000, 30)) * np.linspace(1, 2, 30)
+    got, want = R.sketched_pca(frame(spark, x), "x", 2, 3, most=60, tol=1e-12), R.pca(frame(spark, x), "x", dims=2)
+    assert np.allclose(got.spectrum, want.spectrum) and np.allclose(got.directions, want.directions, atol=1e-5)
+
+
+def test_sketch_of_few_different_vectors(spark):
+    x = np.outer([1.0, 2.0, 4.0, 4.0], np.arange(8.0))
+    got = R.sketched_pca(frame(spark, x), "x", 3, 2)
+    assert np.allclose(got.spectrum, [R.pca(frame(spark, x), "x", dims=1).spectrum[0], 0, 0])

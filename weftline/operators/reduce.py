@@ -149,12 +149,30 @@ def pca(vectors: DataFrame, column: str, cutoff: float = 0.95, dims: int | None
     return pca_of(_sums(vectors.select(F.col(column).cast("array<double>").alias("x"), F.lit(1.0).alias("weight")), both=False), cutoff, dims)
 
 
+#: Blocks of directions that sketched_pca holds.
+SPAN = 6
+
+
+def _beside(basis: np.ndarray, block: np.ndarray, least: float) -> np.ndarray:
+    """Orthonormal directions of block that are not in basis, without those that are no longer than least."""
+    rest = block - basis @ (basis.T @ block)
+    u, long, _ = np.linalg.svd(rest - basis @ (basis.T @ rest), full_matrices=False)
+    u = u[:, long > least]
+    for _ in range(2):
+        u = np.linalg.qr(u - basis @ (basis.T @ u))[0]
+    return u
+
+
 def sketched_pca(vectors: DataFrame, column: str, dims: int, oversample: int = 10, tol: float = 1e-9, most: int = 30, seed: int = 0) -> Reduction:
     """The first dims principal components of wide vectors, without a matrix of coordinates by coordinates.
 
-    Block subspace iteration from a random start: each pass multiplies the covariance by dims + oversample directions,
-    so a task sends an array of coordinates by directions, in packed blocks. Passes end when no variance wanted changes
-    by more than tol of the largest; after most passes an ArithmeticError is raised. Signs are fixed as in pca().
+    Block Krylov iteration from a random start: each pass multiplies the covariance by dims + oversample new directions,
+    so a task sends an array of coordinates by directions, in packed blocks. The components are those within all
+    directions so far, so that close variances cost few passes; the driver holds at most SPAN blocks of directions and
+    their products, then goes on from the best block. Passes end when no variance wanted changes by more than tol of the
+    largest and no component leaves its direction by more than the root of tol of it, or when the directions span all
+    coordinates (at most coordinates / directions passes, if those fit into SPAN blocks); after most passes an
+    ArithmeticError is raised. Signs are fixed as in pca().
     """
     rows = vectors.select(F.col(column).cast("array<double>").alias("x")).where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
     head = rows.first()
@@ -164,13 +182,14 @@ def sketched_pca(vectors: DataFrame, column: str, dims: int, oversample: int = 1
     size = min(d, dims + oversample)
     dims = min(dims, d)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, size)))[0]
+    basis, images = np.zeros((d, 0)), np.zeros((d, 0))
     before = np.full(dims, np.inf)
     ship(spark)
     for _ in range(most):
         shared = spark.sparkContext.broadcast(q)
 
         def run(batches: Iterator, shared=shared) -> Iterator:
-            n, mean, total = 0, np.zeros(d), np.zeros((d, size))
+            n, mean, total = 0, np.zeros(d), np.zeros(shared.value.shape)
             for pdf in batches:
                 if len(pdf):
                     x = np.stack(pdf["x"])
@@ -183,14 +202,20 @@ def sketched_pca(vectors: DataFrame, column: str, dims: int, oversample: int = 1
         shared.unpersist()
         first = sums.pop(0)
         mean = first[:d] / first[d]
-        product = np.concatenate([sums[k] for k in sorted(sums)]).reshape(d, size) / first[d] - np.outer(mean, mean @ q)
-        values, turn = np.linalg.eigh(q.T @ product)
+        product = np.concatenate([sums[k] for k in sorted(sums)]).reshape(q.shape) / first[d] - np.outer(mean, mean @ q)
+        basis, images = np.hstack([basis, q]), np.hstack([images, product])
+        inner = basis.T @ images
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
         values, turn = np.clip(values[::-1], 0, None), turn[:, ::-1]
-        if np.abs(values[:dims] - before).max() <= tol * max(values[0], 1e-300) or size == d:
-            dirs = (q @ turn)[:, :dims]
+        dirs, largest = basis @ turn[:, :dims], max(values[0], 1e-300)
+        left = np.linalg.norm(images @ turn[:, :dims] - dirs * values[:dims], axis=0).max()
+        settled = np.abs(values[:dims] - before).max() <= tol * largest and left <= np.sqrt(tol) * largest
+        q = _beside(basis, product, 1e-12 * largest)[:, : d - basis.shape[1]]
+        if settled or not q.shape[1]:
             return Reduction(mean, dirs * np.sign(dirs[np.abs(dirs).argmax(axis=0), np.arange(dims)]), values[:dims])
         before = values[:dims]
-        q = np.linalg.qr(product)[0]
+        if basis.shape[1] + q.shape[1] > SPAN * size:
+            basis, images = basis @ turn[:, :size], images @ turn[:, :size]
     raise ArithmeticError(f"the components have not settled after {most} passes")
 
 
