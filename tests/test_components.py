@@ -97,3 +97,14 @@ def test_empty(spark):
     assert K.components(none, spark.range(3).withColumnRenamed("id", "state")).count() == 3
     assert K.reached(none, spark.createDataFrame([(4,)], "state long")).collect() == [(4, 4)]
     assert K.cleaned_edges(spark.createDataFrame([], SCHEMA + ", p double")).count() == 0
+
+
+def test_rounds_send_no_table_through_the_driver(spark, monkeypatch):
+    plans = []
+    real = K.kept
+    monkeypatch.setattr(K, "kept", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    edges = spark.createDataFrame(graph(3), SCHEMA)
+    K.components(edges, local_edges=0).collect()
+    K.reached(edges, spark.createDataFrame([(0,)], "state long"), local_edges=0).collect()
+    K.cleaned_edges(edges.withColumn("p", K.F.lit(1.0))).collect()
+    assert plans and not any("Broadcast" in p for p in plans)
