@@ -108,3 +108,29 @@ def test_rounds_send_no_table_through_the_driver(spark, monkeypatch):
     K.reached(edges, spark.createDataFrame([(0,)], "state long"), local_edges=0).collect()
     K.cleaned_edges(edges.withColumn("p", K.F.lit(1.0))).collect()
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize(("seed", "directed", "local"), [(11, True, 0), (12, True, 1000), (13, True, 1000), (14, False, 1000)])
+def test_reach_counts(spark, seed, directed, local):
+    """Two copies of a graph side by side, two hubs: counts equal the pairs."""
+    edges = graph(seed) + [(a + 100, b + 100) for a, b in graph(seed) if a is not None and b is not None]
+    df = spark.createDataFrame(edges, SCHEMA)
+    sources = spark.createDataFrame([(x,) for x in [*range(0, 160, 2), 999, None]], "state long")
+    want = {}
+    for s, e in K.reached(df, sources, directed, local).collect():
+        n, last = want.get(s, (0, -1))
+        want[s] = (n + 1, max(last, e))
+    got = {r.source: (r.n, r.last) for r in K.reach_counts(df, sources, directed, local).collect()}
+    assert got == want and 999 in got
+
+
+def test_sources_before_a_hub_make_no_pairs_with_it(spark, monkeypatch):
+    """300 sources before a cycle with a tail of 300: the search beside the hub holds each source only once."""
+    edges = [(1000 + i, 0) for i in range(300)] + [(i, (i + 1) % 5) for i in range(5)] + [(2000 + i - (i > 0) if i else 4, 2000 + i) for i in range(6)]
+    edges += [(2005, 3000 + i) for i in range(300)]
+    held = []
+    real = K._searched
+    monkeypatch.setattr(K, "_searched", lambda *a: held.append(real(*a)) or held[-1])
+    got = K.reach_counts(spark.createDataFrame(edges, SCHEMA), spark.range(1000, 1300).withColumnRenamed("id", "state")).collect()
+    assert {(r.n, r.last) for r in got} == {(1 + 5 + 6 + 300, 3299)} and len(got) == 300
+    assert held[1].count() == 300
