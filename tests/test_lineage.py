@@ -112,3 +112,17 @@ def test_lagged_pairs_at_larger_lags(spark):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("coord0", F.array("weight")).withColumn("coord1", F.array(F.col("weight") + 1))
     got = S.lagged_pairs(df.drop("at", "up", "step", "_r0"), 5, F.array(F.lit(-1.0)), F.array(F.lit(-2.0)))
     assert key((r.start[0], r.end[0], r.weight) for r in got.collect()) == key(want)
+
+
+@pytest.mark.parametrize("depth", [0, 5, 40])
+def test_history_sums(spark, monkeypatch, depth):
+    """Sums of doubled histories equal those of the ancestors' rows, and no kept table has more rows than segments."""
+    df = spark.createDataFrame([r for r in made(depth) if r[2] is not None], SCHEMA).withColumn("v", F.when(F.col("seg_id") % 3 > 0, F.col("weight"))).cache()
+    steps = L.joined(L.ancestry(df, depth), df.select("file_idx", "n_iter", "seg_id", "v"), ("file_idx",), F.col("step"), "ancestor", ["v"])
+    want = steps.groupBy("file_idx", "n_iter", "seg_id").agg(F.count("*").alias("n"), F.round(F.sum("v"), 6).alias("v"))
+    held = []
+    real = L.kept
+    monkeypatch.setattr(L, "kept", lambda x, name: held.append(real(x, name)) or held[-1])
+    got = L.history_sums(df, depth, ["v"]).withColumn("v", F.round("v", 6))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert held and max(h.count() for h in held) <= df.count()

@@ -89,3 +89,42 @@ def ancestry(segments: DataFrame, depth: int, keys: Sequence[str] = KEYS, start:
         more = more.select(*names, (F.col("step") + (1 << k)).cast("int").alias("step"), F.col("up").alias("ancestor"))
         out = kept(out.unionByName(more), "ancestry")
     return out
+
+
+def history_sums(segments: DataFrame, depth: int, values: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, n_iter, seg_id, n, values): of each segment's history up to depth iterations back, itself included, the segments and
+    their summed values.
+
+    Sums over d segments double with their pointers, so the rows stay one for each segment, whatever depth is. Repeated
+    segments have one history, by their smallest parent, in which each counts; nulls add nothing, and the sum of nulls
+    alone is null.
+    """
+    if depth < 0:
+        raise ValueError("depth must not be negative")
+    names, sums = [*keys, "n_iter", "seg_id"], [f"_s{i}" for i in range(len(values) + 1)]
+    parts = [F.count("*"), *[F.sum(v) for v in values]]
+    own = segments.groupBy(*names).agg(F.min("parent_id").cast("long").alias("_up"), *[x.alias(s) for x, s in zip(parts, sums, strict=True)])
+    # _at: the segment d steps back; _s: sums over the d segments before it; _o: the segment's own.
+    rows = own.select(*names, F.when(F.col("_up") >= 0, F.col("_up")).alias("_up"), *[F.col(s).alias(s.replace("s", "o")) for s in sums], *sums)
+    rows = kept(rows.withColumn("_at", F.col("_up")), "sums")
+
+    def added(side: DataFrame, pointer: str, d: int, begin: str) -> DataFrame:
+        """rows with the sums of side's segment that pointer names, d iterations back, added to the columns named from begin."""
+        far = side.select(*names, F.col("_at").alias("_far"), *[F.col(s).alias(s.replace("s", "t")) for s in sums])
+        live = joined(rows.where(F.col(pointer).isNotNull()), far.hint("merge"), keys, d, pointer, ["_far", *[s.replace("s", "t") for s in sums]], "left")
+        both = []
+        for s in sums:
+            a, b = F.col(s.replace("s", begin)), F.col(s.replace("s", "t"))
+            both.append(F.coalesce(a + b, a, b).alias(s))
+        stay = [c for c in rows.columns if c not in (*sums, "_at")]
+        ended = rows.where(F.col(pointer).isNull()).select(*stay, *[F.col(s.replace("s", begin)).alias(s) for s in sums], F.lit(None).cast("long").alias("_at"))
+        return kept(live.select(*stay, *both, F.col("_far").alias("_at")).unionByName(ended), "sums")
+
+    d = 1
+    for bit in f"{depth + 1:b}"[1:]:
+        rows = added(rows, "_at", d, "s")
+        d *= 2
+        if int(bit):
+            rows = added(rows, "_up", 1, "o")
+            d += 1
+    return rows.select(*names, F.col("_s0").alias("n"), *[F.col(s).alias(v) for s, v in zip(sums[1:], values, strict=True)])
