@@ -42,6 +42,8 @@ NODES = sum(FAN**k for k in range(DEPTH))
 #: Rows of weights for each kind of feature: one for so many training tokens, within the bounds.
 TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 64, 1 << 10, 1 << 16
 BLOCK_ROWS, FAN_IN = 512, 32
+#: Training tokens for each row that a partition sends, so that many small partitions do not send more than they read.
+TOKENS_A_PART = 4
 ROUNDS, BATCH, RATE, CEILING = 2, 8192, 0.5, 60.0
 HEAD, BLOCK = 65536, 1 << 18
 _U = np.uint32
@@ -250,6 +252,7 @@ def _fit_part(docs: DataFrame, lexicon, state, out: str) -> DataFrame:
         if seen.any():
             w = w.reshape(-1, BLOCK_ROWS, FAN)
             seen = seen.reshape(-1, BLOCK_ROWS)
+            w[seen == 0] = 0  # weighs nothing in the average, and packs well
             pid = TaskContext.get().partitionId()
             for i in range(0, len(w), 64):
                 n = len(w[i : i + 64])
@@ -268,13 +271,17 @@ def _averaged(pdf):
     return pdf.head(1).assign(seen=[total.astype(np.float32).tobytes()], w=[mean.astype(np.float16).tobytes()])
 
 
-def fit_weights(train: DataFrame, lexicon, bias: np.ndarray, rows: int, rounds: int = ROUNDS) -> np.ndarray:
-    """The weights after one pass over the texts of train (doc_id, text): rows of them for each kind of feature."""
+def fit_weights(train: DataFrame, lexicon, bias: np.ndarray, rows: int, rounds: int = ROUNDS, parts: int | None = None) -> np.ndarray:
+    """The weights after one pass over the texts of train (doc_id, text): rows of them for each kind of feature.
+
+    parts: the most partitions that train on their own, each of which sends all its rows; all of train's by default.
+    """
     sc = train.sparkSession.sparkContext
     w = np.zeros((KINDS, rows, FAN), np.float32)
     schema = "part bigint, block int, seen binary, w binary"
     for r in range(rounds):
         part = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r)
+        part = part if parts is None else part.coalesce(parts)
         state = sc.broadcast((w, bias))
         sent = keep(_fit_part(part.select("text"), lexicon, state, schema), "op6-weights")
         while True:
@@ -376,7 +383,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total, distinct = int(n.sum()), int(v.sum())
     less, bias = np.log10(n + SMOOTH * (v + 1)), biases(n, v)
     lexicon = sc.broadcast(lex)
-    w = fit_weights(train, lexicon, bias, rows_for(total), rounds)
+    w = fit_weights(train, lexicon, bias, rows_for(total), rounds, max(1, total // (TOKENS_A_PART * rows_for(total))))
     state = sc.broadcast((w, bias, less))
     scored = keep(_score(docs, lexicon, state, SCORED.format(id=docs.schema["doc_id"].dataType.simpleString())), "op6-scored")
     tail = scored.select("row", F.inline("tail"))
