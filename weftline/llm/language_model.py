@@ -42,8 +42,8 @@ NODES = sum(FAN**k for k in range(DEPTH))
 #: Rows of weights for each kind of feature: one for so many training tokens, within the bounds.
 TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 64, 1 << 10, 1 << 16
 BLOCK_ROWS, FAN_IN = 512, 32
-#: Training tokens for each row that a partition sends, so that many small partitions do not send more than they read.
-TOKENS_A_PART = 4
+#: Training tokens for each row that a partition sends: KINDS packed rows of 36 bytes each for about 100 bytes of text.
+TOKENS_A_PART = 16
 ROUNDS, BATCH, RATE, CEILING = 2, 8192, 0.5, 60.0
 HEAD, BLOCK = 65536, 1 << 18
 _U = np.uint32
@@ -283,9 +283,9 @@ def fit_weights(train: DataFrame, lexicon, bias: np.ndarray, rows: int, rounds:
         part = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r)
         part = part if parts is None else part.coalesce(parts)
         state = sc.broadcast((w, bias))
-        sent = keep(_fit_part(part.select("text"), lexicon, state, schema), "op6-weights")
+        sent = _fit_part(part.select("text"), lexicon, state, schema)  # shuffled to the first average, no copy in the shared folder
         while True:
-            sent = keep(sent.groupBy(F.floor(F.col("part") / FAN_IN).alias("part"), "block").applyInPandas(lambda pdf: _averaged(pdf).assign(part=pdf["part"].iloc[0] // FAN_IN), schema), "op6-averaged")
+            sent = keep(sent.groupBy(F.floor(F.col("part") / FAN_IN).alias("part"), "block").applyInPandas(lambda pdf: _averaged(pdf).assign(part=pdf["part"].iloc[0] // FAN_IN), schema), "op6-weights")
             if (sent.agg(F.max("part")).first()[0] or 0) == 0:
                 break
         w = w.reshape(-1, BLOCK_ROWS, FAN)
