@@ -73,3 +73,32 @@ def test_many_coordinates(spark):
     x = rng.normal(size=(40, 1881)) + np.repeat([[0.0], [9.0]], 20, axis=0)
     got = C.stratified_centres(spark.createDataFrame([(0, p.tolist()) for p in x], "bin bigint, x array<double>"), 2).collect()
     assert np.array([r["x"] for r in got]) == pytest.approx(np.array([x[:20].mean(axis=0), x[20:].mean(axis=0)])[np.lexsort(np.array([x[:20].mean(axis=0), x[20:].mean(axis=0)]).T[::-1])])
+
+
+def test_passes_take_small_batches_together(spark):
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"bin": [i % 3], "x": [[float(i)]]}) for i in range(C.CHUNK_ROWS + 5)]
+    got = list(C._chunks(iter(batches)))
+    assert [b.num_rows for b in got] == [C.CHUNK_ROWS, 5]
+    points = spark.createDataFrame([(i, i % 3 if i % 5 else None, [float(i % 40), 1.0]) for i in range(2000)], "i long, bin long, x array<double>").repartition(7)
+    centres = spark.createDataFrame([(b, k, 2 * b + k, [30.0 * k, 1.0]) for b in (0, 1) for k in (0, 1)], "bin long, local_id long, state long, x array<double>")
+    rows = C.assigned(points, centres)
+    plan = rows._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    for r in rows.collect():
+        assert r.state == (None if r.bin in (None, 2) else 2 * r.bin + (r.x[0] > 15)) or r.x[0] == 15
+        assert r.x == [float(r.i % 40), 1.0] and r.bin == (r.i % 3 if r.i % 5 else None)
+
+
+def test_coordinates_of_a_bin_must_have_one_length():
+    import numpy as np
+    import pyarrow as pa
+    import pytest
+
+    batch = pa.RecordBatch.from_pydict({"bin": [1, 2, None, 1], "x": [[0.0, 1.0], [5.0], [9.0], [2.0, None]]})
+    found = {b: x.tolist() for b, _, x, _ in C._by_bin(batch.slice(0, 3), {})}
+    assert found == {1: [[0.0, 1.0]], 2: [[5.0]]}
+    assert np.isnan(dict((b, x) for b, _, x, _ in C._by_bin(batch, {}))[1][1, 1])
+    with pytest.raises(ValueError):
+        C._coordinates(batch.column("x"))(np.array([0, 1]))

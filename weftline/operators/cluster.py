@@ -8,7 +8,7 @@ moved for an assignment.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -20,20 +20,67 @@ from weftline.session import kept
 FEW = 1_000_000
 
 
-def _by_bin(pdf, centres: dict) -> Iterator:
+#: Rows, and numbers of their coordinates, that a task takes at once: a step over small batches is mostly calls.
+CHUNK_ROWS, CHUNK_NUMBERS = 1 << 14, 1 << 18
+
+
+def _chunks(batches: Iterator) -> Iterator:
+    """Arrow batches with a column x joined into larger ones."""
+    import pyarrow as pa
+
+    held, rows, numbers = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, numbers = rows + batch.num_rows, numbers + len(batch.column("x").flatten())
+        if rows >= CHUNK_ROWS or numbers >= CHUNK_NUMBERS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows, numbers = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _coordinates(column) -> Callable[[np.ndarray], np.ndarray]:
+    """Rows of an Arrow column of arrays as a matrix: a function of their places, which must be of one length."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(n) - n
+
+    def at(places: np.ndarray) -> np.ndarray:
+        width = n[places[0]]
+        if (n[places] != width).any():
+            raise ValueError("coordinates of a bin differ in length")
+        return flat[starts[places][:, None] + np.arange(width)]
+
+    return at
+
+
+def _places(column) -> Iterator:
+    """(value, places of its rows) for each value of an Arrow column, without null and NaN."""
+    coded = column.dictionary_encode()
+    codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    cuts = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+    for k, b in enumerate(coded.dictionary.to_pylist()):
+        if b == b:
+            yield b, order[cuts[k] : cuts[k + 1]]
+
+
+def _by_bin(batch, centres: dict) -> Iterator:
     """(bin, its rows' places, their coordinates, squared distances to the bin's centres) of a batch."""
-    for b, at in pdf.groupby("bin").indices.items():
-        x = np.stack(pdf["x"].iloc[at])
+    coordinates = _coordinates(batch.column("x"))
+    for b, at in _places(batch.column("bin")):
+        x = coordinates(at)
         c = centres.get(b)
         yield b, at, x, None if c is None else np.stack([((x - y) ** 2).sum(axis=1) for y in c], axis=1)
 
 
-def _keys(pdf, centres: dict, u: np.ndarray, weights: np.ndarray) -> Iterator:
+def _keys(batch, centres: dict) -> Iterator:
     """(bin, its rows' places, coordinates, keys): a key is the least the likelier its point is to be drawn.
 
     Points are drawn in proportion to weight times squared distance from their bin's centres, those on a centre never.
     """
-    for b, at, x, d in _by_bin(pdf, centres):
+    u, weights = batch.column("u").to_numpy(), batch.column("weight").to_numpy()
+    for b, at, x, d in _by_bin(batch, centres):
         p = weights[at] if d is None else weights[at] * d.min(axis=1)
         yield b, at, x, np.divide(-np.log(u[at]), p, out=np.full(len(p), np.inf), where=p > 0)
 
@@ -50,30 +97,31 @@ def _drawn(points: DataFrame, centres: dict, m: int, seed: int) -> dict:
     kind = points.schema["bin"].dataType.simpleString()
 
     def least(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
         best: dict = {}
-        for pdf in batches:
-            for b, _, _, key in _keys(pdf, shared.value, pdf["u"].to_numpy(), pdf["weight"].to_numpy()):
+        for batch in _chunks(batches):
+            kind = batch.column("bin").type
+            for b, _, _, key in _keys(batch, shared.value):
                 best[b] = np.unique(np.concatenate([best.get(b, np.empty(0)), key[key < np.inf]]))[:m]
         for b, key in best.items():
-            yield pd.DataFrame({"bin": [b] * len(key), "key": key})
+            yield pa.RecordBatch.from_arrays([pa.array([b] * len(key), kind), pa.array(key)], names=["bin", "key"])
 
     w = Window.partitionBy("bin").orderBy("key")
-    found = rows.mapInPandas(least, f"bin {kind}, key double").distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= m)
+    found = rows.mapInArrow(least, f"bin {kind}, key double").distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= m)
     last = {r[0]: r[1] for r in found.groupBy("bin").agg(F.max("key")).collect()}  # a number for each bin
 
     def fetch(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            for b, _, x, key in _keys(pdf, shared.value, pdf["u"].to_numpy(), pdf["weight"].to_numpy()):
+        for batch in _chunks(batches):
+            for b, _, x, key in _keys(batch, shared.value):
                 if b in last and (key <= last[b]).any():
                     got = np.unique(x[key <= last[b]], axis=0)
-                    yield pd.DataFrame({"bin": [b] * len(got), "x": list(got)})
+                    yield pa.RecordBatch.from_arrays([pa.array([b] * len(got), batch.column("bin").type), pa.array(list(got), pa.list_(pa.float64()))], names=["bin", "x"])
 
     out: dict = {}
-    for b, x in rows.mapInPandas(fetch, f"bin {kind}, x array<double>").distinct().collect():  # m points for each bin
+    for b, x in rows.mapInArrow(fetch, f"bin {kind}, x array<double>").distinct().collect():  # m points for each bin
         out.setdefault(b, []).append(x)
     shared.unpersist()
     return {b: np.array(sorted(x)) for b, x in out.items()}
@@ -87,34 +135,35 @@ def _moved(points: DataFrame, centres: dict) -> dict:
     shared = points.sparkSession.sparkContext.broadcast(centres)
     kind = points.schema["bin"].dataType.simpleString()
 
-    def frame(sums: dict) -> Iterator:
-        import pandas as pd
-
-        if sums:
-            yield pd.DataFrame({"bin": [b for b, _ in sums], "i": [int(i) for _, i in sums], "s": list(sums.values())})
-
     def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         sums: dict = {}
-        for pdf in batches:
-            w = pdf["weight"].to_numpy()
-            for b, at, x, d in _by_bin(pdf, shared.value):
+        for batch in _chunks(batches):
+            kind = batch.column("bin").type
+            w = batch.column("weight").to_numpy()
+            for b, at, x, d in _by_bin(batch, shared.value):
                 if d is None:
                     continue
                 own = d.argmin(axis=1)
                 for i in np.unique(own):
                     of = own == i
                     sums[b, i] = sums.get((b, i), 0.0) + np.append(w[at][of] @ x[of], w[at][of].sum())
-        yield from frame(sums)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in sums], kind), pa.array([int(i) for _, i in sums], pa.int64()), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=["bin", "i", "s"])
 
     def merge(batches: Iterator) -> Iterator:
+        import pandas as pd
+
         sums: dict = {}
         for pdf in batches:
             for key, v in zip(zip(pdf["bin"], pdf["i"], strict=True), pdf["s"], strict=True):
                 sums[key] = sums.get(key, 0.0) + v
-        yield from frame(sums)
+        if sums:
+            yield pd.DataFrame({"bin": [b for b, _ in sums], "i": [int(i) for _, i in sums], "s": list(sums.values())})
 
     schema = f"bin {kind}, i bigint, s array<double>"
-    got = points.mapInPandas(run, schema).repartition("bin", "i").mapInPandas(merge, schema)
+    got = points.mapInArrow(run, schema).repartition("bin", "i").mapInPandas(merge, schema)
     out = {(r[0], r[1]): (np.array(r[2][:-1]) / r[2][-1], r[2][-1]) for r in got.collect() if r[2][-1] > 0}
     shared.unpersist()
     return out
@@ -261,20 +310,20 @@ def assigned(points: DataFrame, centres: DataFrame, on_bin: bool = True) -> Data
     schema = StructType([*points.schema.fields, StructField("state", LongType())])
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            out = pd.Series([None] * len(pdf), dtype="Int64")
-            groups = pdf.groupby("bin").indices.items() if on_bin else [(None, np.arange(len(pdf)))]
-            for b, at in groups:
+        for batch in _chunks(batches):
+            out, unknown = np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows, bool)
+            coordinates = _coordinates(batch.column("x"))
+            for b, at in _places(batch.column("bin")) if on_bin else [(None, np.arange(batch.num_rows))]:
                 if b in shared.value and len(at):
                     s, c = shared.value[b]
-                    x = np.stack(pdf["x"].iloc[at])
+                    x = coordinates(at)
                     d = (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None]
-                    out.iloc[at] = s[d.argmin(axis=1)]
-            yield pdf.assign(state=out.to_numpy())
+                    out[at], unknown[at] = s[d.argmin(axis=1)], False
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, mask=unknown)], names=[*batch.schema.names, "state"])
 
-    return points.mapInPandas(run, schema)
+    return points.mapInArrow(run, schema)
 
 
 def bin_counts(points: DataFrame, least: int) -> DataFrame:
