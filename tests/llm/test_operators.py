@@ -404,6 +404,23 @@ def test_substrings(spark, docs, rows, hot):
     assert got == slow_removal(rows + more, 400)
 
 
+def test_planted_passages(spark):
+    """Passages of over 50 words in two texts each: 399 bytes stay, 400 go; n_bytes is the input's length either way."""
+    from weftline.llm.substring_dedup import repeated_substrings
+
+    rng = random.Random(8)
+    say = lambda n, letters: " ".join("".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(n))
+    rows = [(i, say(rng.randint(30, 200), "klmnopqrs"), None, None) for i in range(20)]
+    for size in (285, 373, 399, 400, 401, 560):
+        passage = say(120, "abcdefghij")[: size - 1].rstrip() + "z"
+        passage += "z" * (size - len(passage))
+        assert len(passage) == size and len(passage.split()) > 50
+        rows += [(100 * size + i, f"{say(40, 'klmnopqrs')}{'<{'[i]}{passage}{'>}'[i]}{say(40, 'klmnopqrs')}", None, None) for i in range(2)]
+    got = sorted((tuple(r) for r in repeated_substrings(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == slow_removal(rows, 400)
+    assert {i: (n, gone) for i, n, gone, *_ in got} == {i: (len(t), i // 100 if i // 100 >= 400 else 0) for i, t, *_ in rows}
+
+
 def test_substrings_tables(spark, docs, none):
     from weftline.llm.substring_dedup import deduplicate, repeated_substrings
 
